@@ -31,9 +31,13 @@ def clip0(x) -> Column:
 
 
 def pct(part, whole, digits: int = 1, empty=0.0) -> Column:
-    """``round(100 * part / whole, digits)``; ``empty`` when whole is 0."""
+    """``round(part / whole * 100, digits)``; ``empty`` when whole is 0.
+
+    Division comes first, as in the service: at exact halves the binary
+    quotient decides the rounding (82 / 160 * 100 rounds to 51.2).
+    """
     whole = _c(whole)
-    value = F.round(F.lit(100.0) * _c(part) / whole, digits)
+    value = F.round(_c(part) / whole * F.lit(100.0), digits)
     return F.when(whole > 0, value).otherwise(F.lit(empty).cast("double"))
 
 

@@ -276,3 +276,7 @@ def q_forecast_buckets(spark, sf):
 def q_peak_step(spark, sf):
     out = FC.peak_step(forecast_table(spark, sf))
     return out.select("series_key", F.col("peak_step").cast("int").alias("peak_step"), "peak_value")
+
+
+# registration side effects of the other catalog modules
+from planwell.plans import catalog_stats  # noqa: E402,F401
