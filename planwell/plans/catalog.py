@@ -281,3 +281,4 @@ def q_peak_step(spark, sf):
 # registration side effects of the other catalog modules
 from planwell.plans import catalog_stats  # noqa: E402,F401
 from planwell.plans import catalog_backtest  # noqa: E402,F401
+from planwell.plans import catalog_ingest  # noqa: E402,F401
