@@ -133,8 +133,8 @@ def month_label(d) -> Column:
 
 
 def fmt_int(x) -> Column:
-    """C14: ``{:,.0f}``-style grouping of a rounded number."""
-    return F.format_number(F.round(_c(x), 0), 0)
+    """C14: ``{:,.0f}``: grouped, no decimals, ties to even (as Python formats)."""
+    return F.format_number(_c(x), 0)
 
 
 def fmt_signed1(x) -> Column:
