@@ -283,3 +283,4 @@ from planwell.plans import catalog_stats  # noqa: E402,F401
 from planwell.plans import catalog_backtest  # noqa: E402,F401
 from planwell.plans import catalog_ingest  # noqa: E402,F401
 from planwell.plans import catalog_reports  # noqa: E402,F401
+from planwell.plans import catalog_ml  # noqa: E402,F401
