@@ -16,6 +16,7 @@ from planwell import config as C
 from planwell.operators import ingest as IG
 from planwell.plans import forecasting as FC
 from planwell.plans.catalog import CUT, FCAST, FIT, VOL, WEEKLY, W, register, weekly
+from planwell.plans import oracle as O
 from planwell.sources import tables as T
 
 STORED_BEFORE = "2024-01-20"
@@ -163,3 +164,11 @@ def q_drift_check(spark, sf):
     return agg.select("series_key", F.round("f", 2).alias("forecast_4w"), "actual_4w",
                       F.when(F.col("f") == 0, F.lit(None)).otherwise(F.round(drift, 1)).alias("drift_percentage"),
                       F.coalesce(F.abs(drift) > C.RETRAIN_DRIFT_PERCENT, F.lit(False)).alias("drift_flag"))
+
+
+@register("stream_daily_counts", "WITH " + O.VIEWS["ingest_batch"]
+          + " SELECT date, series_key, CAST(cnt AS BIGINT) AS cnt FROM ingest_batch")
+def q_stream_daily_counts(spark, sf):
+    """2.13: streaming daily counts (file source, watermark, update mode, foreachBatch upsert)."""
+    from planwell.streaming.volume_stream import stream_daily_counts
+    return stream_daily_counts(spark, sf)
