@@ -87,7 +87,11 @@ def pipeline(max_bins: int = 32) -> Pipeline:
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label", weightCol="weight",
         numTrees=C.FOREST_TREES, maxDepth=C.FOREST_MAX_DEPTH, minInstancesPerNode=C.FOREST_MIN_LEAF,
-        featureSubsetStrategy=C.FOREST_FEATURE_SUBSET, seed=C.FOREST_SEED, maxBins=max_bins)
+        featureSubsetStrategy=C.FOREST_FEATURE_SUBSET, seed=C.FOREST_SEED, maxBins=max_bins,
+        # execution-only knobs (the trees do not change): a larger histogram budget
+        # groups more nodes per pass over the data, and cached node ids avoid
+        # re-walking every tree for every row at each level
+        maxMemoryInMB=1024, cacheNodeIds=True)
     return Pipeline(stages=[indexer, label_ix, assembler, forest])
 
 
@@ -110,7 +114,10 @@ def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> tupl
         pass
     # the forest reads its input several times (indexers, split finding,
     # bagging); persisting the training rows once avoids recomputing the joins
-    train = with_weights(split.where(~F.col("is_test"))).persist(StorageLevel.MEMORY_AND_DISK)
+    # the training rows are a narrow projection that AQE may coalesce into very
+    # few partitions; spreading them over the cluster's slots keeps every core busy
+    n = spark.sparkContext.defaultParallelism
+    train = with_weights(split.where(~F.col("is_test"))).repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         card = train.agg(*[F.countDistinct(c).alias(c) for c in C.CATEGORICAL_COLUMNS]).first()
         max_bins = max(32, *[int(card[c]) for c in C.CATEGORICAL_COLUMNS])

@@ -17,7 +17,7 @@ DEFAULT_CONF = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "planwell") -> SparkSession:
+                  app_name: str = "planwell", driver_memory: str | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings every job here assumes.
 
     On a cluster, pass no master: the launcher decides.  ``shuffle_partitions``
@@ -31,6 +31,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory and master and master.startswith("local"):
+        # in local mode the driver JVM is the only executor; on a cluster the launcher sizes it
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
     return spark
