@@ -22,6 +22,21 @@ GRAINS = {
 }
 
 
+def _shift(col, grain: str, n: int):
+    """Move a period ``n`` steps of its grain."""
+    if grain == "month":
+        return F.add_months(col, n)
+    return F.date_add(col, n * (7 if grain == "week" else 1))
+
+
+def _position(col, first, grain: str):
+    """0-based index of a period counted from the first period of its series."""
+    if grain == "month":
+        return F.months_between(col, first).cast("int")
+    days = F.datediff(col, first)
+    return (days / 7).cast("int") if grain == "week" else days.cast("int")
+
+
 def filter_key(df: DataFrame, key: str, value: str, column: str = "series_key") -> DataFrame:
     """F1 / F2: equality filter (pushed into the scan where the column is stored)."""
     return df.where(F.col(column) == F.lit(value))
@@ -42,17 +57,27 @@ def regularise(obs: DataFrame, keys: list[str], period: str, grain: str,
     """Regular index from each key's first to last period, gaps filled.
 
     ``obs`` holds keys, ``period`` and ``value`` (one row per key and period).
+    One pass, no join: a window gives every observed period its successor,
+    and each row emits itself plus the missing periods up to that successor.
     Output adds ``t`` (0-based position).  ``fill=None`` keeps gaps null.
     """
     interval = GRAINS[grain][0]
-    bounds = obs.groupBy(*keys).agg(F.min(period).alias("_lo"), F.max(period).alias("_hi"))
-    spine = bounds.select(*keys, F.posexplode(
-        F.sequence("_lo", "_hi", F.expr(interval))).alias("t", period))
-    joined = spine.join(obs, keys + [period], "left")
-    y = F.col(value).cast("double")
+    ordered = Window.partitionBy(*keys).orderBy(period) if keys else Window.orderBy(period)
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    x = obs.select(*keys, F.col(period).alias("_p"), F.col(value).cast("double").alias("_v"),
+                   F.lead(period).over(ordered).alias("_next"), F.min(period).over(whole).alias("_first"))
+    start, stop = _shift(F.col("_p"), grain, 1), _shift(F.col("_next"), grain, -1)
+    gaps = F.when(F.col("_next").isNotNull() & (stop >= start),
+                  F.sequence(start, stop, F.expr(interval))).otherwise(F.array().cast("array<date>"))
+    filler = F.lit(fill).cast("double") if fill is not None else F.lit(None).cast("double")
+    items = F.concat(F.array(F.struct(F.col("_p").alias("p"), F.col("_v").alias("v"))),
+                     F.transform(gaps, lambda d: F.struct(d.alias("p"), filler.alias("v"))))
+    out = x.select(*keys, "_first", F.explode(items).alias("_i"))
+    y = F.col("_i.v")
     if fill is not None:
         y = F.coalesce(y, F.lit(float(fill)))
-    return joined.select(*keys, period, F.col("t").cast("int").alias("t"), y.alias(value))
+    return out.select(*keys, F.col("_i.p").alias(period),
+                      _position(F.col("_i.p"), F.col("_first"), grain).alias("t"), y.alias(value))
 
 
 def resample(daily: DataFrame, grain: str, keys: list[str] | None = None,
