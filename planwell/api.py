@@ -19,6 +19,7 @@ from planwell.operators import arima, ingest as IG, series as SR, stats as ST
 from planwell.plans import forecasting as FC
 from planwell.plans import reports as RP
 from planwell.sources import tables as T
+from planwell.session import checkpoint
 
 
 class UnknownMemberError(ValueError):
@@ -84,7 +85,7 @@ def load_params(spark: SparkSession, root: str) -> DataFrame | None:
 
 def retrain(vol: Volume, root: str) -> DataFrame:
     """Refit every series and publish a new T8 version; returns a one-row summary."""
-    prm = vol.params().checkpoint()
+    prm = checkpoint(vol.params())
     path = save_params(prm, root)
     return prm.agg(F.count(F.lit(1)).alias("models_trained"), F.min("data_start").alias("data_start"),
                    F.max("data_end").alias("data_end"), F.lit(path).alias("version_path"))
@@ -107,7 +108,7 @@ def courses(vol: Volume, period: str = "next_month", course: str | None = None,
 def summary(vol: Volume, course: str | None = None, params: DataFrame | None = None) -> DataFrame:
     """GET /forecast/summary (R2); with a course the horizons and history are that course's,
     while ``total_historical_applicants`` stays organisation-wide (as in the service)."""
-    prm = (params if params is not None else vol.params()).checkpoint()
+    prm = checkpoint(params if params is not None else vol.params())
     fc, weekly = vol.forecast(prm), vol.weekly()
     if not course:
         return RP.forecast_summary(vol.daily, weekly, vol.weekly_total(), fc, prm)
@@ -209,7 +210,7 @@ def ingest(spark: SparkSession, batch: DataFrame, root: str, sync_type: str = "i
     incoming = IG.parse_records(batch, seq)
     empty = stored is None
     base = incoming.limit(0) if empty else stored
-    table = IG.upsert(base, incoming, sync_type).checkpoint()
+    table = checkpoint(IG.upsert(base, incoming, sync_type))
     IG.write_version(table, root)
     data_end = None if empty else stored.select(F.max("date")).first()[0]
     nd = table.where(F.col("date") > F.lit(data_end)) if data_end else table

@@ -33,6 +33,9 @@ def unpivot(df: DataFrame, columns: list[str], ids: list[str] | None = None) ->
         *ids, "_p.dimension", "_p.label")
 
 
+ROWS_MARKER = "__rows__"
+
+
 def distribution(df: DataFrame, columns: list[str], limits: dict[str, int] | None = None,
                  by: list[str] | None = None) -> DataFrame:
     """Count and percentage of every label of every column, optional top-n per column.
@@ -40,20 +43,22 @@ def distribution(df: DataFrame, columns: list[str], limits: dict[str, int] | Non
     Percentages are of all rows (of the group ``by`` when given); rows whose
     label is null are not counted but stay in the denominator.  Order and
     top-n use (count desc, label asc).
+
+    One pass over ``df``: every row also emits a row-marker item, so the
+    denominator comes out of the same aggregate (read back with a window over
+    the aggregated rows of each group) instead of a second scan.
     """
     by = list(by or [])
     limits = limits or {}
-    long = unpivot(df, columns, by).where(F.col("label").isNotNull())
+    long = unpivot(df.withColumn(ROWS_MARKER, F.lit("")), [*columns, ROWS_MARKER], by) \
+        .where(F.col("label").isNotNull())
     counts = long.groupBy(*by, "dimension", "label").agg(F.count(F.lit(1)).alias("count"))
-    if by:
-        totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-        counts = counts.join(totals, by)
-        total = F.col("_total")
-    else:
-        total = _count_all(df)
+    group = Window.partitionBy(*by) if by else Window.partitionBy()
+    total = F.max(F.when(F.col("dimension") == ROWS_MARKER, F.col("count"))).over(group)
+    counts = counts.withColumn("_total", total).where(F.col("dimension") != ROWS_MARKER)
     w = Window.partitionBy(*by, "dimension").orderBy(F.desc("count"), F.asc("label"))
     out = counts.select(*by, "dimension", "label", F.col("count").cast("long").alias("count"),
-                        F.round(F.col("count") / total * F.lit(100.0), 1).alias("percentage"),
+                        F.round(F.col("count") / F.col("_total") * F.lit(100.0), 1).alias("percentage"),
                         F.row_number().over(w).alias("rank"))
     if limits:
         cap = F.lit(None).cast("int")

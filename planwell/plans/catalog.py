@@ -81,6 +81,12 @@ def daily(spark, sf):
     return T.volume(spark, sf)
 
 
+def daily_table(spark, sf):
+    """The daily volume (T1: keys x days) materialised once for reports that read it many
+    times; a reliable checkpoint in the shared folder, so it also cuts the lineage."""
+    return checkpoint(T.volume(spark, sf))
+
+
 def weekly(spark, sf):
     return SR.weekly_series(T.volume(spark, sf, until=CUT), CUT)
 
@@ -284,3 +290,4 @@ from planwell.plans import catalog_backtest  # noqa: E402,F401
 from planwell.plans import catalog_ingest  # noqa: E402,F401
 from planwell.plans import catalog_reports  # noqa: E402,F401
 from planwell.plans import catalog_ml  # noqa: E402,F401
+from planwell.session import checkpoint

@@ -143,10 +143,11 @@ def q_confidence_level(spark, sf):
     return confidence_table(spark, sf)
 
 
-def confidence_table(spark, sf) -> DataFrame:
+def confidence_table(spark, sf, wtotal: DataFrame | None = None) -> DataFrame:
     """Overall backtest MAE relative to the mean weekly total."""
-    om = ST.forecast_metrics(walk_forward_total(spark, sf), [])
-    mean = weekly_total(spark, sf).select(F.avg("y")).scalar()
+    wt = wtotal if wtotal is not None else weekly_total(spark, sf)
+    om = ST.forecast_metrics(arima.walk_forward(wt, [], "week"), [])
+    mean = wt.select(F.avg("y")).scalar()
     denom = F.when(mean == 0, F.lit(1.0)).otherwise(mean)
     return om.select(F.col("mae"), F.round(mean, 4).alias("mean_volume"),
                      F.round(F.coalesce("mae", F.lit(0.0)) / denom, 4).alias("ratio"),

@@ -10,12 +10,13 @@ from planwell.operators import arima, series as SR, stats as ST
 from planwell.plans import forecasting as FC
 from planwell.plans import reports as RP
 from planwell.plans.catalog import (COURSE_FORECASTS_SQL, CUT, FCAST, FIT, MSERIES, MTOTAL, SUMS, TAILS, VOL,
-                                    WEEKLY, WTOTAL, W, daily, growth_sql, register, weekly)
+                                    WEEKLY, WTOTAL, W, daily, daily_table, growth_sql, register)
 from planwell.plans.catalog_backtest import (M2, TWO, V2, WFT, HOLD, confidence_table, metrics_sql,
-                                             two_key_series, weekly_total)
+                                             two_key_series)
 from planwell.plans.catalog_stats import LEARN, ORG_DIMS, age_sql, dist_sql
 from planwell.plans import oracle as O
 from planwell.sources import tables as T
+from planwell.session import checkpoint
 
 CF = "cf AS (" + COURSE_FORECASTS_SQL + ")"
 TOT = """tot AS (SELECT
@@ -28,8 +29,13 @@ fast AS (SELECT * FROM cf ORDER BY growth_percentage DESC, forecasted_applicant_
 low AS (SELECT * FROM cf ORDER BY forecasted_applicant_count ASC, course DESC LIMIT 1)"""
 
 
-def fc_table(spark, sf):
-    return FC.weekly_forecast(FC.params(weekly(spark, sf)).checkpoint())
+def inputs(spark, sf):
+    """Shared inputs of the multi-part reports: the daily table read once, weekly series,
+    checkpointed parameters (the one grouped-map job) and the forecast table."""
+    d = daily_table(spark, sf)
+    wk = SR.weekly_series(d, CUT)
+    prm = checkpoint(FC.params(wk))
+    return d, wk, SR.weekly_total(d, CUT), prm, FC.weekly_forecast(prm)
 
 
 @register("forecast_summary", W(VOL, WEEKLY, WTOTAL, FIT, FCAST, SUMS, TAILS, CF, TOT, RANKED) + """,
@@ -48,10 +54,8 @@ SELECT nw AS expected_applicants_next_week, nm AS expected_applicants_next_month
   (SELECT count(*) FROM m_fit) AS courses_modeled
 FROM tot, prev""")
 def q_forecast_summary(spark, sf):
-    prm = FC.params(weekly(spark, sf)).checkpoint()
-    fc = FC.weekly_forecast(prm)
-    wt = weekly_total(spark, sf)
-    return RP.forecast_summary(daily(spark, sf), weekly(spark, sf), wt, fc, prm)
+    d, wk, wt, prm, fc = inputs(spark, sf)
+    return RP.forecast_summary(d, wk, wt, fc, prm)
 
 
 @register("forecast_insights", W(VOL, WEEKLY, FIT, FCAST, SUMS, TAILS, CF, RANKED) + """
@@ -60,8 +64,8 @@ UNION ALL SELECT 2, course || ' is the fastest growing course (' || printf('%+.1
 UNION ALL SELECT 3, course || ' has the lowest projected applicant volume (' || format('{:,.0f}', forecasted_applicant_count) || ').' FROM low WHERE (SELECT count(*) FROM cf) > 1
 UNION ALL SELECT 4, 'The most popular course historically is ' || (SELECT series_key FROM volume GROUP BY series_key ORDER BY SUM(cnt) DESC, series_key LIMIT 1) || '.'""")
 def q_forecast_insights(spark, sf):
-    cf = FC.course_forecasts(daily(spark, sf), weekly(spark, sf), fc_table(spark, sf))
-    return RP.forecast_insights(daily(spark, sf), cf)
+    d, wk, _, _, fc = inputs(spark, sf)
+    return RP.forecast_insights(d, FC.course_forecasts(d, wk, fc))
 
 
 def _tail_select(sql: str) -> tuple[str, str]:
@@ -101,15 +105,14 @@ UNION ALL SELECT 'age_distribution', ord, label, CAST(count AS DOUBLE), percenta
 @register("forecast_charts", CHARTS_SQL)
 def q_forecast_charts(spark, sf):
     from pyspark.sql import Window
-    d = daily(spark, sf)
-    fc = fc_table(spark, sf)
-    cf = FC.course_forecasts(d, weekly(spark, sf), fc)
+    d, wk, wt, _, fc = inputs(spark, sf)
+    cf = FC.course_forecasts(d, wk, fc)
     lr = T.learners(spark, sf)
     demo = ST.distribution(lr, ORG_DIMS, {"site": 10})
     course = ST.weighted_distribution(d).select(
         F.lit("course").alias("dimension"), "label", "count", "percentage",
         F.row_number().over(Window.orderBy(F.desc("count"), F.asc("label"))).alias("rank"))
-    return RP.forecast_charts(d, weekly_total(spark, sf), fc, cf, demo.unionByName(course),
+    return RP.forecast_charts(d, wt, fc, cf, demo.unionByName(course),
                               ST.age_distribution(lr))
 
 
@@ -132,7 +135,8 @@ SELECT s.series_key AS course, CAST(round(t.last_value) AS INTEGER) AS current_a
   strftime(CAST(lm.last_month + to_months(3) AS DATE), '%b %Y') AS month_3_label
 FROM sums s JOIN tails t ON s.series_key = t.series_key LEFT JOIN lm ON lm.series_key = s.series_key""")
 def q_course_detail(spark, sf):
-    return RP.course_detail(weekly(spark, sf), daily(spark, sf), fc_table(spark, sf))
+    d, wk, _, _, fc = inputs(spark, sf)
+    return RP.course_detail(wk, d, fc)
 
 
 @register("course_detail_history", W(VOL, MSERIES) + f"""SELECT series_key, month, strftime(month, '%b %Y') AS label,
@@ -177,7 +181,8 @@ SELECT a.forecast_period, a.label AS planning_period_label, CAST(a.steps AS INTE
 FROM agg a LEFT JOIN prev p ON a.forecast_period = p.forecast_period""")
 def q_volume_forecast(spark, sf):
     """R10 for the four planning periods (organisation-wide)."""
-    return RP.volume_forecast(weekly_total(spark, sf), fc_table(spark, sf), confidence_table(spark, sf))
+    _, _, wt, _, fc = inputs(spark, sf)
+    return RP.volume_forecast(wt, fc, confidence_table(spark, sf, wt))
 
 
 LEG_FC = O.forecast_cte("fc9", "m9_fit", TWO, steps=12, grain="month", clip=False, digits=4)
@@ -213,7 +218,7 @@ SELECT a.forecast_period, CAST(a.steps AS INTEGER) AS steps, round(a.total, 1) A
 FROM agg a JOIN prev p ON a.forecast_period = p.forecast_period""")
 def q_volume_forecast_monthly(spark, sf):
     """The legacy monthly answer for 1 / 3 / 6 / 12 months from all (site, key) models."""
-    prm = arima.fit_params(two_key_series(spark, sf), TWO, "month").checkpoint()
+    prm = checkpoint(arima.fit_params(two_key_series(spark, sf), TWO, "month"))
     fc = arima.forecast(prm, TWO, steps=12, period_step="month", clip=False, digits=4)
     st = fc.groupBy("step").agg(F.sum(F.round(F.col("y_hat") * 10000).cast("long")).alias("c")) \
         .select("step", F.round(F.col("c") / F.lit(10000.0), 1).alias("p"))

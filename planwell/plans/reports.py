@@ -44,21 +44,25 @@ def forecast_summary(daily: DataFrame, weekly: DataFrame, wtotal: DataFrame, fc:
                      params: DataFrame) -> DataFrame:
     """R2: one row of KPIs (organisation-wide)."""
     cf = FC.course_forecasts(daily, weekly, fc, "next_month")
-    prev = SR.tail_stats(wtotal, [], "week")
-    top, fast = _top(cf), _fastest(cf)
+    # one struct-valued scalar subquery per source table: each runs once
+    prev = SR.tail_stats(wtotal, [], "week").select(F.struct(
+        F.round("last_value", 1).alias("w"), F.round("tail4_sum", 1).alias("m"),
+        F.round("tail13_sum", 1).alias("q"))).scalar()
+    top = _top(cf).select(F.struct("course", "forecast_next_month")).scalar()
+    fast = _fastest(cf).select(F.struct("course", "growth_percentage")).scalar()
     mp = SR.most_popular(daily)
     return total_horizons(fc).select(
         F.col("next_week").alias("expected_applicants_next_week"),
         F.col("next_month").alias("expected_applicants_next_month"),
         F.col("next_quarter").alias("expected_applicants_next_quarter"),
-        F.round(prev.select("last_value").scalar(), 1).alias("previous_week_total"),
-        F.round(prev.select("tail4_sum").scalar(), 1).alias("previous_month_total"),
-        F.round(prev.select("tail13_sum").scalar(), 1).alias("previous_quarter_total"),
+        prev["w"].alias("previous_week_total"),
+        prev["m"].alias("previous_month_total"),
+        prev["q"].alias("previous_quarter_total"),
         daily.select(F.sum("cnt")).scalar().cast("long").alias("total_historical_applicants"),
-        top.select("course").scalar().alias("highest_forecasted_course"),
-        top.select("forecast_next_month").scalar().alias("highest_forecasted_count"),
-        fast.select("course").scalar().alias("highest_growth_course"),
-        fast.select("growth_percentage").scalar().alias("highest_growth_percentage"),
+        top["course"].alias("highest_forecasted_course"),
+        top["forecast_next_month"].alias("highest_forecasted_count"),
+        fast["course"].alias("highest_growth_course"),
+        fast["growth_percentage"].alias("highest_growth_percentage"),
         mp.select("series_key").scalar().alias("most_popular_course"),
         params.select(F.count(F.lit(1))).scalar().alias("courses_modeled"))
 

@@ -53,3 +53,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="planwell-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
+
+
+def checkpoint(df):
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    Safe to call from any session: the folder is read from the session's
+    ``spark.checkpoint.dir`` (or created locally only when that is unset).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
