@@ -104,7 +104,9 @@ def model_dir(spark: SparkSession, source: str) -> str:
 def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> tuple[PipelineModel, DataFrame]:
     """Load the saved pipeline for ``source`` or train it on the train split and save it.
 
-    Returns the model and the split learners (with ``is_test``).
+    ``learners`` should already be materialised when it is an expensive view:
+    the split reads it in three passes (bucket counts, boundary bucket, the
+    rest).  Returns the model and the split learners (with ``is_test``).
     """
     split = stratified_split(clean_features(learners))
     path = model_dir(spark, source)

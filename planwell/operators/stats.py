@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from planwell import config as C
 from planwell.functions import scalars as S
+from planwell.session import checkpoint
 
 
 def _count_all(df: DataFrame) -> Column:
@@ -221,8 +222,10 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
     One aggregate builds the confusion counts; everything else is arithmetic on
     that (classes x classes) table.
     """
-    conf = pred.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    # the (classes x classes) confusion table is the only pass over the predictions;
+    # it is materialised once and every figure below is read from it
+    conf = checkpoint(pred.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted"))
+                      .agg(F.count(F.lit(1)).alias("n")))
     per_class_actual = conf.groupBy(F.col("actual").alias("cls")).agg(
         F.sum("n").alias("support"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))).alias("tp"))
     per_class_pred = conf.groupBy(F.col("predicted").alias("cls")).agg(F.sum("n").alias("predicted_n"))
@@ -239,7 +242,7 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
                           F.lit("precision"), F.round("p", 4), F.lit("recall"), F.round("r", 4),
                           F.lit("f1_score"), F.round("f", 4),
                           F.lit("support"), F.col("support").cast("double"))).alias("metric", "value"))
-    total = pred.select(F.count(F.lit(1))).scalar()
+    total = conf.select(F.sum("n")).scalar()
     correct = conf.where(F.col("actual") == F.col("predicted")).select(F.sum("n")).scalar()
     avgs = per.agg(
         F.round(F.avg("p"), 4).alias("macro_precision"), F.round(F.avg("r"), 4).alias("macro_recall"),

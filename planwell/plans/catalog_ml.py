@@ -15,6 +15,7 @@ from planwell.operators import ml as ML, stats as ST
 from planwell.plans import forecasting as FC
 from planwell.plans.catalog import register, weekly
 from planwell.plans.catalog_stats import LEARN
+from planwell.session import checkpoint
 from planwell.sources import tables as T
 
 
@@ -41,55 +42,58 @@ def q_class_weights(spark, sf):
     return ML.class_weights(T.learners(spark, sf))
 
 
-def _model(spark, sf):
-    return ML.train_or_load(spark, T.learners(spark, sf), f"learners:{sf}")
+class Context:
+    """One model build per query: the learner rows materialised once, the split, the model."""
 
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+        self.learners = checkpoint(ML.clean_features(T.learners(spark, sf)))
+        self.model, self.split = ML.train_or_load(spark, self.learners, f"learners:{sf}")
 
-def site_ranking(spark, sf) -> DataFrame:
-    """L6 + W7 for every course: representative profile x every site, scored and ranked."""
-    model, _ = _model(spark, sf)
-    lr = ML.clean_features(T.learners(spark, sf))
-    profiles = ST.representative_profile(lr)
-    sites = lr.select("site").distinct()
-    return ML.rank_sites(ML.score(model, ML.candidates(profiles, sites)))
+    def ranking(self) -> DataFrame:
+        """L6 + W7 for every course: representative profile x every site, scored and ranked."""
+        profiles = ST.representative_profile(self.learners)
+        sites = self.learners.select("site").distinct()
+        return ML.rank_sites(ML.score(self.model, ML.candidates(profiles, sites)))
+
+    def winners(self) -> DataFrame:
+        return self.ranking().where(F.col("rank") == 1).drop("rank")
+
+    def test_predictions(self) -> DataFrame:
+        """Held-out predictions: label (1 = Graduate), pred, score = P(Graduate)."""
+        gi = ML.graduate_index(self.model)
+        out = self.model.transform(self.split.where(F.col("is_test")))
+        # three narrow columns of the held-out rows, materialised once for the several metrics
+        return checkpoint(out.select(
+            (F.col("label") == gi).cast("int").alias("label"),
+            (F.col("prediction") == gi).cast("int").alias("pred"),
+            ML.vector_to_array("probability")[gi].alias("score")))
 
 
 @register("site_ranking")
 def q_site_ranking(spark, sf):
-    return site_ranking(spark, sf)
+    return Context(spark, sf).ranking()
 
 
 @register("recommend_all")
 def q_recommend_all(spark, sf):
     """The top site of every course."""
-    return site_ranking(spark, sf).where(F.col("rank") == 1).drop("rank")
+    return Context(spark, sf).winners()
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     """Features ranked by forest importance."""
-    model, _ = _model(spark, sf)
-    rows = ML.feature_importance(model)
+    rows = ML.feature_importance(Context(spark, sf).model)
     df = spark.createDataFrame(rows, "feature string, display_name string, importance double")
     w = Window.orderBy(F.desc("importance"), F.asc("feature"))
     return df.withColumn("rank", F.row_number().over(w))
 
 
-def test_predictions(spark, sf) -> DataFrame:
-    """Held-out predictions: label (1 = Graduate), pred, score = P(Graduate)."""
-    model, split = _model(spark, sf)
-    gi = ML.graduate_index(model)
-    out = model.transform(split.where(F.col("is_test")))
-    return out.select(
-        (F.col("label") == gi).cast("int").alias("label"),
-        (F.col("prediction") == gi).cast("int").alias("pred"),
-        ML.vector_to_array("probability")[gi].alias("score"))
-
-
 @register("model_metrics")
 def q_model_metrics(spark, sf):
     """Classification report and ROC-AUC of the held-out part (A26 + A27)."""
-    tp = test_predictions(spark, sf)
+    tp = Context(spark, sf).test_predictions()
     auc = ST.roc_auc(tp).select(F.lit("summary").alias("section"), F.lit(None).cast("string").alias("class"),
                                 F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
     return ST.classification_report(tp).unionByName(auc)
@@ -98,7 +102,7 @@ def q_model_metrics(spark, sf):
 @register("model_metadata")
 def q_model_metadata(spark, sf):
     """One metadata row beside the model."""
-    _, split = _model(spark, sf)
+    split = Context(spark, sf).split
     return split.agg(
         F.count(F.lit(1)).alias("n_records"),
         F.count_if(~F.col("is_test")).alias("n_train"),
@@ -112,28 +116,26 @@ def q_model_metadata(spark, sf):
         F.lit(C.FOREST_MIN_LEAF).alias("min_instances_per_node"), F.lit(C.FOREST_SEED).alias("seed"))
 
 
-def _winners(spark, sf) -> DataFrame:
-    return site_ranking(spark, sf).where(F.col("rank") == 1).select("course", "site")
-
-
 @register("recommend_gini")
 def q_recommend_gini(spark, sf):
     """A28 on the model's top sites."""
-    return ST.gini(_winners(spark, sf).groupBy("site").agg(F.count(F.lit(1)).alias("count")))
+    return ST.gini(Context(spark, sf).winners().groupBy("site").agg(F.count(F.lit(1)).alias("count")))
 
 
 @register("recommend_diversity")
 def q_recommend_diversity(spark, sf):
     """A29 on the model's top sites."""
-    n_sites = T.learners(spark, sf).select(F.countDistinct("site")).scalar()
-    return ST.diversity(_winners(spark, sf), "course", "site", n_sites)
+    ctx = Context(spark, sf)
+    n_sites = ctx.learners.select(F.countDistinct("site")).scalar()
+    return ST.diversity(ctx.winners(), "course", "site", n_sites)
 
 
 @register("recommendation_answer")
 def q_recommendation_answer(spark, sf):
     """Ranked sites of every course with participation and evidence (J2 / J3 left joins)."""
-    ranked = site_ranking(spark, sf)
-    ev = ST.site_evidence(T.learners(spark, sf))
+    ctx = Context(spark, sf)
+    ranked = ctx.ranking()
+    ev = ST.site_evidence(ctx.learners)
     evidence = F.struct(
         "label", "historical_participation_percentage", "historical_completion_percentage",
         "historical_dropout_percentage", "historical_applicant_count", "data_reliability")
@@ -151,11 +153,11 @@ def q_recommendation_answer(spark, sf):
 @register("explanation")
 def q_explanation(spark, sf):
     """Top site of each course with its historical blocks, model metrics and top features."""
-    top = q_recommend_all(spark, sf)
-    rates = ST.completion_rates(T.learners(spark, sf))
-    model, _ = _model(spark, sf)
-    feats = [d for _, d, _ in sorted(ML.feature_importance(model), key=lambda r: (-r[2], r[0]))][:5]
-    tp = test_predictions(spark, sf)
+    ctx = Context(spark, sf)
+    top = ctx.winners()
+    rates = ST.completion_rates(ctx.learners)
+    feats = [d for _, d, _ in sorted(ML.feature_importance(ctx.model), key=lambda r: (-r[2], r[0]))][:5]
+    tp = ctx.test_predictions()
     acc = tp.select(F.round(F.avg((F.col("label") == F.col("pred")).cast("double")), 4)).scalar()
     j = top.join(rates, ["course", "site"], "left")
     return j.select(
@@ -171,9 +173,9 @@ def q_explanation(spark, sf):
 @register("home_dashboard")
 def q_home_dashboard(spark, sf):
     """Best site, top-5, count of sites >= 80 %, next-month total, for the most popular course."""
-    lr = T.learners(spark, sf)
-    course = lr.groupBy("course").count().orderBy(F.desc("count"), F.asc("course")).limit(1)
-    ranked = site_ranking(spark, sf).join(course.select("course"), "course")
+    ctx = Context(spark, sf)
+    course = ctx.learners.groupBy("course").count().orderBy(F.desc("count"), F.asc("course")).limit(1)
+    ranked = ctx.ranking().join(course.select("course"), "course")
     fc = FC.weekly_forecast(FC.params(weekly(spark, sf)))
     nm = fc.agg(F.round(F.sum(F.when(F.col("step") <= C.STEPS_NEXT_MONTH, FC.cents())) / F.lit(100.0), 1)).scalar()
     agg = ranked.groupBy("course").agg(
