@@ -59,3 +59,26 @@ def test_ingest_flow(spark):
                                                                  " applicant_count long")
     errs = api.ingest(spark, bad, root)
     assert [r.rule for r in errs.collect()] == ["date"]
+
+
+def test_optional_table_missing_path_is_empty(spark):
+    from planwell.sources.tables import VOLUME_SCHEMA, optional_table
+    df = optional_table(spark, "/nonexistent/path/x.parquet", VOLUME_SCHEMA)
+    assert df.count() == 0 and df.columns == ["date", "series_key", "cnt"]
+    assert optional_table(spark, None, VOLUME_SCHEMA).count() == 0
+
+
+def test_dashboard_profile_evaluation_detail(spark, vol):
+    lr = T.learners(spark, SF_SMALL)
+    parts = api.dashboard(vol, lr, "next_quarter")
+    assert set(parts) == {"summary", "courses", "charts", "insights"}
+    assert parts["summary"].count() == 1 and parts["insights"].count() == 4
+    site = lr.select("site").orderBy("site").first()[0]
+    prof = api.site_profile(lr, site)
+    assert prof["profile"].first().total_applicants == lr.where(F.col("site") == site).count()
+    with pytest.raises(api.UnknownMemberError):
+        api.site_profile(lr, "Atlantis")
+    ev = api.evaluation(vol)
+    assert ev.where(F.col("series_key").isNull()).count() == 1
+    key = vol.daily.select("series_key").orderBy("series_key").first()[0]
+    assert api.course_detail(vol, key).count() == 1
