@@ -53,7 +53,8 @@ def daily_counts_stream(events: DataFrame, watermark: str = "2 days") -> DataFra
 
 
 def run_to_table(spark: SparkSession, source_dir: str, table_dir: str, checkpoint_dir: str,
-                 watermark: str = "2 days", available_now: bool = True):
+                 watermark: str = "2 days", available_now: bool = True, file_glob: str = "events.parquet",
+                 max_files_per_trigger: int | None = None):
     """Run the stream into ``table_dir`` (parquet, partitioned by batch_seq); returns the query."""
 
     def upsert_epoch(batch: DataFrame, epoch_id: int) -> None:
@@ -63,7 +64,7 @@ def run_to_table(spark: SparkSession, source_dir: str, table_dir: str, checkpoin
         # one directory per epoch: a replayed epoch overwrites its own output only
         rows.write.mode("overwrite").parquet(os.path.join(table_dir, f"batch_seq={epoch_id}"))
 
-    counts = daily_counts_stream(event_stream(spark, source_dir), watermark)
+    counts = daily_counts_stream(event_stream(spark, source_dir, file_glob, max_files_per_trigger), watermark)
     writer = (counts.writeStream.outputMode("update").foreachBatch(upsert_epoch)
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
