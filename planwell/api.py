@@ -223,3 +223,26 @@ def ingest(spark: SparkSession, batch: DataFrame, root: str, sync_type: str = "i
     return metrics.select("*", decision.select("new_days").scalar().alias("new_days"),
                           decision.select("should_retrain").scalar().alias("retraining_triggered"),
                           decision.select("reason").scalar().alias("retraining_reason"))
+
+
+def applicant_volume(vol: Volume, period: str = "next_month", course: str | None = None) -> dict[str, DataFrame]:
+    """POST /predict/applicant-volume (R10): summary row and month-equivalent buckets.
+
+    Confidence always comes from the organisation-wide backtest, as in the service.
+    """
+    validate_period(period, C.PREDICT_PERIODS)
+    fc, hist, monthly = vol.forecast(), vol.weekly_total(), SR.monthly_total(vol.daily)
+    if course:
+        validate_member(vol.daily, "series_key", course)
+        fc = fc.where(F.col("series_key") == course)
+        hist = vol.weekly().where(F.col("series_key") == course).select("week", "t", "y")
+        monthly = SR.monthly_series(vol.daily.where(F.col("series_key") == course)).select("month", "t", "y")
+    wt = vol.weekly_total()
+    om = ST.forecast_metrics(arima.walk_forward(wt, [], "week"), [])
+    mean = wt.select(F.avg("y")).scalar()
+    conf = om.select(S.confidence_by_error(F.col("mae"), mean).alias("confidence_level"))
+    pick = F.col("forecast_period") == period
+    return {"summary": RP.volume_forecast(hist, fc, conf, round_steps=course is None).where(pick),
+            "buckets": RP.volume_forecast_buckets(fc, monthly, round_steps=course is None).where(pick),
+            "history": SR.tail(monthly, [], C.CHART_MONTHS, "month").select(
+                S.month_label("month").alias("period"), F.round("y", 1).alias("applicants"))}

@@ -185,6 +185,26 @@ def q_volume_forecast(spark, sf):
     return RP.volume_forecast(wt, fc, confidence_table(spark, sf, wt))
 
 
+BUCKETS_PERIODS = " UNION ALL ".join(
+    f"SELECT '{k}' AS forecast_period, {v} AS steps" for k, v in C.PREDICT_PERIODS.items())
+
+
+@register("volume_forecast_buckets", W(VOL, WEEKLY, MTOTAL, FIT, FCAST) + f""",
+st AS (SELECT step, round(CAST(sum(CAST(round(y_hat * 100) AS BIGINT)) AS DOUBLE) / CAST(100 AS DOUBLE), 1) AS p
+  FROM fc GROUP BY step),
+per AS ({BUCKETS_PERIODS})
+SELECT forecast_period, CAST(floor((step - 1) / 4) AS INTEGER) + 1 AS bucket,
+  strftime(CAST((SELECT max(month) FROM mtotal) + to_months(CAST(floor((step - 1) / 4) AS INTEGER) + 1) AS DATE), '%b %Y') AS period,
+  round(CAST(sum(CAST(round(p * 10) AS BIGINT)) AS DOUBLE) / 10.0, 1) AS applicants
+FROM per JOIN st ON st.step <= per.steps
+WHERE CAST(floor((step - 1) / 4) AS INTEGER) + 1 <= greatest(1, CAST(floor(steps / 4) AS INTEGER))
+GROUP BY ALL""")
+def q_volume_forecast_buckets(spark, sf):
+    """R10 month-equivalent buckets (organisation-wide) for every planning period."""
+    d, _, _, _, fc = inputs(spark, sf)
+    return RP.volume_forecast_buckets(fc, SR.monthly_total(d))
+
+
 LEG_FC = O.forecast_cte("fc9", "m9_fit", TWO, steps=12, grain="month", clip=False, digits=4)
 LEG_PERIODS = " UNION ALL ".join(f"SELECT '{k}' AS forecast_period, {v} AS steps" for k, v in C.LEGACY_PERIODS.items())
 M2T = O.series_cte("m2t", "volume_two_key", [], "month", fill=False)

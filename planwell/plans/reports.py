@@ -147,20 +147,47 @@ def course_detail(weekly: DataFrame, daily: DataFrame, fc: DataFrame) -> DataFra
         S.month_label(F.add_months("last_month", 3)).alias("month_3_label"))
 
 
-def volume_forecast(wtotal: DataFrame, fc: DataFrame, confidence: DataFrame) -> DataFrame:
-    """R10 (organisation-wide) for every planning period at once, one row per period.
+def step_predictions(fc: DataFrame, round_steps: bool = True) -> DataFrame:
+    """Weekly predictions of R10: cross-key step sums rounded to 1 dp (organisation-wide,
+    B17), or the unrounded values when one key is selected; ``units`` are exact integers."""
+    if round_steps:
+        return FC.total_forecast_by_step(fc).select(
+            "step", F.col("y_total").alias("p"), F.round(F.col("y_total") * 10).cast("long").alias("units"),
+            F.lit(10.0).alias("scale"))
+    return fc.groupBy("step").agg(F.sum(FC.cents()).alias("units")).select(
+        "step", (F.col("units") / F.lit(100.0)).alias("p"), "units", F.lit(100.0).alias("scale"))
+
+
+def volume_forecast_buckets(fc: DataFrame, monthly_history: DataFrame, round_steps: bool = True) -> DataFrame:
+    """R10 month-equivalent buckets for every period: 4-week sums dated after the last history month."""
+    st = step_predictions(fc, round_steps)
+    periods = F.create_map(*[x for k, v in C.PREDICT_PERIODS.items() for x in (F.lit(k), F.lit(v))])
+    last_month = monthly_history.select(F.max("month")).scalar()
+    per = st.select("*", F.explode(periods).alias("forecast_period", "steps"))
+    n_b = F.greatest(F.lit(1), F.floor(F.col("steps") / F.lit(C.WEEKS_PER_BUCKET)))
+    b = F.floor((F.col("step") - 1) / F.lit(C.WEEKS_PER_BUCKET)).cast("int") + 1
+    per = per.where((F.col("step") <= F.col("steps")) & (b <= n_b))
+    out = per.groupBy("forecast_period", b.alias("bucket")).agg(
+        (F.sum("units") / F.first("scale")).alias("v"))
+    return out.select("forecast_period", "bucket",
+                      S.month_label(F.add_months(last_month, F.col("bucket"))).alias("period"),
+                      F.round("v", 1).alias("applicants"))
+
+
+def volume_forecast(wtotal: DataFrame, fc: DataFrame, confidence: DataFrame, round_steps: bool = True) -> DataFrame:
+    """R10 for every planning period at once, one row per period.
 
-    Weekly predictions are the cross-key step sums rounded to 1 dp (B17);
-    the total adds those in tenths, so it does not depend on row order.
+    Organisation-wide, weekly predictions are the cross-key step sums rounded
+    to 1 dp (B17); for one key they are that key's values.  Totals add exact
+    integer units, so they do not depend on row order.
     """
-    step_tot = FC.total_forecast_by_step(fc).select(
-        "step", F.col("y_total").alias("p"), F.round(F.col("y_total") * 10).cast("long").alias("tenths"))
+    step_tot = step_predictions(fc, round_steps)
     periods = F.create_map(*[x for k, v in C.PREDICT_PERIODS.items() for x in (F.lit(k), F.lit(v))])
     labels = F.create_map(*[x for k, v in C.PREDICT_LABELS.items() for x in (F.lit(k), F.lit(v))])
     per = step_tot.select("*", F.explode(periods).alias("forecast_period", "steps")).where(
         F.col("step") <= F.col("steps"))
     agg = per.groupBy("forecast_period", "steps").agg(
-        (F.sum("tenths") / F.lit(10.0)).alias("total"),
+        (F.sum("units") / F.first("scale")).alias("total"),
         F.min_by("step", F.struct(-F.col("p"), F.col("step"))).alias("peak_week"),
         F.max("p").alias("peak_value"))
     # previous period: the same number of weeks from the history tail (all of it if shorter)

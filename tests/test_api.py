@@ -82,3 +82,14 @@ def test_dashboard_profile_evaluation_detail(spark, vol):
     assert ev.where(F.col("series_key").isNull()).count() == 1
     key = vol.daily.select("series_key").orderBy("series_key").first()[0]
     assert api.course_detail(vol, key).count() == 1
+
+
+def test_applicant_volume_per_course_uses_unrounded_steps(spark, vol):
+    key = vol.daily.select("series_key").orderBy("series_key").first()[0]
+    out = api.applicant_volume(vol, "next_month", key)
+    row = out["summary"].first()
+    preds = [r.y_hat for r in vol.forecast().where((F.col("series_key") == key) & (F.col("step") <= 4)).collect()]
+    assert row.total_predicted_applicants == round(sum(preds), 1)
+    assert out["buckets"].count() == 1 and out["history"].count() <= 18
+    with pytest.raises(api.UnknownPeriodError):
+        api.applicant_volume(vol, "next_week")
