@@ -246,3 +246,32 @@ def applicant_volume(vol: Volume, period: str = "next_month", course: str | None
             "buckets": RP.volume_forecast_buckets(fc, monthly, round_steps=course is None).where(pick),
             "history": SR.tail(monthly, [], C.CHART_MONTHS, "month").select(
                 S.month_label("month").alias("period"), F.round("y", 1).alias("applicants"))}
+
+
+def completion(spark: SparkSession, learners: DataFrame, course: str, source: str) -> dict[str, DataFrame]:
+    """POST /predict/completion (R12 + R13) for one course.
+
+    ``learners`` is the learner table, ``source`` names it for the saved
+    model (trained once, then loaded).  Returns the representative profile,
+    the workforce summary and distributions, the ranked sites with
+    participation and evidence (left joins with defaults), and the top-1
+    explanation with its historical blocks.
+    """
+    from planwell.operators import ml as ML
+    validate_member(learners, "course", course)
+    base = checkpoint(ML.clean_features(learners))
+    model, _ = ML.train_or_load(spark, base, source)
+    one = base.where(F.col("course") == course)
+    profile = ST.representative_profile(one)
+    ranked = ML.rank_sites(ML.score(model, ML.candidates(profile, base.select("site").distinct())))
+    ev = ST.site_evidence(one)
+    recs = ranked.join(ev, ["course", "site"], "left").select(
+        "rank", "site", "completion_probability", "confidence_level",
+        F.coalesce("historical_applicant_count", F.lit(0)).alias("historical_applicants"),
+        F.coalesce("historical_participation_percentage", F.lit(0.0)).alias("historical_participation_percentage"),
+        F.coalesce("data_reliability", F.lit(C.RELIABILITY_LIMITED)).alias("data_reliability"),
+        "historical_completion_percentage", "historical_dropout_percentage")
+    top = ranked.where(F.col("rank") == 1).join(ST.completion_rates(one), ["course", "site"], "left")
+    return {"profile": profile, "workforce": ST.workforce_summary(one),
+            "workforce_distributions": ST.workforce_profile(one),
+            "recommendations": recs.orderBy("rank"), "explanation": top}

@@ -93,3 +93,16 @@ def test_applicant_volume_per_course_uses_unrounded_steps(spark, vol):
     assert out["buckets"].count() == 1 and out["history"].count() <= 18
     with pytest.raises(api.UnknownPeriodError):
         api.applicant_volume(vol, "next_week")
+
+
+def test_completion_for_one_course(spark):
+    lr = T.learners(spark, SF_SMALL)
+    course = lr.select("course").orderBy("course").first()[0]
+    out = api.completion(spark, lr, course, f"api-test:{SF_SMALL}")
+    n_sites = lr.select("site").distinct().count()
+    recs = out["recommendations"].collect()
+    assert len(recs) == n_sites and [r["rank"] for r in recs] == list(range(1, n_sites + 1))
+    assert all(0.0 <= r.completion_probability <= 100.0 for r in recs)
+    assert out["explanation"].count() == 1 and out["profile"].first().course == course
+    with pytest.raises(api.UnknownMemberError):
+        api.completion(spark, lr, "Brand#999", "x")
