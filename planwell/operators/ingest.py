@@ -10,8 +10,7 @@ rows have no arrival order.
 
 from __future__ import annotations
 
-import json
-import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -160,39 +159,46 @@ def retrain_decision(new_days, manual: bool = False, sync_type: str = "increment
 # ---------------------------------------------------------------------------
 
 def write_version(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
-    """Write ``df`` as a new immutable version under ``root`` and switch the pointer after success.
-
-    The pointer is a small JSON file replaced atomically (write temp, rename),
-    so readers see either the old or the new version, never a partial one,
-    and a job that dies mid-write leaves the current version untouched.
-    Rewriting a table that is being read is safe: the new version never
-    overwrites the input path.
+    """Write ``df`` as a new immutable version under ``root``, then publish a pointer to it.
+
+    Everything goes through Spark's writers, so ``root`` may be any
+    Hadoop-compatible store (HDFS, object stores, a shared mount).  The data
+    lands in ``v_<version>``; only after that write has committed is a
+    one-row pointer written to ``_pointers/p_<version>`` (append-only, never
+    overwritten).  Readers take the newest committed pointer, so they see
+    either the old or the new version, never a partial one, and a job that
+    dies mid-write leaves the current version untouched.  Rewriting a table
+    that is being read is safe: a new version never overwrites the input.
     """
-    version = uuid.uuid4().hex
-    path = os.path.join(root, f"v_{version}")
+    spark = df.sparkSession
+    version = f"{int(time.time() * 1000):013d}_{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/v_{version}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    os.makedirs(root, exist_ok=True)
-    tmp = os.path.join(root, f".current.{version}.tmp")
-    with open(tmp, "w", encoding="utf-8") as fh:
-        json.dump({"current": f"v_{version}"}, fh)
-    os.replace(tmp, os.path.join(root, "current.json"))
+    pointer = spark.createDataFrame([(version, path)], POINTER_SCHEMA)
+    pointer.coalesce(1).write.mode("errorifexists").json(f"{root.rstrip('/')}/_pointers/p_{version}")
     return path
 
 
-def current_path(root: str) -> str | None:
-    pointer = os.path.join(root, "current.json")
-    if not os.path.exists(pointer):
+POINTER_SCHEMA = "version string, path string"
+
+
+def current_path(spark: SparkSession, root: str) -> str | None:
+    """Path of the newest committed version under ``root`` (None when there is none)."""
+    try:
+        ptr = (spark.read.schema(POINTER_SCHEMA).option("recursiveFileLookup", "true")
+               .json(f"{root.rstrip('/')}/_pointers"))
+        row = ptr.orderBy(F.desc("version")).limit(1).collect()
+    except Exception:  # noqa: BLE001 - no pointer folder yet
         return None
-    with open(pointer, encoding="utf-8") as fh:
-        return os.path.join(root, json.load(fh)["current"])
+    return row[0].path if row else None
 
 
 def read_current(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
     """(re)read the current version of a versioned table; None if there is none."""
-    path = current_path(root)
+    path = current_path(spark, root)
     if path is None:
         return None
     reader = spark.read.schema(schema) if schema is not None else spark.read
