@@ -49,8 +49,9 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
 
 
 def with_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
-    # the weight table has one row per class, so the join build side is bounded by the class count
-    return df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)
+    # one row per class: AQE sees its real size at run time and broadcasts it
+    # when small; no hint, since the class count is not bounded by construction
+    return df.join(class_weights(df, label).select(label, "weight"), label)
 
 
 def stratified_split(df: DataFrame, id_col: str = "record_id", label: str = LABEL,
@@ -68,8 +69,9 @@ def stratified_split(df: DataFrame, id_col: str = "record_id", label: str = LABE
     # class boundary: the bucket where the running count first reaches the test size
     bound = per.where((F.col("_before") < F.col("_ntest")) & (F.col("_cum") >= F.col("_ntest"))) \
         .select(label, F.col("_b").alias("_bb"), F.col("_before").alias("_off"), "_ntest")
-    x = x.join(F.broadcast(bound.select(label, "_bb")), label, "left")
-    inside = x.where(F.col("_b") == F.col("_bb")).join(F.broadcast(bound.select(label, "_off", "_ntest")), label)
+    # ``bound`` has one row per class; AQE turns these joins into broadcasts at run time
+    x = x.join(bound.select(label, "_bb"), label, "left")
+    inside = x.where(F.col("_b") == F.col("_bb")).join(bound.select(label, "_off", "_ntest"), label)
     w = Window.partitionBy(label).orderBy("_h", id_col)
     inside = inside.withColumn("is_test", F.col("_off") + F.row_number().over(w) <= F.col("_ntest")) \
         .drop("_off", "_ntest")
