@@ -49,39 +49,40 @@ def grid(denominator: int = C.GRID_DENOMINATOR) -> tuple[np.ndarray, np.ndarray]
     return phi[order], theta[order]
 
 
-def css_scan(y: np.ndarray, phi: np.ndarray, theta: np.ndarray):
-    """Residuals and running SSE of every grid point after every difference.
+def css_scan(y: np.ndarray, phi: np.ndarray, theta: np.ndarray, start_k: int = 0):
+    """One causal pass over the differences for every grid point at once.
 
-    Returns ``d`` (n-1 differences, NaN where a point is missing),
-    ``E`` and ``S`` of shape (n-1, G), and ``dlag`` (the lag used after
-    each step, 0 after a gap).
+    Memory is O(grid): only the running residuals and SSEs are kept, and for
+    every difference index k >= ``start_k`` the best grid point of the prefix
+    ending there is recorded (the grid is in tie-break order, so ``argmin``
+    returning the first minimum applies the tie rule).
+
+    Returns ``dlag`` (differences, 0 where a point is missing) and, per
+    recorded k, the best index, its SSE and its residual.
     """
     d = y[1:] - y[:-1]
     m, g = len(d), len(phi)
-    E = np.empty((m, g))
-    S = np.empty((m, g))
-    e_prev = np.zeros(g)
+    e = np.zeros(g)
     s = np.zeros(g)
     d_prev = 0.0
+    n_rec = max(0, m - start_k)
+    best = np.empty(n_rec, dtype=np.int64)
+    best_s = np.empty(n_rec)
+    best_e = np.empty(n_rec)
     for k in range(m):
         dk = d[k]
         if np.isnan(dk):
             e = np.zeros(g)
             d_prev = 0.0
         else:
-            e = dk - phi * d_prev - theta * e_prev
+            e = dk - phi * d_prev - theta * e
             s = s + e * e
             d_prev = dk
-        E[k] = e
-        S[k] = s
-        e_prev = e
+        if k >= start_k:
+            b = int(np.argmin(s))
+            best[k - start_k], best_s[k - start_k], best_e[k - start_k] = b, s[b], e[b]
     dlag = np.where(np.isnan(d), 0.0, d)
-    return d, E, S, dlag
-
-
-def best_index(S: np.ndarray) -> np.ndarray:
-    """Index of the best grid point for every prefix (grid is in tie-break order)."""
-    return np.argmin(S, axis=1)
+    return dlag, best, best_s, best_e
 
 
 def fit_series(y: np.ndarray, denominator: int = C.GRID_DENOMINATOR) -> dict | None:
@@ -90,14 +91,13 @@ def fit_series(y: np.ndarray, denominator: int = C.GRID_DENOMINATOR) -> dict | N
     if len(y) < MIN_POINTS:
         return None
     phi, theta = grid(denominator)
-    d, E, S, dlag = css_scan(y, phi, theta)
-    k = len(d) - 1
-    b = int(np.argmin(S[k]))
+    dlag, best, best_s, best_e = css_scan(y, phi, theta, start_k=len(y) - 2)
+    b = int(best[0])
     observed = y[~np.isnan(y)]
     return {
-        "phi": float(phi[b]), "theta": float(theta[b]), "sse": float(S[k, b]),
+        "phi": float(phi[b]), "theta": float(theta[b]), "sse": float(best_s[0]),
         "last_y": float(observed[-1]) if len(observed) else 0.0,
-        "last_d": float(dlag[k]), "last_e": float(E[k, b]),
+        "last_d": float(dlag[-1]), "last_e": float(best_e[0]),
     }
 
 
@@ -191,14 +191,13 @@ def walk_forward(series: DataFrame, keys: list[str], period: str = "week",
         split = max(1, min(int(np.floor(n * train_ratio)), n - 1))
         if split < min_training or split < MIN_POINTS:
             return pd.DataFrame(columns=names)
-        d, E, S, dlag = css_scan(y, phi_g, theta_g)
         ts = np.arange(split, n)
         k = ts - 2                       # last difference inside prefix [0, t)
-        b = np.argmin(S[k], axis=1)
+        dlag, b, _, e_best = css_scan(y[: n - 1], phi_g, theta_g, start_k=split - 2)
         ph, th = phi_g[b], theta_g[b]
         # last observed value of each prefix
         last_obs = pd.Series(y).ffill().to_numpy()
-        pred = last_obs[ts - 1] + (ph * dlag[k] + th * E[k, b])
+        pred = last_obs[ts - 1] + (ph * dlag[k] + th * e_best)
         out = pd.DataFrame({"t": ts.astype(np.int32), period: pdf[period].to_numpy()[ts],
                             "actual": y[ts], "predicted": np.maximum(0.0, pred),
                             "phi": ph, "theta": th})
