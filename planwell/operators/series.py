@@ -94,9 +94,16 @@ def resample(daily: DataFrame, grain: str, keys: list[str] | None = None,
     return regularise(obs, keys, grain, grain, fill=fill)
 
 
-def weekly_series(daily: DataFrame, cutoff: str = C.DEFAULT_CUTOFF) -> DataFrame:
-    """A2: weekly series per key up to the cutoff (zero-filled, first/last week may be partial)."""
-    return resample(daily, "week", ["series_key"], cutoff=cutoff)
+def weekly_series(daily: DataFrame, cutoff: str = C.DEFAULT_CUTOFF, drop_partial_weeks: bool = False) -> DataFrame:
+    """A2: weekly series per key up to the cutoff (zero-filled).
+
+    By default the last week may be partial, as in the service (B2): a
+    cutoff on a Wednesday leaves a week labelled by the following Sunday
+    that holds only Monday-Wednesday.  ``drop_partial_weeks`` drops weeks
+    that end after the cutoff.
+    """
+    out = resample(daily, "week", ["series_key"], cutoff=cutoff)
+    return out.where(F.col("week") <= F.lit(cutoff).cast("date")) if drop_partial_weeks else out
 
 
 def weekly_total(daily: DataFrame, cutoff: str = C.DEFAULT_CUTOFF) -> DataFrame:
