@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from planwell import config as C
 from planwell.operators import stats as ST
 from planwell.plans import oracle as O
-from planwell.plans.catalog import W, daily, register
+from planwell.plans.catalog import daily, register
 from planwell.sources import tables as T
 
 LEARN = O.VIEWS["learners"]
