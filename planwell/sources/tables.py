@@ -178,3 +178,33 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").cast("int").alias("label"),
         score.alias("score"),
     ).withColumn("pred", (F.col("score") >= F.lit(0.25)).cast("int"))
+
+
+# Ingest payload (S9): header fields plus an array of daily records.
+PAYLOAD_SCHEMA = T.StructType([
+    T.StructField("source", T.StringType()),
+    T.StructField("data_version", T.StringType()),
+    T.StructField("sync_type", T.StringType()),
+    T.StructField("date_range", T.StructType([
+        T.StructField("start_date", T.StringType()), T.StructField("end_date", T.StringType())])),
+    T.StructField("daily_volumes", T.ArrayType(T.StructType([
+        T.StructField("date", T.StringType()), T.StructField("course", T.StringType()),
+        T.StructField("applicant_count", T.LongType())]))),
+    T.StructField("manual_retrain", T.BooleanType()),
+])
+
+
+def ingest_payload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Read batch payload documents (multi-line JSON) with an explicit schema.
+
+    Returns (header, records).  ``records`` keeps each record's position in
+    its array as ``idx`` (``posexplode``), which is what error messages cite;
+    the payload's ``source`` travels with every record.
+    """
+    raw = spark.read.schema(PAYLOAD_SCHEMA).option("multiLine", True).json(path)
+    header = raw.select("source", F.coalesce("data_version", F.lit("1.0")).alias("data_version"), "sync_type",
+                        "date_range.start_date", "date_range.end_date",
+                        F.coalesce("manual_retrain", F.lit(False)).alias("manual_retrain"))
+    records = raw.select("source", F.posexplode("daily_volumes").alias("idx", "r")).select(
+        "source", F.col("idx").cast("long").alias("idx"), "r.date", "r.course", "r.applicant_count")
+    return header, records

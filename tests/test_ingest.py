@@ -67,3 +67,25 @@ def test_retrain_decision(spark):
         assert [r[0] for r in df.select(should).collect()] == expect
     _, _, reason = IG.retrain_decision(F.col("new_days"))
     assert df.select(reason).first()[0] == "No retraining needed (29 new days < 30 threshold)"
+
+
+def test_json_payload_keeps_array_positions(spark):
+    import json
+    import os
+    from planwell.sources.tables import ingest_payload
+    root = tempfile.mkdtemp(prefix="planwell-payload-")
+    doc = {"source": "sync", "sync_type": "incremental",
+           "date_range": {"start_date": "2026-01-01", "end_date": "2026-01-02"},
+           "daily_volumes": [{"date": "2026-01-01", "course": "A", "applicant_count": 3},
+                             {"date": "invalid-date", "course": "A", "applicant_count": 1},
+                             {"date": "2026-01-02", "course": "Z", "applicant_count": -1}]}
+    with open(os.path.join(root, "batch.json"), "w", encoding="utf-8") as fh:
+        json.dump(doc, fh, indent=2)
+    header, records = ingest_payload(spark, root)
+    h = header.first()
+    assert (h.sync_type, h.start_date, h.data_version, h.manual_retrain) == ("incremental", "2026-01-01", "1.0", False)
+    assert [r.idx for r in records.orderBy("idx").collect()] == [0, 1, 2]
+    known = spark.createDataFrame([("A",)], "series_key string")
+    errs = sorted((e.field, e.rule) for e in IG.validate_records(records.drop("source"), known).collect())
+    assert errs == [("daily_volumes[1].date", "date"), ("daily_volumes[2].applicant_count", "applicant_count"),
+                    ("daily_volumes[2].course", "course")]
