@@ -208,3 +208,31 @@ def ingest_payload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     records = raw.select("source", F.posexplode("daily_volumes").alias("idx", "r")).select(
         "source", F.col("idx").cast("long").alias("idx"), "r.date", "r.course", "r.applicant_count")
     return header, records
+
+
+# CSV layouts of the service's own files (header names as they appear in those files).
+VOLUME_CSV_COLUMNS = {"date": "date", "course": "series_key", "applicant_count": "cnt"}
+LEARNER_CSV_COLUMNS = {
+    "barangay": "site", "course_applied": "course", "age": "age", "sex": "sex",
+    "educational_attainment": "education", "employment_status": "employment",
+    "current_skill": "skill", "desired_career": "career",
+    "learner_classification": "classification", "training_outcome": "outcome",
+}
+
+
+def read_volume_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Daily volume CSV -> (date, series_key, cnt); required columns checked.
+
+    Columns are read as text (no schema inference) and parsed explicitly.
+    """
+    raw = require_columns(spark.read.option("header", True).csv(path), list(VOLUME_CSV_COLUMNS))
+    return raw.select(F.to_date("date", "yyyy-MM-dd").alias("date"), F.col("course").alias("series_key"),
+                      F.col("applicant_count").cast("long").alias("cnt"))
+
+
+def read_learners_csv(spark: SparkSession, path: str) -> DataFrame:
+    """S3: learner CSV -> the learner schema; ``record_id`` is a per-row id assigned at read time."""
+    raw = require_columns(spark.read.option("header", True).csv(path), list(LEARNER_CSV_COLUMNS))
+    cols = [F.col(src).cast("int").alias(dst) if dst == "age" else F.col(src).alias(dst)
+            for src, dst in LEARNER_CSV_COLUMNS.items()]
+    return raw.select(F.monotonically_increasing_id().alias("record_id"), *cols)

@@ -89,3 +89,27 @@ def test_json_payload_keeps_array_positions(spark):
     errs = sorted((e.field, e.rule) for e in IG.validate_records(records.drop("source"), known).collect())
     assert errs == [("daily_volumes[1].date", "date"), ("daily_volumes[2].applicant_count", "applicant_count"),
                     ("daily_volumes[2].course", "course")]
+
+
+def test_csv_sources_map_columns_and_check_headers(spark):
+    import os
+
+    import pytest as _pytest
+    from planwell.sources import tables as TB
+    root = tempfile.mkdtemp(prefix="planwell-csv-")
+    vol = TB.ingest_batch(spark, "/root/testdata/sf0.001")
+    (vol.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("series_key").alias("course"),
+                F.col("cnt").alias("applicant_count"))
+        .coalesce(1).write.option("header", True).csv(os.path.join(root, "volume")))
+    back = TB.read_volume_csv(spark, os.path.join(root, "volume"))
+    assert back.exceptAll(vol.select("date", "series_key", F.col("cnt").cast("long"))).count() == 0
+    lr = TB.learners(spark, "/root/testdata/sf0.001")
+    inv = {v: k for k, v in TB.LEARNER_CSV_COLUMNS.items()}
+    lr.select(*[F.col(c).alias(inv[c]) for c in inv]).coalesce(1).write.option("header", True).csv(
+        os.path.join(root, "learners"))
+    got = TB.read_learners_csv(spark, os.path.join(root, "learners"))
+    assert got.count() == lr.count() and got.select("record_id").distinct().count() == lr.count()
+    assert got.drop("record_id").exceptAll(lr.drop("record_id")).count() == 0
+    vol.select("date").coalesce(1).write.option("header", True).csv(os.path.join(root, "bad"))
+    with _pytest.raises(ValueError):
+        TB.read_volume_csv(spark, os.path.join(root, "bad"))
