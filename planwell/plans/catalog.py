@@ -264,7 +264,11 @@ COURSE_FORECASTS_SQL = f"""SELECT s.series_key AS course,
 
 @register("course_forecasts", W(VOL, WEEKLY, FIT, FCAST, SUMS, TAILS) + COURSE_FORECASTS_SQL)
 def q_course_forecasts(spark, sf):
-    return FC.course_forecasts(daily(spark, sf), weekly(spark, sf), forecast_table(spark, sf))
+    # totals need every date, the fit only dates up to the cutoff: reading the
+    # materialised daily table serves both from one scan of the raw rows
+    d = daily_table(spark, sf)
+    wk = SR.weekly_series(d, CUT)
+    return FC.course_forecasts(d, wk, FC.weekly_forecast(FC.params(wk)))
 
 
 @register("forecast_buckets", W(VOL, WEEKLY, FIT, FCAST) + """SELECT series_key,
