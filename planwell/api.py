@@ -259,11 +259,11 @@ def completion(spark: SparkSession, learners: DataFrame, course: str, source: st
     """
     from planwell.operators import ml as ML
     validate_member(learners, "course", course)
-    base = checkpoint(ML.clean_features(learners))
-    model, _ = ML.train_or_load(spark, base, source)
+    ctx = ML.ModelContext(spark, learners, source)
+    base, model = ctx.learners, ctx.model
     one = base.where(F.col("course") == course)
     profile = ST.representative_profile(one)
-    ranked = ML.rank_sites(ML.score(model, ML.candidates(profile, base.select("site").distinct())))
+    ranked = ctx.ranking(profile)
     ev = ST.site_evidence(one)
     recs = ranked.join(ev, ["course", "site"], "left").select(
         "rank", "site", "completion_probability", "confidence_level",
@@ -275,3 +275,25 @@ def completion(spark: SparkSession, learners: DataFrame, course: str, source: st
     return {"profile": profile, "workforce": ST.workforce_summary(one),
             "workforce_distributions": ST.workforce_profile(one),
             "recommendations": recs.orderBy("rank"), "explanation": top}
+
+
+MODEL_ARTIFACTS = ("metrics", "importance", "metadata")
+
+
+def save_model_artifacts(spark: SparkSession, learners: DataFrame, source: str, root: str) -> dict[str, str]:
+    """Validation metrics, feature importance and metadata beside the model, as versioned tables."""
+    from planwell.operators import ml as ML
+    ctx = ML.ModelContext(spark, learners, source)
+    tables = {"metrics": ctx.metrics(), "importance": ctx.importance(), "metadata": ctx.metadata()}
+    return {name: IG.write_version(df, f"{root.rstrip('/')}/{name}") for name, df in tables.items()}
+
+
+def load_model_artifacts(spark: SparkSession, root: str) -> dict[str, DataFrame | None]:
+    """The saved artifacts; a missing one reads as None (as a missing file does in the service)."""
+    return {name: IG.read_current(spark, f"{root.rstrip('/')}/{name}") for name in MODEL_ARTIFACTS}
+
+
+def top_features(artifacts: dict[str, DataFrame | None], limit: int = 5) -> DataFrame | None:
+    """K3: display names of the ``limit`` most important features (None without saved importances)."""
+    imp = artifacts.get("importance")
+    return None if imp is None else imp.where(F.col("rank") <= limit).select("rank", "display_name")

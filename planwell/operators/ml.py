@@ -168,3 +168,65 @@ def feature_importance(model: PipelineModel) -> list[tuple[str, str, float]]:
     imp = model.stages[-1].featureImportances.toArray()
     names = [*C.CATEGORICAL_COLUMNS, "age"]
     return [(n, C.FEATURE_DISPLAY_NAMES[n], round(float(v), 6)) for n, v in zip(names, imp)]
+
+
+class ModelContext:
+    """One model build: learner rows materialised once, the exact split, the (loaded or trained) model.
+
+    ``source`` names the learner table; the model is saved under that name in
+    the shared checkpoint folder and loaded on later builds.
+    """
+
+    def __init__(self, spark: SparkSession, learners: DataFrame, source: str):
+        from planwell.session import checkpoint
+        self.spark = spark
+        self.learners = checkpoint(clean_features(learners))
+        self.model, self.split = train_or_load(spark, self.learners, source)
+
+    def ranking(self, profiles: DataFrame | None = None) -> DataFrame:
+        """L6 + W7: representative profile of every course (or the given ones) x every site, ranked."""
+        from planwell.operators import stats as ST
+        profiles = profiles if profiles is not None else ST.representative_profile(self.learners)
+        sites = self.learners.select("site").distinct()
+        return rank_sites(score(self.model, candidates(profiles, sites)))
+
+    def winners(self) -> DataFrame:
+        return self.ranking().where(F.col("rank") == 1).drop("rank")
+
+    def test_predictions(self) -> DataFrame:
+        """Held-out predictions: label (1 = Graduate), pred, score = P(Graduate), materialised once."""
+        from planwell.session import checkpoint
+        gi = graduate_index(self.model)
+        out = self.model.transform(self.split.where(F.col("is_test")))
+        return checkpoint(out.select(
+            (F.col("label") == gi).cast("int").alias("label"),
+            (F.col("prediction") == gi).cast("int").alias("pred"),
+            vector_to_array("probability")[gi].alias("score")))
+
+    def metrics(self) -> DataFrame:
+        """Classification report and ROC-AUC of the held-out rows."""
+        from planwell.operators import stats as ST
+        tp = self.test_predictions()
+        auc = ST.roc_auc(tp).select(F.lit("summary").alias("section"), F.lit(None).cast("string").alias("class"),
+                                    F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
+        return ST.classification_report(tp).unionByName(auc)
+
+    def importance(self) -> DataFrame:
+        """Features ranked by importance."""
+        df = self.spark.createDataFrame(feature_importance(self.model),
+                                        "feature string, display_name string, importance double")
+        return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), F.asc("feature"))))
+
+    def metadata(self) -> DataFrame:
+        """One metadata row beside the model."""
+        return self.split.agg(
+            F.count(F.lit(1)).alias("n_records"),
+            F.count_if(~F.col("is_test")).alias("n_train"),
+            F.count_if(F.col("is_test")).alias("n_test"),
+            F.countDistinct("site").alias("n_sites"),
+            F.countDistinct("course").alias("n_courses"),
+            F.count_if(F.col("outcome") == C.GRADUATE_LABEL).alias("n_graduate"),
+            F.count_if(F.col("outcome") == C.DROPOUT_LABEL).alias("n_dropout"),
+            F.lit(len(C.FEATURE_COLUMNS)).alias("n_features"),
+            F.lit(C.FOREST_TREES).alias("num_trees"), F.lit(C.FOREST_MAX_DEPTH).alias("max_depth"),
+            F.lit(C.FOREST_MIN_LEAF).alias("min_instances_per_node"), F.lit(C.FOREST_SEED).alias("seed"))

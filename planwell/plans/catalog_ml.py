@@ -7,7 +7,7 @@ and so do the metric operators on the fixed prediction table (catalog_stats).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+
 from pyspark.sql import functions as F
 
 from planwell import config as C
@@ -15,7 +15,6 @@ from planwell.operators import ml as ML, stats as ST
 from planwell.plans import forecasting as FC
 from planwell.plans.catalog import register, weekly
 from planwell.plans.catalog_stats import LEARN
-from planwell.session import checkpoint
 from planwell.sources import tables as T
 
 
@@ -42,32 +41,9 @@ def q_class_weights(spark, sf):
     return ML.class_weights(T.learners(spark, sf))
 
 
-class Context:
-    """One model build per query: the learner rows materialised once, the split, the model."""
-
-    def __init__(self, spark, sf):
-        self.spark, self.sf = spark, sf
-        self.learners = checkpoint(ML.clean_features(T.learners(spark, sf)))
-        self.model, self.split = ML.train_or_load(spark, self.learners, f"learners:{sf}")
-
-    def ranking(self) -> DataFrame:
-        """L6 + W7 for every course: representative profile x every site, scored and ranked."""
-        profiles = ST.representative_profile(self.learners)
-        sites = self.learners.select("site").distinct()
-        return ML.rank_sites(ML.score(self.model, ML.candidates(profiles, sites)))
-
-    def winners(self) -> DataFrame:
-        return self.ranking().where(F.col("rank") == 1).drop("rank")
-
-    def test_predictions(self) -> DataFrame:
-        """Held-out predictions: label (1 = Graduate), pred, score = P(Graduate)."""
-        gi = ML.graduate_index(self.model)
-        out = self.model.transform(self.split.where(F.col("is_test")))
-        # three narrow columns of the held-out rows, materialised once for the several metrics
-        return checkpoint(out.select(
-            (F.col("label") == gi).cast("int").alias("label"),
-            (F.col("prediction") == gi).cast("int").alias("pred"),
-            ML.vector_to_array("probability")[gi].alias("score")))
+def Context(spark, sf) -> ML.ModelContext:  # noqa: N802 - reads like the class it builds
+    """The model context of the learner view derived from the tables in ``sf``."""
+    return ML.ModelContext(spark, T.learners(spark, sf), f"learners:{sf}")
 
 
 @register("site_ranking")
@@ -84,36 +60,19 @@ def q_recommend_all(spark, sf):
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     """Features ranked by forest importance."""
-    rows = ML.feature_importance(Context(spark, sf).model)
-    df = spark.createDataFrame(rows, "feature string, display_name string, importance double")
-    w = Window.orderBy(F.desc("importance"), F.asc("feature"))
-    return df.withColumn("rank", F.row_number().over(w))
+    return Context(spark, sf).importance()
 
 
 @register("model_metrics")
 def q_model_metrics(spark, sf):
     """Classification report and ROC-AUC of the held-out part (A26 + A27)."""
-    tp = Context(spark, sf).test_predictions()
-    auc = ST.roc_auc(tp).select(F.lit("summary").alias("section"), F.lit(None).cast("string").alias("class"),
-                                F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
-    return ST.classification_report(tp).unionByName(auc)
+    return Context(spark, sf).metrics()
 
 
 @register("model_metadata")
 def q_model_metadata(spark, sf):
     """One metadata row beside the model."""
-    split = Context(spark, sf).split
-    return split.agg(
-        F.count(F.lit(1)).alias("n_records"),
-        F.count_if(~F.col("is_test")).alias("n_train"),
-        F.count_if(F.col("is_test")).alias("n_test"),
-        F.countDistinct("site").alias("n_sites"),
-        F.countDistinct("course").alias("n_courses"),
-        F.count_if(F.col("outcome") == C.GRADUATE_LABEL).alias("n_graduate"),
-        F.count_if(F.col("outcome") == C.DROPOUT_LABEL).alias("n_dropout"),
-        F.lit(len(C.FEATURE_COLUMNS)).alias("n_features"),
-        F.lit(C.FOREST_TREES).alias("num_trees"), F.lit(C.FOREST_MAX_DEPTH).alias("max_depth"),
-        F.lit(C.FOREST_MIN_LEAF).alias("min_instances_per_node"), F.lit(C.FOREST_SEED).alias("seed"))
+    return Context(spark, sf).metadata()
 
 
 @register("recommend_gini")

@@ -106,3 +106,16 @@ def test_completion_for_one_course(spark):
     assert out["explanation"].count() == 1 and out["profile"].first().course == course
     with pytest.raises(api.UnknownMemberError):
         api.completion(spark, lr, "Brand#999", "x")
+
+
+def test_model_artifacts_round_trip(spark):
+    root = tempfile.mkdtemp(prefix="planwell-artifacts-")
+    assert api.load_model_artifacts(spark, root) == {"metrics": None, "importance": None, "metadata": None}
+    lr = T.learners(spark, SF_SMALL)
+    api.save_model_artifacts(spark, lr, f"artifact-test:{SF_SMALL}", root)
+    art = api.load_model_artifacts(spark, root)
+    assert art["metadata"].first().n_records == lr.count()
+    assert art["importance"].count() == 9
+    names = {r.metric for r in art["metrics"].collect()}
+    assert {"accuracy", "roc_auc", "macro_f1", "precision"} <= names
+    assert api.top_features(art).count() == 5
