@@ -171,7 +171,10 @@ def site_profile(learners: DataFrame, site: str) -> dict[str, DataFrame]:
     dims = ["sex", "education", "employment", "classification", "course", "career", "skill"]
     return {
         "profile": one.groupBy("site").agg(
-            F.count(F.lit(1)).alias("total_applicants"), F.round(F.avg("age"), 1).alias("average_age"),
+            F.count(F.lit(1)).alias("total_applicants"),
+            F.count_if(F.col("sex") == C.MALE_LABEL).alias("male_count"),
+            F.count_if(F.col("sex") == C.FEMALE_LABEL).alias("female_count"),
+            F.round(F.avg("age"), 1).alias("average_age"),
             ST.mode_of("course").alias("most_applied_course")),
         "distributions": ST.distribution(one, dims, {"course": 8, "career": 8, "skill": 8}),
         "age_distribution": ST.age_distribution(one),

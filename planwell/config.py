@@ -60,6 +60,8 @@ MIN_HISTORICAL_APPLICANTS_FOR_RELIABILITY = 20
 RELIABILITY_LIMITED = "Limited historical data"
 RELIABILITY_RELIABLE = "Reliable"
 SUPPORTING_EVIDENCE_LABEL = "Historical Supporting Evidence"
+MALE_LABEL = "Male"
+FEMALE_LABEL = "Female"
 GRADUATE_LABEL = "Graduate"
 DROPOUT_LABEL = "Dropout"
 CONFIDENCE_THRESHOLDS = [

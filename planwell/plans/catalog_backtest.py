@@ -80,6 +80,23 @@ def q_forecast_metrics(spark, sf):
     return ST.forecast_metrics(walk_forward_keys(spark, sf), ["series_key"])
 
 
+def split_ranges_sql(name: str, series: str, keys: list[str]) -> str:
+    """``{name}``(keys, split, training_period, testing_period) like ``series.chrono_split``."""
+    kk = "".join(f"{k}, " for k in keys)
+    grp = f"GROUP BY {', '.join(keys)}" if keys else ""
+    on = " AND ".join(f"w.{k} = s.{k}" for k in keys) or "TRUE"
+    sel = "".join(f"s.{k}, " for k in keys)
+    return f"""{name}_s AS (SELECT {kk}count(*) AS n, min(week) AS first_period, max(week) AS last_period,
+  CASE WHEN count(*) >= 2 THEN greatest(1, least(CAST(floor(count(*) * 0.8) AS INTEGER), CAST(count(*) - 1 AS INTEGER))) END AS split
+  FROM {series} {grp}),
+{name} AS (SELECT {sel}s.split,
+  CASE WHEN max(w.week) FILTER (WHERE w.t = s.split - 1) IS NULL THEN 'N/A'
+       ELSE strftime(min(s.first_period), '%Y-%m-%d') || ' to ' || strftime(max(w.week) FILTER (WHERE w.t = s.split - 1), '%Y-%m-%d') END AS training_period,
+  CASE WHEN max(w.week) FILTER (WHERE w.t = s.split) IS NULL THEN 'N/A'
+       ELSE strftime(max(w.week) FILTER (WHERE w.t = s.split), '%Y-%m-%d') || ' to ' || strftime(max(s.last_period), '%Y-%m-%d') END AS testing_period
+  FROM {series} w JOIN {name}_s s ON {on} GROUP BY {sel}s.split)"""
+
+
 MAPE_CLASS_SQL = """CASE WHEN mape IS NULL THEN 'Needs Improvement' WHEN mape < 5.0 THEN 'Excellent'
   WHEN mape < 10.0 THEN 'Good' WHEN mape < 20.0 THEN 'Acceptable' ELSE 'Needs Improvement' END"""
 
@@ -87,12 +104,12 @@ MAPE_CLASS_SQL = """CASE WHEN mape IS NULL THEN 'Needs Improvement' WHEN mape <
 @register("backtest_report", W(VOL, WEEKLY, WTOTAL, WF, WFT) + f""",
 km AS ({metrics_sql("wf", ["series_key"])}),
 om AS ({metrics_sql("wft", [])}),
-sp AS (SELECT series_key, count(*) AS n,
-  greatest(1, least(CAST(floor(count(*) * 0.8) AS INTEGER), CAST(count(*) - 1 AS INTEGER))) AS split
-  FROM weekly GROUP BY series_key)
+{split_ranges_sql("sp", "weekly", ["series_key"])},
+{split_ranges_sql("spt", "wtotal", [])}
 SELECT 'overall' AS scope, NULL AS series_key, mape, mae, rmse, CAST(test_periods AS BIGINT) AS test_periods,
   CAST(mape_periods AS BIGINT) AS mape_periods, {MAPE_CLASS_SQL} AS assessment, 'evaluated' AS status,
-  CAST(NULL AS VARCHAR) AS reason
+  CAST(NULL AS VARCHAR) AS reason, (SELECT training_period FROM spt) AS training_period,
+  (SELECT testing_period FROM spt) AS testing_period
 FROM om
 UNION ALL
 SELECT 'series', sp.series_key, km.mape, km.mae, km.rmse, CAST(coalesce(km.test_periods, 0) AS BIGINT),
@@ -103,19 +120,24 @@ SELECT 'series', sp.series_key, km.mape, km.mae, km.rmse, CAST(coalesce(km.test_
   CASE WHEN sp.split < {C.MIN_TRAINING_PERIODS} OR km.series_key IS NULL THEN 'skipped' ELSE 'evaluated' END,
   CASE WHEN sp.split < {C.MIN_TRAINING_PERIODS}
        THEN 'Insufficient training history (' || sp.split || ' < {C.MIN_TRAINING_PERIODS} weeks).'
-       WHEN km.series_key IS NULL THEN 'No successful walk-forward forecasts were produced.' END
+       WHEN km.series_key IS NULL THEN 'No successful walk-forward forecasts were produced.' END,
+  sp.training_period, sp.testing_period
 FROM sp LEFT JOIN km ON sp.series_key = km.series_key""")
 def q_backtest_report(spark, sf):
     """M7: overall (total series fitted on its own) + every key, with skip reasons."""
-    overall = ST.forecast_metrics(walk_forward_total(spark, sf), [])
+    wt = weekly_total(spark, sf)
+    ranges = SR.chrono_split(wt, [], "week").select(F.struct("training_period", "testing_period")).scalar()
+    overall = ST.forecast_metrics(arima.walk_forward(wt, [], "week"), [])
     overall = overall.select(
         F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("series_key"),
         "mape", "mae", "rmse", F.col("test_periods").cast("long").alias("test_periods"),
         F.col("mape_periods").cast("long").alias("mape_periods"),
         S.mape_class(F.col("mape")).alias("assessment"), F.lit("evaluated").alias("status"),
-        F.lit(None).cast("string").alias("reason"))
+        F.lit(None).cast("string").alias("reason"),
+        ranges["training_period"].alias("training_period"), ranges["testing_period"].alias("testing_period"))
     km = ST.forecast_metrics(walk_forward_keys(spark, sf), ["series_key"])
-    sp = SR.chrono_split(weekly(spark, sf), ["series_key"], "week").select("series_key", "split")
+    sp = SR.chrono_split(weekly(spark, sf), ["series_key"], "week").select(
+        "series_key", "split", "training_period", "testing_period")
     j = sp.join(km, "series_key", "left")
     short = F.col("split") < C.MIN_TRAINING_PERIODS
     none = F.col("test_periods").isNull()
@@ -127,7 +149,8 @@ def q_backtest_report(spark, sf):
         F.when(short | none, F.lit("skipped")).otherwise(F.lit("evaluated")).alias("status"),
         F.when(short, F.format_string(f"Insufficient training history (%d < {C.MIN_TRAINING_PERIODS} weeks).",
                                       F.col("split")))
-        .when(none, F.lit("No successful walk-forward forecasts were produced.")).alias("reason"))
+        .when(none, F.lit("No successful walk-forward forecasts were produced.")).alias("reason"),
+        "training_period", "testing_period")
     # MAPE ascending, nulls last
     return overall.unionByName(per).orderBy(F.col("scope"), F.col("mape").asc_nulls_last())
 

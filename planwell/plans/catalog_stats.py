@@ -255,6 +255,8 @@ SITE_DIMS = ["sex", "education", "employment", "classification", "course", "care
 
 @register("site_profile", "WITH " + LEARN + """
 SELECT l.site, CAST(count(*) AS BIGINT) AS total_applicants, CAST(count(*) AS BIGINT) AS registration_event_count,
+  CAST(count(*) FILTER (WHERE sex = 'Male') AS BIGINT) AS male_count,
+  CAST(count(*) FILTER (WHERE sex = 'Female') AS BIGINT) AS female_count,
   round(avg(age), 1) AS average_age, m.course AS most_applied_course
 FROM learners l JOIN (SELECT site, course FROM (SELECT site, course, row_number() OVER (PARTITION BY site
   ORDER BY count(*) DESC, course) AS rn FROM learners GROUP BY site, course) WHERE rn = 1) m ON l.site = m.site
@@ -264,6 +266,8 @@ def q_site_profile(spark, sf):
     return lr.groupBy("site").agg(
         F.count(F.lit(1)).cast("long").alias("total_applicants"),
         F.count(F.lit(1)).cast("long").alias("registration_event_count"),
+        F.count_if(F.col("sex") == C.MALE_LABEL).cast("long").alias("male_count"),
+        F.count_if(F.col("sex") == C.FEMALE_LABEL).cast("long").alias("female_count"),
         F.round(F.avg("age"), 1).alias("average_age"),
         ST.mode_of("course").alias("most_applied_course"))
 
