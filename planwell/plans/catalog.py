@@ -18,6 +18,7 @@ from planwell.functions import scalars as S
 from planwell.operators import series as SR
 from planwell.plans import forecasting as FC
 from planwell.plans import oracle as O
+from planwell.session import checkpoint
 from planwell.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,10 +289,36 @@ def q_peak_step(spark, sf):
     return out.select("series_key", F.col("peak_step").cast("int").alias("peak_step"), "peak_value")
 
 
+# ---------------------------------------------------------------------------
+# fixture variants: a mid-week cutoff (partial last week) and the quick source
+# ---------------------------------------------------------------------------
+PARTIAL_CUT = "2000-12-28"
+
+
+@register("weekly_series_partial_week", W(VOL, O.series_cte("wp", "volume", ["series_key"], "week",
+                                                            cutoff=PARTIAL_CUT)) +
+          "SELECT series_key, week, t, y FROM wp")
+def q_weekly_series_partial_week(spark, sf):
+    """A2 / B2: a Thursday cutoff keeps the week ending Sunday 2000-12-31 with Monday-Thursday only."""
+    return SR.weekly_series(T.volume(spark, sf, until=PARTIAL_CUT), PARTIAL_CUT)
+
+
+@register("arima_params_orders", W(O.VIEWS["volume_orders"],
+                                   O.series_cte("wo", "volume_orders", ["series_key"], "week", cutoff=CUT),
+                                   O.fit_ctes("mo", "wo", ["series_key"], "week")) +
+          """SELECT series_key, phi, theta, round(sse, 4) AS sse, n_obs, last_y, last_d,
+  round(last_e, 6) AS last_e, data_start, data_end FROM mo_fit""")
+def q_arima_params_orders(spark, sf):
+    """M1 on the quick source: weekly order counts per order priority."""
+    w = SR.weekly_series(T.volume_orders(spark, sf), CUT)
+    p = FC.params(w)
+    return p.select("series_key", "phi", "theta", F.round("sse", 4).alias("sse"), "n_obs",
+                    "last_y", "last_d", F.round("last_e", 6).alias("last_e"), "data_start", "data_end")
+
+
 # registration side effects of the other catalog modules
 from planwell.plans import catalog_stats  # noqa: E402,F401
 from planwell.plans import catalog_backtest  # noqa: E402,F401
 from planwell.plans import catalog_ingest  # noqa: E402,F401
 from planwell.plans import catalog_reports  # noqa: E402,F401
 from planwell.plans import catalog_ml  # noqa: E402,F401
-from planwell.session import checkpoint
