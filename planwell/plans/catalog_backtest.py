@@ -9,7 +9,7 @@ from planwell import config as C
 from planwell.functions import scalars as S
 from planwell.operators import arima, series as SR, stats as ST
 from planwell.plans import oracle as O
-from planwell.plans.catalog import CUT, VOL, WEEKLY, WTOTAL, W, register, weekly
+from planwell.plans.catalog import CUT, VOL, WEEKLY, WTOTAL, W, daily_table, register, weekly
 from planwell.sources import tables as T
 
 TWO = ["site", "series_key"]
@@ -125,7 +125,9 @@ SELECT 'series', sp.series_key, km.mape, km.mae, km.rmse, CAST(coalesce(km.test_
 FROM sp LEFT JOIN km ON sp.series_key = km.series_key""")
 def q_backtest_report(spark, sf):
     """M7: overall (total series fitted on its own) + every key, with skip reasons."""
-    wt = weekly_total(spark, sf)
+    # keyed and total series both come from one materialised daily table (one raw scan)
+    d = daily_table(spark, sf)
+    wk, wt = SR.weekly_series(d, CUT), SR.weekly_total(d, CUT)
     ranges = SR.chrono_split(wt, [], "week").select(F.struct("training_period", "testing_period")).scalar()
     overall = ST.forecast_metrics(arima.walk_forward(wt, [], "week"), [])
     overall = overall.select(
@@ -135,8 +137,8 @@ def q_backtest_report(spark, sf):
         S.mape_class(F.col("mape")).alias("assessment"), F.lit("evaluated").alias("status"),
         F.lit(None).cast("string").alias("reason"),
         ranges["training_period"].alias("training_period"), ranges["testing_period"].alias("testing_period"))
-    km = ST.forecast_metrics(walk_forward_keys(spark, sf), ["series_key"])
-    sp = SR.chrono_split(weekly(spark, sf), ["series_key"], "week").select(
+    km = ST.forecast_metrics(arima.walk_forward(wk, ["series_key"], "week"), ["series_key"])
+    sp = SR.chrono_split(wk, ["series_key"], "week").select(
         "series_key", "split", "training_period", "testing_period")
     j = sp.join(km, "series_key", "left")
     short = F.col("split") < C.MIN_TRAINING_PERIODS
