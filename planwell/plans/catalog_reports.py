@@ -107,7 +107,8 @@ def q_forecast_charts(spark, sf):
     from pyspark.sql import Window
     d, wk, wt, _, fc = inputs(spark, sf)
     cf = FC.course_forecasts(d, wk, fc)
-    lr = T.learners(spark, sf)
+    # both learner charts read one materialised narrow projection instead of two join scans
+    lr = checkpoint(T.learners(spark, sf).select(*ORG_DIMS, "age"))
     demo = ST.distribution(lr, ORG_DIMS, {"site": 10})
     course = ST.weighted_distribution(d).select(
         F.lit("course").alias("dimension"), "label", "count", "percentage",
