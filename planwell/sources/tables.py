@@ -75,7 +75,10 @@ def daily_volume_from_events(raw: DataFrame, ts: str, key: str, until: str | Non
     ``ts < until + 1 day`` so the Parquet scan can prune on it.
     """
     if until:
-        raw = raw.where(F.col(ts) < F.date_add(F.lit(until).cast("date"), 1).cast("timestamp"))
+        # the bound takes the column's own type (TIMESTAMP or TIMESTAMP_NTZ), so the
+        # comparison means the same calendar day in any session time zone
+        bound = F.date_add(F.lit(until).cast("date"), 1).cast(raw.schema[ts].dataType)
+        raw = raw.where(F.col(ts) < bound)
     return (raw.where(F.col(ts).isNotNull() & F.col(key).isNotNull())
             .groupBy(F.to_date(ts).alias("date"), F.col(key).alias("series_key"))
             .agg(F.count(F.lit(1)).alias("cnt")))
