@@ -131,7 +131,7 @@ def outcome_expr(quantity: Column, discount: Column) -> Column:
 
 
 def learners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learner records (T2) from lineitem x part x orders x customer x nation.
+    """Learner records (T2) from (lineitem x part) x (orders x customer x nation).
 
     ``record_id`` = orderkey * 8 + linenumber is unique per line and gives the
     split a stable order.  Every foreign key matches, so inner joins keep all
@@ -145,10 +145,14 @@ def learners(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-              .join(customer, F.col("o_custkey") == customer.c_custkey)
-              .join(nation, F.col("c_nationkey") == nation.n_nationkey)
-              .join(part, F.col("l_partkey") == part.p_partkey))
+    # Join order for scale: the customer side is resolved at orders size first
+    # (orders x customer x nation), so the lineitem-sized rows are shuffled only
+    # twice (by part key, then by order key) instead of three times.
+    order_side = (orders.join(customer, orders.o_custkey == customer.c_custkey)
+                  .join(nation, F.col("c_nationkey") == nation.n_nationkey)
+                  .select("o_orderkey", "o_orderpriority", "o_orderstatus", "c_mktsegment", "n_name"))
+    line_side = li.join(part, li.l_partkey == part.p_partkey)
+    joined = line_side.join(order_side, line_side.l_orderkey == order_side.o_orderkey)
     return joined.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("record_id"),
         F.col("n_name").alias("site"),
