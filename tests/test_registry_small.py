@@ -54,3 +54,15 @@ def test_every_query_has_a_callable_and_sql_keys_are_known():
 def test_entry_runs(spark):
     df = entry(spark)
     assert df.count() > 0 and "forecasted_applicant_count" in df.columns
+
+
+def test_results_do_not_depend_on_session_time_zone(spark, con):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        for name in ["daily_volume", "weekly_series_partial_week", "upsert_volume"]:
+            df = queries()[name](spark, SF_SMALL)
+            got = canon(df.columns, [tuple(r) for r in df.collect()])
+            res = con.execute(oracle_sql()[name])
+            assert got == canon([d[0] for d in res.description], res.fetchall()), name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
