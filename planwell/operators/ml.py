@@ -80,7 +80,22 @@ def stratified_split(df: DataFrame, id_col: str = "record_id", label: str = LABE
     return inside.unionByName(outside).drop("_h", "_b", "_bb")
 
 
-def pipeline(max_bins: int = 32) -> Pipeline:
+def _memory_mb(text: str) -> int:
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    text = text.strip().lower().rstrip("b")
+    # a bare number means MiB, as in Spark's memory settings
+    return int(float(text[:-1]) * units[text[-1]]) if text[-1] in units else int(float(text))
+
+
+def forest_memory_mb(spark: SparkSession) -> int:
+    """Histogram budget of the forest, sized to the memory of one executor (the driver in
+    local mode): an eighth of it, between 256 MB (Spark's default) and 1 GB."""
+    sc = spark.sparkContext
+    key = "spark.driver.memory" if sc.master.startswith("local") else "spark.executor.memory"
+    return max(256, min(1024, _memory_mb(sc.getConf().get(key, "1g")) // 8))
+
+
+def pipeline(max_bins: int = 32, memory_mb: int = 256) -> Pipeline:
     """L1 + L4: alphabetical string indexers (nominal), assembler, weighted random forest."""
     indexer = StringIndexer(inputCols=C.CATEGORICAL_COLUMNS, outputCols=IDX,
                             stringOrderType="alphabetAsc", handleInvalid="error")
@@ -93,7 +108,7 @@ def pipeline(max_bins: int = 32) -> Pipeline:
         # execution-only knobs (the trees do not change): a larger histogram budget
         # groups more nodes per pass over the data, and cached node ids avoid
         # re-walking every tree for every row at each level
-        maxMemoryInMB=1024, cacheNodeIds=True)
+        maxMemoryInMB=memory_mb, cacheNodeIds=True)
     return Pipeline(stages=[indexer, label_ix, assembler, forest])
 
 
@@ -125,13 +140,25 @@ def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> tupl
     try:
         card = train.agg(*[F.countDistinct(c).alias(c) for c in C.CATEGORICAL_COLUMNS]).first()
         max_bins = max(32, *[int(card[c]) for c in C.CATEGORICAL_COLUMNS])
-        model = pipeline(max_bins).fit(train)
+        model = pipeline(max_bins, forest_memory_mb(spark)).fit(train)
     finally:
         train.unpersist()
     model.write().overwrite().save(path)
     return model, split
 
 
+def fingerprint(df: DataFrame) -> str:
+    """Order-independent digest of a table (row count, XOR and modular sum of row hashes).
+
+    Part of the saved model's key, so a changed learner table never loads a
+    stale model; one aggregate pass, combined map-side.
+    """
+    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"),
+                 F.sum(F.pmod(h, F.lit(2147483647))).alias("s")).first()
+    return f"{row.n}-{row.x}-{row.s}"
+
+
 def graduate_index(model: PipelineModel) -> int:
     return list(model.stages[1].labels).index(C.GRADUATE_LABEL)
 
@@ -181,7 +208,7 @@ class ModelContext:
         from planwell.session import checkpoint
         self.spark = spark
         self.learners = checkpoint(clean_features(learners))
-        self.model, self.split = train_or_load(spark, self.learners, source)
+        self.model, self.split = train_or_load(spark, self.learners, f"{source}|{fingerprint(self.learners)}")
 
     def ranking(self, profiles: DataFrame | None = None) -> DataFrame:
         """L6 + W7: representative profile of every course (or the given ones) x every site, ranked."""

@@ -70,3 +70,10 @@ def test_class_weights(spark):
     df = spark.createDataFrame([("a",)] * 3 + [("b",)], "outcome string")
     w = {r.outcome: r.weight for r in ML.class_weights(df).collect()}
     assert w == {"a": 4 / 6, "b": 2.0}
+
+
+def test_fingerprint_is_order_independent_and_sensitive(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k long, v string")
+    b = spark.createDataFrame([(3, "z"), (1, "x"), (2, "y")], "k long, v string").repartition(3)
+    c = spark.createDataFrame([(1, "x"), (2, "y"), (3, "w")], "k long, v string")
+    assert ML.fingerprint(a) == ML.fingerprint(b) != ML.fingerprint(c)
