@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,10 +57,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df):
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and cut its lineage.
 
-    Safe to call from any session: the folder is read from the session's
-    ``spark.checkpoint.dir`` (or created locally only when that is unset).
+    A written table (rather than ``DataFrame.checkpoint``'s serialized row
+    blocks) keeps later reads columnar: they prune columns and push filters
+    into the scan.  The folder is read from the session's
+    ``spark.checkpoint.dir`` (or created locally only when that is unset), so
+    the table survives lost executors on a cluster.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
