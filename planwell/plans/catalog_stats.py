@@ -297,3 +297,20 @@ def q_org_distributions(spark, sf):
         F.lit("course").alias("dimension"), "label", "count", "percentage",
         F.row_number().over(Window.orderBy(F.desc("count"), F.asc("label"))).alias("rank"))
     return demo.unionByName(course)
+
+
+@register("site_participation", "WITH " + LEARN + ", " + SITE_EVIDENCE_SQL + """
+SELECT course, site, historical_applicant_count AS historical_applicants,
+  historical_participation_percentage, data_reliability FROM site_ev""")
+def q_site_participation(spark, sf):
+    """The participation view of the per-site evidence."""
+    return ST.site_evidence(learners(spark, sf)).select(
+        "course", "site", F.col("historical_applicant_count").alias("historical_applicants"),
+        "historical_participation_percentage", "data_reliability")
+
+
+@register("available_sites", "WITH " + LEARN + " SELECT DISTINCT site FROM learners")
+def q_available_sites(spark, sf):
+    """A8 for sites: distinct sorted site labels of the learner table."""
+    from planwell.operators import series as SR
+    return SR.available_keys(learners(spark, sf), "site")
