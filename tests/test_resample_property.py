@@ -52,3 +52,23 @@ def test_monthly_null_fill_matches_pandas_asfreq(spark, raw):
         s = g.groupby(pd.to_datetime(g.date))["cnt"].sum().astype(float).sort_index().asfreq("MS")
         want.update({(key, d.date()): (None if pd.isna(v) else v) for d, v in s.items()})
     assert got == want
+
+
+label_rows = st.lists(st.tuples(st.sampled_from(["a", "b", "c", "d", None]), st.sampled_from(["x", "y", None])),
+                      min_size=1, max_size=50)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(label_rows)
+def test_distribution_matches_value_counts(spark, rows):
+    from planwell.operators import stats as ST
+    df = spark.createDataFrame(rows, "p string, q string")
+    got = {(r.dimension, r.label): (r["count"], r.percentage) for r in ST.distribution(df, ["p", "q"]).collect()}
+    pdf = pd.DataFrame(rows, columns=["p", "q"])
+    want = {}
+    for col in ("p", "q"):
+        for label, n in pdf[col].value_counts().items():   # nulls dropped, denominator = all rows
+            want[(col, label)] = (int(n), round(n / len(pdf) * 100, 1))
+    assert got.keys() == want.keys()
+    for k, (n, pct) in want.items():
+        assert got[k][0] == n and abs(got[k][1] - pct) <= 0.1 + 1e-9   # half-up vs half-even ties
