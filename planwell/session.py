@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -41,31 +41,45 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder for cut lineage and written tables; the same path on every call.
 
-    The cluster names it; only when it is unset (tests, local runs) is a
-    fresh local folder created and registered.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a folder already
+    registered on the context is used; a local master (tests, a laptop) gets a fresh one,
+    registered once.  Any other master must name a folder that all executors share.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="planwell-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(configured)
-    return configured
+    if configured:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(configured)
+        return configured.rstrip("/")
+    if not sc.getCheckpointDir():
+        if not re.match(r"local(\[[^-]*\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="planwell-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
-def checkpoint(df):
+def checkpoint(df, compression: str = "zstd"):
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and cut its lineage.
 
     A written table (rather than ``DataFrame.checkpoint``'s serialized row
     blocks) keeps later reads columnar: they prune columns and push filters
-    into the scan.  The folder is read from the session's
-    ``spark.checkpoint.dir`` (or created locally only when that is unset), so
-    the table survives lost executors on a cluster.
+    into the scan.  The table survives lost executors; ``discard`` removes it.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.planwell_path = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete tables made by ``checkpoint`` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "planwell_path", None)
+        if path:
+            spark = table.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
