@@ -8,7 +8,7 @@ the document, so that reruns agree.  k is the number of documents above the impo
 separates the labelled rows.
 
 Features are words, punctuation runs and neighbouring pairs of them.  A pair of equal neighbours is one
-feature whatever the word, and so are a word's case shape and a token's repetition in its near past,
+feature whatever the word, and so are a word all in capitals and a repetition at a distance of two,
 because the hashed words alone say nothing about words that no other document has.
 """
 
@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,83 +26,143 @@ from planwell.llm.common import WordHashes, arrow_rows, columns, mix64, running_
 from planwell.session import checkpoint
 
 BUCKETS = 1 << 16
-#: bins of the labelled rows' scores (log importance per feature) from which the cut is chosen
-BINS, SPAN = 4000, 8.0
+#: bins of the labelled rows' log importance, on an asinh scale, from which the cut is chosen
+BINS, SPAN = 4000, 20.0
+#: labelled rows are sent to all tasks up to this number, 16 bytes each, and joined by a shuffle beyond it
+SENT_ROWS = 2_000_000
 
 _parts = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+")
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
+_hash = WordHashes()
 
 
-class _Features(WordHashes):
-    """white-space word -> its features' hashes: the shape of its case, then its parts in lower case."""
+class _Features(dict):
+    """white-space word -> hashes of its parts in lower case, after one for capitals if it is all capitals."""
 
-    limit = 150_000
+    limit = 300_000
 
-    def __missing__(self, word: bytes) -> tuple:
-        if len(self) >= self.limit:
-            self.clear()
-        letters = word.strip(b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~")
-        shape = b"\0upper" if len(letters) > 1 and letters.isupper() else b"\0word"
-        value = self[word] = tuple(_word_hash[p] for p in [shape, *_parts.findall(word.lower())])
+    def __missing__(self, word: bytes) -> bytes:
+        letters = word.strip(_MARKS)
+        shape = [b"\0capitals"] if len(letters) > 1 and letters.isupper() else []
+        value = self[word] = np.array([_hash[p] for p in [*shape, *_parts.findall(word.lower())]], np.uint64).tobytes()
         return value
 
 
-_word_hash = WordHashes()
 _features = _Features()
-_SHAPES = np.array([_word_hash[b"\0upper"], _word_hash[b"\0word"]], np.uint64)
+_CAPITALS = np.uint64(_hash[b"\0capitals"])
 _SAME, _PAIR, _NEAR = np.uint64(11), np.uint64(13), np.uint64(17)
 
 
 def features(text: bytes) -> np.ndarray:
     """Bucket numbers of all features of a text, with repeats."""
-    flat = [h for w in map(_features.__getitem__, text.split()) for h in w]
-    h = np.array(flat, np.uint64)
-    shape = (h == _SHAPES[0]) | (h == _SHAPES[1])
-    tokens = h[~shape]
+    if len(_features) > _features.limit:
+        _features.clear()
+    h = np.frombuffer(b"".join(map(_features.__getitem__, text.split())), np.uint64)
+    capitals = h == _CAPITALS
+    tokens = h[~capitals] if capitals.any() else h
     pairs = mix64(tokens[:-1] * np.uint64(3) + tokens[1:] + _PAIR)
     pairs[tokens[:-1] == tokens[1:]] = _SAME
-    # case shapes only count where they are unusual; one feature for a token seen two places before
     near = np.full(int((tokens[:-2] == tokens[2:]).sum()), _NEAR)
-    out = np.concatenate([mix64(tokens), pairs, h[h == _SHAPES[0]], near])
+    out = np.concatenate([tokens, pairs, h[capitals], near])
     return (out % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _count(it):
     """Feature counts of a task's rows: of all, and of those labelled good."""
     raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in arrow_rows(it, 8 << 20):
-        for text, quality in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            n = np.bincount(features(text), minlength=BUCKETS) if len(text) > 200_000 else None
-            if n is None:
-                at = features(text)
-                np.add.at(raw, at, 1)
-                if quality == 1:
-                    np.add.at(good, at, 1)
-            else:
-                raw += n
-                if quality == 1:
-                    good += n
+    for batch in arrow_rows(it, 4 << 20):
+        found = [features(t) for t in batch.column(0).to_pylist()]
+        is_good = batch.column(1).to_pylist()
+        if found:
+            raw += np.bincount(np.concatenate(found), minlength=BUCKETS)
+            good += np.bincount(np.concatenate([np.empty(0, np.int64), *[f for f, g in zip(found, is_good) if g]]), minlength=BUCKETS)
     at = np.flatnonzero(raw)
     if len(at):
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], names=["bucket", "raw", "good"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The log ratio of target and raw probability of each of the ``BUCKETS`` features, add-one smoothed."""
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    rows = columns(docs, id_col, text_col).toDF("doc_id", "text")
-    rows = rows.join(good, F.col("doc_id") == F.col("_good"), "left").select(
-        utf8("text").alias("text"), F.when(F.col("_good").isNotNull(), 1).alias("quality"))
+def labelled_rows(labels: DataFrame) -> DataFrame:
+    """(label_id, good) of the labelled documents; one labelled both ways counts as not good."""
+    return checkpoint(labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("label_id")).agg(
+        (F.min("quality") == 1).alias("good")))
+
+
+def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """The log ratio of target and raw probability of each of the ``BUCKETS`` features, add-one smoothed.
+
+    Raw counts are over all documents, target counts over all labelled good; without any of these the
+    ratio is 0 throughout.
+    """
+    good = labelled.filter("good").select("label_id")
+    if labelled.count() <= SENT_ROWS:
+        good = F.broadcast(good)
+    rows = columns(docs, id_col, text_col).toDF("doc_id", "text").join(good, F.col("doc_id") == F.col("label_id"), "left")
+    rows = rows.select(utf8("text").alias("text"), F.col("label_id").isNotNull().alias("good"))
     counts = rows.mapInArrow(_count, "bucket long, raw long, good long").groupBy("bucket").agg(
         F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     table = checkpoint(counts).toPandas()  # at most BUCKETS rows
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[table["bucket"]], target[table["bucket"]] = table["raw"], table["good"]
-    if not target.any():  # nothing labelled good: nothing to tell apart
+    if not target.any():
         return np.zeros(BUCKETS)
     return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
-def importance(text: bytes, ratio: np.ndarray) -> tuple[float, int]:
-    """(log importance, number of features)."""
-    at = features(text)
-    return float(ratio[at].sum()), len(at)
+def _score(ratio: np.ndarray):
+    """Adds the log importance and the number of features, computed from the last column, which it drops."""
+    def run(it):
+        for batch in arrow_rows(it, 4 << 20):
+            found = [features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            value, n = pa.array([float(ratio[f].sum()) for f in found], pa.float64()), pa.array([len(f) for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], value, n],
+                                             names=[*batch.schema.names[:-1], "log_importance", "n_features"])
+
+    return run
+
+
+def best_cut(counts: list[tuple[int, bool, int]]) -> float:
+    """The log importance that best separates good from bad: the middle of the bins with the highest mean
+    of both classes' shares on the right side.  Without rows of both classes nothing is cut off."""
+    good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
+    for bin_, is_good, n in counts:
+        (good if is_good else bad)[bin_] += n
+    if not good.sum() or not bad.sum():
+        return -np.inf
+    right = (good.sum() - np.cumsum(good)) / good.sum() + np.cumsum(bad) / bad.sum()
+    best = np.flatnonzero(right >= right.max() - 1e-12)
+    middle = best[len(best) // 2]
+    return float(np.sinh(((middle + 1) / BINS * 2 - 1) * SPAN))
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7,
+             payload: bool = False) -> tuple[DataFrame, int]:
+    """(scored, k): a row per row of ``docs`` with log_importance, n_features, its Gumbel key and ``kept``.
+
+    Null and empty texts have no features, a log importance of 0 and are judged like any other.  Rows
+    equal in id and text share one key and are kept or dropped together, so ties can add to the k.  The
+    order of equal keys is that of a hash.  With ``payload`` the whole row comes along as ``_row``.
+    """
+    labelled = labelled_rows(labels)
+    ratio = fit(docs, labelled, id_col, text_col)
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if payload else []
+    tie = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string"), utf8(text_col))
+    rows = docs.select(*row, F.col(f"`{id_col}`").alias("doc_id"), tie.alias("tie"), utf8(text_col).alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("log_importance", T.DoubleType()),
+                           T.StructField("n_features", T.LongType())])
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "tie"), 11).cast("double") + 0.5) * (2.0 ** -53)
+    scored = checkpoint(rows.mapInArrow(_score(ratio), schema).withColumn(
+        "key", F.col("log_importance") - F.log(-F.log(uniform))))
+    at = F.least(F.greatest(F.floor((F.asinh("log_importance") / SPAN + 1) / 2 * BINS), F.lit(0)), F.lit(BINS))
+    seen = scored.join(labelled, F.col("doc_id") == F.col("label_id")).groupBy(at.alias("bin"), "good").count()
+    cut = best_cut([tuple(r) for r in seen.collect()])  # at most two rows a bin
+    k = scored.filter(F.col("log_importance") > cut).count()
+    keys = scored.select((-F.col("key")).alias("minus_key"), "tie", F.lit(1).cast("long").alias("one"))
+    ranked = running_totals(keys, ["minus_key", "tie"], ["one"])
+    last = ranked.filter(F.col("one_before") == k - 1).select("minus_key", "tie").first()
+    kept = F.lit(False) if last is None else (F.col("key") > -last[0]) | (F.col("key") == -last[0]) & (F.col("tie") <= last[1])
+    return scored.withColumn("kept", kept), k
+
+
+def keep_resampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the resample keeps, with all their columns as they were."""
+    return resample(docs, labels, payload=True, **options)[0].filter("kept").select("_row.*")

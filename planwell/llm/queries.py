@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planwell.llm import exact_dedup, mixing, packing
+from planwell.llm import exact_dedup, mixing, packing, quality, setsketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,3 +47,28 @@ def op3(spark, sf_dir):
   FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
 def op9(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op8_setsketch_near_dedup", """WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+  s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) = 1 THEN words
+      ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingle FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+      JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+  reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, p.b FROM reach r JOIN pairs p ON p.a = r.other)
+  SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id, d.doc_id = min(r.other) AS kept
+  FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""")
+def op8(spark, sf_dir):
+    return setsketch.near_groups(table(spark, sf_dir, "documents"), shingle=2).drop("_set", "_root")
+
+
+@register("op10_importance_resampling")
+def op10(spark, sf_dir):
+    scored, _ = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "log_importance", "n_features", "key", "kept")

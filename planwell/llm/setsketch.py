@@ -71,7 +71,7 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     """Most likely Jaccard similarity of each row pair, from the numbers of registers that are larger,
     smaller and equal and from the known set sizes.
 
-    With b near 1 the three have the probabilities u - vJ, v - uJ and (u + v)J of shares u and v of the sizes;
+    With b near 1 the three have the probabilities u - vJ, v - uJ and J, for shares u and v of both sizes;
     the likelihood is concave in J and its slope is halved down to the root.
     """
     more, less = (a > b).sum(1), (a < b).sum(1)
@@ -212,7 +212,8 @@ _PAIR = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.B
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """A row per row of ``docs``: doc_id, n_shingles, component_id, kept, and ``_set``, the digest of its set.
+    """A row per row of ``docs``: doc_id, n_shingles, component_id, kept, and the digests of its set, ``_set``,
+    and of the smallest set of its component, ``_root``.
 
     Documents link where 100 * intersection >= ``percent`` * union of their sets of distinct
     ``shingle``-word shingles (lower-cased A-Z; with fewer words, the whole sequence is one shingle);
@@ -281,9 +282,48 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(buckets)
     named = classes.select("node", "rep").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = checkpoint(named.join(smallest, "root").select("node", "component_id"))
-    out = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("_set")).join(
-        named.withColumnRenamed("node", "_set"), "_set", "left")
+    named = checkpoint(named.join(smallest, "root").select(F.col("node").alias("_set"), F.col("root").alias("_root"), "component_id"))
+    out = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("_set")).join(named, "_set", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.col("n_shingles") == 0).alias("kept"), "_set")
+                      F.coalesce(F.col("doc_id") == component, F.col("n_shingles") == 0).alias("kept"), "_set", "_root")
+
+
+def _with_set(shingle: int):
+    """Replaces the last column, a text, by the digest of its shingle set, null without words."""
+    def run(it):
+        for batch in arrow_rows(it, 8 << 20):
+            sets = [shingle_set(t, shingle) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            node = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], node], names=[*batch.schema.names[:-1], "node"])
+
+    return run
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns as they were: of each near-copy group the
+    one with the smallest doc_id, and every row without words.
+
+    Where several rows of a group carry that doc_id, or the group has no doc_id at all, one of the rows
+    with the smallest set digest among them stays.
+    """
+    groups = near_groups(docs, id_col, text_col, shingle, percent)
+    groups = checkpoint(groups.groupBy("doc_id", "_set", "_root", "component_id").agg(
+        F.first("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
+    ids = checkpoint(groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.sum("rows").alias("rows")))
+    dropped = ids.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("gone"))
+    odd = ids.filter("doc_id is null or kept and rows > 1").select(F.col("doc_id").alias("odd"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc"))
+    stay = rows.join(dropped, F.col("doc") == F.col("gone"), "left_anti")
+    if odd.isEmpty():
+        return stay.select("row.*")
+    plain = stay.join(odd, F.col("doc").eqNullSafe(F.col("odd")), "left_anti").select("row.*")
+    # rows of a missing or repeated id, one by one
+    fields = T.StructType([*rows.schema.fields, T.StructField("node", T.BinaryType())])
+    some = rows.join(odd, F.col("doc").eqNullSafe(F.col("odd")), "left_semi")
+    some = checkpoint(some.withColumn("text", utf8(f"row`.`{text_col}")).mapInArrow(_with_set(shingle), fields))
+    wordless = some.filter("node is null").select("row.*")
+    known = groups.select("doc_id", "_set", "_root", "component_id")
+    named = some.join(known, (F.col("node") == F.col("_set")) & F.col("doc").eqNullSafe(F.col("doc_id")))
+    one = named.filter("component_id is null or doc = component_id").groupBy("_root").agg(F.min_by("row", "node").alias("row"))
+    return plain.unionByName(wordless).unionByName(one.select("row.*"))
