@@ -121,15 +121,15 @@ def _score(ratio: np.ndarray):
 
 
 def best_cut(counts: list[tuple[int, bool, int]]) -> float:
-    """The log importance that best separates good from bad: the middle of the bins with the highest mean
-    of both classes' shares on the right side.  Without rows of both classes nothing is cut off."""
+    """The log importance that puts the most labelled rows on the right side: the middle of the best bins.
+    Without rows of both classes nothing is cut off."""
     good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
     for bin_, is_good, n in counts:
         (good if is_good else bad)[bin_] += n
     if not good.sum() or not bad.sum():
         return -np.inf
-    right = (good.sum() - np.cumsum(good)) / good.sum() + np.cumsum(bad) / bad.sum()
-    best = np.flatnonzero(right >= right.max() - 1e-12)
+    right = good.sum() - np.cumsum(good) + np.cumsum(bad)
+    best = np.flatnonzero(right == right.max())
     middle = best[len(best) // 2]
     return float(np.sinh(((middle + 1) / BINS * 2 - 1) * SPAN))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planwell.llm import exact_dedup, mixing, packing, quality, setsketch
+from planwell.llm import collision, exact_dedup, mixing, packing, quality, setsketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +72,20 @@ def op8(spark, sf_dir):
 def op10(spark, sf_dir):
     scored, _ = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "log_importance", "n_features", "key", "kept")
+
+
+@register("op1_collision_counting", """WITH RECURSIVE v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+  reach(vec_id, other) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+  n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+  SELECT r.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.other) AS component_id, r.vec_id = min(r.other) AS kept
+  FROM reach r LEFT JOIN n ON n.a = r.vec_id GROUP BY r.vec_id""")
+def op1(spark, sf_dir):
+    return collision.near_vectors(table(spark, sf_dir, "embeddings"))
