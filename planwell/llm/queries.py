@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planwell.llm import collision, exact_dedup, mixing, packing, quality, setsketch
+from planwell.llm import collision, exact_dedup, line_dedup, mixing, packing, quality, setsketch, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +89,13 @@ def op10(spark, sf_dir):
   FROM reach r LEFT JOIN n ON n.a = r.vec_id GROUP BY r.vec_id""")
 def op1(spark, sf_dir):
     return collision.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register("op4_line_dedup")
+def op4(spark, sf_dir):
+    return line_dedup.repeated_units(table(spark, sf_dir, "documents"), unit="sentence").drop("_row")
+
+
+@register("op7_extendible_sharding")
+def op7(spark, sf_dir):
+    return sharding.shard_rows(table(spark, sf_dir, "documents"))
