@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planwell.llm import collision, exact_dedup, line_dedup, mixing, packing, quality, setsketch, sharding
+from planwell.llm import collision, exact_dedup, hmm, line_dedup, mixing, packing, quality, setsketch, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +99,8 @@ def op4(spark, sf_dir):
 @register("op7_extendible_sharding")
 def op7(spark, sf_dir):
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
+
+
+@register("op5_hidden_markov_scores")
+def op5(spark, sf_dir):
+    return hmm.score(table(spark, sf_dir, "documents"))
