@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planwell.llm import collision, exact_dedup, hmm, line_dedup, mixing, packing, quality, setsketch, sharding
+from planwell.llm import collision, exact_dedup, hmm, line_dedup, mixing, packing, quality, secret_scan, setsketch, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,3 +104,29 @@ def op7(spark, sf_dir):
 @register("op5_hidden_markov_scores")
 def op5(spark, sf_dir):
     return hmm.score(table(spark, sf_dir, "documents"))
+
+
+def _secret_sql() -> str:
+    """Each rule's matches with their places, from the lengths of matches and of the text between them."""
+    rules, parts = (*secret_scan.BASE_RULES, *secret_scan.MORE_RULES), []
+    for number, r in enumerate(rules):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {number} AS number, '{r.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+          'start': coalesce(list_sum(list_transform(b[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
+          'size': length(m[i]), 'value': length(v[i])}})) AS s, {r.least} AS least
+        FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS v,
+          string_split_regex(t, '{pattern}') AS b FROM d)""")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  spans AS (SELECT doc_id, number, kind, CAST(s.start AS BIGINT) AS start, CAST(s.start + s.size AS BIGINT) AS stop
+            FROM ({" UNION ALL ".join(parts)}) WHERE s.value >= least),
+  done AS (SELECT doc_id, count(*) FILTER (WHERE number = 0) AS n_assign, count(*) FILTER (WHERE number = 1) AS n_access,
+    count(*) FILTER (WHERE number = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number) FILTER (WHERE number < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number) AS spans FROM spans GROUP BY doc_id)
+  SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN done USING (doc_id)"""
+
+
+@register("op6_trigram_secret_scan", _secret_sql())
+def op6(spark, sf_dir):
+    return secret_scan.report(table(spark, sf_dir, "documents"))
