@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planwell.llm.common import binary_rows, columns, running_totals, to_batch
+from planwell.llm.common import columns, running_totals, smallest_roots, to_batch
 from planwell.llm.components import connected_components
 from planwell.session import checkpoint, discard
 
@@ -87,20 +87,6 @@ def directions_of(dim: int) -> np.ndarray:
     return _known[dim]
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member of each member's component, by repeated minima over the links."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _meet(threshold: float, schema: pa.Schema):
     """One pair of blocks: counts collisions by windows in sorted projections, verifies, sums up."""
     need = needed_count()
@@ -147,7 +133,7 @@ def _meet(threshold: float, schema: pa.Schema):
         y = np.concatenate(right) if right else np.empty(0, np.int64)
         links = np.bincount(x, weights=n[y], minlength=len(at)) + np.bincount(y, weights=n[x], minlength=len(at))
         used = np.flatnonzero(links)
-        root = _roots(len(at), x, y)
+        root = smallest_roots(len(at), x, y)
         return pa.table({"node": nodes.take(pa.array(used)), "root": nodes.take(pa.array(root[used])),
                          "links": pa.array(links[used].astype(np.int64))}, schema=schema)
 

@@ -73,10 +73,18 @@ class WordHashes(dict):
         return value
 
 
-def uniform(seed: int, *cols):
-    """A reproducible hash of the columns as a double in (0, 1)."""
-    h = F.xxhash64(F.lit(seed), *cols)
-    return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) * F.lit(2.0 ** -53)
+def smallest_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of each member's component, by repeated minima over the links."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def running_totals(df: DataFrame, order: list[str], values: list[str]) -> DataFrame:

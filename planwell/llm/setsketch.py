@@ -4,9 +4,10 @@ A document is its set of distinct word shingles, as 64-bit hashes.  Register i o
 ``floor(1 - log_b h_i)``, cut to 0..q+1, where h_i is the smallest over the set of exponentially
 distributed values of rate a: the registers of a union are the maxima, and with b near 1 two registers are
 equal with nearly the probability of the Jaccard similarity.  Bands of registers name buckets.  Within
-a bucket each document is first compared with one centre; documents of a bucket that are still in
-different components are then compared with each other, block by block.  A pair is judged by the joint
-likelihood of its registers, given the two set sizes, and what passes is confirmed on the full sets.
+a bucket each document is first compared with one centre.  Where a bucket still holds different components
+that are likely to link, these make up a cluster, whose documents are compared with each other, block
+by block, as far as links found before have not joined them.  A pair is judged by the joint likelihood
+of its registers, given the two set sizes, and what passes is confirmed on the full sets.
 Documents with equal sets are one class from the start, so groups of copies cost one row.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planwell.llm.common import WordHashes, arrow_rows, binary_rows, columns, mix64, to_batch, utf8
+from planwell.llm.common import WordHashes, arrow_rows, binary_rows, columns, mix64, smallest_roots, to_batch, utf8
 from planwell.llm.components import connected_components
 from planwell.session import checkpoint, discard
 
@@ -119,7 +120,7 @@ def _bands(schema: pa.Schema):
 
 
 def _likely(threshold: float, schema: pa.Schema):
-    """Pairs whose registers do not rule out a similarity of ``threshold``: six deviations below it."""
+    """Pairs whose registers do not rule out a similarity of ``threshold``: five deviations below it."""
     def run(it):
         for batch in it:
             if not batch.num_rows:
@@ -132,13 +133,14 @@ def _likely(threshold: float, schema: pa.Schema):
 
 
 def _passes(a, b, n_a, n_b, threshold):
-    margin = 6 * (threshold * (1 - threshold) / a.shape[1]) ** 0.5
+    margin = 5 * (threshold * (1 - threshold) / a.shape[1]) ** 0.5
     close = np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) * (1 - 1e-12)
     return close & (joint_similarity(a, b, n_a.astype(float), n_b.astype(float)) >= threshold - margin)
 
 
 def _bucket_pairs(threshold: float, schema: pa.Schema):
-    """Likely pairs across components within each (key, block, other) of a stream ordered by these."""
+    """Where members of a (key, low, high) that are in different components are likely to link: a spanning
+    forest of these pairs, so that no more rows come out than go in.  The stream is ordered by the three."""
     def pairs(table: pa.Table):
         group = np.stack([table[c].to_numpy() for c in ("key", "low", "high")])
         new = np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0)])
@@ -160,8 +162,9 @@ def _bucket_pairs(threshold: float, schema: pa.Schema):
                 right.append(x + d)
         if left:
             nodes = table["node"].combine_chunks()
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield to_batch({"a": nodes.take(pa.array(a)), "b": nodes.take(pa.array(b))}, schema)
+            root = smallest_roots(len(n), np.concatenate(left), np.concatenate(right))
+            at = np.flatnonzero(root != np.arange(len(n)))
+            yield to_batch({"a": nodes.take(pa.array(at)), "b": nodes.take(pa.array(root[at]))}, schema)
 
     def run(it):
         held = None
@@ -184,6 +187,47 @@ def _bucket_pairs(threshold: float, schema: pa.Schema):
     return run
 
 
+def _verify_block(threshold: float, percent: int, schema: pa.Schema):
+    """The links of one pair of blocks of a cluster, on the full sets: pairs whose members earlier links
+    have not joined yet are confirmed one by one, and those that link come out."""
+    def run(table: pa.Table) -> pa.Table:
+        n, block = table["n"].to_numpy(), table["block"].to_numpy()
+        regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(len(n), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+        root = table["root"].combine_chunks().dictionary_encode().indices.to_pylist()
+        parent = list(range(max(root) + 1))
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        cross, number = table["low"][0].as_py() != table["high"][0].as_py(), np.array(root)
+        left, right = [], []
+        for i in range(len(n) - 1):
+            at = np.flatnonzero(number[i + 1 :] != number[i]) + i + 1
+            if cross:
+                at = at[block[at] != block[i]]
+            if not len(at):
+                continue
+            at = at[_passes(regs[i][None].repeat(len(at), 0), regs[at], n[i].repeat(len(at)), n[at], threshold)]
+            for j in at.tolist():
+                if (x := find(root[i])) != (y := find(root[j])) and _linked(sets[i], sets[j], percent):
+                    parent[x] = y
+                    left.append(i)
+                    right.append(j)
+        nodes = table["node"].combine_chunks()
+        return pa.table({"a": nodes.take(pa.array(left, pa.int64())), "b": nodes.take(pa.array(right, pa.int64()))}, schema=schema)
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _full_sets(shingle: int, schema: pa.Schema):
     def run(it):
         for batch in arrow_rows(it, 8 << 20):
@@ -197,12 +241,8 @@ def _full_sets(shingle: int, schema: pa.Schema):
 def _confirm(percent: int, schema: pa.Schema):
     def run(it):
         for batch in it:
-            keep = []
-            for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                    for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist())]
             yield to_batch({c: batch[c].filter(pa.array(keep, pa.bool_())) for c in ("a", "b")}, schema)
 
     return run
@@ -241,44 +281,56 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = checkpoint(bands.join(buckets, "key"))
     discard(bands)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs that link, by their full sets; only documents of such pairs are read once more."""
-        pairs = checkpoint(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        """(node, hashes) of the wanted nodes; only their documents are read once more."""
         # one document stands for each set; where its id repeats, the digest tells the right row
-        stand = classes.join(wanted, "node", "left_semi").select("node", "rep")
+        stand = checkpoint(classes.join(wanted, "node", "left_semi").select("node", "rep"))
         set_schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
         texts = rows.join(stand.select("rep").distinct(), rows["doc_id"].eqNullSafe(F.col("rep")), "left_semi")
         sets = texts.select("text").mapInArrow(_full_sets(shingle, to_arrow_schema(set_schema)), set_schema)
-        sets = checkpoint(sets.join(stand, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
+        return checkpoint(sets.join(stand, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by their full sets."""
+        pairs = checkpoint(pairs)
+        sets = full_sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         first = checkpoint(pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("sa")), "a"))
         both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("sb")), "b").select("a", "b", "sa", "sb")
         links = checkpoint(both.mapInArrow(_confirm(percent, pair_arrow), _PAIR))
         discard(pairs, sets, first)
         return links
 
+    def blocked(df: DataFrame, key: str, members: str) -> DataFrame:
+        """Each row once per pair of blocks of its group that it takes part in: columns low, high, block."""
+        df = df.withColumn("_blocks", F.ceil(F.col(members) / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+        df = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_other"))
+        return df.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")}).drop("_blocks", "_other", members)
+
     # round 1: each member of a bucket with its centre
     star = buckets.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     side = classes.select("node", "n", "regs")
     judged = star.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
     links = confirmed(judged.mapInArrow(_likely(threshold, pair_arrow), _PAIR))
     roots = checkpoint(connected_components(links))
-    # round 2: what a bucket of three or more still holds in different components, block by block
+    # round 2: what a bucket of three or more still holds in different components
     held = buckets.filter("members > 2").join(roots, "node", "left").select(
         "key", "node", "members", F.coalesce("root", "node").alias("root"))
     mixed = held.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
     held = held.join(mixed, "key").join(side, "node").select("key", "node", "members", "root", "n", "regs")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    held = held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    held = held.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "n", "regs")
-    held = held.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    more = held.mapInArrow(_bucket_pairs(threshold, pair_arrow), _PAIR)
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        # joined over the components of round 1, which are only a few stars
+    held = blocked(held, "key", "members").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    likely = checkpoint(held.select("key", "low", "high", "block", "node", "root", "n", "regs").mapInArrow(
+        _bucket_pairs(threshold, pair_arrow), _PAIR).distinct())
+    if not likely.isEmpty():
+        # clusters: components and the likely links between them; inside, all is confirmed on full sets
+        clusters = checkpoint(connected_components(likely.unionByName(links)).select("node", F.col("root").alias("cluster")))
+        open_ = clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
+        sizes = open_.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+        open_ = checkpoint(open_.join(sizes.filter("r0 <> r1").select("cluster", "members"), "cluster"))
+        sets = full_sets(open_.select("node"))
+        met = blocked(open_.join(side, "node").join(sets, "node"), "cluster", "members")
+        more = checkpoint(met.groupBy("cluster", "low", "high").applyInArrow(_verify_block(threshold, percent, pair_arrow), _PAIR))
         roots = checkpoint(connected_components(links.unionByName(more)))
+        discard(sets, clusters, open_)
     discard(buckets)
     named = classes.select("node", "rep").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
