@@ -30,11 +30,13 @@ class UnknownPeriodError(ValueError):
     """an unsupported planning period."""
 
 
-def validate_member(df: DataFrame, column: str, value: str, what: str = "course") -> str:
-    """raise listing the accepted values when ``value`` is absent (bounded driver work)."""
+def validate_member(df: DataFrame, column: str, value: str, what: str = "course", shown_members: int = 200) -> str:
+    """raise naming the accepted values (the first ``shown_members``, and how many more) when ``value`` is absent (bounded driver work)."""
     if df.where(F.col(column) == F.lit(value)).limit(1).count() == 0:
-        accepted = [r[0] for r in df.select(column).distinct().orderBy(column).limit(200).collect()]
-        raise UnknownMemberError(f"Unknown {what} '{value}'. Available: {', '.join(map(str, accepted))}")
+        known = df.select(column).distinct()
+        shown, n = [r[0] for r in known.orderBy(column).limit(shown_members).collect()], known.count()
+        more = f" and {n - len(shown)} more" if n > len(shown) else ""
+        raise UnknownMemberError(f"Unknown {what} '{value}'. Available: {', '.join(map(str, shown))}{more}")
     return value
 
 
@@ -195,19 +197,24 @@ def evaluation(vol: Volume) -> DataFrame:
 
 def ingest(spark: SparkSession, batch: DataFrame, root: str, sync_type: str = "incremental",
            manual_retrain: bool = False, params_root: str | None = None, cutoff: str = C.DEFAULT_CUTOFF,
-           today: str | None = None) -> DataFrame:
+           today: str | None = None, known_keys: DataFrame | None = None, max_count: int | None = None,
+           max_records: int | None = None) -> DataFrame:
     """POST /forecast/ingest-data (G2): validate, store a new version, count new days, decide, retrain.
 
     ``batch`` holds records (idx, date, course, applicant_count).  Any error
     rejects the whole batch (the error rows are returned instead).  New days
-    are counted after the stored data's last date (B9 fixed).
+    are counted after the stored data's last date (B9 fixed).  ``known_keys`` (series_key) names the
+    keys that a first batch may hold; ``max_count`` and ``max_records`` are off unless set.
     """
     if sync_type not in ("full", "incremental"):
         raise ValueError("sync_type must be 'full' or 'incremental'")
     stored = IG.read_current(spark, root)
-    known = (stored if stored is not None else batch.select(F.col("course").alias("series_key")))
-    errors = IG.validate_records(batch, known.select("series_key").distinct(), today=today)
-    if errors.limit(1).count() > 0:
+    known = known_keys if known_keys is not None else stored if stored is not None else batch.select(F.col("course").alias("series_key"))
+    errors = checkpoint(IG.validate_records(batch, known.select("series_key").distinct(), today=today, max_count=max_count))
+    summary = IG.validation_summary(batch, errors, max_records).first()
+    if summary.too_many_records:
+        raise ValueError(f"{summary.records_received} records in a batch; at most {max_records}")
+    if not summary.accepted:
         return errors
     seq = (stored.select(F.max("batch_seq")).first()[0] + 1) if stored is not None else 0
     incoming = IG.parse_records(batch, seq)

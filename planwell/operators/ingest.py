@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwell import config as C
+from planwell.session import path_exists
 
 DATE_FORMAT = "yyyy-MM-dd"
 
@@ -38,7 +39,7 @@ def _err(df: DataFrame, cond, field: str, message) -> DataFrame:
 
 
 def validate_records(batch: DataFrame, known_keys: DataFrame, today: str | None = None,
-                     max_count: int = C.MAX_PLAUSIBLE_DAILY_COUNT) -> DataFrame:
+                     max_count: int | None = None) -> DataFrame:
     """F7 + F8 + F9: (idx, field, rule, error) for every failed rule.
 
     * date not in yyyy-MM-dd            (rule ``date``)
@@ -46,7 +47,7 @@ def validate_records(batch: DataFrame, known_keys: DataFrame, today: str | None
     * unknown course (anti join)        (rule ``course``)
     * duplicate (date, course)          (rule ``duplicate``), every record after the first
     * date after ``today``              (rule ``future``)
-    * applicant_count > ``max_count``   (rule ``implausible``)
+    * applicant_count > ``max_count``   (rule ``implausible``; off unless the caller sets a limit)
 
     Duplicates are found by joining each record to the first idx of its
     (date, course) pair: a hot pair is combined map-side by the aggregate,
@@ -65,14 +66,19 @@ def validate_records(batch: DataFrame, known_keys: DataFrame, today: str | None
     if today:
         future = _err(parsed, F.col("_d") > F.lit(today).cast("date"), "future", "Date is in the future")
         errors = errors.unionByName(future)
+    if max_count is None:
+        return errors
     implausible = _err(parsed, F.col("applicant_count") > max_count, "implausible",
                        f"applicant_count above {max_count} per day")
     return errors.unionByName(implausible)
 
 
 def validation_summary(batch: DataFrame, errors: DataFrame,
-                       max_records: int = C.MAX_RECORDS_PER_BATCH) -> DataFrame:
-    """One row: received, valid, per-rule error counts, accepted flag (whole batch or nothing)."""
+                       max_records: int | None = None) -> DataFrame:
+    """One row: received, valid, per-rule error counts, accepted flag (whole batch or nothing).
+
+    A batch size limit applies only if the caller sets ``max_records``.
+    """
     received = batch.select(F.count(F.lit(1))).scalar()
     bad_ids = errors.select(F.countDistinct("idx")).scalar()
     counts = errors.groupBy().pivot("rule", ["date", "applicant_count", "course", "duplicate", "future",
@@ -82,7 +88,7 @@ def validation_summary(batch: DataFrame, errors: DataFrame,
         (received - bad_ids).alias("records_valid"),
         *[F.coalesce(F.col(r), F.lit(0)).cast("long").alias(f"n_{r}") for r in
           ["date", "applicant_count", "course", "duplicate", "future", "implausible"]])
-    too_many = F.col("records_received") > max_records
+    too_many = F.lit(False) if max_records is None else F.col("records_received") > max_records
     return out.withColumn("too_many_records", too_many).withColumn(
         "accepted", (F.col("records_valid") == F.col("records_received")) & ~too_many)
 
@@ -186,13 +192,15 @@ POINTER_SCHEMA = "version string, path string"
 
 
 def current_path(spark: SparkSession, root: str) -> str | None:
-    """Path of the newest committed version under ``root`` (None when there is none)."""
-    try:
-        ptr = (spark.read.schema(POINTER_SCHEMA).option("recursiveFileLookup", "true")
-               .json(f"{root.rstrip('/')}/_pointers"))
-        row = ptr.orderBy(F.desc("version")).limit(1).collect()
-    except Exception:  # noqa: BLE001 - no pointer folder yet
+    """Path of the newest committed version under ``root`` (None when there is none).
+
+    Only a missing pointer folder means that there is none; any other error is raised.
+    """
+    if not path_exists(spark, f"{root.rstrip('/')}/_pointers"):
         return None
+    ptr = (spark.read.schema(POINTER_SCHEMA).option("recursiveFileLookup", "true")
+           .json(f"{root.rstrip('/')}/_pointers"))
+    row = ptr.orderBy(F.desc("version")).limit(1).collect()
     return row[0].path if row else None
 
 

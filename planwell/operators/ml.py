@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from planwell import config as C
 from planwell.functions import scalars as S
-from planwell.session import ensure_checkpoint_dir
+from planwell.session import ensure_checkpoint_dir, path_exists
 
 LABEL = "outcome"
 IDX = [f"{c}_idx" for c in C.CATEGORICAL_COLUMNS]
@@ -42,16 +42,15 @@ def clean_features(df: DataFrame) -> DataFrame:
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     """Balanced weights w_c = n / (k * n_c) (one row per class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    n = df.select(F.count(F.lit(1))).scalar()
-    k = counts.select(F.count(F.lit(1))).scalar()
+    every = Window.partitionBy()  # one row per class
     return counts.select(label, F.col("n_class").cast("long").alias("n_class"),
-                         (n / (k * F.col("n_class"))).alias("weight"))
+                         (F.sum("n_class").over(every) / (F.count(F.lit(1)).over(every) * F.col("n_class"))).alias("weight"))
 
 
 def with_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
-    # one row per class: AQE sees its real size at run time and broadcasts it
-    # when small; no hint, since the class count is not bounded by construction
-    return df.join(class_weights(df, label).select(label, "weight"), label)
+    # the classes of a classifier are few: their weights come as one map, so the rows are not shuffled by class
+    weights = class_weights(df, label).agg(F.map_from_entries(F.collect_list(F.struct(label, "weight")))).scalar()
+    return df.withColumn("weight", F.element_at(weights, F.col(label)))
 
 
 def stratified_split(df: DataFrame, id_col: str = "record_id", label: str = LABEL,
@@ -69,15 +68,18 @@ def stratified_split(df: DataFrame, id_col: str = "record_id", label: str = LABE
     # class boundary: the bucket where the running count first reaches the test size
     bound = per.where((F.col("_before") < F.col("_ntest")) & (F.col("_cum") >= F.col("_ntest"))) \
         .select(label, F.col("_b").alias("_bb"), F.col("_before").alias("_off"), "_ntest")
-    # ``bound`` has one row per class; AQE turns these joins into broadcasts at run time
-    x = x.join(bound.select(label, "_bb"), label, "left")
-    inside = x.where(F.col("_b") == F.col("_bb")).join(bound.select(label, "_off", "_ntest"), label)
+    # one entry per class, read as a scalar: the rows are not shuffled by class
+    entry = F.struct(label, F.struct(F.col("_bb"), F.col("_off"), F.col("_ntest")))
+    bounds = bound.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    x = x.withColumn("_bound", F.element_at(bounds, F.col(label))).withColumn("_bb", F.col("_bound._bb"))
+    inside = x.where(F.col("_b") == F.col("_bb")).select(
+        "*", F.col("_bound._off").alias("_off"), F.col("_bound._ntest").alias("_ntest"))
     w = Window.partitionBy(label).orderBy("_h", id_col)
     inside = inside.withColumn("is_test", F.col("_off") + F.row_number().over(w) <= F.col("_ntest")) \
         .drop("_off", "_ntest")
     outside = x.where(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb"))).withColumn(
         "is_test", F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False)))
-    return inside.unionByName(outside).drop("_h", "_b", "_bb")
+    return inside.unionByName(outside).drop("_h", "_b", "_bb", "_bound")
 
 
 def _memory_mb(text: str) -> int:
@@ -113,8 +115,10 @@ def pipeline(max_bins: int = 32, memory_mb: int = 256) -> Pipeline:
 
 
 def model_dir(spark: SparkSession, source: str) -> str:
-    """Model path in the shared checkpoint folder, one per training source."""
-    tag = hashlib.sha1(source.encode()).hexdigest()[:16]
+    """Model path in the shared checkpoint folder, one per training source and set of training choices."""
+    choices = (C.FOREST_TREES, C.FOREST_MAX_DEPTH, C.FOREST_MIN_LEAF, C.FOREST_FEATURE_SUBSET, C.FOREST_SEED,
+               C.CATEGORICAL_COLUMNS, C.FEATURE_COLUMNS, C.TEST_FRACTION)
+    tag = hashlib.sha1(f"{source}|{choices!r}".encode()).hexdigest()[:16]
     return os.path.join(ensure_checkpoint_dir(spark), "models", f"completion_{tag}")
 
 
@@ -127,10 +131,8 @@ def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> tupl
     """
     split = stratified_split(clean_features(learners))
     path = model_dir(spark, source)
-    try:
+    if path_exists(spark, f"{path}/metadata"):
         return PipelineModel.load(path), split
-    except Exception:  # noqa: BLE001 - no saved model yet
-        pass
     # the forest reads its input several times (indexers, split finding,
     # bagging); persisting the training rows once avoids recomputing the joins
     # the training rows are a narrow projection that AQE may coalesce into very
@@ -245,7 +247,8 @@ class ModelContext:
         return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), F.asc("feature"))))
 
     def metadata(self) -> DataFrame:
-        """One metadata row beside the model."""
+        """One metadata row; the forest's values are those of the model itself."""
+        forest = self.model.stages[-1]
         return self.split.agg(
             F.count(F.lit(1)).alias("n_records"),
             F.count_if(~F.col("is_test")).alias("n_train"),
@@ -255,5 +258,5 @@ class ModelContext:
             F.count_if(F.col("outcome") == C.GRADUATE_LABEL).alias("n_graduate"),
             F.count_if(F.col("outcome") == C.DROPOUT_LABEL).alias("n_dropout"),
             F.lit(len(C.FEATURE_COLUMNS)).alias("n_features"),
-            F.lit(C.FOREST_TREES).alias("num_trees"), F.lit(C.FOREST_MAX_DEPTH).alias("max_depth"),
-            F.lit(C.FOREST_MIN_LEAF).alias("min_instances_per_node"), F.lit(C.FOREST_SEED).alias("seed"))
+            F.lit(forest.getNumTrees).alias("num_trees"), F.lit(forest.getMaxDepth()).alias("max_depth"),
+            F.lit(forest.getMinInstancesPerNode()).alias("min_instances_per_node"), F.lit(forest.getSeed()).alias("seed"))

@@ -70,14 +70,13 @@ def distribution(df: DataFrame, columns: list[str], limits: dict[str, int] | Non
 
 
 def weighted_distribution(daily: DataFrame, key: str = "series_key", weight: str = "cnt",
-                          limit: int = 21) -> DataFrame:
-    """Sum of ``weight`` per key, percent of the grand total, top ``limit``."""
+                          limit: int | None = None) -> DataFrame:
+    """Sum of ``weight`` per key, percent of the grand total; all keys, or the top ``limit``."""
     sums = daily.groupBy(key).agg(F.sum(weight).alias("count"))
     grand = daily.select(F.sum(weight)).scalar()
     pct = F.when(grand > 0, F.round(F.col("count") / grand * F.lit(100.0), 1)).otherwise(F.lit(0.0))
-    return (sums.select(F.col(key).alias("label"), F.col("count").cast("long").alias("count"),
-                        pct.alias("percentage"))
-            .orderBy(F.desc("count"), F.asc("label")).limit(limit))
+    out = sums.select(F.col(key).alias("label"), F.col("count").cast("long").alias("count"), pct.alias("percentage"))
+    return out if limit is None else out.orderBy(F.desc("count"), F.asc("label")).limit(limit)
 
 
 def age_bins(age: Column) -> list[tuple[str, Column]]:

@@ -71,8 +71,8 @@ FROM i""")
 def q_ingest_validation(spark, sf):
     batch = incoming_records(spark, sf)
     known = stored_rows(spark, sf).select("series_key").distinct()
-    errors = IG.validate_records(batch, known, today=TODAY)
-    return IG.validation_summary(batch, errors)
+    errors = IG.validate_records(batch, known, today=TODAY, max_count=C.MAX_PLAUSIBLE_DAILY_COUNT)
+    return IG.validation_summary(batch, errors, C.MAX_RECORDS_PER_BATCH)
 
 
 def upserted(spark, sf, sync_type="incremental") -> DataFrame:
@@ -169,6 +169,6 @@ def q_drift_check(spark, sf):
 @register("stream_daily_counts", "WITH " + O.VIEWS["ingest_batch"]
           + " SELECT date, series_key, CAST(cnt AS BIGINT) AS cnt FROM ingest_batch")
 def q_stream_daily_counts(spark, sf):
-    """2.13: streaming daily counts (file source, watermark, update mode, foreachBatch upsert)."""
+    """2.13: streaming daily counts (file source, additive partial counts per epoch)."""
     from planwell.streaming.volume_stream import stream_daily_counts
     return stream_daily_counts(spark, sf)

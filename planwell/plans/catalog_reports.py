@@ -82,7 +82,7 @@ od AS ({_OD_SEL}
   SELECT 'course' AS dimension, series_key AS label, CAST(SUM(cnt) AS BIGINT) AS count,
     round(SUM(cnt) / (SELECT SUM(cnt) FROM volume) * 100.0, 1) AS percentage,
     CAST(row_number() OVER (ORDER BY SUM(cnt) DESC, series_key) AS INTEGER) AS rank
-  FROM volume GROUP BY series_key QUALIFY rank <= 21),
+  FROM volume GROUP BY series_key),
 ag AS ({_AG_SEL})
 SELECT 'applicant_trend_over_time' AS chart, CAST(t AS INTEGER) AS ord, strftime(month, '%b %Y') AS label,
   round(y, 1) AS value, CAST(NULL AS DOUBLE) AS percentage

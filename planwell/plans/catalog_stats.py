@@ -78,7 +78,7 @@ def q_distribution(spark, sf):
 @register("weighted_distribution", "WITH " + VOL + """
 SELECT series_key AS label, CAST(SUM(cnt) AS BIGINT) AS count,
   round(SUM(cnt) / (SELECT SUM(cnt) FROM volume) * 100.0, 1) AS percentage
-FROM volume GROUP BY series_key ORDER BY count DESC, label LIMIT 21""")
+FROM volume GROUP BY series_key""")
 def q_weighted_distribution(spark, sf):
     return ST.weighted_distribution(daily(spark, sf))
 
@@ -288,7 +288,7 @@ UNION ALL
 SELECT 'course' AS dimension, series_key AS label, CAST(SUM(cnt) AS BIGINT) AS count,
   round(SUM(cnt) / (SELECT SUM(cnt) FROM volume) * 100.0, 1) AS percentage,
   CAST(row_number() OVER (ORDER BY SUM(cnt) DESC, series_key) AS INTEGER) AS rank
-FROM volume GROUP BY series_key QUALIFY rank <= 21""")
+FROM volume GROUP BY series_key""")
 def q_org_distributions(spark, sf):
     """Organisation distributions (demographics from learners, course from volume)."""
     from pyspark.sql import Window

@@ -44,8 +44,8 @@ VIEWS = {
        JOIN part ON l_partkey = p_partkey)""",
     "predictions": """predictions AS (
   SELECT l.doc_id, CAST(l.quality AS INTEGER) AS label,
-         l.toxic * 0.5 + CAST(least(d.n_chars, 20000) AS DOUBLE) / 40000.0 AS score,
-         CAST(l.toxic * 0.5 + CAST(least(d.n_chars, 20000) AS DOUBLE) / 40000.0 >= 0.25 AS INTEGER) AS pred
+         l.toxic * 0.5 + 0.5::DOUBLE * (CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + 20000.0::DOUBLE)) AS score,
+         CAST(l.toxic * 0.5 + 0.5::DOUBLE * (CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + 20000.0::DOUBLE)) >= 0.25 AS INTEGER) AS pred
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)""",
 }
 

@@ -60,6 +60,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, by the file system that Spark would read it with; other errors are raised."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def checkpoint(df, compression: str = "zstd"):
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and cut its lineage.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planwell import config as C
+from planwell.session import path_exists
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -58,11 +59,9 @@ def optional_table(spark: SparkSession, path: str | None, schema: T.StructType,
     empty = spark.createDataFrame([], schema)
     if not path:
         return empty
-    try:
-        df = spark.read.schema(schema).parquet(path)
-        df.schema  # noqa: B018 - resolves the path
-    except Exception:  # AnalysisException for a missing path
+    if not path_exists(spark, path):
         return empty
+    df = spark.read.schema(schema).parquet(path)
     if required and required not in df.columns:
         return empty
     return df
@@ -179,7 +178,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed prediction table (label, score, pred) so metrics have an SQL oracle."""
     base = ml_labelled(spark, sf_dir)
     score = (F.col("toxic") * F.lit(0.5)
-             + F.least(F.col("n_chars"), F.lit(20000)).cast("double") / F.lit(40000.0))
+             + F.lit(0.5) * (F.col("n_chars") / (F.col("n_chars") + F.lit(20000.0))))
     return base.select(
         "doc_id",
         F.col("quality").cast("int").alias("label"),

@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+import pytest
 from planwell.operators import ingest as IG
 
 REC = "idx long, date string, course string, applicant_count long"
@@ -25,7 +26,7 @@ def test_duplicates_future_and_implausible(spark):
     batch = spark.createDataFrame([(0, "2026-01-02", "A", 1), (1, "2026-01-02", "A", 2),
                                    (2, "2030-01-01", "A", 1), (3, "2026-01-05", "A", 5000)], REC)
     known = spark.createDataFrame([("A",)], "series_key string")
-    rules = sorted((e.idx, e.rule) for e in IG.validate_records(batch, known, today="2026-06-01").collect())
+    rules = sorted((e.idx, e.rule) for e in IG.validate_records(batch, known, today="2026-06-01", max_count=1000).collect())
     assert rules == [(1, "duplicate"), (2, "future"), (3, "implausible")]
 
 
@@ -113,3 +114,30 @@ def test_csv_sources_map_columns_and_check_headers(spark):
     vol.select("date").coalesce(1).write.option("header", True).csv(os.path.join(root, "bad"))
     with _pytest.raises(ValueError):
         TB.read_volume_csv(spark, os.path.join(root, "bad"))
+
+
+def test_a_failing_pointer_read_leaves_the_table_alone(spark, tmp_path, monkeypatch):
+    """Only a missing pointer means "no table yet"; any other failure is raised."""
+    root = str(tmp_path / "volume")
+    assert IG.current_path(spark, root) is None
+    IG.write_version(spark.createDataFrame([("2025-01-01", "A", 1)], "date string, series_key string, cnt long"), root)
+    before = IG.current_path(spark, root)
+
+    def fail(*_):
+        raise OSError("store not reachable")
+
+    with monkeypatch.context() as m:
+        m.setattr(IG, "path_exists", fail)
+        with pytest.raises(OSError):
+            IG.read_current(spark, root)
+    assert IG.current_path(spark, root) == before and IG.read_current(spark, root).count() == 1
+
+
+def test_limits_are_off_unless_set(spark):
+    batch = spark.range(10_001).select(F.col("id").alias("idx"), F.lit("2025-01-01").alias("date"),
+                                       F.format_string("k%s", "id").alias("course"), F.lit(5000).cast("long").alias("applicant_count"))
+    known = batch.select(F.col("course").alias("series_key"))
+    s = IG.validation_summary(batch, IG.validate_records(batch, known)).first()
+    assert s.accepted and s.n_implausible == 0 and not s.too_many_records
+    s = IG.validation_summary(batch, IG.validate_records(batch, known, max_count=1000), 10_000).first()
+    assert not s.accepted and s.n_implausible == 10_001 and s.too_many_records

@@ -1,35 +1,40 @@
-"""Streaming daily counts: late rows inside the watermark correct an already emitted day."""
+"""Streaming daily counts equal the batch result in any order of arrival, over a file or a folder."""
 
 import os
 import tempfile
-import time
 
 from pyspark.sql import functions as F
 
-from planwell.operators.ingest import keep_last
 from planwell.sources import tables as T
 from planwell.streaming import volume_stream as VS
 
 from conftest import SF_SMALL
 
 
-def test_late_rows_correct_the_day(spark):
+def same(got, want):
+    return got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def wanted(spark):
+    return VS.daily_counts(T.table(spark, SF_SMALL, "events"))
+
+
+def test_unordered_files_lose_no_rows(spark):
     root = tempfile.mkdtemp(prefix="planwell-stream-")
-    src = os.path.join(root, "src")
+    src = os.path.join(root, "events.parquet")
     events = T.table(spark, SF_SMALL, "events")
-    late = (F.to_date("ts") == F.lit("2024-01-19").cast("date")) & (F.col("event_id") % 2 == 0)
-    first = events.where((F.to_date("ts") < F.lit("2024-01-20").cast("date")) & ~late)
-    second = events.where(~((F.to_date("ts") < F.lit("2024-01-20").cast("date")) & ~late))
-    first.coalesce(1).write.mode("append").parquet(src)
-    time.sleep(1.1)  # the file source orders files by modification time
-    second.coalesce(1).write.mode("append").parquet(src)
+    for part in (2, 0, 3, 1):  # each file spans all days
+        events.where(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(src)
     table_dir = os.path.join(root, "table")
-    q = VS.run_to_table(spark, src, table_dir, os.path.join(root, "ckpt"), file_glob="*.parquet",
-                        max_files_per_trigger=1)
+    q = VS.run_to_table(spark, src, table_dir, os.path.join(root, "ckpt"), max_files_per_trigger=1)
     q.awaitTermination()
-    raw = spark.read.parquet(table_dir)
-    day19 = raw.where(F.col("date") == F.lit("2024-01-19").cast("date")).select("batch_seq").distinct().count()
-    assert day19 == 2  # emitted by the first epoch, corrected by the second
-    got = keep_last(raw).select("date", "series_key", "cnt")
-    want = T.ingest_batch(spark, SF_SMALL).select("date", "series_key", F.col("cnt").cast("long"))
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert spark.read.parquet(table_dir).select("batch_seq").distinct().count() == 4
+    assert same(VS.read_table(spark, table_dir), wanted(spark))
+    assert same(VS.stream_daily_counts(spark, root), wanted(spark))
+
+
+def test_one_file_and_an_empty_folder(spark):
+    assert same(VS.stream_daily_counts(spark, SF_SMALL), wanted(spark))
+    root = tempfile.mkdtemp(prefix="planwell-stream-")
+    os.mkdir(os.path.join(root, "events.parquet"))
+    assert VS.stream_daily_counts(spark, root).collect() == []
