@@ -184,15 +184,9 @@ def site_profile(learners: DataFrame, site: str) -> dict[str, DataFrame]:
 
 
 def evaluation(vol: Volume) -> DataFrame:
-    """GET /forecast/evaluation (M7): overall and per key."""
-    overall = ST.forecast_metrics(arima.walk_forward(vol.weekly_total(), [], "week"), [])
-    per = ST.forecast_metrics(arima.walk_forward(vol.weekly(), ["series_key"], "week"), ["series_key"])
-    sp = SR.chrono_split(vol.weekly(), ["series_key"], "week").select("series_key", "split")
-    j = sp.join(per, "series_key", "left")
-    return (overall.select(F.lit(None).cast("string").alias("series_key"), "mape", "mae", "rmse",
-                           "test_periods", S.mape_class("mape").alias("assessment"))
-            .unionByName(j.select("series_key", "mape", "mae", "rmse", "test_periods",
-                                  S.mape_class("mape").alias("assessment"))))
+    """GET /forecast/evaluation (M7): overall and per key, with skip reasons and period ranges."""
+    sub = Volume(checkpoint(vol.daily), vol.cutoff)
+    return RP.evaluation(sub.weekly(), sub.weekly_total())
 
 
 def ingest(spark: SparkSession, batch: DataFrame, root: str, sync_type: str = "incremental",
@@ -252,7 +246,9 @@ def applicant_volume(vol: Volume, period: str = "next_month", course: str | None
     mean = wt.select(F.avg("y")).scalar()
     conf = om.select(S.confidence_by_error(F.col("mae"), mean).alias("confidence_level"))
     pick = F.col("forecast_period") == period
-    return {"summary": RP.volume_forecast(hist, fc, conf, round_steps=course is None).where(pick),
+    report = RP.volume_forecast(hist, fc, conf, round_steps=course is None).where(pick)
+    return {"summary": report,
+            "insights": RP.volume_insights(report, f"course '{course}'" if course else "The organisation"),
             "buckets": RP.volume_forecast_buckets(fc, monthly, round_steps=course is None).where(pick),
             "history": SR.tail(monthly, [], C.CHART_MONTHS, "month").select(
                 S.month_label("month").alias("period"), F.round("y", 1).alias("applicants"))}

@@ -45,6 +45,13 @@ CONFIDENCE_MEDIUM_RATIO = 0.15
 HOLDOUT_MONTHS = 6
 HOLDOUT_MIN_EXTRA = 3                # a series needs more than 6 + 3 points
 
+# --- fixed values: sentences of the planning insights -----------------------
+INSIGHT_TOTAL = "%s is projected to receive %s applicants during the %s planning window."
+INSIGHT_INCREASE = "Applicant volume is expected to increase by %s%% compared with the equivalent previous period."
+INSIGHT_DECREASE = "Applicant volume is expected to decrease by %s%% compared with the equivalent previous period."
+INSIGHT_STABLE = "Applicant volume is expected to remain stable compared with the equivalent previous period."
+INSIGHT_PEAK = "Peak weekly demand is projected in week %s with approximately %s applicants."
+
 # --- fixed values: ingestion and retraining --------------------------------
 RETRAIN_MIN_NEW_DAYS = 30
 FULL_SYNC_NEW_DAYS = 999

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from planwell import config as C
 from planwell.functions import scalars as S
 from planwell.operators import arima, series as SR, stats as ST
-from planwell.plans import oracle as O
+from planwell.plans import oracle as O, reports as RP
 from planwell.plans.catalog import CUT, VOL, WEEKLY, WTOTAL, W, daily_table, register, weekly
 from planwell.sources import tables as T
 
@@ -127,34 +127,7 @@ def q_backtest_report(spark, sf):
     """M7: overall (total series fitted on its own) + every key, with skip reasons."""
     # keyed and total series both come from one materialised daily table (one raw scan)
     d = daily_table(spark, sf)
-    wk, wt = SR.weekly_series(d, CUT), SR.weekly_total(d, CUT)
-    ranges = SR.chrono_split(wt, [], "week").select(F.struct("training_period", "testing_period")).scalar()
-    overall = ST.forecast_metrics(arima.walk_forward(wt, [], "week"), [])
-    overall = overall.select(
-        F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("series_key"),
-        "mape", "mae", "rmse", F.col("test_periods").cast("long").alias("test_periods"),
-        F.col("mape_periods").cast("long").alias("mape_periods"),
-        S.mape_class(F.col("mape")).alias("assessment"), F.lit("evaluated").alias("status"),
-        F.lit(None).cast("string").alias("reason"),
-        ranges["training_period"].alias("training_period"), ranges["testing_period"].alias("testing_period"))
-    km = ST.forecast_metrics(arima.walk_forward(wk, ["series_key"], "week"), ["series_key"])
-    sp = SR.chrono_split(wk, ["series_key"], "week").select(
-        "series_key", "split", "training_period", "testing_period")
-    j = sp.join(km, "series_key", "left")
-    short = F.col("split") < C.MIN_TRAINING_PERIODS
-    none = F.col("test_periods").isNull()
-    per = j.select(
-        F.lit("series").alias("scope"), "series_key", "mape", "mae", "rmse",
-        F.coalesce("test_periods", F.lit(0)).cast("long").alias("test_periods"),
-        F.coalesce("mape_periods", F.lit(0)).cast("long").alias("mape_periods"),
-        F.when(none, F.lit(None).cast("string")).otherwise(S.mape_class(F.col("mape"))).alias("assessment"),
-        F.when(short | none, F.lit("skipped")).otherwise(F.lit("evaluated")).alias("status"),
-        F.when(short, F.format_string(f"Insufficient training history (%d < {C.MIN_TRAINING_PERIODS} weeks).",
-                                      F.col("split")))
-        .when(none, F.lit("No successful walk-forward forecasts were produced.")).alias("reason"),
-        "training_period", "testing_period")
-    # MAPE ascending, nulls last
-    return overall.unionByName(per).orderBy(F.col("scope"), F.col("mape").asc_nulls_last())
+    return RP.evaluation(SR.weekly_series(d, CUT), SR.weekly_total(d, CUT))
 
 
 @register("confidence_level", W(VOL, WTOTAL, WFT) + f""", om AS ({metrics_sql("wft", [])})

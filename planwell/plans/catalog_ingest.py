@@ -54,22 +54,47 @@ def incoming_records(spark, sf) -> DataFrame:
     return IG.records_from_daily(incoming_daily(spark, sf))
 
 
-@register("ingest_validation", "WITH " + S_SQL + ", " + I_SQL + f"""
+# A batch with every kind of fault: one record per event, faulty by a fixed rule on its id.
+FAULTY_SQL = f"""f AS (SELECT event_id AS idx,
+  CASE WHEN event_id % 97 = 0 THEN strftime(ts, '%d/%m/%Y') WHEN event_id % 79 = 0 THEN '2031-01-01' ELSE strftime(ts, '%Y-%m-%d') END AS date,
+  CASE WHEN event_id % 83 = 0 THEN 'unknown ' || event_type ELSE event_type END AS course,
+  CASE WHEN event_id % 89 = 0 THEN -1 WHEN event_id % 73 = 0 THEN {C.MAX_PLAUSIBLE_DAILY_COUNT + 1} ELSE event_id % 40 END AS n
+  FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL AND event_id IS NOT NULL AND CAST(ts AS DATE) >= DATE '{INCOMING_FROM}'),
+e AS (SELECT *, try_strptime(date, '%Y-%m-%d') IS NULL AS bad_date, n < 0 AS negative,
+  course NOT IN (SELECT series_key FROM s) AS unknown, idx > min(idx) OVER (PARTITION BY date, course) AS repeated,
+  coalesce(CAST(try_strptime(date, '%Y-%m-%d') AS DATE) > DATE '{TODAY}', FALSE) AS future,
+  n > {C.MAX_PLAUSIBLE_DAILY_COUNT} AS implausible FROM f)"""
+
+
+def faulty_records(spark, sf) -> DataFrame:
+    ev = T.table(spark, sf, "events").select("event_id", "ts", "event_type").where(
+        F.col("ts").isNotNull() & F.col("event_type").isNotNull() & F.col("event_id").isNotNull()
+        & (F.to_date("ts") >= F.lit(INCOMING_FROM).cast("date")))
+
+    def every(n):
+        return F.col("event_id") % n == 0
+
+    return ev.select(
+        F.col("event_id").alias("idx"),
+        F.when(every(97), F.date_format("ts", "dd/MM/yyyy")).when(every(79), F.lit("2031-01-01"))
+        .otherwise(F.date_format("ts", IG.DATE_FORMAT)).alias("date"),
+        F.when(every(83), F.concat(F.lit("unknown "), F.col("event_type"))).otherwise(F.col("event_type")).alias("course"),
+        F.when(every(89), F.lit(-1)).when(every(73), F.lit(C.MAX_PLAUSIBLE_DAILY_COUNT + 1))
+        .otherwise(F.col("event_id") % 40).cast("long").alias("applicant_count"))
+
+
+@register("ingest_validation", "WITH " + S_SQL + ", " + FAULTY_SQL + f"""
 SELECT CAST(count(*) AS BIGINT) AS records_received,
-  CAST(count(*) - count(*) FILTER (WHERE series_key NOT IN (SELECT series_key FROM s)
-     OR cnt < 0 OR cnt > {C.MAX_PLAUSIBLE_DAILY_COUNT} OR date > DATE '{TODAY}') AS BIGINT) AS records_valid,
-  CAST(0 AS BIGINT) AS n_date, CAST(count(*) FILTER (WHERE cnt < 0) AS BIGINT) AS n_applicant_count,
-  CAST(count(*) FILTER (WHERE series_key NOT IN (SELECT series_key FROM s)) AS BIGINT) AS n_course,
-  CAST(0 AS BIGINT) AS n_duplicate,
-  CAST(count(*) FILTER (WHERE date > DATE '{TODAY}') AS BIGINT) AS n_future,
-  CAST(count(*) FILTER (WHERE cnt > {C.MAX_PLAUSIBLE_DAILY_COUNT}) AS BIGINT) AS n_implausible,
+  CAST(count(*) FILTER (WHERE NOT (bad_date OR negative OR unknown OR repeated OR future OR implausible)) AS BIGINT) AS records_valid,
+  CAST(count(*) FILTER (WHERE bad_date) AS BIGINT) AS n_date, CAST(count(*) FILTER (WHERE negative) AS BIGINT) AS n_applicant_count,
+  CAST(count(*) FILTER (WHERE unknown) AS BIGINT) AS n_course, CAST(count(*) FILTER (WHERE repeated) AS BIGINT) AS n_duplicate,
+  CAST(count(*) FILTER (WHERE future) AS BIGINT) AS n_future, CAST(count(*) FILTER (WHERE implausible) AS BIGINT) AS n_implausible,
   count(*) > {C.MAX_RECORDS_PER_BATCH} AS too_many_records,
-  count(*) FILTER (WHERE series_key NOT IN (SELECT series_key FROM s) OR cnt < 0
-     OR cnt > {C.MAX_PLAUSIBLE_DAILY_COUNT} OR date > DATE '{TODAY}') = 0
-     AND count(*) <= {C.MAX_RECORDS_PER_BATCH} AS accepted
-FROM i""")
+  count(*) FILTER (WHERE bad_date OR negative OR unknown OR repeated OR future OR implausible) = 0
+    AND count(*) <= {C.MAX_RECORDS_PER_BATCH} AS accepted FROM e""")
 def q_ingest_validation(spark, sf):
-    batch = incoming_records(spark, sf)
+    """A batch in which every rule fires."""
+    batch = faulty_records(spark, sf)
     known = stored_rows(spark, sf).select("series_key").distinct()
     errors = IG.validate_records(batch, known, today=TODAY, max_count=C.MAX_PLAUSIBLE_DAILY_COUNT)
     return IG.validation_summary(batch, errors, C.MAX_RECORDS_PER_BATCH)
@@ -138,6 +163,41 @@ def q_retrain_decision(spark, sf):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@register("retrain_criteria", "WITH " + S_SQL + ", " + I_SQL + ", " + U_SQL + f""",
+k AS (SELECT count(DISTINCT date) FILTER (WHERE date > (SELECT max(date) FROM s)) AS n,
+  date_diff('day', (SELECT max(date) FROM s), max(date)) AS since FROM u),
+d AS (SELECT (a.m - b.m) / b.m * 100.0 AS drift FROM
+  (SELECT avg(c) AS m FROM (SELECT date, CAST(sum(cnt) AS DOUBLE) AS c FROM i GROUP BY date)) a,
+  (SELECT avg(c) AS m FROM (SELECT date, CAST(sum(cnt) AS DOUBLE) AS c FROM s GROUP BY date)) b)
+SELECT 'schedule' AS criterion, CAST(n AS BIGINT) AS new_days, n >= {C.RETRAIN_MIN_NEW_DAYS} OR since >= {C.RETRAIN_MAX_DAYS_SINCE_TRAINING} AS should_retrain,
+  CASE WHEN n >= {C.RETRAIN_MIN_NEW_DAYS} THEN 'Sufficient new data (' || n || ' new days >= {C.RETRAIN_MIN_NEW_DAYS} threshold)'
+    WHEN since >= {C.RETRAIN_MAX_DAYS_SINCE_TRAINING} THEN 'Scheduled retraining (' || since || ' days since last)'
+    ELSE 'No retraining needed (' || n || ' new days < {C.RETRAIN_MIN_NEW_DAYS} threshold)' END AS reason FROM k
+UNION ALL SELECT 'drift', CAST(n AS BIGINT), n >= {C.RETRAIN_MIN_NEW_DAYS} OR abs(drift) > {C.RETRAIN_DRIFT_PERCENT},
+  CASE WHEN n >= {C.RETRAIN_MIN_NEW_DAYS} THEN 'Sufficient new data (' || n || ' new days >= {C.RETRAIN_MIN_NEW_DAYS} threshold)'
+    WHEN abs(drift) > {C.RETRAIN_DRIFT_PERCENT} THEN 'Significant volume drift (' || printf('%+.1f', drift) || '%)'
+    ELSE 'No retraining needed (' || n || ' new days < {C.RETRAIN_MIN_NEW_DAYS} threshold)' END FROM k, d""")
+def q_retrain_criteria(spark, sf):
+    """The days since the stored data ended, and the drift of the mean daily volume, as reasons."""
+    stored, table = stored_rows(spark, sf), upserted(spark, sf)
+    end = stored.select(F.max("date")).scalar()
+
+    def mean_daily(df):
+        return df.groupBy("date").agg(F.sum("cnt").cast("double").alias("c")).select(F.avg("c")).scalar()
+
+    before = mean_daily(stored)
+    facts = table.agg(F.countDistinct(F.when(F.col("date") > end, F.col("date"))).alias("new_days"),
+                      F.max("date").alias("last")).select(
+        "new_days", F.datediff("last", end).alias("since"),
+        ((mean_daily(incoming_daily(spark, sf)) - before) / before * F.lit(100.0)).alias("drift"))
+    out = []
+    for name, given in (("schedule", {"days_since_training": F.col("since")}), ("drift", {"drift_percent": F.col("drift")})):
+        days, should, reason = IG.retrain_decision(F.col("new_days"), **given)
+        out.append(facts.select(F.lit(name).alias("criterion"), days.cast("long").alias("new_days"),
+                                should.alias("should_retrain"), reason.alias("reason")))
+    return out[0].unionByName(out[1])
+
+
 @register("drift_check", W(VOL, WEEKLY, FIT, FCAST) + f""",
 act AS (SELECT series_key, CAST(date_trunc('week', date) + INTERVAL 6 DAY AS DATE) AS week, SUM(cnt) AS y
   FROM volume WHERE date > DATE '{CUT}' GROUP BY ALL),

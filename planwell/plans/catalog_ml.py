@@ -69,7 +69,16 @@ def q_model_metrics(spark, sf):
     return Context(spark, sf).metrics()
 
 
-@register("model_metadata")
+@register("model_metadata", "WITH " + LEARN + f""", c AS (SELECT count(*) AS n FROM learners GROUP BY outcome)
+SELECT CAST(count(*) AS BIGINT) AS n_records,
+  CAST(count(*) - (SELECT sum(ceil(n * {C.TEST_FRACTION})) FROM c) AS BIGINT) AS n_train,
+  CAST((SELECT sum(ceil(n * {C.TEST_FRACTION})) FROM c) AS BIGINT) AS n_test,
+  CAST(count(DISTINCT site) AS BIGINT) AS n_sites, CAST(count(DISTINCT course) AS BIGINT) AS n_courses,
+  CAST(count(*) FILTER (WHERE outcome = 'Graduate') AS BIGINT) AS n_graduate,
+  CAST(count(*) FILTER (WHERE outcome = 'Dropout') AS BIGINT) AS n_dropout,
+  CAST({len(C.FEATURE_COLUMNS)} AS INTEGER) AS n_features, CAST({C.FOREST_TREES} AS INTEGER) AS num_trees,
+  CAST({C.FOREST_MAX_DEPTH} AS INTEGER) AS max_depth, CAST({C.FOREST_MIN_LEAF} AS INTEGER) AS min_instances_per_node,
+  CAST({C.FOREST_SEED} AS INTEGER) AS seed FROM learners""")
 def q_model_metadata(spark, sf):
     """One metadata row beside the model."""
     return Context(spark, sf).metadata()

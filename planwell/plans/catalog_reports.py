@@ -10,7 +10,7 @@ from planwell.operators import arima, series as SR, stats as ST
 from planwell.plans import forecasting as FC
 from planwell.plans import reports as RP
 from planwell.plans.catalog import (COURSE_FORECASTS_SQL, CUT, FCAST, FIT, MSERIES, MTOTAL, SUMS, TAILS, VOL,
-                                    WEEKLY, WTOTAL, W, daily, daily_table, growth_sql, register)
+                                    WEEKLY, WTOTAL, W, daily, daily_table, growth_sql, register, ORACLE)
 from planwell.plans.catalog_backtest import (M2, TWO, V2, WFT, HOLD, confidence_table, metrics_sql,
                                              two_key_series)
 from planwell.plans.catalog_stats import LEARN, ORG_DIMS, age_sql, dist_sql
@@ -186,6 +186,20 @@ def q_volume_forecast(spark, sf):
     return RP.volume_forecast(wt, fc, confidence_table(spark, sf, wt))
 
 
+@register("volume_insights", ORACLE["volume_forecast"].replace("\nSELECT a.forecast_period, a.label", ",\nvf AS (SELECT a.forecast_period, a.label", 1) + """)
+SELECT forecast_period, CAST(1 AS INTEGER) AS ord, 'The organisation is projected to receive ' || format('{:,.0f}', total_predicted_applicants)
+  || ' applicants during the ' || lower(planning_period_label) || ' planning window.' AS text FROM vf
+UNION ALL SELECT forecast_period, 2, CASE growth_direction
+  WHEN 'growth' THEN 'Applicant volume is expected to increase by ' || CAST(abs(growth_percentage) AS VARCHAR) || '% compared with the equivalent previous period.'
+  WHEN 'decline' THEN 'Applicant volume is expected to decrease by ' || CAST(abs(growth_percentage) AS VARCHAR) || '% compared with the equivalent previous period.'
+  ELSE 'Applicant volume is expected to remain stable compared with the equivalent previous period.' END FROM vf
+UNION ALL SELECT forecast_period, 3, 'Peak weekly demand is projected in week ' || peak_week || ' with approximately '
+  || format('{:,.0f}', peak_value) || ' applicants.' FROM vf WHERE peak_week IS NOT NULL""")
+def q_volume_insights(spark, sf):
+    """The planning sentences of every planning period."""
+    return RP.volume_insights(q_volume_forecast(spark, sf))
+
+
 BUCKETS_PERIODS = " UNION ALL ".join(
     f"SELECT '{k}' AS forecast_period, {v} AS steps" for k, v in C.PREDICT_PERIODS.items())
 

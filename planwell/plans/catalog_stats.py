@@ -299,6 +299,31 @@ def q_org_distributions(spark, sf):
     return demo.unionByName(course)
 
 
+@register("org_profile", "WITH " + LEARN + ", " + VOL + """
+SELECT CAST((SELECT sum(cnt) FROM volume) AS BIGINT) AS total_applicants,
+  (SELECT series_key FROM volume GROUP BY 1 ORDER BY sum(cnt) DESC, series_key LIMIT 1) AS most_popular_course,
+  (SELECT employment FROM learners WHERE employment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, employment LIMIT 1) AS most_common_employment_status,
+  (SELECT education FROM learners WHERE education IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, education LIMIT 1) AS most_common_educational_attainment""")
+def q_org_profile(spark, sf):
+    """The organisation's key facts beside its distributions."""
+    from planwell.operators import series as SR
+    volume = daily(spark, sf)
+    return learners(spark, sf).agg(
+        volume.select(F.sum("cnt")).scalar().cast("long").alias("total_applicants"),
+        SR.most_popular(volume).select("series_key").scalar().alias("most_popular_course"),
+        ST.mode_of("employment").alias("most_common_employment_status"),
+        ST.mode_of("education").alias("most_common_educational_attainment"))
+
+
+@register("unknown_categories", "WITH " + LEARN + """
+SELECT coalesce(nullif(employment, 'A'), 'Unknown') AS employment, CAST(count(*) AS BIGINT) AS n FROM learners GROUP BY 1""")
+def q_unknown_categories(spark, sf):
+    """Records whose category is null count as 'Unknown' (one employment status is made null here)."""
+    from planwell.operators import ml as ML
+    missing = learners(spark, sf).withColumn("employment", F.nullif("employment", F.lit("A")))
+    return ML.clean_features(missing).groupBy("employment").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("site_participation", "WITH " + LEARN + ", " + SITE_EVIDENCE_SQL + """
 SELECT course, site, historical_applicant_count AS historical_applicants,
   historical_participation_percentage, data_reliability FROM site_ev""")

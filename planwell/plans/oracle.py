@@ -35,7 +35,7 @@ VIEWS = {
     "learners": """learners AS (
   SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS record_id,
          n_name AS site, p_brand AS course, CAST(p_size AS INTEGER) AS age,
-         l_linestatus AS sex, o_orderpriority AS education, l_returnflag AS employment,
+         CASE l_linestatus WHEN 'O' THEN 'Male' WHEN 'F' THEN 'Female' END AS sex, o_orderpriority AS education, l_returnflag AS employment,
          p_type AS skill, c_mktsegment AS career, o_orderstatus AS classification,
          CASE WHEN l_quantity * (1.0 - l_discount) >= 24.0 THEN 'Graduate' ELSE 'Dropout' END AS outcome
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from planwell import config as C
 from planwell.functions import scalars as S
-from planwell.operators import series as SR
+from planwell.operators import arima, series as SR, stats as ST
 from planwell.plans import forecasting as FC
 
 SUMMARY_POINTS = [("Next Week", 1), ("Next Month (~4 weeks)", 4), ("Next Quarter (~13 weeks)", 13)]
@@ -212,3 +212,50 @@ def volume_forecast(wtotal: DataFrame, fc: DataFrame, confidence: DataFrame, rou
         F.when(F.col("steps") > 1, F.col("peak_week")).cast("int").alias("peak_week"),
         F.when(F.col("steps") > 1, F.col("peak_value")).alias("peak_value"),
         F.greatest(F.lit(1), F.floor(F.col("steps") / F.lit(C.WEEKS_PER_BUCKET))).cast("int").alias("n_buckets"))
+
+
+def volume_insights(report: DataFrame, subject: str = "The organisation") -> DataFrame:
+    """The planning sentences on total, direction and peak week, as (forecast_period, ord, text) rows."""
+    change = F.abs("growth_percentage").cast("string")
+    texts = F.array(
+        F.format_string(C.INSIGHT_TOTAL, F.lit(subject), S.fmt_int("total_predicted_applicants"),
+                        F.lower("planning_period_label")),
+        F.when(F.col("growth_direction") == "growth", F.format_string(C.INSIGHT_INCREASE, change))
+        .when(F.col("growth_direction") == "decline", F.format_string(C.INSIGHT_DECREASE, change))
+        .otherwise(F.lit(C.INSIGHT_STABLE)),
+        F.when(F.col("peak_week").isNotNull(), F.format_string(C.INSIGHT_PEAK, F.col("peak_week").cast("string"),
+                                                               S.fmt_int("peak_value"))))
+    rows = report.select("forecast_period", F.posexplode(texts).alias("pos", "text"))
+    return rows.where(F.col("text").isNotNull()).select("forecast_period", (F.col("pos") + 1).alias("ord"), "text")
+
+
+def evaluation(weekly: DataFrame, wtotal: DataFrame) -> DataFrame:
+    """M7: the overall backtest (the total series fitted on its own) and that of every key; keys that
+    cannot be evaluated are listed as skipped with the reason."""
+    ranges = SR.chrono_split(wtotal, [], "week").select(F.struct("training_period", "testing_period")).scalar()
+    overall = ST.forecast_metrics(arima.walk_forward(wtotal, [], "week"), [])
+    overall = overall.select(
+        F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("series_key"),
+        "mape", "mae", "rmse", F.col("test_periods").cast("long").alias("test_periods"),
+        F.col("mape_periods").cast("long").alias("mape_periods"),
+        S.mape_class(F.col("mape")).alias("assessment"), F.lit("evaluated").alias("status"),
+        F.lit(None).cast("string").alias("reason"),
+        ranges["training_period"].alias("training_period"), ranges["testing_period"].alias("testing_period"))
+    per_key = ST.forecast_metrics(arima.walk_forward(weekly, ["series_key"], "week"), ["series_key"])
+    split = SR.chrono_split(weekly, ["series_key"], "week").select(
+        "series_key", "split", "training_period", "testing_period")
+    # a single period cannot be split at all: that is a short history too
+    short = F.coalesce(F.col("split"), F.lit(0)) < C.MIN_TRAINING_PERIODS
+    none = F.col("test_periods").isNull()
+    per_key = split.join(per_key, "series_key", "left").select(
+        F.lit("series").alias("scope"), "series_key", "mape", "mae", "rmse",
+        F.coalesce("test_periods", F.lit(0)).cast("long").alias("test_periods"),
+        F.coalesce("mape_periods", F.lit(0)).cast("long").alias("mape_periods"),
+        F.when(none, F.lit(None).cast("string")).otherwise(S.mape_class(F.col("mape"))).alias("assessment"),
+        F.when(short | none, F.lit("skipped")).otherwise(F.lit("evaluated")).alias("status"),
+        F.when(short, F.format_string(f"Insufficient training history (%d < {C.MIN_TRAINING_PERIODS} weeks).",
+                                      F.coalesce(F.col("split"), F.lit(0))))
+        .when(none, F.lit("No successful walk-forward forecasts were produced.")).alias("reason"),
+        "training_period", "testing_period")
+    # MAPE ascending, nulls last
+    return overall.unionByName(per_key).orderBy(F.col("scope"), F.col("mape").asc_nulls_last())

@@ -157,7 +157,7 @@ def learners(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("site"),
         F.col("p_brand").alias("course"),
         F.col("p_size").cast("int").alias("age"),
-        F.col("l_linestatus").alias("sex"),
+        F.when(F.col("l_linestatus") == "O", C.MALE_LABEL).when(F.col("l_linestatus") == "F", C.FEMALE_LABEL).alias("sex"),
         F.col("o_orderpriority").alias("education"),
         F.col("l_returnflag").alias("employment"),
         F.col("p_type").alias("skill"),
