@@ -84,6 +84,17 @@ def test_dashboard_profile_evaluation_detail(spark, vol):
     assert api.course_detail(vol, key).count() == 1
 
 
+def test_evaluation_lists_short_series_as_skipped(spark):
+    days = [(f"2001-{1 + w // 4:02d}-{1 + 7 * (w % 4):02d}", "LONG", 5 + w % 3) for w in range(40)]
+    rows = [*days, *[(d, "SHORT", 1) for d, _, _ in days[:5]], (days[0][0], "ONE", 1)]
+    daily = spark.createDataFrame(rows, "date string, series_key string, cnt long").withColumn("date", F.to_date("date"))
+    got = {r.series_key: r for r in api.evaluation(api.Volume(daily, "2001-12-31")).collect()}
+    assert got[None].scope == "overall" and got["LONG"].status == "evaluated" and got["LONG"].mape is not None
+    for key in ("SHORT", "ONE"):
+        assert got[key].status == "skipped" and got[key].assessment is None
+        assert got[key].reason.startswith("Insufficient training history")
+
+
 def test_applicant_volume_per_course_uses_unrounded_steps(spark, vol):
     key = vol.daily.select("series_key").orderBy("series_key").first()[0]
     out = api.applicant_volume(vol, "next_month", key)
@@ -91,6 +102,7 @@ def test_applicant_volume_per_course_uses_unrounded_steps(spark, vol):
     preds = [r.y_hat for r in vol.forecast().where((F.col("series_key") == key) & (F.col("step") <= 4)).collect()]
     assert row.total_predicted_applicants == round(sum(preds), 1)
     assert out["buckets"].count() == 1 and out["history"].count() <= 18
+    assert out["insights"].where("ord = 1").first().text.startswith(f"course '{key}' is projected")
     with pytest.raises(api.UnknownPeriodError):
         api.applicant_volume(vol, "next_week")
 

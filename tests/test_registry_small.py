@@ -13,7 +13,8 @@ from conftest import SF_SMALL
 FAST = ["daily_volume", "weekly_series", "monthly_total", "totals_rollup", "chrono_split", "arima_params",
         "arima_forecast", "course_forecasts", "walk_forward_total", "distribution", "age_distribution",
         "representative_profile", "site_evidence", "roc_auc", "classification_report", "upsert_volume",
-        "holdout_backtest", "stratified_split", "stream_daily_counts"]
+        "holdout_backtest", "stratified_split", "stream_daily_counts", "ingest_validation", "retrain_criteria",
+        "org_profile", "unknown_categories", "site_profile", "volume_insights"]
 
 
 def norm(v):
@@ -46,6 +47,13 @@ def test_query_matches_oracle(spark, con, name):
     assert got == want
 
 
+def test_rules_and_labels_are_not_vacuous(spark):
+    row = queries()["ingest_validation"](spark, SF_SMALL).first()
+    assert all(row[c] > 0 for c in row.__fields__ if c.startswith("n_")) and not row.accepted and row.records_valid > 0
+    sites = queries()["site_profile"](spark, SF_SMALL).selectExpr("sum(male_count) m", "sum(female_count) f", "sum(total_applicants) n").first()
+    assert sites.m > 0 and sites.f > 0 and sites.m + sites.f == sites.n
+
+
 def test_every_query_has_a_callable_and_sql_keys_are_known():
     assert set(oracle_sql()) <= set(queries())
     assert len(queries()) >= 60
