@@ -143,17 +143,19 @@ def q_home_dashboard(spark, sf):
     """Best site, top-5, count of sites >= 80 %, next-month total, for the most popular course."""
     ctx = Context(spark, sf)
     course = ctx.learners.groupBy("course").count().orderBy(F.desc("count"), F.asc("course")).limit(1)
-    ranked = ctx.ranking().join(course.select("course"), "course")
+    # only this course is scored
+    ranked = ctx.ranking(ST.representative_profile(ctx.learners).join(course.select("course"), "course"))
     fc = FC.weekly_forecast(FC.params(weekly(spark, sf)))
     nm = fc.agg(F.round(F.sum(F.when(F.col("step") <= C.STEPS_NEXT_MONTH, FC.cents())) / F.lit(100.0), 1)).scalar()
     agg = ranked.groupBy("course").agg(
         F.min_by("site", "rank").alias("best_site"),
         F.max("completion_probability").alias("completion_probability"),
         F.count_if(F.col("completion_probability") >= C.HIGH_PROBABILITY_THRESHOLD).alias("n_high"),
-        F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "site")))).alias("top5"))
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "site", F.col("completion_probability").alias("p"))))).alias("top5"))
     return agg.select(
         "course", "best_site", "completion_probability", nm.alias("forecast_next_month"),
         F.transform("top5", lambda x: x["site"]).alias("top_sites"),
+        F.transform("top5", lambda x: x["p"]).alias("top_probabilities"),
         F.concat(F.col("best_site"), F.lit(" has the highest predicted completion probability ("),
                  F.col("completion_probability").cast("string"), F.lit("%).")).alias("insight_1"),
         F.concat(F.lit("Expected applicants next month: "), nm.cast("string"), F.lit(".")).alias("insight_2"),
