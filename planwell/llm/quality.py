@@ -5,7 +5,10 @@ Two generative bag-of-n-gram models share a table of ``BUCKETS`` hashed features
 its probabilities under the two, kept as a log; the resample is the top k of log importance plus Gumbel
 noise, so that it is a draw without replacement in proportion to the importance.  The noise is a hash of
 the document, so that reruns agree.  k is the number of documents above the importance that best
-separates the labelled rows.
+separates the labelled rows.  For that a row labelled good is scored by a model without its own words:
+counted with them it is far above a clean document whose rare words the target has not seen, and a cut
+below such rows alone would reject most clean documents without a label.  A document labelled not good
+is not drawn, whatever its score: the cut is for those whose label is not known.
 
 Features are words, punctuation runs and neighbouring pairs of them.  A pair of equal neighbours is one
 feature whatever the word, and so are a word all in capitals and a repetition at a distance of two,
@@ -87,15 +90,37 @@ def labelled_rows(labels: DataFrame) -> DataFrame:
         (F.min("quality") == 1).alias("good")))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+class Ratio:
     """The log ratio of target and raw probability of each of the ``BUCKETS`` features, add-one smoothed.
 
-    Raw counts are over all documents, target counts over all labelled good; without any of these the
-    ratio is 0 throughout.
+    Without target counts the ratio is 0 throughout.
     """
-    good = labelled.filter("good").select("label_id")
-    if labelled.count() <= SENT_ROWS:
-        good = F.broadcast(good)
+
+    def __init__(self, raw: np.ndarray, target: np.ndarray):
+        self.target, self.total = target, target.sum()
+        self.raw = np.log((raw + 1) / (raw.sum() + BUCKETS))
+        self.ratio = np.log((target + 1) / (self.total + BUCKETS)) - self.raw if self.total else np.zeros(BUCKETS)
+
+    def score(self, found: np.ndarray) -> float:
+        return float(self.ratio[found].sum())
+
+    def score_without(self, found: np.ndarray, copies: int) -> float:
+        """The score by the model without ``copies`` texts of the same features."""
+        bucket, n = np.unique(found, return_counts=True)
+        total = self.total - copies * len(found)
+        if total <= 0:
+            return 0.0
+        return float((n * (np.log((self.target[bucket] - copies * n + 1) / (total + BUCKETS)) - self.raw[bucket])).sum())
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has few enough rows."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
+def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ratio:
+    """Raw counts over all documents, target counts over all labelled good."""
+    good = sent(labelled.filter("good").select("label_id"))
     rows = columns(docs, id_col, text_col).toDF("doc_id", "text").join(good, F.col("doc_id") == F.col("label_id"), "left")
     rows = rows.select(utf8("text").alias("text"), F.col("label_id").isNotNull().alias("good"))
     counts = rows.mapInArrow(_count, "bucket long, raw long, good long").groupBy("bucket").agg(
@@ -103,19 +128,21 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     table = checkpoint(counts).toPandas()  # at most BUCKETS rows
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[table["bucket"]], target[table["bucket"]] = table["raw"], table["good"]
-    if not target.any():
-        return np.zeros(BUCKETS)
-    return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+    return Ratio(raw, target)
 
 
-def _score(ratio: np.ndarray):
-    """Adds the log importance and the number of features, computed from the last column, which it drops."""
+def _score(ratio: Ratio):
+    """Adds the log importance, the one without the row's own words and the number of features, computed from
+    the last two columns, the copies of the text among the target's and the text, which it drops."""
     def run(it):
         for batch in arrow_rows(it, 4 << 20):
             found = [features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            value, n = pa.array([float(ratio[f].sum()) for f in found], pa.float64()), pa.array([len(f) for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], value, n],
-                                             names=[*batch.schema.names[:-1], "log_importance", "n_features"])
+            copies = batch.column(batch.num_columns - 2).to_pylist()
+            value = [ratio.score(f) for f in found]
+            without = [ratio.score_without(f, c) if c else v for f, c, v in zip(found, copies, value)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-2], pa.array(value, pa.float64()), pa.array(without, pa.float64()), pa.array([len(f) for f in found], pa.int64())],
+                names=[*batch.schema.names[:-2], "log_importance", "without_own", "n_features"])
 
     return run
 
@@ -140,27 +167,37 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Null and empty texts have no features, a log importance of 0 and are judged like any other.  Rows
     equal in id and text share one key and are kept or dropped together, so ties can add to the k.  The
-    order of equal keys is that of a hash.  With ``payload`` the whole row comes along as ``_row``.
+    order of equal keys is that of a hash.  With ``payload`` the whole row comes along as ``_row``.  The cut
+    is chosen on ``without_own``, the log importance by a model without the words of the row and of all rows
+    of equal text, if it is labelled good; on other rows the two are the same.
     """
     labelled = labelled_rows(labels)
     ratio = fit(docs, labelled, id_col, text_col)
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if payload else []
     tie = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string"), utf8(text_col))
-    rows = docs.select(*row, F.col(f"`{id_col}`").alias("doc_id"), tie.alias("tie"), utf8(text_col).alias("_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("log_importance", T.DoubleType()),
-                           T.StructField("n_features", T.LongType())])
+    text = F.xxhash64(utf8(text_col))
+    rows = docs.select(*row, F.col(f"`{id_col}`").alias("doc_id"), tie.alias("tie"), text.alias("_same"), utf8(text_col).alias("_text"))
+    known = sent(labelled)
+    copies = checkpoint(rows.select("doc_id", "_same").join(known, F.col("doc_id") == F.col("label_id")).filter("good").groupBy(
+        F.col("_same").alias("_copied")).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1"))
+    rows = rows.join(known, F.col("doc_id") == F.col("label_id"), "left").join(sent(copies), F.col("_same") == F.col("_copied"), "left")
+    own = F.when(F.col("good"), F.coalesce("_copies", F.lit(1))).otherwise(0).cast("long")
+    rows = rows.select(*(["_row"] if payload else []), "doc_id", "tie", "good", own.alias("_own"), "_text")
+    schema = T.StructType([*rows.schema.fields[:-2], T.StructField("log_importance", T.DoubleType()),
+                           T.StructField("without_own", T.DoubleType()), T.StructField("n_features", T.LongType())])
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "tie"), 11).cast("double") + 0.5) * (2.0 ** -53)
     scored = checkpoint(rows.mapInArrow(_score(ratio), schema).withColumn(
         "key", F.col("log_importance") - F.log(-F.log(uniform))))
-    at = F.least(F.greatest(F.floor((F.asinh("log_importance") / SPAN + 1) / 2 * BINS), F.lit(0)), F.lit(BINS))
-    seen = scored.join(labelled, F.col("doc_id") == F.col("label_id")).groupBy(at.alias("bin"), "good").count()
+    at = F.least(F.greatest(F.floor((F.asinh("without_own") / SPAN + 1) / 2 * BINS), F.lit(0)), F.lit(BINS))
+    seen = scored.filter("good is not null").groupBy(at.alias("bin"), "good").count()
     cut = best_cut([tuple(r) for r in seen.collect()])  # at most two rows a bin
-    k = scored.filter(F.col("log_importance") > cut).count()
-    keys = scored.select((-F.col("key")).alias("minus_key"), "tie", F.lit(1).cast("long").alias("one"))
+    drawn = F.coalesce("good", F.lit(True)) if np.isfinite(cut) else F.lit(True)
+    k = scored.filter(drawn & (F.col("log_importance") > cut)).count()
+    keys = scored.filter(drawn).select((-F.col("key")).alias("minus_key"), "tie", F.lit(1).cast("long").alias("one"))
     ranked = running_totals(keys, ["minus_key", "tie"], ["one"])
     last = ranked.filter(F.col("one_before") == k - 1).select("minus_key", "tie").first()
     kept = F.lit(False) if last is None else (F.col("key") > -last[0]) | (F.col("key") == -last[0]) & (F.col("tie") <= last[1])
-    return scored.withColumn("kept", kept), k
+    return scored.withColumn("kept", drawn & kept).drop("good"), k
 
 
 def keep_resampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

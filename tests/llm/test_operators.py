@@ -407,6 +407,39 @@ def test_quality_edges(docs, empty, spark):
     assert quality.keep_resampled(empty, labels).collect() == []
 
 
+def test_quality_keeps_good_rows_kept_out_of_the_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    own = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
+    scored, _ = quality.resample(docs, labels.filter(own))
+    rest = scored.join(labels.filter(~own), "doc_id").select("kept", "quality").collect()
+    good, bad = ([r["kept"] for r in rest if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 200 and sum(good) >= 0.95 * len(good)
+    assert sum(bad) <= len(bad) / 3
+
+
+def test_quality_score_without_own_words_is_that_of_a_model_without_the_row():
+    texts = [b"alpha beta gamma", b"alpha beta delta delta", b"alpha beta gamma", b"omega"]
+    found = [quality.features(t) for t in texts]
+    count = lambda rows: np.bincount(np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64), minlength=quality.BUCKETS)
+    full = quality.Ratio(count(found), count(found[:3]))
+    assert full.score_without(found[1], 1) == pytest.approx(quality.Ratio(count(found), count([found[0], found[2]])).score(found[1]))
+    assert full.score_without(found[0], 2) == pytest.approx(quality.Ratio(count(found), count([found[1]])).score(found[0]))
+    assert quality.Ratio(count(found), count(found[:1])).score_without(found[0], 1) == 0
+
+
+def test_quality_leaves_out_the_copies_of_a_row(spark):
+    texts = {1: "alpha beta gamma", 2: "alpha beta gamma", 3: "delta epsilon", 4: "spam spam spam spam"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 0)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["without_own"] for r in quality.resample(docs, labels)[0].collect()}
+    found = {i: quality.features(t.encode()) for i, t in texts.items()}
+    count = lambda rows: np.bincount(np.concatenate(rows), minlength=quality.BUCKETS)
+    raw = count(list(found.values()))
+    assert got[1] == got[2] == pytest.approx(quality.Ratio(raw, count([found[3]])).score(found[1]))
+    assert got[4] == pytest.approx(quality.Ratio(raw, count([found[1], found[2], found[3]])).score(found[4]))
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline(spark):
