@@ -4,6 +4,12 @@ Texts are cut into units with their places in the text; a unit is normalised and
 grouped globally, by partial aggregation, to the earliest ranked occurrence; every other occurrence is
 removed.  A line that is in a third of all documents is one row of each task before the shuffle, and the
 join that finds its other occurrences can be split by Spark because nothing above it needs a key together.
+
+Unit ``all`` takes paragraphs, lines and sentences at once.  What is a unit of several kinds counts once, as the
+largest kind but for a paragraph of one line, which is a line; so equal texts meet whatever they are units of.
+Paragraphs are normalised line by line, so that equal ones have equal lines: of every line and sentence the
+earliest occurrence stays, also where a larger unit around another one goes.  A unit within the occurrence that
+stays, as a sentence is in a line of only marks more, is part of it.
 """
 
 from __future__ import annotations
@@ -21,10 +27,11 @@ from planwell.session import checkpoint
 
 #: what separates units
 SEPARATORS = {"line": r"\n", "paragraph": r"\n[^\S\n]*\n\s*", "sentence": r"\n|(?<=[.!?])\s+"}
-#: units of fewer words are part of ordinary text and stay
+#: units of fewer words are part of ordinary text and stay; of ``all`` only sentences that are not a whole line
 MIN_WORDS = 6
 
 _space = re.compile(r"\s+")
+_patterns = {kind: re.compile(separator) for kind, separator in SEPARATORS.items()}
 
 
 def normalise(unit: str) -> str:
@@ -44,8 +51,48 @@ def cut(text: str, pattern: re.Pattern):
         at = m.end() if m else end
 
 
-def _units(separator: str, min_words: int, numbered: bool, schema: pa.Schema):
-    pattern = re.compile(separator)
+def _digest_text(unit: str) -> str:
+    """The normalised text, or all of it if it is nothing but marks."""
+    return normalise(unit) or _space.sub(" ", unit.lower()).strip()
+
+
+def all_units(text: str, min_words: int):
+    """(kind, number, start, end, words, what is hashed) of a text's paragraphs, lines and sentences."""
+    at = {kind: 0 for kind in SEPARATORS}
+
+    def number(kind):
+        at[kind] += 1
+        return at[kind] - 1
+
+    for a, b in cut(text, _patterns["paragraph"]):
+        lines = [(a + x, a + y) for x, y in cut(text[a:b], _patterns["line"])]
+        units = [_digest_text(text[x:y]) for x, y in lines]
+        no = number("paragraph")
+        if len(lines) > 1:
+            yield "paragraph", no, a, b, sum(u.count(" ") + 1 for u in units), "\n".join(units)
+        for (x, y), unit in zip(lines, units):
+            yield "line", number("line"), x, y, unit.count(" ") + 1, unit
+            sentences = list(cut(text[x:y], _patterns["sentence"]))
+            for c, d in sentences:
+                no, unit = number("sentence"), normalise(text[x + c : x + d])
+                words = unit.count(" ") + 1
+                if len(sentences) > 1 and words >= min_words:
+                    yield "sentence", no, x + c, x + d, words, unit
+
+
+def _one_kind(kind: str, min_words: int):
+    def units(text):
+        for k, (start, end) in enumerate(cut(text, _patterns[kind])):
+            unit = normalise(text[start:end])
+            words = unit.count(" ") + 1
+            if words >= min_words:
+                yield kind, k, start, end, words, unit
+
+    return units
+
+
+def _units(kind: str, min_words: int, numbered: bool, schema: pa.Schema):
+    units = _one_kind(kind, min_words) if kind != "all" else lambda text: all_units(text, min_words)
 
     def run(it):
         from pyspark import TaskContext
@@ -55,13 +102,10 @@ def _units(separator: str, min_words: int, numbered: bool, schema: pa.Schema):
             out = {f.name: [] for f in schema}
             given = batch.column(2).to_pylist() if numbered else None
             for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                for k, (start, end) in enumerate(cut(text, pattern)):
-                    unit = normalise(text[start:end])
-                    words = unit.count(" ") + 1
-                    if words >= min_words:
-                        digest = hashlib.blake2b(unit.encode(), digest_size=16).digest()
-                        for name, value in zip(out, (doc_id, given[i] if numbered else row, k, start, end, words, digest)):
-                            out[name].append(value)
+                for kind_, k, start, end, words, unit in units(text):
+                    digest = hashlib.blake2b(unit.encode(), digest_size=16).digest()
+                    for name, value in zip(out, (doc_id, given[i] if numbered else row, k, start, end, words, kind_, digest)):
+                        out[name].append(value)
                 row += 1
             yield to_batch(out, schema)
 
@@ -70,25 +114,25 @@ def _units(separator: str, min_words: int, numbered: bool, schema: pa.Schema):
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
                    min_words: int = MIN_WORDS, row_col: str | None = None) -> DataFrame:
-    """A row per unit to remove: doc_id, unit, start, end, n_words, keep_id, keep_unit, copies, and ``_row``.
+    """A row per unit to remove: doc_id, kind, unit, start, end, n_words, keep_id, keep_kind, keep_unit, copies, and ``_row``.
 
-    Units are ranked by doc_id (null last), then their number in the text, then the row; of equal ones the
-    first stays.  start and end are code points of the whole text.  Null texts have no units; units of
-    fewer than ``min_words`` words stay.  Rows that repeat a doc_id are ranked one by one.
+    ``unit`` is one kind of units or ``all``.  Units are ranked by doc_id (null last), then their place in the text,
+    then the row; of equal ones the first stays.  start and end are code points of the whole text.  Null texts have no units; units of
+    fewer than ``min_words`` words stay, of ``all`` only sentences inside lines.  Rows that repeat a doc_id are ranked one by one.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType),
                            *[T.StructField(c, T.LongType()) for c in ("_row", "unit", "start", "end", "n_words")],
-                           T.StructField("digest", T.BinaryType())])
+                           T.StructField("kind", T.StringType()), T.StructField("digest", T.BinaryType())])
     names = [id_col, text_col] + ([row_col] if row_col else [])
     rows = columns(docs, *names).toDF("doc_id", "text", *names[2:]).withColumn("text", F.coalesce("text", F.lit("")))
-    found = checkpoint(rows.mapInArrow(_units(SEPARATORS[unit], min_words, bool(row_col), to_arrow_schema(schema)), schema))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "unit", "_row")
+    found = checkpoint(rows.mapInArrow(_units(unit, min_words, bool(row_col), to_arrow_schema(schema)), schema))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "_row", "end", "kind", "unit")
     first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    hit = found.join(first, "digest").filter((F.col("_row") != F.col("first._row")) | (F.col("unit") != F.col("first.unit")))
-    return hit.select("doc_id", "unit", "start", "end", "n_words", F.col("first.doc_id").alias("keep_id"),
-                      F.col("first.unit").alias("keep_unit"), "copies", "_row")
+    hit = found.join(first, "digest").filter((F.col("_row") != F.col("first._row")) | (F.col("start") >= F.col("first.end")))
+    return hit.select("doc_id", "kind", "unit", "start", "end", "n_words", F.col("first.doc_id").alias("keep_id"),
+                      F.col("first.kind").alias("keep_kind"), F.col("first.unit").alias("keep_unit"), "copies", "_row")
 
 
 def _rebuild(it):
@@ -102,7 +146,7 @@ def _rebuild(it):
             for start, end in sorted((g["start"], g["end"]) for g in gone or []):
                 if start > at:
                     kept.append((at, start))
-                at = end
+                at = max(at, end)
             if at < len(text) or not text:
                 kept.append((at, len(text)))
             texts.append("".join(text[a:b] for a, b in kept))

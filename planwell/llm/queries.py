@@ -93,7 +93,7 @@ def op1(spark, sf_dir):
 
 @register("op4_line_dedup")
 def op4(spark, sf_dir):
-    return line_dedup.repeated_units(table(spark, sf_dir, "documents"), unit="sentence").drop("_row")
+    return line_dedup.repeated_units(table(spark, sf_dir, "documents"), unit="all").drop("_row")
 
 
 @register("op7_extendible_sharding")

@@ -212,6 +212,42 @@ def test_sentences_catch_a_passage_inside_lines(spark):
     assert [(r["doc_id"], r["keep_id"]) for r in got] == [(2, 1)]
 
 
+def test_all_units_take_short_lines_whole_lines_and_paragraphs(spark):
+    verse = "Up.\nDown, down.\nRound it goes"
+    passage = "the whole of this long line has no end mark"
+    rows = [(1, f"{verse}\n\nAll rights reserved.\n{passage}\nOne. Two. Three is a sentence of six words."),
+            (2, f"all  rights reserved\nnew text here\n{passage}\n\n{verse}\n\n..."),
+            (3, "Before. Three is a sentence of six words! After. One.\n...\nUp. down it went"), (4, None), (5, f"{verse}\n{verse}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {(r["doc_id"], r["kind"], texts[r["doc_id"]][r["start"] : r["end"]], r["keep_id"], r["keep_kind"])
+           for r in line_dedup.repeated_units(df, unit="all").collect()}
+    lines = verse.split("\n")
+    assert got == {(2, "line", "all  rights reserved", 1, "line"), (2, "line", passage, 1, "line"), (2, "paragraph", verse, 1, "paragraph"),
+                   (3, "sentence", "Three is a sentence of six words!", 1, "sentence"), (3, "line", "...", 2, "line"),
+                   *{(i, "line", x, 1, "line") for i in (2, 5) for x in lines}}
+    clean = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_units(df, unit="all").collect()}
+    assert clean[1] == texts[1] and clean[4] is None and clean[5].split() == []
+    assert clean[2].split("\n") == ["", "new text here", "", "", "", "", "..."]
+    assert clean[3].split("\n") == ["Before.  After. One.", "", "Up. down it went"]
+
+
+def test_all_units_leave_a_line_whole_whose_marks_part_it(spark):
+    df = spark.createDataFrame([(1, "! one two three four five six\none two three four five six . ?")], "doc_id long, text string")
+    assert [r["text"] for r in line_dedup.drop_repeated_units(df, unit="all").collect()] == ["! one two three four five six\n"]
+
+
+def test_all_units_keep_the_earliest_of_every_line_and_sentence(spark):
+    rng = np.random.default_rng(4)
+    pool = ["Yes.", "no", "- -", "a b c d e f g.", "h i j k l m n", "H I  J k l m n!", "a b c d e f g. h i j k l m n"]
+    rows = [(i, "".join(pool[k] + ("\n", "\n\n", " ")[j] for k, j in rng.integers(0, (len(pool), 3), (8, 2)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_units(df, unit="all").collect()}
+    seen = lambda texts, kind: {line_dedup.normalise(t[a:b]) for t in texts for a, b in line_dedup.cut(t, re.compile(line_dedup.SEPARATORS[kind]))}
+    assert seen(clean.values(), "sentence") == seen((t for _, t in rows), "sentence")
+    assert sum(map(len, clean.values())) < 0.6 * sum(len(t) for _, t in rows)
+
+
 # ------------------------------------------------------------------ 5 hidden Markov model
 
 def test_forward_backward_against_enumeration():
