@@ -3,7 +3,8 @@
 Documents fall into blocks: a hash of the row names one of ``2**k`` cells, and neighbouring cells of a
 source make up a block of about ``block_words``, so that a block is a random share of its source and the
 blocks of a source, in the order of their cells, a random permutation of it.  A source's target is drawn as whole passes over its blocks and a last
-part pass that ends inside one block, where documents are chosen to fill what is left.  The draws of all
+part pass that ends inside one block, where documents are chosen to fill what is left.  Room that no document
+of that block fits goes to documents of the later blocks, until it is below the smallest.  The draws of all
 sources are the urn of a splitting tree: the root holds every source's number of draws, each split hands
 one half of the output shards its share by a multivariate hypergeometric draw, and a leaf is one shard
 with an exact number of draws per source.  Shards take the next draws of each source, disjoint by
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planwell.llm.common import WORD, columns
+from planwell.llm.common import WORD, columns, running_totals
 from planwell.session import checkpoint
 
 #: weights of the sources in order, repeating; the most that a target may be of its source
@@ -95,21 +96,49 @@ def _split(seed: int, stop: int):
 
 
 def _fill(table: pa.Table) -> pa.Table:
-    """The documents of one block that a part pass takes: from the longest each one that still fits,
-    then the smallest left if that comes nearer."""
+    """The documents of one block that a part pass takes: from the longest each one that still fits."""
     table = table.sort_by([("_size", "descending"), ("_hash", "ascending")])
     size, room = table["_size"].to_numpy(), table["_room"][0].as_py()
-    taken, left, best = np.zeros(len(size), bool), room, -1
+    taken, left = np.zeros(len(size), bool), room
     for i, s in enumerate(size.tolist()):
         if 0 < s <= left:
             taken[i], left = True, left - s
-        elif s and not taken[i] and (best < 0 or s < size[best]):
-            best = i
-    if best >= 0 and size[best] - left < left:
-        taken[best] = True
     return table.set_column(table.schema.get_field_index("_chosen"), "_chosen", pa.array(taken))
 
 
+def _carried(tail: DataFrame, part: DataFrame, left: DataFrame) -> DataFrame:
+    """(source_no, _hash, n, all): of how many of the rows of a hash the room goes to that the part blocks leave.
+
+    ``tail`` are the rows of later blocks, ``part`` those that the part blocks do not take, as (source_no, _hash,
+    _size); ``left`` is a row per source with its room.  In the order of the hashes documents are taken while they
+    fit; then again among those that are small enough for what is left, until there is none.  At the end the
+    smallest document is taken if that comes nearer.
+    """
+    taken = None
+    rest = checkpoint(tail.join(left, "source_no").filter("_size <= left").drop("left").withColumn(
+        "no", F.monotonically_increasing_id()))
+    while not rest.isEmpty():
+        each = running_totals(rest, ["source_no", "_hash", "no"], ["_size"])
+        first = each.groupBy("source_no").agg(F.min("_size_before").alias("start"))
+        each = checkpoint(each.join(first, "source_no").join(left, "source_no").withColumn(
+            "fits", F.col("_size_before") - F.col("start") + F.col("_size") <= F.col("left")))
+        now = each.filter("fits").select("source_no", "_hash", "_size")
+        taken = now if taken is None else taken.unionByName(now)
+        used = now.groupBy("source_no").agg(F.sum("_size").alias("used"))
+        left = checkpoint(left.join(used, "source_no", "left").select("source_no", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")))
+        rest = checkpoint(each.filter("not fits").select("source_no", "_hash", "_size", "no").join(left, "source_no").filter(
+            "_size <= left").drop("left"))
+    taken = (taken if taken is not None else tail.limit(0)).groupBy("source_no", "_hash").agg(F.count(F.lit(1)).alias("n"))
+    over = tail.unionByName(part).join(left, "source_no").filter("_size > left and _size < 2 * left").groupBy("source_no", "_hash").agg(
+        F.min("_size").alias("_size"), F.count(F.lit(1)).alias("all")).join(taken, ["source_no", "_hash"], "left")
+    over = over.filter("all > coalesce(n, 0)").groupBy("source_no").agg(F.min(F.struct("_size", "_hash")).alias("x"))
+    over = over.select("source_no", F.col("x._hash").alias("_hash"), F.lit(1).cast("long").alias("n"))
+    taken = checkpoint(taken.unionByName(over).groupBy("source_no", "_hash").agg(F.sum("n").alias("n")))
+    count = tail.unionByName(part).join(taken.select("source_no", "_hash"), ["source_no", "_hash"]).groupBy("source_no", "_hash").agg(
+        F.count(F.lit(1)).alias("all"))
+    return checkpoint(taken.join(count, ["source_no", "_hash"]))
+
+
 def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, payload: bool) -> DataFrame:
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if payload else []
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -166,13 +195,36 @@ def mix_draws(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         F.first(F.when(~whole, pick), True).alias("part"), F.first(F.when(~whole, F.col("room")), True).alias("room")).alias("d")
     plan = checkpoint(cells.alias("c").join(plan, F.col("c.source").eqNullSafe(F.col("d.source")) & (F.col("c.block") == F.col("d.block")))
                       .select("c.source", "c.cell", "c.block", "picks", "part", "room"))
-    rows = _measured(docs, id_col, text_col, source_col, seed, True) if payload else sized
-    rows = rows.withColumn("_cell", cell).alias("r").join(
-        plan.alias("p"), F.col("r._source").eqNullSafe(F.col("p.source")) & (F.col("r._cell") == F.col("p.cell")), "left")
-    rows = rows.select("r.*", F.col("block").alias("_block"), "picks", "part", F.col("room").alias("_room"), F.lit(False).alias("_chosen"))
-    partial = rows.filter("_room is not null and _size > 0")
-    chosen = partial.groupBy("_source", "_block").applyInArrow(_fill, partial.schema)
+    ends = checkpoint(plan.filter("room is not null").groupBy("source").agg(
+        F.max("cell").alias("upto"), F.first("part").alias("end"), F.first("room").alias("left")).alias("e").join(
+        sources.alias("s"), F.col("e.source").eqNullSafe(F.col("s.source"))).select("e.*", "s.source_no"))
+
+    def filled(rows):
+        """All rows with what their blocks say; ``_chosen`` are those that a part block takes."""
+        rows = rows.withColumn("_cell", cell).alias("r").join(
+            plan.alias("p"), F.col("r._source").eqNullSafe(F.col("p.source")) & (F.col("r._cell") == F.col("p.cell")), "left")
+        rows = rows.select("r.*", F.col("block").alias("_block"), "picks", "part", F.col("room").alias("_room"), F.lit(False).alias("_chosen"))
+        partial = rows.filter("_room is not null and _size > 0")
+        return rows, partial.groupBy("_source", "_block").applyInArrow(_fill, partial.schema)
+
+    known = checkpoint(filled(sized)[1].alias("r").join(ends.alias("e"), F.col("r._source").eqNullSafe(F.col("e.source"))).select(
+        "source_no", "_hash", "_size", "_chosen"))
+    used = known.filter("_chosen").groupBy("source_no").agg(F.sum("_size").alias("used"))
+    left = checkpoint(ends.join(used, "source_no", "left").select("source_no", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")))
+    tail = sized.filter("_size > 0").alias("r").join(ends.alias("e"), F.col("r._source").eqNullSafe(F.col("e.source")) & (cell > F.col("upto"))).select(
+        "source_no", "_hash", "_size")
+    more = _carried(tail, known.filter("not _chosen").drop("_chosen"), left)
+    more = more.join(ends.select("source_no", "source", "end"), "source_no").select(
+        F.col("source").alias("_from"), F.col("_hash").alias("_more"), "end", "n", "all")
+    rows, chosen = filled(_measured(docs, id_col, text_col, source_col, seed, True) if payload else sized)
     rows = rows.filter("_room is null or _size = 0").unionByName(chosen)
+    cols = rows.columns
+    rows = rows.join(more, F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_hash") == F.col("_more")) & ~F.col("_chosen"), "left")
+    some = rows.filter("n < all").withColumn("_nth", F.row_number().over(Window.partitionBy("_source", "_hash").orderBy("_size")))
+    rows = rows.filter("n is null or n >= all").withColumn("_nth", F.lit(0)).unionByName(some)
+    extra = F.col("n").isNotNull() & (F.col("_nth") <= F.col("n"))
+    rows = rows.withColumn("part", F.when(extra, F.col("end")).otherwise(F.col("part"))).withColumn(
+        "_chosen", F.col("_chosen") | extra).select(*cols)
     none = F.array().cast("array<struct<pass:int,shard:bigint>>")
     picks = F.when(F.col("_size") == 0, none).otherwise(F.concat(
         F.coalesce("picks", none), F.when(F.col("_chosen"), F.array("part")).otherwise(none)))

@@ -191,6 +191,20 @@ def test_mix_comes_near_its_targets_and_agrees_with_itself(spark):
     assert mixed.groupBy("_shard", "_pass", "doc_id").count().filter("count > 1").isEmpty()
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mix_fills_up_past_a_document_of_a_third_of_its_source(spark, seed):
+    rows = [(0, "w " * 10_000, "a"), *[(i, "w " * (90 + i % 20), "a") for i in range(1, 201)], *[(i, "w " * 100, "b") for i in range(300, 400)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((2, 1), (1, 1)):
+        got = mixing.mix_report(df, weights=weights, seed=seed, block_words=512).collect()
+        taken, target = collections.Counter(), {}
+        for r in got:
+            name = "b" if r["doc_id"] >= 300 else "a"
+            taken[name] += r["taken"]
+            target[name] = r["target"]
+        assert all(abs(taken[s] - t) <= 60 for s, t in target.items()), (taken, target)
+
+
 # ------------------------------------------------------------------ 4 lines
 
 def test_lines(docs, empty):
