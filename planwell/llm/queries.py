@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planwell.llm import collision, exact_dedup, hmm, line_dedup, mixing, packing, quality, secret_scan, setsketch, sharding
+from planwell.llm import (collision, exact_dedup, hmm, line_dedup, mixing, packing, quality, secret_scan, setsketch, sharding, toxicity,
+                          variants, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,3 +131,18 @@ def _secret_sql() -> str:
 @register("op6_trigram_secret_scan", _secret_sql())
 def op6(spark, sf_dir):
     return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+@register("op11_spelling_variants")
+def op11(spark, sf_dir):
+    return variants.variant_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op12_toxicity")
+def op12(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op13_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
