@@ -353,8 +353,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     order = F.xxhash64(F.lit(12), F.col("label_id").cast("string"))
     known = checkpoint(known.filter(~_held_out("label_id")).select("label_id", "toxic", order.alias("order"), (F.pmod(order, F.lit(CALIBRATE)) == 0).alias("calibrate")))
     chosen = known.filter(~F.col("calibrate")).orderBy("order", "label_id").limit(sample_rows)
+    # the sample's ids and labels (at most sample_rows rows) go to all tasks, so that texts stay where they are;
     # ids that repeat in ``docs`` bring their texts once each: still at most sample_rows texts are read as rows of the sample
-    texts = rows.select("doc_id", utf8("text").alias("text")).join(chosen, F.col("doc_id") == F.col("label_id")).groupBy("label_id", "order", "toxic").agg(
+    texts = rows.select("doc_id", utf8("text").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("label_id", "order", "toxic").agg(
         F.min("text").alias("text")).select("order", "toxic", "text")
     sample = checkpoint(texts.mapInArrow(_token_rows, "order long, toxic int, words binary"))
     network = fit(sample)
