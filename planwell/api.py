@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from planwell import config as C
 from planwell.functions import scalars as S
 from planwell.operators import arima, ingest as IG, series as SR, stats as ST
+from planwell.operators.snapshots import SnapshotTable
 from planwell.plans import forecasting as FC
+from planwell.plans import ingest_flow as FLOW
 from planwell.plans import reports as RP
+from planwell.plans import training as TR
 from planwell.sources import tables as T
 from planwell.session import checkpoint
 
@@ -82,15 +85,16 @@ def save_params(params: DataFrame, root: str, trained_at: str | None = None) ->
 
 def load_params(spark: SparkSession, root: str) -> DataFrame | None:
     """The current parameter table, or None (then the caller refits)."""
-    return IG.read_current(spark, root)
+    return TR.load(spark, root)
 
 
-def retrain(vol: Volume, root: str) -> DataFrame:
-    """Refit every series and publish a new T8 version; returns a one-row summary."""
-    prm = checkpoint(vol.params())
-    path = save_params(prm, root)
-    return prm.agg(F.count(F.lit(1)).alias("models_trained"), F.min("data_start").alias("data_start"),
-                   F.max("data_end").alias("data_end"), F.lit(path).alias("version_path"))
+def retrain(vol: Volume, root: str, force: bool = False) -> DataFrame:
+    """Refit the series that changed since the saved version and publish the next T8 version; a one-row summary."""
+    done = TR.refit(vol.weekly(), TR.WEEKLY_KEYS, root, "week", force=force)
+    spark = vol.daily.sparkSession
+    return load_params(spark, root).agg(
+        F.lit(done["models_trained"]).cast("long").alias("models_trained"), F.lit(done["models_kept"]).cast("long").alias("models_kept"),
+        F.min("data_start").alias("data_start"), F.max("data_end").alias("data_end"), F.lit(done["path"]).alias("version_path"))
 
 
 # ---------------------------------------------------------------------------
@@ -193,40 +197,22 @@ def ingest(spark: SparkSession, batch: DataFrame, root: str, sync_type: str = "i
            manual_retrain: bool = False, params_root: str | None = None, cutoff: str = C.DEFAULT_CUTOFF,
            today: str | None = None, known_keys: DataFrame | None = None, max_count: int | None = None,
            max_records: int | None = None) -> DataFrame:
-    """POST /forecast/ingest-data (G2): validate, store a new version, count new days, decide, retrain.
+    """POST /forecast/ingest-data (G2): validate, publish a snapshot, count new days, decide, retrain.
 
     ``batch`` holds records (idx, date, course, applicant_count).  Any error
     rejects the whole batch (the error rows are returned instead).  New days
     are counted after the stored data's last date (B9 fixed).  ``known_keys`` (series_key) names the
-    keys that a first batch may hold; ``max_count`` and ``max_records`` are off unless set.
+    keys that a batch may hold, by default those of the stored table; a first batch must be given them.
+    ``max_count`` and ``max_records`` are off unless set.
     """
-    if sync_type not in ("full", "incremental"):
-        raise ValueError("sync_type must be 'full' or 'incremental'")
-    stored = IG.read_current(spark, root)
-    known = known_keys if known_keys is not None else stored if stored is not None else batch.select(F.col("course").alias("series_key"))
-    errors = checkpoint(IG.validate_records(batch, known.select("series_key").distinct(), today=today, max_count=max_count))
-    summary = IG.validation_summary(batch, errors, max_records).first()
-    if summary.too_many_records:
-        raise ValueError(f"{summary.records_received} records in a batch; at most {max_records}")
-    if not summary.accepted:
-        return errors
-    seq = (stored.select(F.max("batch_seq")).first()[0] + 1) if stored is not None else 0
-    incoming = IG.parse_records(batch, seq)
-    empty = stored is None
-    base = incoming.limit(0) if empty else stored
-    table = checkpoint(IG.upsert(base, incoming, sync_type))
-    IG.write_version(table, root)
-    data_end = None if empty else stored.select(F.max("date")).first()[0]
-    nd = table.where(F.col("date") > F.lit(data_end)) if data_end else table
-    new_days = nd.agg(F.countDistinct("date").alias("new_days"))
-    days, should, reason = IG.retrain_decision(F.col("new_days"), manual_retrain, sync_type)
-    decision = new_days.select(days.alias("new_days"), should.alias("should_retrain"), reason.alias("reason"))
-    if params_root and decision.first().should_retrain:
-        retrain(Volume(table.select("date", "series_key", "cnt"), cutoff), params_root)
-    metrics = IG.upsert_metrics(table, incoming, sync_type)
-    return metrics.select("*", decision.select("new_days").scalar().alias("new_days"),
-                          decision.select("should_retrain").scalar().alias("retraining_triggered"),
-                          decision.select("reason").scalar().alias("retraining_reason"))
+    result = FLOW.ingest_batch(SnapshotTable(spark, root), batch, sync_type, manual_retrain, today, known_keys, max_count, max_records)
+    if not result.accepted:
+        if result.too_many:
+            raise ValueError(f"{result.received} records in a batch; at most {max_records}")
+        return result.errors
+    if params_root and result.should_retrain:
+        retrain(Volume(SnapshotTable(spark, root).read().select("date", "series_key", "cnt"), cutoff), params_root)
+    return result.metrics(spark)
 
 
 def applicant_volume(vol: Volume, period: str = "next_month", course: str | None = None) -> dict[str, DataFrame]:

@@ -18,6 +18,7 @@ from planwell.functions import scalars as S
 from planwell.operators import series as SR
 from planwell.plans import forecasting as FC
 from planwell.plans import oracle as O
+from planwell.plans import training as TR
 from planwell.session import checkpoint
 from planwell.sources import tables as T
 
@@ -269,7 +270,7 @@ def q_course_forecasts(spark, sf):
     # materialised daily table serves both from one scan of the raw rows
     d = daily_table(spark, sf)
     wk = SR.weekly_series(d, CUT)
-    return FC.course_forecasts(d, wk, FC.weekly_forecast(FC.params(wk)))
+    return FC.course_forecasts(d, wk, TR.weekly_forecast(wk, f"weekly:{sf}:{CUT}"))
 
 
 @register("forecast_buckets", W(VOL, WEEKLY, FIT, FCAST) + """SELECT series_key,
@@ -320,5 +321,6 @@ def q_arima_params_orders(spark, sf):
 from planwell.plans import catalog_stats  # noqa: E402,F401
 from planwell.plans import catalog_backtest  # noqa: E402,F401
 from planwell.plans import catalog_ingest  # noqa: E402,F401
+from planwell.plans import catalog_training  # noqa: E402,F401
 from planwell.plans import catalog_reports  # noqa: E402,F401
 from planwell.plans import catalog_ml  # noqa: E402,F401

@@ -9,14 +9,18 @@ makes "last one wins" observable.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planwell import config as C
 from planwell.operators import ingest as IG
+from planwell.operators.snapshots import SnapshotTable
 from planwell.plans import forecasting as FC
 from planwell.plans.catalog import CUT, FCAST, FIT, VOL, WEEKLY, W, register, weekly
 from planwell.plans import oracle as O
+from planwell.session import ensure_checkpoint_dir
 from planwell.sources import tables as T
 
 STORED_BEFORE = "2024-01-20"
@@ -226,6 +230,42 @@ def q_drift_check(spark, sf):
                       F.coalesce(F.abs(drift) > C.RETRAIN_DRIFT_PERCENT, F.lit(False)).alias("drift_flag"))
 
 
+# Three batches into one table of month folders: everything up to a date, a restatement of its end with more
+# days, and a correction of one old month.
+V_UNTIL, V_FROM, V_MONTH = "2001-05-31", "2001-05-15", "1997-03"
+V_SQL = f"""o AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS series_key, o_custkey, o_orderstatus FROM orders
+  WHERE o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL),
+b AS (SELECT date, series_key, count(*) AS cnt, 0 AS batch_seq FROM o WHERE date <= DATE '{V_UNTIL}' GROUP BY ALL
+  UNION ALL SELECT date, series_key, count(DISTINCT o_custkey), 1 FROM o WHERE date >= DATE '{V_FROM}' GROUP BY ALL
+  UNION ALL SELECT date, series_key, count(*) FILTER (WHERE o_orderstatus = 'F'), 2 FROM o
+    WHERE strftime(date, '%Y-%m') = '{V_MONTH}' GROUP BY ALL),
+r AS (SELECT date, series_key, arg_max(cnt, batch_seq) AS cnt, max(batch_seq) AS batch_seq FROM b GROUP BY ALL),
+w AS (SELECT strftime(date, '%Y-%m') AS month, max(batch_seq) AS written_by FROM b GROUP BY 1)"""
+
+
+def version_batches(spark, sf) -> list[DataFrame]:
+    o = T.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("series_key"),
+                                            "o_custkey", "o_orderstatus")
+    o = o.where(F.col("date").isNotNull() & F.col("series_key").isNotNull())
+    key = ["date", "series_key"]
+    out = [o.where(F.col("date") <= F.lit(V_UNTIL).cast("date")).groupBy(*key).agg(F.count(F.lit(1)).alias("cnt")),
+           o.where(F.col("date") >= F.lit(V_FROM).cast("date")).groupBy(*key).agg(F.countDistinct("o_custkey").alias("cnt")),
+           o.where(F.date_format("date", "yyyy-MM") == V_MONTH).groupBy(*key).agg(F.count_if(F.col("o_orderstatus") == "F").alias("cnt"))]
+    return [b.select(*key, F.col("cnt").cast("long").alias("cnt"), F.lit(0).cast("long").alias("idx")) for b in out]
+
+
+@register("upsert_versions", "WITH " + V_SQL + """
+SELECT date, series_key, CAST(cnt AS BIGINT) AS cnt, CAST(batch_seq AS BIGINT) AS batch_seq, CAST(written_by AS BIGINT) AS written_by
+FROM r JOIN w ON strftime(date, '%Y-%m') = month""")
+def q_upsert_versions(spark, sf):
+    """Three batches; each row with the batch that wrote its month's folder."""
+    table = SnapshotTable(spark, f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}")
+    for n, batch in enumerate(version_batches(spark, sf)):
+        table.upsert(batch, "incremental" if n else "full")
+    return table.read().join(table.months().select("month", "written_by"), F.date_format("date", "yyyy-MM") == F.col("month")).select(
+        "date", "series_key", "cnt", "batch_seq", "written_by")
+
+
 @register("stream_daily_counts", "WITH " + O.VIEWS["ingest_batch"]
           + " SELECT date, series_key, CAST(cnt AS BIGINT) AS cnt FROM ingest_batch")
 def q_stream_daily_counts(spark, sf):

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from planwell import config as C
 from planwell.operators import ml as ML, stats as ST
 from planwell.plans import forecasting as FC
-from planwell.plans.catalog import register, weekly
+from planwell.plans import training as TR
+from planwell.plans.catalog import CUT, register, weekly
 from planwell.plans.catalog_stats import LEARN
+from planwell.session import checkpoint
 from planwell.sources import tables as T
 
 
@@ -145,7 +147,7 @@ def q_home_dashboard(spark, sf):
     course = ctx.learners.groupBy("course").count().orderBy(F.desc("count"), F.asc("course")).limit(1)
     # only this course is scored
     ranked = ctx.ranking(ST.representative_profile(ctx.learners).join(course.select("course"), "course"))
-    fc = FC.weekly_forecast(FC.params(weekly(spark, sf)))
+    fc = TR.weekly_forecast(checkpoint(weekly(spark, sf)), f"weekly:{sf}:{CUT}")
     nm = fc.agg(F.round(F.sum(F.when(F.col("step") <= C.STEPS_NEXT_MONTH, FC.cents())) / F.lit(100.0), 1)).scalar()
     agg = ranked.groupBy("course").agg(
         F.min_by("site", "rank").alias("best_site"),

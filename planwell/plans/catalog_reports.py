@@ -9,10 +9,10 @@ from planwell.functions import scalars as S
 from planwell.operators import arima, series as SR, stats as ST
 from planwell.plans import forecasting as FC
 from planwell.plans import reports as RP
+from planwell.plans import training as TR
 from planwell.plans.catalog import (COURSE_FORECASTS_SQL, CUT, FCAST, FIT, MSERIES, MTOTAL, SUMS, TAILS, VOL,
                                     WEEKLY, WTOTAL, W, daily, daily_table, growth_sql, register, ORACLE)
-from planwell.plans.catalog_backtest import (M2, TWO, V2, WFT, HOLD, confidence_table, metrics_sql,
-                                             two_key_series)
+from planwell.plans.catalog_backtest import (M2, TWO, V2, WFT, HOLD, confidence_table, metrics_sql)
 from planwell.plans.catalog_stats import LEARN, ORG_DIMS, age_sql, dist_sql
 from planwell.plans import oracle as O
 from planwell.sources import tables as T
@@ -31,10 +31,10 @@ low AS (SELECT * FROM cf ORDER BY forecasted_applicant_count ASC, course DESC LI
 
 def inputs(spark, sf):
     """Shared inputs of the multi-part reports: the daily table read once, weekly series,
-    checkpointed parameters (the one grouped-map job) and the forecast table."""
+    saved parameters (only series that changed since are fitted) and the forecast table."""
     d = daily_table(spark, sf)
-    wk = SR.weekly_series(d, CUT)
-    prm = checkpoint(FC.params(wk))
+    wk = checkpoint(SR.weekly_series(d, CUT))
+    prm = TR.saved_params(wk, TR.WEEKLY_KEYS, "week", f"weekly:{sf}:{CUT}")
     return d, wk, SR.weekly_total(d, CUT), prm, FC.weekly_forecast(prm)
 
 
@@ -253,7 +253,10 @@ SELECT a.forecast_period, CAST(a.steps AS INTEGER) AS steps, round(a.total, 1) A
 FROM agg a JOIN prev p ON a.forecast_period = p.forecast_period""")
 def q_volume_forecast_monthly(spark, sf):
     """The legacy monthly answer for 1 / 3 / 6 / 12 months from all (site, key) models."""
-    prm = checkpoint(arima.fit_params(two_key_series(spark, sf), TWO, "month"))
+    # the small monthly table is made once, for the fit, the history and the holdout
+    monthly = checkpoint(T.volume_two_key(spark, sf))
+    series = checkpoint(SR.resample(monthly, "month", TWO, fill=None))
+    prm = TR.saved_params(series, TWO, "month", f"two-key:{sf}")
     fc = arima.forecast(prm, TWO, steps=12, period_step="month", clip=False, digits=4)
     st = fc.groupBy("step").agg(F.sum(F.round(F.col("y_hat") * 10000).cast("long")).alias("c")) \
         .select("step", F.round(F.col("c") / F.lit(10000.0), 1).alias("p"))
@@ -263,7 +266,7 @@ def q_volume_forecast_monthly(spark, sf):
         (F.sum(F.round(F.col("p") * 10).cast("long")) / F.lit(10.0)).alias("total"),
         F.min_by("step", F.struct(-F.col("p"), F.col("step"))).alias("peak_month"),
         F.max("p").alias("peak_value"))
-    hist = SR.resample(T.volume_two_key(spark, sf), "month", [], fill=None)
+    hist = SR.resample(monthly, "month", [], fill=None)
     pos = SR.with_position_from_end(hist, [], "month")
     tails = pos.agg(*[F.round(F.coalesce(F.sum(F.when(F.col("rpos") <= n, F.col("y"))), F.lit(0.0)), 1).alias(f"t{n}")
                       for n in sorted(set(C.LEGACY_PERIODS.values()))])
@@ -271,7 +274,7 @@ def q_volume_forecast_monthly(spark, sf):
     for n in sorted(set(C.LEGACY_PERIODS.values())):
         v = tails.select(f"t{n}").scalar()
         prev = F.when(F.col("steps") == n, v) if prev is None else prev.when(F.col("steps") == n, v)
-    h = arima.holdout(two_key_series(spark, sf), TWO, "month")
+    h = arima.holdout(series, TWO, "month")
     e = F.col("actual") - F.col("predicted")
     per_series = h.groupBy(*TWO).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
     mae = per_series.where(F.col("mae").isNotNull() & F.col("rmse").isNotNull()).select(F.avg("mae")).scalar()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from planwell import api
 from planwell.operators import ingest as IG
+from planwell.operators.snapshots import SnapshotTable
 from planwell.plans import catalog_ingest as CI
 from planwell.sources import tables as T
 
@@ -48,11 +49,14 @@ def test_params_round_trip_reproduces_forecast(spark, vol):
 def test_ingest_flow(spark):
     root = tempfile.mkdtemp(prefix="planwell-ingest-")
     first = IG.records_from_daily(T.ingest_batch(spark, SF_SMALL).where(F.col("date") < "2024-01-20"))
-    m1 = api.ingest(spark, first, root, "full").first()
+    keys = first.select(F.col("course").alias("series_key"))
+    with pytest.raises(ValueError, match="known_keys"):
+        api.ingest(spark, first, root, "full")
+    m1 = api.ingest(spark, first, root, "full", known_keys=keys).first()
     assert m1.retraining_triggered and m1.new_days == 999
     second = IG.records_from_daily(CI.incoming_daily(spark, SF_SMALL))
     m2 = api.ingest(spark, second, root, "incremental", manual_retrain=False).first()
-    table = IG.read_current(spark, root)
+    table = SnapshotTable(spark, root).read()
     assert m2.total_records == table.count()
     assert m2.new_days == table.where(F.col("date") >= "2024-01-20").select("date").distinct().count()
     bad = spark.createDataFrame([(0, "2024-13-01", "view", 1)], "idx long, date string, course string,"

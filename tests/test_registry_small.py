@@ -14,7 +14,8 @@ FAST = ["daily_volume", "weekly_series", "monthly_total", "totals_rollup", "chro
         "arima_forecast", "course_forecasts", "walk_forward_total", "distribution", "age_distribution",
         "representative_profile", "site_evidence", "roc_auc", "classification_report", "upsert_volume",
         "holdout_backtest", "stratified_split", "stream_daily_counts", "ingest_validation", "retrain_criteria",
-        "org_profile", "unknown_categories", "site_profile", "volume_insights"]
+        "org_profile", "unknown_categories", "site_profile", "volume_insights", "upsert_versions", "saved_forecast",
+        "saved_forecast_two_key", "retrain_incremental"]
 
 
 def norm(v):
