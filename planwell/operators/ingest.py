@@ -31,11 +31,8 @@ def records_from_daily(daily: DataFrame) -> DataFrame:
         F.col("cnt").cast("long").alias("applicant_count"))
 
 
-def _err(df: DataFrame, cond, field: str, message) -> DataFrame:
-    return df.where(cond).select(
-        "idx", F.format_string(f"daily_volumes[%d].{field}", F.col("idx")).alias("field"),
-        F.lit(field).alias("rule"),
-        (F.lit(message) if isinstance(message, str) else message).alias("error"))
+RULES = ["malformed", "date", "applicant_count", "course", "duplicate", "future", "implausible"]
+ERROR_SCHEMA = "idx long, field string, rule string, error string"
 
 
 def validate_records(batch: DataFrame, known_keys: DataFrame, today: str | None = None,
@@ -43,34 +40,39 @@ def validate_records(batch: DataFrame, known_keys: DataFrame, today: str | None
     """F7 + F8 + F9: (idx, field, rule, error) for every failed rule.
 
     * date not in yyyy-MM-dd            (rule ``date``)
-    * applicant_count < 0               (rule ``applicant_count``)
-    * unknown course (anti join)        (rule ``course``)
+    * applicant_count missing or < 0    (rule ``applicant_count``)
+    * unknown course                    (rule ``course``)
     * duplicate (date, course)          (rule ``duplicate``), every record after the first
     * date after ``today``              (rule ``future``)
     * applicant_count > ``max_count``   (rule ``implausible``; off unless the caller sets a limit)
 
-    Duplicates are found by joining each record to the first idx of its
-    (date, course) pair: a hot pair is combined map-side by the aggregate,
-    and AQE splits a skewed join partition, so no group is held whole.
+    One pass: each record meets its key's mark and the first idx of its (date, course) pair, its failed rules
+    become an array, and the array's entries become rows.  A hot pair is combined map-side by the
+    aggregate, and AQE splits a skewed join partition, so no group is held whole.
     """
-    parsed = batch.withColumn("_d", F.try_to_date(F.col("date"), DATE_FORMAT))
-    bad_date = _err(parsed, F.col("_d").isNull(), "date", "Date must be in YYYY-MM-DD format")
-    negative = _err(parsed, F.col("applicant_count") < 0, "applicant_count",
-                    "ensure this value is greater than or equal to 0")
-    unknown = _err(parsed.join(known_keys.select(F.col("series_key").alias("course")), "course", "left_anti"),
-                   F.lit(True), "course", F.format_string("Unknown course '%s'", F.col("course")))
-    firsts = parsed.groupBy("date", "course").agg(F.min("idx").alias("_first"))
-    dup = parsed.join(firsts, ["date", "course"])
-    duplicate = _err(dup, F.col("idx") > F.col("_first"), "duplicate", "Duplicate (date, course) pair in batch")
-    errors = bad_date.unionByName(negative).unionByName(unknown).unionByName(duplicate)
+    known = known_keys.select(F.col("series_key").alias("_known")).distinct()
+    firsts = batch.groupBy("date", "course").agg(F.min("idx").alias("_first")).select(
+        F.col("date").alias("_date"), F.col("course").alias("_course"), "_first")
+    rows = batch.withColumn("_d", F.try_to_date(F.col("date"), DATE_FORMAT))
+    rows = rows.join(known, F.col("course") == F.col("_known"), "left").join(
+        firsts, (F.col("date") == F.col("_date")) & (F.col("course") == F.col("_course")), "left")
+
+    def failed(cond, rule: str, message):
+        error = F.lit(message) if isinstance(message, str) else message
+        return F.when(cond, F.struct(F.lit(rule).alias("rule"), error.alias("error")))
+
+    rules = [failed(F.col("_d").isNull(), "date", "Date must be in YYYY-MM-DD format"),
+             failed(F.coalesce(F.col("applicant_count") < 0, F.lit(True)), "applicant_count",
+                    "ensure this value is greater than or equal to 0"),
+             failed(F.col("_known").isNull(), "course", F.format_string("Unknown course '%s'", F.col("course"))),
+             failed(F.col("idx") > F.col("_first"), "duplicate", "Duplicate (date, course) pair in batch")]
     if today:
-        future = _err(parsed, F.col("_d") > F.lit(today).cast("date"), "future", "Date is in the future")
-        errors = errors.unionByName(future)
-    if max_count is None:
-        return errors
-    implausible = _err(parsed, F.col("applicant_count") > max_count, "implausible",
-                       f"applicant_count above {max_count} per day")
-    return errors.unionByName(implausible)
+        rules.append(failed(F.col("_d") > F.lit(today).cast("date"), "future", "Date is in the future"))
+    if max_count is not None:
+        rules.append(failed(F.col("applicant_count") > max_count, "implausible", f"applicant_count above {max_count} per day"))
+    found = rows.select("idx", F.explode(F.array_compact(F.array(*rules))).alias("e"))
+    return found.select("idx", F.format_string("daily_volumes[%d].%s", F.col("idx"), F.col("e.rule")).alias("field"),
+                        F.col("e.rule").alias("rule"), F.col("e.error").alias("error"))
 
 
 def validation_summary(batch: DataFrame, errors: DataFrame,

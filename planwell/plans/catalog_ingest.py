@@ -20,7 +20,7 @@ from planwell.operators.snapshots import SnapshotTable
 from planwell.plans import forecasting as FC
 from planwell.plans.catalog import CUT, FCAST, FIT, VOL, WEEKLY, W, register, weekly
 from planwell.plans import oracle as O
-from planwell.session import ensure_checkpoint_dir
+from planwell.session import checkpoint, ensure_checkpoint_dir
 from planwell.sources import tables as T
 
 STORED_BEFORE = "2024-01-20"
@@ -272,3 +272,81 @@ def q_stream_daily_counts(spark, sf):
     """2.13: streaming daily counts (file source, additive partial counts per epoch)."""
     from planwell.streaming.volume_stream import stream_daily_counts
     return stream_daily_counts(spark, sf)
+
+
+@register("stream_event_time", "WITH " + O.VIEWS["ingest_batch"]
+          + " SELECT date, series_key, CAST(cnt AS BIGINT) AS cnt FROM ingest_batch")
+def q_stream_event_time(spark, sf):
+    """2.13: watermark, state of open days and corrections for late rows, over files out of order."""
+    from planwell.streaming.event_time import stream_event_time
+    return stream_event_time(spark, sf)
+
+
+# A payload: daily counts with a number each; those whose last event's id is a multiple of seven lack their count.
+P_SQL = """p AS (SELECT CAST(ts AS DATE) AS d, event_type AS course, count(*) AS n, max(event_id) AS m
+  FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL),
+raw AS (SELECT row_number() OVER (ORDER BY d, course) - 1 AS idx, course, strftime(d, '%Y-%m-%d') AS date,
+  CASE WHEN m % 7 <> 0 THEN n END AS n FROM p)"""
+
+
+def payload_table(spark, sf) -> DataFrame:
+    """Daily counts as payload records (idx, date, course, applicant_count)."""
+    from pyspark.sql import Window
+    ev = T.table(spark, sf, "events").where(F.col("ts").isNotNull() & F.col("event_type").isNotNull())
+    day = ev.groupBy(F.to_date("ts").alias("d"), F.col("event_type").alias("course")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("event_id").alias("m"))
+    # one row a day and key, numbered as a client that writes one payload numbers them
+    idx = (F.row_number().over(Window.orderBy("d", "course")) - 1).cast("long")
+    return day.select(idx.alias("idx"), F.date_format("d", IG.DATE_FORMAT).alias("date"), "course",
+                      F.when(F.col("m") % 7 != 0, F.col("n")).alias("applicant_count"))
+
+
+@register("ingest_payload", "WITH " + P_SQL + """
+SELECT CAST(idx AS BIGINT) AS idx, CASE WHEN n IS NOT NULL THEN date END AS date, CASE WHEN n IS NOT NULL THEN course END AS course,
+  CAST(n AS BIGINT) AS applicant_count, n IS NULL AS malformed FROM raw
+UNION ALL SELECT -1, NULL, NULL, NULL, TRUE""")
+def q_ingest_payload(spark, sf):
+    """A line-delimited payload made from ``events``, with a line that is no JSON and records without a number."""
+    from planwell.streaming.ingest_stream import write_payload
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    write_payload(payload_table(spark, sf), path, "full", lines=20)
+    spark.createDataFrame([("this line was cut {",)], "value string").coalesce(1).write.mode("append").text(path)
+    _, records, broken = T.payload_lines(spark.read.text(path))
+    return records.select("idx", "date", "course", "applicant_count", F.lit(False).alias("malformed")).unionByName(broken.select(
+        "idx", F.lit(None).cast("string").alias("date"), F.lit(None).cast("string").alias("course"),
+        F.lit(None).cast("long").alias("applicant_count"), F.lit(True).alias("malformed")))
+
+
+# Three payload files: the stored days, a restatement with unknown keys (rejected whole), the restatement; then its replay.
+@register("ingest_flow", "WITH " + S_SQL + ", " + I_SQL + ", " + U_SQL + f""",
+nd AS (SELECT count(DISTINCT date) AS n FROM i WHERE date > (SELECT max(date) FROM s))
+SELECT 'volume' AS part, CAST(batch_seq AS BIGINT) AS number, date, series_key, CAST(cnt AS BIGINT) AS cnt, CAST(NULL AS VARCHAR) AS note FROM u
+UNION ALL SELECT 'quarantine', 1, NULL, 'no ' || series_key, count(*), 'course' FROM i GROUP BY series_key
+UNION ALL SELECT 'decision', 0, (SELECT max(date) FROM s), NULL, (SELECT count(*) FROM s),
+  'Sufficient new data ({C.FULL_SYNC_NEW_DAYS} new days >= {C.RETRAIN_MIN_NEW_DAYS} threshold)'
+UNION ALL SELECT 'decision', 2, (SELECT max(date) FROM u), NULL, (SELECT count(*) FROM u),
+  CASE WHEN n >= {C.RETRAIN_MIN_NEW_DAYS} THEN 'Sufficient new data (' || n || ' new days >= {C.RETRAIN_MIN_NEW_DAYS} threshold)'
+    ELSE 'No retraining needed (' || n || ' new days < {C.RETRAIN_MIN_NEW_DAYS} threshold)' END FROM nd""")
+def q_ingest_flow(spark, sf):
+    """G2 as a stream: a full payload, a rejected one, an incremental one and a replay of it."""
+    from planwell.streaming.ingest_stream import IngestStream, write_payload
+    root = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    stored = IG.records_from_daily(stored_rows(spark, sf).select("date", "series_key", "cnt"))
+    again = checkpoint(incoming_records(spark, sf))
+    flow = IngestStream(spark, root, stored.select(F.col("course").alias("series_key")), CUT, TODAY)
+    wrong = again.withColumn("course", F.concat(F.lit("no "), F.col("course")))
+    for records, sync in ((stored, "full"), (wrong, "incremental"), (again, "incremental")):
+        write_payload(records, f"{root}/source", sync)
+        flow.run(f"{root}/source").awaitTermination()
+    write_payload(again, f"{root}/again", "incremental")
+    flow.apply(spark.read.text(f"{root}/again"), 2)
+    key = F.regexp_extract("error", "'(.*)'", 1)
+    bad = flow.quarantine().groupBy("epoch", key.alias("series_key"), "rule").agg(F.count(F.lit(1)).alias("cnt"))
+    volume = flow.volume.read().select(F.lit("volume").alias("part"), F.col("batch_seq").alias("number"), "date", "series_key", "cnt",
+                                       F.lit(None).cast("string").alias("note"))
+    bad = bad.select(F.lit("quarantine").alias("part"), F.col("epoch").alias("number"), F.lit(None).cast("date").alias("date"),
+                     "series_key", "cnt", F.col("rule").alias("note"))
+    said = flow.decisions().where("accepted").select(
+        F.lit("decision").alias("part"), F.col("epoch").alias("number"), F.to_date("end_date").alias("date"),
+        F.lit(None).cast("string").alias("series_key"), F.col("total_records").alias("cnt"), F.col("retraining_reason").alias("note"))
+    return volume.unionByName(bad).unionByName(said)

@@ -39,11 +39,13 @@ class Ingested:
 
 def ingest_batch(table: SnapshotTable, batch: DataFrame, sync_type: str = "incremental", manual_retrain: bool = False,
                  today: str | None = None, known_keys: DataFrame | None = None, max_count: int | None = None,
-                 max_records: int | None = None, writer: str | None = None, batch_number: int | None = None) -> Ingested:
+                 max_records: int | None = None, writer: str | None = None, batch_number: int | None = None,
+                 malformed: DataFrame | None = None) -> Ingested:
     """Validate the records (idx, date, course, applicant_count) as a whole, publish them, decide on retraining.
 
     Totals and dates come from the snapshot's manifest and new days from the batch, so an incremental batch reads no
     month that it does not touch.  With ``writer`` and ``batch_number`` a replayed batch publishes nothing.
+    ``malformed`` holds error rows of what could not be read as a record; one of them rejects the batch too.
     """
     if sync_type not in ("full", "incremental"):
         raise ValueError("sync_type must be 'full' or 'incremental'")
@@ -55,11 +57,15 @@ def ingest_batch(table: SnapshotTable, batch: DataFrame, sync_type: str = "incre
             raise ValueError("a first batch needs known_keys: the keys that it may hold")
         known_keys = table.read(number=base.number)
     batch = checkpoint(batch.select("idx", "date", "course", "applicant_count"))
-    errors = checkpoint(IG.validate_records(batch, known_keys.select("series_key").distinct(), today=today, max_count=max_count))
+    errors = IG.validate_records(batch, known_keys.select("series_key"), today=today, max_count=max_count)
+    if malformed is not None:
+        errors = malformed.unionByName(errors)
+    errors = checkpoint(errors)
     checked = IG.validation_summary(batch, errors, max_records).first()
-    if not checked.accepted:
+    broken = 0 if malformed is None else errors.where("rule = 'malformed'").count()
+    if not checked.accepted or broken:
         discard(batch)
-        return Ingested(False, checked.records_received, checked.too_many_records, errors, sync_type)
+        return Ingested(False, checked.records_received + broken, checked.too_many_records, errors, sync_type)
     discard(errors)
     incoming = IG.parse_records(batch, 0).drop("batch_seq")
     before = base.last if base else None

@@ -205,7 +205,8 @@ def ingest_payload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
     Returns (header, records).  ``records`` keeps each record's position in
     its array as ``idx`` (``posexplode``), which is what error messages cite;
-    the payload's ``source`` travels with every record.
+    the payload's ``source`` travels with every record.  A document is one row, so this form is for
+    batches that fit one; ``payload_lines`` reads batches of any size.
     """
     raw = spark.read.schema(PAYLOAD_SCHEMA).option("multiLine", True).json(path)
     header = raw.select("source", F.coalesce("data_version", F.lit("1.0")).alias("data_version"), "sync_type",
@@ -216,6 +217,46 @@ def ingest_payload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return header, records
 
 
+HEADER_FIELDS = {"source": "string", "data_version": "string", "sync_type": "string", "manual_retrain": "boolean"}
+
+
+def payload_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S9 for line-delimited payloads: (header, records, broken) of the lines (column ``value``) of one batch.
+
+    Each line is a JSON object with a part of the batch's ``daily_volumes`` and the ``offset`` of its first
+    record (0 if missing), so a batch is as many rows as it has lines and is read by as many tasks; the
+    header fields may stand in any of the lines (the largest value counts).  Lines are parsed into VARIANT
+    values without a schema: a line that is no JSON, and a record that is no object with a date, a course and a whole
+    number, become rows of ``broken`` (idx, field, rule, error) instead of failing the file.  Fields that
+    nobody asked for are ignored.  Empty lines are skipped.
+    """
+    spark = lines.sparkSession
+    parsed = lines.where(F.trim("value") != "").select("value", F.try_parse_json("value").alias("v"))
+    bad_line = F.col("v").isNull() | (F.schema_of_variant("v").substr(1, 6) != "OBJECT")
+    good = parsed.where(~bad_line).select("v")
+    header = good.agg(*[F.max(F.try_variant_get("v", f"$.{name}", kind)).alias(name) for name, kind in HEADER_FIELDS.items()],
+                      F.min(F.try_variant_get("v", "$.date_range.start_date", "string")).alias("start_date"),
+                      F.max(F.try_variant_get("v", "$.date_range.end_date", "string")).alias("end_date"))
+    header = header.select("source", F.coalesce("data_version", F.lit("1.0")).alias("data_version"),
+                           F.coalesce("sync_type", F.lit("incremental")).alias("sync_type"), "start_date", "end_date",
+                           F.coalesce("manual_retrain", F.lit(False)).alias("manual_retrain"))
+    each = spark.sql("SELECT coalesce(try_variant_get(v, '$.offset', 'bigint'), 0) + pos AS idx, value AS r "
+                     "FROM {good}, LATERAL variant_explode(try_variant_get(v, '$.daily_volumes', 'variant'))", good=good)
+    text = F.try_variant_get("r", "$.date", "string")
+    # a number given as text, or with a fraction, is not a whole number
+    whole = F.schema_of_variant(F.try_variant_get("r", "$.applicant_count", "variant")) == "BIGINT"
+    records = each.select("idx", text.alias("date"), F.try_variant_get("r", "$.course", "string").alias("course"),
+                          F.when(whole, F.try_variant_get("r", "$.applicant_count", "bigint")).alias("applicant_count"),
+                          F.to_json(F.col("r")).alias("_json"))
+    unusable = F.col("date").isNull() | F.col("course").isNull() | F.col("applicant_count").isNull()
+    broken = parsed.where(bad_line).select(F.lit(-1).cast("long").alias("idx"), F.lit("line").alias("field"), F.lit("malformed").alias("rule"),
+                                           F.concat(F.lit("Not a JSON object: "), F.substring("value", 1, 80)).alias("error"))
+    broken = broken.unionByName(records.where(unusable).select(
+        "idx", F.format_string("daily_volumes[%d]", "idx").alias("field"), F.lit("malformed").alias("rule"),
+        F.concat(F.lit("Not a record: "), F.substring("_json", 1, 80)).alias("error")))
+    return header, records.where(~unusable).drop("_json"), broken
+
+
 # CSV layouts of the service's own files (header names as they appear in those files).
 VOLUME_CSV_COLUMNS = {"date": "date", "course": "series_key", "applicant_count": "cnt"}
 LEARNER_CSV_COLUMNS = {
