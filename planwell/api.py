@@ -170,21 +170,17 @@ def course_detail(vol: Volume, course: str) -> DataFrame:
     return out.where(F.col("course") == course)
 
 
-def site_profile(learners: DataFrame, site: str) -> dict[str, DataFrame]:
-    """GET /forecast/profile/{barangay}."""
-    validate_member(learners, "site", site, "barangay")
+def site_profile(learners: DataFrame, site: str, registrations: DataFrame | None = None) -> dict[str, DataFrame]:
+    """GET /forecast/profile/{barangay} (R7 / R9); a site without learner records is described by its ``registrations``."""
     one = learners.where(F.col("site") == site)
+    events = None if registrations is None else registrations.where(F.col("site") == site)
+    known = learners.select("site") if events is None else learners.select("site").unionByName(events.select("site"))
+    validate_member(known, "site", site, "barangay")
+    rows = one if events is None else ST.by_presence(one, events, "site")
     dims = ["sex", "education", "employment", "classification", "course", "career", "skill"]
-    return {
-        "profile": one.groupBy("site").agg(
-            F.count(F.lit(1)).alias("total_applicants"),
-            F.count_if(F.col("sex") == C.MALE_LABEL).alias("male_count"),
-            F.count_if(F.col("sex") == C.FEMALE_LABEL).alias("female_count"),
-            F.round(F.avg("age"), 1).alias("average_age"),
-            ST.mode_of("course").alias("most_applied_course")),
-        "distributions": ST.distribution(one, dims, {"course": 8, "career": 8, "skill": 8}),
-        "age_distribution": ST.age_distribution(one),
-    }
+    return {"profile": ST.site_profile(one, events),
+            "distributions": ST.distribution(rows, dims, {"course": 8, "career": 8, "skill": 8}),
+            "age_distribution": ST.age_distribution(one)}
 
 
 def evaluation(vol: Volume) -> DataFrame:

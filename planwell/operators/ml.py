@@ -2,11 +2,10 @@
 
 ``pyspark.ml`` does the learning; everything around it is DataFrame work:
 
-* L3 exact stratified split without a global sort: rows are ordered by
-  (xxhash64(id), id); per class the test part is the first ceil(0.2 n)
-  rows of that order.  Rows are counted per (class, hash bucket), prefix
-  sums over at most ``2^bits`` buckets find each class's boundary bucket,
-  and only the rows of that one bucket are ranked exactly;
+* L3 exact stratified split without a global sort: per class the test part is
+  the first ceil(0.2 n) rows in the order of (md5 of the id, id).  Rows are counted
+  by hash prefix, only the boundary's bucket is refined until it is small, and
+  membership is then a comparison with the boundary row;
 * L6 / L10 score the representative profile of every course against every
   site in one ``transform``; the site side is broadcast only after its
   row count has been checked.
@@ -15,7 +14,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
+from decimal import Decimal
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from planwell import config as C
 from planwell.functions import scalars as S
-from planwell.session import ensure_checkpoint_dir, path_exists
+from planwell.session import checkpoint, discard, ensure_checkpoint_dir, path_exists
 
 LABEL = "outcome"
 IDX = [f"{c}_idx" for c in C.CATEGORICAL_COLUMNS]
@@ -53,33 +54,69 @@ def with_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     return df.withColumn("weight", F.element_at(weights, F.col(label)))
 
 
+#: hexadecimal digits by which buckets are refined, and rows of a boundary bucket that are few enough to be ordered
+SPLIT_DIGITS, SPLIT_FEW = 4, 10_000
+
+
+def split_bounds(df: DataFrame, id_col: str, label: str, test_fraction: float) -> dict:
+    """Per class the last (hash, id) of its test part: the ceil(test_fraction * n)-th row in the order of the hash.
+
+    Rows are counted by the first digits of their hash; in each class only the bucket with the boundary is counted
+    again by more digits, until it holds few rows, of which the one at the boundary is looked up.
+    """
+    h = F.md5(F.col(id_col).cast("string").cast("binary"))
+    rows = df.select(F.col(label).alias("c"), F.col(id_col).alias("id"), h.alias("h"))
+    # class -> (rows wanted, rows before the bucket, the bucket's prefix); None: the class as a whole
+    state: dict = {}
+    digits, open_ = SPLIT_DIGITS, None
+    while True:
+        part = rows if open_ is None else rows.where(_any([F.col("c").eqNullSafe(c) & F.col("h").startswith(state[c][2]) for c in open_]))
+        cells = part.groupBy("c", F.substring("h", 1, digits).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        if open_ is None:
+            for r in cells.groupBy("c").agg(F.sum("n").alias("n")).collect():  # a row a class
+                state[r["c"]] = (_ceil(test_fraction, r["n"]), 0, "", r["n"])
+            open_ = [c for c, s in state.items() if s[0] > 0]
+            cells = checkpoint(cells)
+        w = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+        placed = cells.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))  # at most 16^SPLIT_DIGITS cells a class
+        hit = _any([F.col("c").eqNullSafe(c) & (F.col("before") < state[c][0] - state[c][1])
+                    & (F.col("before") + F.col("n") >= state[c][0] - state[c][1]) for c in open_])
+        for r in (placed.where(hit).collect() if open_ else []):
+            want, before, _, _ = state[r["c"]]
+            state[r["c"]] = (want, before + r["before"], r["p"], r["n"])
+        open_ = [c for c in open_ if state[c][3] > SPLIT_FEW and digits < 32]
+        if not open_:
+            break
+        digits += SPLIT_DIGITS
+    bounds = {}
+    for c, (want, before, prefix, _) in state.items():
+        if want:
+            few = rows.where(F.col("c").eqNullSafe(c) & F.col("h").startswith(prefix))
+            last = few.orderBy("h", "id").offset(want - before - 1).limit(1).collect()[0]
+            bounds[c] = (last["h"], last["id"])
+    return bounds
+
+
+def _any(conditions: list):
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def _ceil(fraction: float, n: int) -> int:
+    return math.ceil(Decimal(str(fraction)) * n)
+
+
 def stratified_split(df: DataFrame, id_col: str = "record_id", label: str = LABEL,
-                     test_fraction: float = C.TEST_FRACTION, bits: int = 16) -> DataFrame:
-    """L3: add ``is_test``: per class exactly ceil(test_fraction * n_c) rows, chosen by hash order."""
-    h = F.xxhash64(F.col(id_col))
-    b = F.shiftrightunsigned(h, 64 - bits)
-    x = df.withColumn("_h", h).withColumn("_b", b)
-    per = x.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wcum = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(label)
-    per = (per.withColumn("_cum", F.sum("_n").over(wcum))
-           .withColumn("_ntest", F.ceil(F.sum("_n").over(tot) * F.lit(test_fraction)))
-           .withColumn("_before", F.col("_cum") - F.col("_n")))
-    # class boundary: the bucket where the running count first reaches the test size
-    bound = per.where((F.col("_before") < F.col("_ntest")) & (F.col("_cum") >= F.col("_ntest"))) \
-        .select(label, F.col("_b").alias("_bb"), F.col("_before").alias("_off"), "_ntest")
-    # one entry per class, read as a scalar: the rows are not shuffled by class
-    entry = F.struct(label, F.struct(F.col("_bb"), F.col("_off"), F.col("_ntest")))
-    bounds = bound.agg(F.map_from_entries(F.collect_list(entry))).scalar()
-    x = x.withColumn("_bound", F.element_at(bounds, F.col(label))).withColumn("_bb", F.col("_bound._bb"))
-    inside = x.where(F.col("_b") == F.col("_bb")).select(
-        "*", F.col("_bound._off").alias("_off"), F.col("_bound._ntest").alias("_ntest"))
-    w = Window.partitionBy(label).orderBy("_h", id_col)
-    inside = inside.withColumn("is_test", F.col("_off") + F.row_number().over(w) <= F.col("_ntest")) \
-        .drop("_off", "_ntest")
-    outside = x.where(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb"))).withColumn(
-        "is_test", F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False)))
-    return inside.unionByName(outside).drop("_h", "_b", "_bb", "_bound")
+                     test_fraction: float = C.TEST_FRACTION) -> DataFrame:
+    """L3: add ``is_test``: per class exactly ceil(test_fraction * n_c) rows, the first in the order of (md5 of the
+    id's text, id).  Ids must be unique.  ``df`` is read for the bounds first; the flag is then a comparison a row,
+    without a join or a window."""
+    h = F.md5(F.col(id_col).cast("string").cast("binary"))
+    inside = _any([F.col(label).eqNullSafe(c) & ((h < last) | ((h == last) & (F.col(id_col) <= F.lit(i))))
+                   for c, (last, i) in split_bounds(df, id_col, label, test_fraction).items()])
+    return df.withColumn("is_test", F.coalesce(inside, F.lit(False)))
 
 
 def _memory_mb(text: str) -> int:
@@ -125,9 +162,8 @@ def model_dir(spark: SparkSession, source: str) -> str:
 def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> tuple[PipelineModel, DataFrame]:
     """Load the saved pipeline for ``source`` or train it on the train split and save it.
 
-    ``learners`` should already be materialised when it is an expensive view:
-    the split reads it in three passes (bucket counts, boundary bucket, the
-    rest).  Returns the model and the split learners (with ``is_test``).
+    The split reads ``learners`` for its bounds (id and class only) and training once more.
+    Returns the model and the split learners (with ``is_test``).
     """
     split = stratified_split(clean_features(learners))
     path = model_dir(spark, source)
@@ -222,23 +258,24 @@ class ModelContext:
     def winners(self) -> DataFrame:
         return self.ranking().where(F.col("rank") == 1).drop("rank")
 
-    def test_predictions(self) -> DataFrame:
-        """Held-out predictions: label (1 = Graduate), pred, score = P(Graduate), materialised once."""
-        from planwell.session import checkpoint
+    def test_counts(self) -> DataFrame:
+        """Held-out rows counted by (label, pred, score): label 1 = Graduate, score = P(Graduate).
+
+        The forest gives rows of equal features equal scores, and counting is an ordinary partial aggregate, so
+        what is written is no row a record."""
         gi = graduate_index(self.model)
         out = self.model.transform(self.split.where(F.col("is_test")))
-        return checkpoint(out.select(
-            (F.col("label") == gi).cast("int").alias("label"),
-            (F.col("prediction") == gi).cast("int").alias("pred"),
-            vector_to_array("probability")[gi].alias("score")))
+        return checkpoint(out.groupBy(
+            (F.col("label") == gi).cast("int").alias("label"), (F.col("prediction") == gi).cast("int").alias("pred"),
+            vector_to_array("probability")[gi].alias("score")).agg(F.count(F.lit(1)).alias("n")))
 
     def metrics(self) -> DataFrame:
         """Classification report and ROC-AUC of the held-out rows."""
         from planwell.operators import stats as ST
-        tp = self.test_predictions()
-        auc = ST.roc_auc(tp).select(F.lit("summary").alias("section"), F.lit(None).cast("string").alias("class"),
-                                    F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
-        return ST.classification_report(tp).unionByName(auc)
+        tp = self.test_counts()
+        auc = ST.roc_auc(tp, weight="n").select(F.lit("summary").alias("section"), F.lit(None).cast("string").alias("class"),
+                                                F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
+        return ST.classification_report(tp, weight="n").unionByName(auc)
 
     def importance(self) -> DataFrame:
         """Features ranked by importance."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from planwell import config as C
 from planwell.functions import scalars as S
+from planwell.operators import ordered as OD
 from planwell.session import checkpoint
 
 
@@ -46,16 +47,19 @@ def distribution(df: DataFrame, columns: list[str], limits: dict[str, int] | Non
     top-n use (count desc, label asc).
 
     One pass over ``df``: every row also emits a row-marker item, so the
-    denominator comes out of the same aggregate (read back with a window over
-    the aggregated rows of each group) instead of a second scan.
+    denominator comes out of the same aggregate instead of a second scan: as a scalar, or with ``by`` by
+    a window over the aggregated rows of each group.  Without ``by`` ranks come from one order per dimension.
     """
     by = list(by or [])
     limits = limits or {}
     long = unpivot(df.withColumn(ROWS_MARKER, F.lit("")), [*columns, ROWS_MARKER], by) \
         .where(F.col("label").isNotNull())
     counts = long.groupBy(*by, "dimension", "label").agg(F.count(F.lit(1)).alias("count"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy()
-    total = F.max(F.when(F.col("dimension") == ROWS_MARKER, F.col("count"))).over(group)
+    if by:
+        total = F.max(F.when(F.col("dimension") == ROWS_MARKER, F.col("count"))).over(Window.partitionBy(*by))
+    else:
+        counts = checkpoint(counts)  # the labels of all dimensions, counted
+        total = counts.where(F.col("dimension") == ROWS_MARKER).select("count").scalar()
     counts = counts.withColumn("_total", total).where(F.col("dimension") != ROWS_MARKER)
     w = Window.partitionBy(*by, "dimension").orderBy(F.desc("count"), F.asc("label"))
     out = counts.select(*by, "dimension", "label", F.col("count").cast("long").alias("count"),
@@ -109,16 +113,55 @@ def age_distribution(df: DataFrame, by: list[str] | None = None, age: str = "age
                        S.pct(F.col("count"), F.col("_total"), 1, 0.0).alias("percentage"))
 
 
-def mode_of(col: str) -> Column:
-    """Most frequent value, the smallest on ties, null if none."""
-    return F.mode(F.col(col), deterministic=True)
+def representative_profile(learners: DataFrame, key: str = "course") -> DataFrame:
+    """Per key, the mode of each profile column and the median age (truncated).
 
+    One pass counts the labels of all columns and the ages; modes and medians come from the counts.
+    """
+    counts = checkpoint(OD.label_counts(learners, [key], [*C.PROFILE_MODE_COLUMNS, "age"]))
+    ages = counts.where(F.col("dimension") == "age").select(key, F.col("label").cast("double").alias("value"), "n")
+    median = OD.medians(ages, [key]).select(F.col(key).alias("_key"), F.col("median").cast("int").alias("age"))
+    # a key with nothing but nulls has no counts: it comes from the keys themselves
+    keys = learners.select(key).distinct()
+    modes = OD.modes(counts, [key], C.PROFILE_MODE_COLUMNS).withColumnRenamed(key, "_mode_key")
+    out = keys.join(modes, F.col(key).eqNullSafe(F.col("_mode_key")), "left").join(median, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return out.select(key, "age", *C.PROFILE_MODE_COLUMNS)
 
-def representative_profile(learners: DataFrame, key: str = "course") -> DataFrame:
-    """Per key, the mode of each profile column and the median age (truncated)."""
-    return learners.groupBy(key).agg(
-        F.median("age").cast("int").alias("age"),
-        *[mode_of(c).alias(c) for c in C.PROFILE_MODE_COLUMNS])
+
+def modes_of(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Per group (or over all rows) the most frequent value of each column, the smallest on ties."""
+    return OD.modes(OD.label_counts(df, keys, columns), keys, columns)
+
+
+def by_presence(primary: DataFrame, secondary: DataFrame, key: str) -> DataFrame:
+    """Rows of ``primary``, and for the keys that it has no row of those of ``secondary``.
+
+    Columns that only one of them has are null in the other's rows.  The keys present are counted out first, so the
+    anti join meets a table of keys and not of rows.
+    """
+    present = primary.where(F.col(key).isNotNull()).select(F.col(key).alias("_present")).distinct()
+    rest = secondary.join(present, F.col(key) == F.col("_present"), "left_anti")
+    return primary.unionByName(rest, allowMissingColumns=True)
+
+
+def site_profile(demographics: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
+    """R7 for every site: counts, sexes, mean age and most applied course from the site's demographic records, or
+    from its ``registrations`` (site, course) where it has none; the number of registrations in any case.
+
+    Without ``registrations`` the demographic records count as such.
+    """
+    events = demographics if registrations is None else registrations
+    rows = demographics if registrations is None else by_presence(demographics, registrations, "site")
+    facts = rows.where(F.col("site").isNotNull()).groupBy("site").agg(
+        F.count(F.lit(1)).cast("long").alias("total_applicants"),
+        F.count_if(F.col("sex") == C.MALE_LABEL).cast("long").alias("male_count"),
+        F.count_if(F.col("sex") == C.FEMALE_LABEL).cast("long").alias("female_count"),
+        F.round(F.avg("age"), 1).alias("average_age"))
+    event_counts = events.groupBy(F.col("site").alias("_site")).agg(F.count(F.lit(1)).cast("long").alias("_events"))
+    most = modes_of(rows, ["site"], ["course"]).select(F.col("site").alias("_mode_site"), F.col("course").alias("most_applied_course"))
+    out = facts.join(event_counts, F.col("site") == F.col("_site"), "left").join(most, F.col("site") == F.col("_mode_site"), "left")
+    return out.select("site", "total_applicants", F.coalesce("_events", F.lit(0)).cast("long").alias("registration_event_count"),
+                      "male_count", "female_count", "average_age", "most_applied_course")
 
 
 def outcome_summary(learners: DataFrame, keys: list[str]) -> DataFrame:
@@ -214,9 +257,9 @@ def class_balance(learners: DataFrame, label: str = "outcome", site: str = "site
         (mn == mx).alias("is_balanced"))
 
 
-def classification_report(pred: DataFrame, label: str = "label", prediction: str = "pred") -> DataFrame:
+def classification_report(pred: DataFrame, label: str = "label", prediction: str = "pred", weight: str | None = None) -> DataFrame:
     """Per-class precision / recall / F1 / support, accuracy, macro and weighted averages,
-    and the confusion matrix, as (section, class, metric, value) rows.
+    and the confusion matrix, as (section, class, metric, value) rows; ``weight`` names a count a row.
 
     One aggregate builds the confusion counts; everything else is arithmetic on
     that (classes x classes) table.
@@ -224,7 +267,7 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
     # the (classes x classes) confusion table is the only pass over the predictions;
     # it is materialised once and every figure below is read from it
     conf = checkpoint(pred.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted"))
-                      .agg(F.count(F.lit(1)).alias("n")))
+                      .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n")))
     per_class_actual = conf.groupBy(F.col("actual").alias("cls")).agg(
         F.sum("n").alias("support"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))).alias("tp"))
     per_class_pred = conf.groupBy(F.col("predicted").alias("cls")).agg(F.sum("n").alias("predicted_n"))
@@ -264,28 +307,19 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
     return rows.unionByName(summary).unionByName(matrix)
 
 
-def roc_auc(pred: DataFrame, label: str = "label", score: str = "score", buckets: int = 64) -> DataFrame:
+def roc_auc(pred: DataFrame, label: str = "label", score: str = "score", weight: str | None = None) -> DataFrame:
     """Exact ROC-AUC with tie-averaged ranks, null when one class is absent.
 
-    AUC = sum over positives of (#negatives scored below + 0.5 * #negatives
-    tied) / (n_pos * n_neg).  Computed without a global sort or a
-    single-partition window over the data: scores are aggregated to distinct
-    values, assigned to ``buckets`` equal-width ranges of [min, max] (used
-    only to partition; the result stays exact), prefix sums run across the
-    few bucket totals and, within a bucket, over its distinct scores.
+    AUC = sum over positives of (#negatives scored below + 0.5 * #negatives tied) / (n_pos * n_neg).  Scores are
+    counted by distinct value and the negatives below come from running sums over range partitions, whose
+    bounds are sampled from the scores themselves: clustered scores spread like any others.
     """
+    one = F.col(weight) if weight else F.lit(1)
     d = pred.groupBy(F.col(score).alias("s")).agg(
-        F.count_if(F.col(label) == 1).alias("npos"), F.count_if(F.col(label) != 1).alias("nneg"))
-    lo = d.select(F.min("s")).scalar()
-    hi = d.select(F.max("s")).scalar()
-    d = d.withColumn("b", F.coalesce(F.width_bucket(F.col("s"), lo, hi, F.lit(buckets)), F.lit(0)))
-    btot = d.groupBy("b").agg(F.sum("nneg").alias("bneg"))
-    # prefix over at most ``buckets`` rows
-    boff = btot.select("b", (F.sum("bneg").over(Window.orderBy("b")) - F.col("bneg")).alias("off"))
-    wb = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(boff, "b").withColumn(
-        "below", F.col("off") + F.coalesce(F.sum("nneg").over(wb), F.lit(0)))
-    agg = d.agg(F.sum(F.col("npos") * (F.col("below") + F.lit(0.5) * F.col("nneg"))).alias("num"),
+        F.coalesce(F.sum(F.when(F.col(label) == 1, one)), F.lit(0)).cast("long").alias("npos"),
+        F.coalesce(F.sum(F.when(F.col(label) != 1, one)), F.lit(0)).cast("long").alias("nneg"))
+    d = OD.running_sums(d, ["s"], ["nneg"])
+    agg = d.agg(F.sum(F.col("npos") * (F.col("nneg_before") + F.lit(0.5) * F.col("nneg"))).alias("num"),
                 F.sum("npos").alias("np"), F.sum("nneg").alias("nn"))
     auc = F.when((F.col("np") > 0) & (F.col("nn") > 0),
                  F.round(F.col("num") / (F.col("np") * F.col("nn")), 4))
@@ -296,15 +330,17 @@ def roc_auc(pred: DataFrame, label: str = "label", score: str = "score", buckets
 def gini(counts: DataFrame, count: str = "count") -> DataFrame:
     """Gini coefficient of counts: 2 sum(i c_(i)) / (n sum c) - (n + 1) / n.
 
-    The ordering window runs over one row per counted item (e.g. per site).
+    Items of equal count are one row with their number m: behind k smaller items their ranks add up to
+    m k + m (m + 1) / 2, and k comes from running sums over range partitions.
     """
-    w = Window.orderBy(F.asc(count))
-    ranked = counts.select(F.col(count).cast("double").alias("c"), F.row_number().over(w).alias("i"))
-    agg = ranked.agg(F.sum(F.col("i") * F.col("c")).alias("ic"), F.sum("c").alias("sc"),
-                     F.count(F.lit(1)).alias("n"))
+    m = F.col("m").cast("double")
+    same = counts.groupBy(F.col(count).cast("double").alias("c")).agg(F.count(F.lit(1)).alias("m"))
+    ranked = OD.running_sums(same, ["c"], ["m"])
+    agg = ranked.agg(F.sum((m * F.col("m_before") + m * (m + 1) / 2) * F.col("c")).alias("ic"), F.sum(m * F.col("c")).alias("sc"),
+                     F.sum("m").alias("n"))
     return agg.select(F.round(F.lit(2.0) * F.col("ic") / (F.col("n") * F.col("sc"))
                               - (F.col("n") + F.lit(1.0)) / F.col("n"), 4).alias("gini"),
-                      F.col("n").cast("long").alias("n_items"))
+                      F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
 
 
 def diversity(winners: DataFrame, key: str, winner: str, n_sites: Column) -> DataFrame:

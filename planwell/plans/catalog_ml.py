@@ -34,6 +34,15 @@ def q_stratified_split(spark, sf):
         F.count_if(~F.col("is_test")).cast("long").alias("n_train"))
 
 
+@register("stratified_split_rows", "WITH " + LEARN + f""",
+r AS (SELECT record_id, outcome, row_number() OVER (PARTITION BY outcome ORDER BY md5(CAST(record_id AS VARCHAR)), record_id) AS rn,
+  count(*) OVER (PARTITION BY outcome) AS n FROM learners)
+SELECT record_id, outcome, rn <= ceil(n * {C.TEST_FRACTION}) AS is_test FROM r""")
+def q_stratified_split_rows(spark, sf):
+    """L3: which rows are in the test part."""
+    return ML.stratified_split(T.learners(spark, sf).select("record_id", "outcome")).select("record_id", "outcome", "is_test")
+
+
 @register("class_weights", "WITH " + LEARN + """
 SELECT outcome, CAST(count(*) AS BIGINT) AS n_class,
   (SELECT count(*) FROM learners) / ((SELECT count(DISTINCT outcome) FROM learners) * count(*)) AS weight
@@ -127,8 +136,8 @@ def q_explanation(spark, sf):
     top = ctx.winners()
     rates = ST.completion_rates(ctx.learners)
     feats = [d for _, d, _ in sorted(ML.feature_importance(ctx.model), key=lambda r: (-r[2], r[0]))][:5]
-    tp = ctx.test_predictions()
-    acc = tp.select(F.round(F.avg((F.col("label") == F.col("pred")).cast("double")), 4)).scalar()
+    tp = ctx.test_counts()
+    acc = tp.select(F.round(F.sum(F.when(F.col("label") == F.col("pred"), F.col("n"))) / F.sum("n"), 4)).scalar()
     j = top.join(rates, ["course", "site"], "left")
     return j.select(
         "course", F.col("site").alias("recommended_site"), "completion_probability", "confidence_level",

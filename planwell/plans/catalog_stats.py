@@ -253,33 +253,39 @@ SITE_DIM_LIMITS = {"course": 8, "career": 8, "skill": 8}
 SITE_DIMS = ["sex", "education", "employment", "classification", "course", "career", "skill"]
 
 
-@register("site_profile", "WITH " + LEARN + """
-SELECT l.site, CAST(count(*) AS BIGINT) AS total_applicants, CAST(count(*) AS BIGINT) AS registration_event_count,
+# Every fifth nation has registrations (orders) but no demographic records.
+SITE_SQL = LEARN + """,
+regs AS (SELECT n_name AS site, o_orderpriority AS course FROM orders JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey),
+demo AS (SELECT * FROM learners WHERE site NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 5 = 0)),
+recs AS (SELECT site, course, age, sex, education, employment, skill, career, classification FROM demo
+  UNION ALL SELECT site, course, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM regs WHERE site NOT IN (SELECT site FROM demo))"""
+
+
+@register("site_profile", "WITH " + SITE_SQL + """
+SELECT l.site, CAST(count(*) AS BIGINT) AS total_applicants,
+  CAST((SELECT count(*) FROM regs r WHERE r.site = l.site) AS BIGINT) AS registration_event_count,
   CAST(count(*) FILTER (WHERE sex = 'Male') AS BIGINT) AS male_count,
   CAST(count(*) FILTER (WHERE sex = 'Female') AS BIGINT) AS female_count,
   round(avg(age), 1) AS average_age, m.course AS most_applied_course
-FROM learners l JOIN (SELECT site, course FROM (SELECT site, course, row_number() OVER (PARTITION BY site
-  ORDER BY count(*) DESC, course) AS rn FROM learners GROUP BY site, course) WHERE rn = 1) m ON l.site = m.site
+FROM recs l JOIN (SELECT site, course FROM (SELECT site, course, row_number() OVER (PARTITION BY site
+  ORDER BY count(*) DESC, course) AS rn FROM recs GROUP BY site, course) WHERE rn = 1) m ON l.site = m.site
 GROUP BY l.site, m.course""")
 def q_site_profile(spark, sf):
-    lr = learners(spark, sf)
-    return lr.groupBy("site").agg(
-        F.count(F.lit(1)).cast("long").alias("total_applicants"),
-        F.count(F.lit(1)).cast("long").alias("registration_event_count"),
-        F.count_if(F.col("sex") == C.MALE_LABEL).cast("long").alias("male_count"),
-        F.count_if(F.col("sex") == C.FEMALE_LABEL).cast("long").alias("female_count"),
-        F.round(F.avg("age"), 1).alias("average_age"),
-        ST.mode_of("course").alias("most_applied_course"))
+    """The profile of every site, from registrations where a site has no demographic records."""
+    return ST.site_profile(T.demographics(spark, sf), T.registrations(spark, sf))
 
 
-@register("site_distributions", "WITH " + LEARN + dist_sql("learners", SITE_DIMS, SITE_DIM_LIMITS, by=["site"]))
+@register("site_distributions", "WITH " + SITE_SQL + dist_sql("recs", SITE_DIMS, SITE_DIM_LIMITS, by=["site"]))
 def q_site_distributions(spark, sf):
-    return ST.distribution(learners(spark, sf), SITE_DIMS, SITE_DIM_LIMITS, by=["site"])
+    rows = ST.by_presence(T.demographics(spark, sf), T.registrations(spark, sf), "site")
+    return ST.distribution(rows, SITE_DIMS, SITE_DIM_LIMITS, by=["site"])
 
 
-@register("site_age_distribution", "WITH " + LEARN + age_sql("learners", ["site"]))
+@register("site_age_distribution", "WITH " + SITE_SQL + age_sql("demo", ["site"]))
 def q_site_age_distribution(spark, sf):
-    return ST.age_distribution(learners(spark, sf), by=["site"])
+    """A13 per site that has demographic records."""
+    return ST.age_distribution(T.demographics(spark, sf), by=["site"])
 
 
 @register("org_distributions", "WITH " + LEARN + ", " + VOL + dist_sql("learners", ORG_DIMS, {"site": 10})
@@ -308,11 +314,11 @@ def q_org_profile(spark, sf):
     """The organisation's key facts beside its distributions."""
     from planwell.operators import series as SR
     volume = daily(spark, sf)
-    return learners(spark, sf).agg(
+    return ST.modes_of(learners(spark, sf), [], ["employment", "education"]).select(
         volume.select(F.sum("cnt")).scalar().cast("long").alias("total_applicants"),
         SR.most_popular(volume).select("series_key").scalar().alias("most_popular_course"),
-        ST.mode_of("employment").alias("most_common_employment_status"),
-        ST.mode_of("education").alias("most_common_educational_attainment"))
+        F.col("employment").alias("most_common_employment_status"),
+        F.col("education").alias("most_common_educational_attainment"))
 
 
 @register("unknown_categories", "WITH " + LEARN + """

@@ -167,6 +167,23 @@ def learners(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registration events (site, course): one per order, site = nation, course = order priority."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return (orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, F.col("c_nationkey") == nation.n_nationkey)
+            .select(F.col("n_name").alias("site"), F.col("o_orderpriority").alias("course")))
+
+
+def demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learner records without those of every fifth nation: sites that have registrations only."""
+    nation = table(spark, sf_dir, "nation")
+    without = nation.where(F.col("n_nationkey") % 5 == 0).select(F.col("n_name").alias("_without"))
+    records = learners(spark, sf_dir)
+    return records.join(without, records.site == F.col("_without"), "left_anti")
+
+
 def ml_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents: label = quality, features lang, source, n_chars."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
