@@ -52,13 +52,22 @@ def validate_period(period: str, allowed) -> int:
 
 @dataclass
 class Volume:
-    """The daily volume table and the cutoff that bounds training."""
+    """The daily volume table and the cutoff that bounds training.
+
+    ``params_root`` names the saved parameters (T8): where it is given, only series that changed since they were
+    saved are fitted, and every report reads the saved ones.
+    """
     daily: DataFrame
     cutoff: str = C.DEFAULT_CUTOFF
+    params_root: str | None = None
 
     @classmethod
-    def from_tables(cls, spark: SparkSession, sf_dir: str, cutoff: str = C.DEFAULT_CUTOFF) -> "Volume":
-        return cls(T.volume(spark, sf_dir), cutoff)
+    def from_tables(cls, spark: SparkSession, sf_dir: str, cutoff: str = C.DEFAULT_CUTOFF, params_root: str | None = None) -> "Volume":
+        return cls(T.volume(spark, sf_dir), cutoff, params_root)
+
+    def materialised(self) -> "Volume":
+        """The same over a written daily table, so that many reports cost one pass over the raw rows."""
+        return Volume(checkpoint(self.daily), self.cutoff, self.params_root)
 
     def weekly(self) -> DataFrame:
         return SR.weekly_series(self.daily, self.cutoff)
@@ -67,7 +76,10 @@ class Volume:
         return SR.weekly_total(self.daily, self.cutoff)
 
     def params(self) -> DataFrame:
-        return FC.params(self.weekly())
+        if self.params_root is None:
+            return FC.params(self.weekly())
+        TR.refit(checkpoint(self.weekly()), TR.WEEKLY_KEYS, self.params_root, "week")
+        return TR.load(self.daily.sparkSession, self.params_root)
 
     def forecast(self, params: DataFrame | None = None) -> DataFrame:
         return FC.weekly_forecast(params if params is not None else self.params())
@@ -126,26 +138,26 @@ def summary(vol: Volume, course: str | None = None, params: DataFrame | None = N
                           vol.daily.select(F.sum("cnt")).scalar().cast("long"))
 
 
-def insights(vol: Volume, period: str = "next_month", course: str | None = None) -> DataFrame:
-    """GET /forecast/insights."""
-    cf = courses(vol, period, course)
+def insights(vol: Volume, period: str = "next_month", course: str | None = None, params: DataFrame | None = None) -> DataFrame:
+    """GET /forecast/insights (R3); without any forecast one sentence says so."""
+    cf = courses(vol, period, course, params)
+    if cf.isEmpty():
+        return vol.daily.sparkSession.createDataFrame([(1, C.INSIGHT_NONE)], "ord int, text string")
     if not course:
         return RP.forecast_insights(vol.daily, cf)
-    s1 = cf.select(F.lit(1).alias("ord"), F.concat(
-        F.lit(f"Course '{course}' is projected to receive "), S.fmt_int("forecasted_applicant_count"),
-        F.lit(" applicants for the selected period.")).alias("text"))
-    s2 = SR.most_popular(vol.daily).select(F.lit(2).alias("ord"), F.concat(
-        F.lit("The most popular course historically is "), F.col("series_key"), F.lit(".")).alias("text"))
+    s1 = cf.select(F.lit(1).alias("ord"), F.format_string(
+        C.INSIGHT_ONE_COURSE, F.lit(course), S.fmt_int("forecasted_applicant_count")).alias("text"))
+    s2 = SR.most_popular(vol.daily).select(F.lit(2).alias("ord"), F.format_string(C.INSIGHT_POPULAR, F.col("series_key")).alias("text"))
     return s1.unionByName(s2)
 
 
-def charts(vol: Volume, learners: DataFrame, course: str | None = None) -> DataFrame:
+def charts(vol: Volume, learners: DataFrame, course: str | None = None, params: DataFrame | None = None) -> DataFrame:
     """GET /forecast/charts (R4); a course narrows the history and forecast series."""
-    daily = vol.daily.where(F.col("series_key") == course) if course else vol.daily
+    fc, daily = vol.forecast(params), vol.daily
     if course:
         validate_member(vol.daily, "series_key", course)
+        fc, daily = fc.where(F.col("series_key") == course), daily.where(F.col("series_key") == course)
     sub = Volume(daily, vol.cutoff)
-    fc = sub.forecast()
     cf = FC.course_forecasts(daily, sub.weekly(), fc)
     from pyspark.sql import Window
     demo = ST.distribution(learners, ["employment", "education", "sex", "classification", "site"], {"site": 10})
@@ -158,15 +170,23 @@ def charts(vol: Volume, learners: DataFrame, course: str | None = None) -> DataF
 
 def dashboard(vol: Volume, learners: DataFrame, period: str = "next_month",
               course: str | None = None) -> dict[str, DataFrame]:
-    """GET /forecast/dashboard (R5): the four named parts."""
-    return {"summary": summary(vol, course), "courses": courses(vol, period, course),
-            "charts": charts(vol, learners, course), "insights": insights(vol, period, course)}
+    """GET /forecast/dashboard (R5): the four named parts, from one pass over the raw rows and one set of parameters."""
+    vol = vol.materialised()
+    params = checkpoint(vol.params())
+    return {"summary": summary(vol, course, params), "courses": courses(vol, period, course, params),
+            "charts": charts(vol, learners, course, params), "insights": insights(vol, period, course, params)}
+
+
+def home_dashboard(spark: SparkSession, vol: Volume, learners: DataFrame, source: str) -> DataFrame:
+    """GET /dashboard (R14): the recommendation for the most popular course and next month's volume."""
+    from planwell.operators import ml as ML
+    return RP.home_dashboard(ML.ModelContext(spark, learners, source), vol.forecast())
 
 
-def course_detail(vol: Volume, course: str) -> DataFrame:
+def course_detail(vol: Volume, course: str, params: DataFrame | None = None) -> DataFrame:
     """GET /forecast/course/{name}."""
     validate_member(vol.daily, "series_key", course)
-    out = RP.course_detail(vol.weekly(), vol.daily, vol.forecast())
+    out = RP.course_detail(vol.weekly(), vol.daily, vol.forecast(params))
     return out.where(F.col("course") == course)
 
 
@@ -211,13 +231,14 @@ def ingest(spark: SparkSession, batch: DataFrame, root: str, sync_type: str = "i
     return result.metrics(spark)
 
 
-def applicant_volume(vol: Volume, period: str = "next_month", course: str | None = None) -> dict[str, DataFrame]:
+def applicant_volume(vol: Volume, period: str = "next_month", course: str | None = None,
+                     params: DataFrame | None = None) -> dict[str, DataFrame]:
     """POST /predict/applicant-volume (R10): summary row and month-equivalent buckets.
 
     Confidence always comes from the organisation-wide backtest, as in the service.
     """
     validate_period(period, C.PREDICT_PERIODS)
-    fc, hist, monthly = vol.forecast(), vol.weekly_total(), SR.monthly_total(vol.daily)
+    fc, hist, monthly = vol.forecast(params), vol.weekly_total(), SR.monthly_total(vol.daily)
     if course:
         validate_member(vol.daily, "series_key", course)
         fc = fc.where(F.col("series_key") == course)

@@ -52,6 +52,41 @@ INSIGHT_DECREASE = "Applicant volume is expected to decrease by %s%% compared wi
 INSIGHT_STABLE = "Applicant volume is expected to remain stable compared with the equivalent previous period."
 INSIGHT_PEAK = "Peak weekly demand is projected in week %s with approximately %s applicants."
 
+# --- fixed values: labels and sentences of the monthly answer -----------------
+LEGACY_LABELS = {
+    "next_month": "Next Month",
+    "next_quarter": "Next Quarter (3 Months)",
+    "next_6_months": "Next 6 Months",
+    "next_12_months": "Next 12 Months",
+}
+LEGACY_INCREASE = "Applicant volume is expected to increase by %s%% compared with the previous period of the same length."
+LEGACY_DECREASE = "Applicant volume is expected to decrease by %s%% compared with the previous period of the same length."
+LEGACY_STABLE = "Applicant volume is expected to remain stable compared with the previous period of the same length."
+LEGACY_PEAK = "Peak demand is projected in month %s with approximately %s applicants."
+LEGACY_USE = "Use this forecast to plan instructor allocation, training schedules, and barangay coordination across all programs."
+
+# --- fixed values: sentences of the recommendation ---------------------------
+EVALUATION_TITLE = "How the AI Calculates the Recommendation"
+MODEL_USED = "Random Forest Classifier"
+DEFENSE_SUMMARY = (
+    "The representative applicant profile for %s was evaluated across all %d barangays. The Random Forest predicted the "
+    "probability of successful completion for each barangay. %s obtained the highest predicted completion probability of "
+    "%s%% and is recommended as the priority deployment area. Historical statistics are supporting evidence only and are not "
+    "used to calculate the AI Recommendation Score.")
+EVALUATION_MESSAGE = "%d barangays were evaluated by the Random Forest model and ranked by predicted completion probability."
+HOME_BEST = "%s has the highest predicted completion probability (%s%%)."
+HOME_EXPECTED = "Expected applicants next month: %s."
+HOME_ABOVE = "%s barangays have predicted completion probabilities above 80%%."
+HOME_PRIORITY = "Recommended priority areas: %s."
+
+# --- fixed values: sentences of the course insights ---------------------------
+INSIGHT_HIGHEST = "%s has the highest projected applicant volume (%s) for the selected period."
+INSIGHT_FASTEST = "%s is the fastest growing course (%+.1f%% versus recent weekly average)."
+INSIGHT_LOWEST = "%s has the lowest projected applicant volume (%s)."
+INSIGHT_POPULAR = "The most popular course historically is %s."
+INSIGHT_NONE = "No forecasting data is available yet."
+INSIGHT_ONE_COURSE = "Course '%s' is projected to receive %s applicants for the selected period."
+
 # --- fixed values: ingestion and retraining --------------------------------
 RETRAIN_MIN_NEW_DAYS = 30
 FULL_SYNC_NEW_DAYS = 999
@@ -121,5 +156,5 @@ DEFAULT_CUTOFF = "2000-12-31"
 # Grid resolution of the conditional-sum-of-squares fit: phi, theta in
 # {i / GRID_DENOMINATOR : |i| < GRID_DENOMINATOR}; 20 means a 0.05 step.
 GRID_DENOMINATOR = 20
-# Site count above which the site side of the scoring product is not broadcast.
-BROADCAST_SITE_LIMIT = 100_000
+# Size in bytes above which the site side of the scoring product is not broadcast.
+BROADCAST_SITE_BYTES = 16 << 20

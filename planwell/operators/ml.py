@@ -17,6 +17,7 @@ import hashlib
 import math
 import os
 from decimal import Decimal
+from functools import cached_property
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from planwell import config as C
 from planwell.functions import scalars as S
-from planwell.session import checkpoint, discard, ensure_checkpoint_dir, path_exists
+from planwell.operators.ingest import read_current, write_version
+from planwell.session import checkpoint, ensure_checkpoint_dir, path_exists
 
 LABEL = "outcome"
 IDX = [f"{c}_idx" for c in C.CATEGORICAL_COLUMNS]
@@ -134,10 +136,14 @@ def forest_memory_mb(spark: SparkSession) -> int:
     return max(256, min(1024, _memory_mb(sc.getConf().get(key, "1g")) // 8))
 
 
-def pipeline(max_bins: int = 32, memory_mb: int = 256) -> Pipeline:
-    """L1 + L4: alphabetical string indexers (nominal), assembler, weighted random forest."""
-    indexer = StringIndexer(inputCols=C.CATEGORICAL_COLUMNS, outputCols=IDX,
-                            stringOrderType="alphabetAsc", handleInvalid="error")
+def indexers() -> StringIndexer:
+    """L1: alphabetical string indexers (nominal) of all categories; an unknown category is an error (L2)."""
+    return StringIndexer(inputCols=C.CATEGORICAL_COLUMNS, outputCols=IDX, stringOrderType="alphabetAsc", handleInvalid="error")
+
+
+def pipeline(max_bins: int = 32, memory_mb: int = 256, indexer=None) -> Pipeline:
+    """L1 + L4: string indexers (given or to be fitted), assembler, weighted random forest."""
+    indexer = indexer or indexers()
     label_ix = StringIndexer(inputCol=LABEL, outputCol="label", stringOrderType="alphabetAsc")
     assembler = VectorAssembler(inputCols=[*IDX, "age"], outputCol="features", handleInvalid="error")
     forest = RandomForestClassifier(
@@ -159,16 +165,15 @@ def model_dir(spark: SparkSession, source: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "models", f"completion_{tag}")
 
 
-def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> tuple[PipelineModel, DataFrame]:
+def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> PipelineModel:
     """Load the saved pipeline for ``source`` or train it on the train split and save it.
 
     The split reads ``learners`` for its bounds (id and class only) and training once more.
-    Returns the model and the split learners (with ``is_test``).
     """
-    split = stratified_split(clean_features(learners))
     path = model_dir(spark, source)
     if path_exists(spark, f"{path}/metadata"):
-        return PipelineModel.load(path), split
+        return PipelineModel.load(path)
+    split = stratified_split(clean_features(learners))
     # the forest reads its input several times (indexers, split finding,
     # bagging); persisting the training rows once avoids recomputing the joins
     # the training rows are a narrow projection that AQE may coalesce into very
@@ -176,13 +181,13 @@ def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> tupl
     n = spark.sparkContext.defaultParallelism
     train = with_weights(split.where(~F.col("is_test"))).repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        card = train.agg(*[F.countDistinct(c).alias(c) for c in C.CATEGORICAL_COLUMNS]).first()
-        max_bins = max(32, *[int(card[c]) for c in C.CATEGORICAL_COLUMNS])
-        model = pipeline(max_bins, forest_memory_mb(spark)).fit(train)
+        indexed = indexers().fit(train)  # one pass; its labels say how many bins the forest needs
+        max_bins = max(32, *[len(labels) for labels in indexed.labelsArray])
+        model = pipeline(max_bins, forest_memory_mb(spark), indexed).fit(train)
     finally:
         train.unpersist()
     model.write().overwrite().save(path)
-    return model, split
+    return model
 
 
 def fingerprint(df: DataFrame) -> str:
@@ -197,19 +202,55 @@ def fingerprint(df: DataFrame) -> str:
     return f"{row.n}-{row.x}-{row.s}"
 
 
+def input_stamp(df: DataFrame) -> str | None:
+    """A digest of the files that ``df`` reads (path, length, time of change); None if it reads none.
+
+    It changes whenever a file does, and costs a look at the files' names instead of a pass over their rows.
+    """
+    spark = df.sparkSession
+    files = sorted(df.inputFiles())
+    if not files:
+        return None
+    seen = []
+    for f in files:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target)
+        seen.append((f, status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(repr(seen).encode()).hexdigest()[:24]
+
+
+def stored_learners(spark: SparkSession, learners: DataFrame, source: str) -> tuple[DataFrame, str]:
+    """(rows, stamp): the learner view as a stored table, written once for each state of the files behind it.
+
+    Every query of the model reads this table; a view without files is copied and stamped by its rows.
+    """
+    rows = clean_features(learners)
+    stamp = input_stamp(rows)
+    if stamp is None:
+        rows = checkpoint(rows)
+        return rows, fingerprint(rows)
+    root = f"{ensure_checkpoint_dir(spark)}/learners/{hashlib.sha256(f'{source}|{stamp}|{rows.columns}'.encode()).hexdigest()[:24]}"
+    stored = read_current(spark, root, rows.schema)
+    if stored is None:
+        write_version(rows, root)
+        stored = read_current(spark, root, rows.schema)
+    return stored, stamp
+
+
 def graduate_index(model: PipelineModel) -> int:
     return list(model.stages[1].labels).index(C.GRADUATE_LABEL)
 
 
-def candidates(profiles: DataFrame, sites: DataFrame, limit: int = C.BROADCAST_SITE_LIMIT) -> DataFrame:
+def candidates(profiles: DataFrame, sites: DataFrame, limit: int = C.BROADCAST_SITE_BYTES) -> DataFrame:
     """Every course profile x every site.
 
     The output is the ranking itself (courses x sites).  The site side is
-    broadcast only when its checked row count is under ``limit``; above it
+    broadcast only when its checked size in bytes is under ``limit``; above it
     Spark plans an ordinary shuffled product.
     """
-    n_sites = sites.count()
-    side = F.broadcast(sites) if n_sites <= limit else sites
+    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in sites.columns]
+    size = sites.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0] or 0
+    side = F.broadcast(sites) if size <= limit else sites
     return profiles.crossJoin(side)
 
 
@@ -236,17 +277,21 @@ def feature_importance(model: PipelineModel) -> list[tuple[str, str, float]]:
 
 
 class ModelContext:
-    """One model build: learner rows materialised once, the exact split, the (loaded or trained) model.
+    """One model build: the stored learner table, the exact split, the (loaded or trained) model.
 
-    ``source`` names the learner table; the model is saved under that name in
+    ``source`` names the learner table; the model is saved under that name and the state of its input in
     the shared checkpoint folder and loaded on later builds.
     """
 
     def __init__(self, spark: SparkSession, learners: DataFrame, source: str):
-        from planwell.session import checkpoint
         self.spark = spark
-        self.learners = checkpoint(clean_features(learners))
-        self.model, self.split = train_or_load(spark, self.learners, f"{source}|{fingerprint(self.learners)}")
+        self.learners, stamp = stored_learners(spark, learners, source)
+        self.model = train_or_load(spark, self.learners, f"{source}|{stamp}")
+
+    @cached_property
+    def split(self) -> DataFrame:
+        """The learners with ``is_test``; only the queries that look at the held-out part ask for it."""
+        return stratified_split(self.learners)
 
     def ranking(self, profiles: DataFrame | None = None) -> DataFrame:
         """L6 + W7: representative profile of every course (or the given ones) x every site, ranked."""

@@ -113,6 +113,32 @@ def age_distribution(df: DataFrame, by: list[str] | None = None, age: str = "age
                        S.pct(F.col("count"), F.col("_total"), 1, 0.0).alias("percentage"))
 
 
+def distributions_and_ages(df: DataFrame, columns: list[str], limits: dict[str, int] | None = None,
+                           age: str = "age") -> tuple[DataFrame, DataFrame]:
+    """A11 and A13 together over one pass of ``df``: the age bin is one more label that is counted.
+
+    Same rows as ``distribution`` and ``age_distribution``; only the counted labels are written in between.
+    """
+    bin_label = F.lit(None).cast("string")
+    for label, cond in reversed(age_bins(F.col(age))):
+        bin_label = F.when(cond, F.lit(label)).otherwise(bin_label)
+    rows = df.select(*columns, bin_label.alias("_age_bin"), F.lit("").alias(ROWS_MARKER))
+    counts = checkpoint(OD.label_counts(rows, [], [*columns, "_age_bin", ROWS_MARKER]))
+    total = counts.where(F.col("dimension") == ROWS_MARKER).select("n").scalar()
+    w = Window.partitionBy("dimension").orderBy(F.desc("n"), F.asc("label"))
+    dist = counts.where(F.col("dimension").isin(columns)).select(
+        "dimension", "label", F.col("n").cast("long").alias("count"), F.round(F.col("n") / total * F.lit(100.0), 1).alias("percentage"),
+        F.row_number().over(w).alias("rank"))
+    for dim, n in (limits or {}).items():
+        dist = dist.where((F.col("dimension") != dim) | (F.col("rank") <= n))
+    bins = df.sparkSession.createDataFrame([(i + 1, label) for i, label in enumerate(C.AGE_LABELS)], "ord int, label string")
+    seen = counts.where(F.col("dimension") == "_age_bin").select(F.col("label").alias("_label"), "n")
+    ages = bins.join(seen, F.col("label") == F.col("_label"), "left").select(
+        "ord", "label", F.coalesce("n", F.lit(0)).cast("long").alias("count"),
+        S.pct(F.coalesce("n", F.lit(0)), F.coalesce(total, F.lit(0)), 1, 0.0).alias("percentage"))
+    return dist, ages
+
+
 def representative_profile(learners: DataFrame, key: str = "course") -> DataFrame:
     """Per key, the mode of each profile column and the median age (truncated).
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from planwell import config as C
 from planwell.operators import ml as ML, stats as ST
-from planwell.plans import forecasting as FC
+from planwell.plans import reports as RP
 from planwell.plans import training as TR
 from planwell.plans.catalog import CUT, register, weekly
 from planwell.plans.catalog_stats import LEARN
@@ -113,8 +113,12 @@ def q_recommend_diversity(spark, sf):
 def q_recommendation_answer(spark, sf):
     """Ranked sites of every course with participation and evidence (J2 / J3 left joins)."""
     ctx = Context(spark, sf)
-    ranked = ctx.ranking()
-    ev = ST.site_evidence(ctx.learners)
+    return _answer_rows(ctx, ctx.learners)
+
+
+def _answer_rows(ctx, learners, profile=None):
+    ranked = ctx.ranking(profile)
+    ev = ST.site_evidence(learners)
     evidence = F.struct(
         "label", "historical_participation_percentage", "historical_completion_percentage",
         "historical_dropout_percentage", "historical_applicant_count", "data_reliability")
@@ -129,50 +133,78 @@ def q_recommendation_answer(spark, sf):
         "supporting_evidence")
 
 
-@register("explanation")
-def q_explanation(spark, sf):
-    """Top site of each course with its historical blocks, model metrics and top features."""
-    ctx = Context(spark, sf)
-    top = ctx.winners()
+def explained(ctx: ML.ModelContext):
+    """R13 for every course: its top site with historical blocks, the evaluation block and the decision summary."""
+    ranked = ctx.ranking()
+    n_sites = ranked.groupBy(F.col("course").alias("_course")).agg(F.count(F.lit(1)).alias("sites_evaluated"))
+    top = ranked.where(F.col("rank") == 1).drop("rank").join(n_sites, F.col("course") == F.col("_course"))
     rates = ST.completion_rates(ctx.learners)
     feats = [d for _, d, _ in sorted(ML.feature_importance(ctx.model), key=lambda r: (-r[2], r[0]))][:5]
-    tp = ctx.test_counts()
-    acc = tp.select(F.round(F.sum(F.when(F.col("label") == F.col("pred"), F.col("n"))) / F.sum("n"), 4)).scalar()
+    factors = F.array(*[F.lit(f) for f in feats])
+    report = checkpoint(ctx.metrics())
+
+    def value(section, metric, cls=None):
+        return report.where((F.col("section") == section) & (F.col("metric") == metric) & F.col("class").eqNullSafe(cls)).select("value").scalar()
+
+    # the class 1 is that of the graduates; the matrix is read actual by predicted
+    validation = F.struct(
+        value("summary", "accuracy").alias("accuracy"), value("class", "precision", "1").alias("precision"),
+        value("class", "recall", "1").alias("recall"), value("class", "f1_score", "1").alias("f1_score"),
+        value("summary", "roc_auc").alias("roc_auc"),
+        F.array(*[F.array(*[F.coalesce(value("confusion", f"predicted_{p}", a), F.lit(0.0)).cast("long") for p in "01"]) for a in "01"]).alias("confusion_matrix"),
+        F.array(F.lit(C.DROPOUT_LABEL), F.lit(C.GRADUATE_LABEL)).alias("class_labels"))
     j = top.join(rates, ["course", "site"], "left")
+    score = F.col("completion_probability").cast("string")
+    defense = F.format_string(C.DEFENSE_SUMMARY, F.col("course"), F.col("sites_evaluated"), F.col("site"), score)
     return j.select(
         "course", F.col("site").alias("recommended_site"), "completion_probability", "confidence_level",
         "completion_rate", "dropout_rate", "completion_detail", "dropout_detail", "success_detail",
-        acc.alias("model_accuracy"),
-        F.array(*[F.lit(f) for f in feats]).alias("top_features"),
-        F.concat(F.col("site"), F.lit(" is recommended for "), F.col("course"),
-                 F.lit(" with a predicted completion probability of "),
-                 F.col("completion_probability").cast("string"), F.lit("%.")).alias("decision_summary"))
+        value("summary", "accuracy").alias("model_accuracy"), factors.alias("top_features"),
+        F.concat(F.col("site"), F.lit(" is recommended for "), F.col("course"), F.lit(" with a predicted completion probability of "),
+                 score, F.lit("%.")).alias("decision_summary"),
+        F.struct(F.lit(C.EVALUATION_TITLE).alias("title"), F.col("site"), F.col("course"), F.col("sites_evaluated"),
+                 F.col("completion_probability").alias("recommendation_score"), F.col("confidence_level"),
+                 factors.alias("recommendation_factors"), defense.alias("defense_summary")).alias("evaluation"),
+        F.struct(F.lit(C.MODEL_USED).alias("model_used"), ctx.learners.select(F.count(F.lit(1))).scalar().alias("training_records"),
+                 ctx.learners.select(F.countDistinct("site")).scalar().alias("sites"), F.col("course").alias("course_selected"),
+                 F.col("site").alias("top_site"), F.col("completion_probability").alias("prediction_confidence"),
+                 F.col("confidence_level"), validation.alias("model_validation")).alias("ai_decision_summary"),
+        F.format_string(C.EVALUATION_MESSAGE, F.col("sites_evaluated")).alias("evaluation_message"))
+
+
+@register("explanation")
+def q_explanation(spark, sf):
+    """The explanation of every course's recommendation."""
+    return explained(Context(spark, sf))
+
+
+@register("completion_answer")
+def q_completion_answer(spark, sf):
+    """R12 + R13 as one answer a course: profile, workforce, ranked sites with evidence, explanation."""
+    return completion_answer(Context(spark, sf))
+
+
+def completion_answer(ctx: ML.ModelContext, learners=None):
+    """One row a course; ``learners`` narrows the courses.  The lists hold labels and sites of one course, not records."""
+    rows = ctx.learners if learners is None else learners
+    profile = checkpoint(ST.representative_profile(rows))
+    sites = checkpoint(_answer_rows(ctx, rows, profile))
+    dist = ST.workforce_profile(rows)
+    ranked = sites.groupBy("course").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "site", "completion_probability", "confidence_level", "historical_applicants",
+        "historical_participation_percentage", "data_reliability", "supporting_evidence"))).alias("recommended_sites"))
+    labels = dist.groupBy("course").agg(F.array_sort(F.collect_list(F.struct("dimension", "rank", "label", "count", "percentage"))).alias("distributions"))
+    own = F.struct(*[c for c in profile.columns if c != "course"]).alias("applicant_profile")
+    total = ST.workforce_summary(rows)
+    work = F.struct("total_historical_applicants", "historical_graduates", "historical_completion_rate", "distributions")
+    why = explained(ctx).withColumnRenamed("course", "_c")
+    why = why.select("_c", F.struct(*[c for c in why.columns if c != "_c"]).alias("explainable_ai"))
+    return (profile.select("course", own).join(total.join(labels, "course"), "course").join(ranked, "course")
+            .join(why, F.col("course") == F.col("_c"), "left")
+            .select("course", "applicant_profile", work.alias("course_workforce_profile"), "recommended_sites", "explainable_ai"))
 
 
 @register("home_dashboard")
 def q_home_dashboard(spark, sf):
     """Best site, top-5, count of sites >= 80 %, next-month total, for the most popular course."""
-    ctx = Context(spark, sf)
-    course = ctx.learners.groupBy("course").count().orderBy(F.desc("count"), F.asc("course")).limit(1)
-    # only this course is scored
-    ranked = ctx.ranking(ST.representative_profile(ctx.learners).join(course.select("course"), "course"))
-    fc = TR.weekly_forecast(checkpoint(weekly(spark, sf)), f"weekly:{sf}:{CUT}")
-    nm = fc.agg(F.round(F.sum(F.when(F.col("step") <= C.STEPS_NEXT_MONTH, FC.cents())) / F.lit(100.0), 1)).scalar()
-    agg = ranked.groupBy("course").agg(
-        F.min_by("site", "rank").alias("best_site"),
-        F.max("completion_probability").alias("completion_probability"),
-        F.count_if(F.col("completion_probability") >= C.HIGH_PROBABILITY_THRESHOLD).alias("n_high"),
-        F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "site", F.col("completion_probability").alias("p"))))).alias("top5"))
-    return agg.select(
-        "course", "best_site", "completion_probability", nm.alias("forecast_next_month"),
-        F.transform("top5", lambda x: x["site"]).alias("top_sites"),
-        F.transform("top5", lambda x: x["p"]).alias("top_probabilities"),
-        F.concat(F.col("best_site"), F.lit(" has the highest predicted completion probability ("),
-                 F.col("completion_probability").cast("string"), F.lit("%).")).alias("insight_1"),
-        F.concat(F.lit("Expected applicants next month: "), nm.cast("string"), F.lit(".")).alias("insight_2"),
-        F.concat(F.col("n_high").cast("string"),
-                 F.lit(" barangays have predicted completion probabilities above 80%.")).alias("insight_3"),
-        F.concat(F.lit("Recommended priority areas: "),
-                 F.array_join(F.slice(F.transform("top5", lambda x: x["site"]), 1, 3), ", "),
-                 F.lit(".")).alias("insight_4"),
-        F.lit("Online").alias("ai_status"))
+    return RP.home_dashboard(Context(spark, sf), TR.weekly_forecast(checkpoint(weekly(spark, sf)), f"weekly:{sf}:{CUT}"))

@@ -8,6 +8,7 @@ from planwell import config as C
 from planwell.functions import scalars as S
 from planwell.operators import arima, series as SR, stats as ST
 from planwell.plans import forecasting as FC
+from planwell.plans import legacy as LG
 from planwell.plans import reports as RP
 from planwell.plans import training as TR
 from planwell.plans.catalog import (COURSE_FORECASTS_SQL, CUT, FCAST, FIT, MSERIES, MTOTAL, SUMS, TAILS, VOL,
@@ -104,17 +105,18 @@ UNION ALL SELECT 'age_distribution', ord, label, CAST(count AS DOUBLE), percenta
 
 @register("forecast_charts", CHARTS_SQL)
 def q_forecast_charts(spark, sf):
-    from pyspark.sql import Window
     d, wk, wt, _, fc = inputs(spark, sf)
-    cf = FC.course_forecasts(d, wk, fc)
-    # both learner charts read one materialised narrow projection instead of two join scans
-    lr = checkpoint(T.learners(spark, sf).select(*ORG_DIMS, "age"))
-    demo = ST.distribution(lr, ORG_DIMS, {"site": 10})
+    return charts(spark, sf, d, wt, fc, FC.course_forecasts(d, wk, fc))
+
+
+def charts(spark, sf, d, wt, fc, cf):
+    """R4 with the learners counted in one pass."""
+    from pyspark.sql import Window
+    demo, ages = ST.distributions_and_ages(T.learners(spark, sf), ORG_DIMS, {"site": 10})
     course = ST.weighted_distribution(d).select(
         F.lit("course").alias("dimension"), "label", "count", "percentage",
         F.row_number().over(Window.orderBy(F.desc("count"), F.asc("label"))).alias("rank"))
-    return RP.forecast_charts(d, wt, fc, cf, demo.unionByName(course),
-                              ST.age_distribution(lr))
+    return RP.forecast_charts(d, wt, fc, cf, demo.unionByName(course), ages)
 
 
 _G1, _T1 = growth_sql("recent_avg", "s1")
@@ -253,37 +255,72 @@ SELECT a.forecast_period, CAST(a.steps AS INTEGER) AS steps, round(a.total, 1) A
 FROM agg a JOIN prev p ON a.forecast_period = p.forecast_period""")
 def q_volume_forecast_monthly(spark, sf):
     """The legacy monthly answer for 1 / 3 / 6 / 12 months from all (site, key) models."""
-    # the small monthly table is made once, for the fit, the history and the holdout
+    return LG.report(*legacy_inputs(spark, sf))
+
+
+def legacy_inputs(spark, sf):
+    """The monthly series (made once), its total and the saved models' 12-month forecast."""
     monthly = checkpoint(T.volume_two_key(spark, sf))
     series = checkpoint(SR.resample(monthly, "month", TWO, fill=None))
     prm = TR.saved_params(series, TWO, "month", f"two-key:{sf}")
     fc = arima.forecast(prm, TWO, steps=12, period_step="month", clip=False, digits=4)
-    st = fc.groupBy("step").agg(F.sum(F.round(F.col("y_hat") * 10000).cast("long")).alias("c")) \
-        .select("step", F.round(F.col("c") / F.lit(10000.0), 1).alias("p"))
-    periods = F.create_map(*[x for k, v in C.LEGACY_PERIODS.items() for x in (F.lit(k), F.lit(v))])
-    per = st.select("*", F.explode(periods).alias("forecast_period", "steps")).where(F.col("step") <= F.col("steps"))
-    agg = per.groupBy("forecast_period", "steps").agg(
-        (F.sum(F.round(F.col("p") * 10).cast("long")) / F.lit(10.0)).alias("total"),
-        F.min_by("step", F.struct(-F.col("p"), F.col("step"))).alias("peak_month"),
-        F.max("p").alias("peak_value"))
-    hist = SR.resample(monthly, "month", [], fill=None)
-    pos = SR.with_position_from_end(hist, [], "month")
-    tails = pos.agg(*[F.round(F.coalesce(F.sum(F.when(F.col("rpos") <= n, F.col("y"))), F.lit(0.0)), 1).alias(f"t{n}")
-                      for n in sorted(set(C.LEGACY_PERIODS.values()))])
-    prev = None
-    for n in sorted(set(C.LEGACY_PERIODS.values())):
-        v = tails.select(f"t{n}").scalar()
-        prev = F.when(F.col("steps") == n, v) if prev is None else prev.when(F.col("steps") == n, v)
-    h = arima.holdout(series, TWO, "month")
-    e = F.col("actual") - F.col("predicted")
-    per_series = h.groupBy(*TWO).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    mae = per_series.where(F.col("mae").isNotNull() & F.col("rmse").isNotNull()).select(F.avg("mae")).scalar()
-    mean = hist.select(F.avg("y")).scalar()
-    growth = S.growth_pct(F.round("total", 1), F.col("previous_period_total"))
-    out = agg.withColumn("previous_period_total", prev)
-    return out.select(
-        "forecast_period", F.col("steps").cast("int").alias("steps"),
-        F.round("total", 1).alias("total_predicted_applicants"), "previous_period_total",
-        growth.alias("growth_percentage"), S.growth_direction(growth).alias("growth_direction"),
-        S.confidence_by_error_legacy(mae, mean).alias("confidence_level"),
-        F.col("peak_month").cast("int").alias("peak_month"), "peak_value")
+    return series, SR.resample(monthly, "month", [], fill=None), fc
+
+
+LEGACY_STEPS = """st AS (SELECT step, round(CAST(sum(CAST(round(y_hat * 10000) AS BIGINT)) AS DOUBLE) / CAST(10000 AS DOUBLE), 1) AS p
+  FROM fc9 GROUP BY step)"""
+
+
+@register("volume_monthly_charts", W(V2, M2, M2T, O.fit_ctes("m9", "m2", TWO, "month"), LEG_FC) + f""", {LEGACY_STEPS},
+per AS ({LEG_PERIODS}), hist AS (SELECT *, row_number() OVER (ORDER BY month DESC) AS back FROM m2t),
+old AS (SELECT month, y, CAST(row_number() OVER (ORDER BY month) AS INTEGER) AS ord FROM hist WHERE back <= {C.CHART_MONTHS})
+SELECT per.forecast_period, 'historical_volume' AS series, ord, strftime(month, '%b %Y') AS period, round(y, 1) AS applicants FROM per, old
+UNION ALL SELECT per.forecast_period, 'forecast_volume', CAST(step AS INTEGER),
+  strftime(CAST((SELECT max(month) FROM m2t) + to_months(CAST(step AS INTEGER)) AS DATE), '%b %Y'), p FROM per JOIN st ON step <= per.steps""")
+def q_volume_monthly_charts(spark, sf):
+    """The history of 18 months and the forecast series of every planning period."""
+    _, total, fc = legacy_inputs(spark, sf)
+    return LG.charts(total, fc)
+
+
+@register("volume_monthly_insights", ORACLE["volume_forecast_monthly"].replace("\nSELECT a.forecast_period", ",\nvf AS (SELECT a.forecast_period", 1) + """),
+lab AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS k, '{v}' AS label" for k, v in C.LEGACY_LABELS.items()) + """)
+SELECT forecast_period, 1 AS ord, 'The organisation is projected to receive ' || format('{:,.0f}', total_predicted_applicants)
+  || ' applicants during the ' || lower(label) || ' planning window.' AS text FROM vf JOIN lab ON k = forecast_period
+UNION ALL SELECT forecast_period, 2, CASE growth_direction
+  WHEN 'growth' THEN 'Applicant volume is expected to increase by ' || CAST(abs(growth_percentage) AS VARCHAR) || '% compared with the previous period of the same length.'
+  WHEN 'decline' THEN 'Applicant volume is expected to decrease by ' || CAST(abs(growth_percentage) AS VARCHAR) || '% compared with the previous period of the same length.'
+  ELSE 'Applicant volume is expected to remain stable compared with the previous period of the same length.' END FROM vf
+UNION ALL SELECT forecast_period, 3, 'Peak demand is projected in month ' || peak_month || ' with approximately '
+  || format('{:,.0f}', peak_value) || ' applicants.' FROM vf WHERE steps > 1
+UNION ALL SELECT forecast_period, 4, 'Use this forecast to plan instructor allocation, training schedules, and barangay coordination across all programs.' FROM vf""")
+def q_volume_monthly_insights(spark, sf):
+    """The planning sentences of every planning period."""
+    return LG.insights(q_volume_forecast_monthly(spark, sf))
+
+
+_KPIS = ["expected_applicants_next_week", "expected_applicants_next_month", "expected_applicants_next_quarter", "previous_week_total",
+         "previous_month_total", "previous_quarter_total", "total_historical_applicants", "highest_forecasted_count",
+         "highest_growth_percentage", "courses_modeled"]
+
+
+@register("dashboard", "WITH fs AS (" + ORACLE["forecast_summary"] + "), cs AS (" + ORACLE["course_forecasts"] + "), ch AS (" + ORACLE["forecast_charts"]
+          + "), fi AS (" + ORACLE["forecast_insights"] + ")\n" + " UNION ALL ".join(
+              f"SELECT 'summary' AS part, {i} AS ord, '{k}' AS label, CAST({k} AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text FROM fs" for i, k in enumerate(_KPIS, 1)) + """
+UNION ALL SELECT 'courses', NULL, course, forecasted_applicant_count, trend FROM cs
+UNION ALL SELECT 'charts', ord, chart || ': ' || label, value, NULL FROM ch
+UNION ALL SELECT 'insights', ord, NULL, NULL, text FROM fi""")
+def q_dashboard(spark, sf):
+    """Summary, courses, charts and insights from one daily table, one set of parameters and one pass over the learners."""
+    d, wk, wt, prm, fc = inputs(spark, sf)
+    cf = checkpoint(FC.course_forecasts(d, wk, fc))
+    kpi = RP.forecast_summary(d, wk, wt, fc, prm).select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ord"), F.lit(k).alias("label"), F.col(k).cast("double").alias("value")) for i, k in enumerate(_KPIS, 1)])).alias("k"))
+    none = F.lit(None).cast("string")
+    out = kpi.select(F.lit("summary").alias("part"), "k.ord", "k.label", "k.value", none.alias("text"))
+    out = out.unionByName(cf.select(F.lit("courses").alias("part"), F.lit(None).cast("int").alias("ord"), F.col("course").alias("label"),
+                                    F.col("forecasted_applicant_count").alias("value"), F.col("trend").alias("text")))
+    out = out.unionByName(charts(spark, sf, d, wt, fc, cf).select(
+        F.lit("charts").alias("part"), "ord", F.concat("chart", F.lit(": "), "label").alias("label"), "value", none.alias("text")))
+    return out.unionByName(RP.forecast_insights(d, cf).select(
+        F.lit("insights").alias("part"), "ord", none.alias("label"), F.lit(None).cast("double").alias("value"), "text"))

@@ -71,18 +71,12 @@ def forecast_insights(daily: DataFrame, cf: DataFrame) -> DataFrame:
     """The organisation-wide planning sentences as (ord, text) rows."""
     top, fast, low = _top(cf), _fastest(cf), _lowest(cf)
     n = cf.select(F.count(F.lit(1))).scalar()
-    s1 = top.select(F.lit(1).alias("ord"), F.concat(
-        F.col("course"), F.lit(" has the highest projected applicant volume ("),
-        S.fmt_int("forecasted_applicant_count"), F.lit(") for the selected period.")).alias("text"))
-    s2 = fast.select(F.lit(2).alias("ord"), F.concat(
-        F.col("course"), F.lit(" is the fastest growing course ("),
-        F.format_string("%+.1f", F.col("growth_percentage")),
-        F.lit("% versus recent weekly average).")).alias("text"))
-    s3 = low.where(n > 1).select(F.lit(3).alias("ord"), F.concat(
-        F.col("course"), F.lit(" has the lowest projected applicant volume ("),
-        S.fmt_int("forecasted_applicant_count"), F.lit(").")).alias("text"))
-    s4 = SR.most_popular(daily).select(F.lit(4).alias("ord"), F.concat(
-        F.lit("The most popular course historically is "), F.col("series_key"), F.lit(".")).alias("text"))
+    s1 = top.select(F.lit(1).alias("ord"), F.format_string(
+        C.INSIGHT_HIGHEST, F.col("course"), S.fmt_int("forecasted_applicant_count")).alias("text"))
+    s2 = fast.select(F.lit(2).alias("ord"), F.format_string(C.INSIGHT_FASTEST, F.col("course"), F.col("growth_percentage")).alias("text"))
+    s3 = low.where(n > 1).select(F.lit(3).alias("ord"), F.format_string(
+        C.INSIGHT_LOWEST, F.col("course"), S.fmt_int("forecasted_applicant_count")).alias("text"))
+    s4 = SR.most_popular(daily).select(F.lit(4).alias("ord"), F.format_string(C.INSIGHT_POPULAR, F.col("series_key")).alias("text"))
     return s1.unionByName(s2).unionByName(s3).unionByName(s4)
 
 
@@ -259,3 +253,25 @@ def evaluation(weekly: DataFrame, wtotal: DataFrame) -> DataFrame:
         "training_period", "testing_period")
     # MAPE ascending, nulls last
     return overall.unionByName(per_key).orderBy(F.col("scope"), F.col("mape").asc_nulls_last())
+
+
+def home_dashboard(ctx, fc: DataFrame) -> DataFrame:
+    """Best site, top-5, count of sites >= 80 %, next-month total, for the most popular course."""
+    course = ctx.learners.groupBy("course").count().orderBy(F.desc("count"), F.asc("course")).limit(1)
+    # only this course is scored
+    ranked = ctx.ranking(ST.representative_profile(ctx.learners).join(course.select("course"), "course"))
+    nm = fc.agg(F.round(F.sum(F.when(F.col("step") <= C.STEPS_NEXT_MONTH, FC.cents())) / F.lit(100.0), 1)).scalar()
+    agg = ranked.groupBy("course").agg(
+        F.min_by("site", "rank").alias("best_site"),
+        F.max("completion_probability").alias("completion_probability"),
+        F.count_if(F.col("completion_probability") >= C.HIGH_PROBABILITY_THRESHOLD).alias("n_high"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "site", F.col("completion_probability").alias("p"))))).alias("top5"))
+    return agg.select(
+        "course", "best_site", "completion_probability", nm.alias("forecast_next_month"),
+        F.transform("top5", lambda x: x["site"]).alias("top_sites"),
+        F.transform("top5", lambda x: x["p"]).alias("top_probabilities"),
+        F.format_string(C.HOME_BEST, F.col("best_site"), F.col("completion_probability").cast("string")).alias("insight_1"),
+        F.format_string(C.HOME_EXPECTED, nm.cast("string")).alias("insight_2"),
+        F.format_string(C.HOME_ABOVE, F.col("n_high").cast("string")).alias("insight_3"),
+        F.format_string(C.HOME_PRIORITY, F.array_join(F.slice(F.transform("top5", lambda x: x["site"]), 1, 3), ", ")).alias("insight_4"),
+        F.lit("Online").alias("ai_status"))

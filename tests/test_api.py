@@ -135,3 +135,41 @@ def test_model_artifacts_round_trip(spark):
     names = {r.metric for r in art["metrics"].collect()}
     assert {"accuracy", "roc_auc", "macro_f1", "precision"} <= names
     assert api.top_features(art).count() == 5
+
+
+def test_reports_read_saved_parameters(spark, vol, monkeypatch):
+    from planwell.plans import training as TR
+    saved = api.Volume.from_tables(spark, SF_SMALL, params_root=tempfile.mkdtemp(prefix="planwell-t8-")).materialised()
+    saved.params()
+    monkeypatch.setattr(TR.arima, "fit_params", lambda *_: pytest.fail("fitted again"))
+    key = saved.daily.select("series_key").orderBy("series_key").first()[0]
+    lr = T.learners(spark, SF_SMALL)
+    parts = api.dashboard(saved, lr, "next_month", key)
+    assert parts["courses"].first().course == key and parts["insights"].count() == 2
+    assert parts["charts"].where("chart = 'top_courses'").count() == 1
+    assert api.course_detail(saved, key).count() == 1
+    assert api.applicant_volume(saved)["summary"].count() == 1
+
+
+def test_insights_without_any_forecast(spark):
+    daily = spark.createDataFrame([], "date date, series_key string, cnt long")
+    assert [r.text for r in api.insights(api.Volume(daily)).collect()] == ["No forecasting data is available yet."]
+
+
+def test_home_dashboard_and_one_answer(spark, vol):
+    from planwell.operators import ml as ML
+    from planwell.plans import catalog_ml as CM
+    lr = T.learners(spark, SF_SMALL)
+    row = api.home_dashboard(spark, vol, lr, f"api-test:{SF_SMALL}").first()
+    assert row.insight_1.startswith(row.best_site) and len(row.top_sites) == 5
+    answers = CM.completion_answer(ML.ModelContext(spark, lr, f"api-test:{SF_SMALL}")).collect()
+    assert len(answers) == lr.select("course").distinct().count()
+    for a in answers:
+        assert [s["rank"] for s in a.recommended_sites] == list(range(1, len(a.recommended_sites) + 1))
+        why = a.explainable_ai
+        assert why["recommended_site"] == a.recommended_sites[0]["site"]
+        assert why["evaluation"]["sites_evaluated"] == len(a.recommended_sites)
+        checks = why["ai_decision_summary"]["model_validation"]
+        (tn, fp), (fn, tp) = checks["confusion_matrix"]
+        assert checks["accuracy"] == pytest.approx((tn + tp) / (tn + fp + fn + tp), abs=1e-4)
+        assert checks["recall"] == pytest.approx(tp / (fn + tp), abs=1e-4) and checks["precision"] == pytest.approx(tp / (fp + tp), abs=1e-4)

@@ -15,7 +15,8 @@ FAST = ["daily_volume", "weekly_series", "monthly_total", "totals_rollup", "chro
         "representative_profile", "site_evidence", "roc_auc", "classification_report", "upsert_volume",
         "holdout_backtest", "stratified_split", "stream_daily_counts", "ingest_validation", "retrain_criteria",
         "org_profile", "unknown_categories", "site_profile", "volume_insights", "upsert_versions", "saved_forecast",
-        "saved_forecast_two_key", "retrain_incremental"]
+        "saved_forecast_two_key", "retrain_incremental", "stratified_split_rows", "gini", "dashboard", "volume_monthly_charts",
+        "volume_monthly_insights", "ingest_payload", "ingest_flow", "stream_event_time"]
 
 
 def norm(v):
