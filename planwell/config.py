@@ -156,5 +156,7 @@ DEFAULT_CUTOFF = "2000-12-31"
 # Grid resolution of the conditional-sum-of-squares fit: phi, theta in
 # {i / GRID_DENOMINATOR : |i| < GRID_DENOMINATOR}; 20 means a 0.05 step.
 GRID_DENOMINATOR = 20
+# The best grid point's neighbourhood is searched again in steps this many times finer.
+GRID_REFINE = 10
 # Size in bytes above which the site side of the scoring product is not broadcast.
 BROADCAST_SITE_BYTES = 16 << 20

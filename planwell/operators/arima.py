@@ -6,9 +6,10 @@ Model, without constant, on the first difference d_t = y_t - y_{t-1}:
 
 (conditional sum of squares).  The fit minimises sum e_t^2 over a grid
 phi, theta in {i / GRID_DENOMINATOR : |i| < GRID_DENOMINATOR}, which keeps
-the model stationary and invertible.  On the line theta = -phi the model is
+the model stationary and invertible, and then over the best point's
+neighbourhood, one grid step to each side in steps GRID_REFINE times finer.  On the line theta = -phi the model is
 white noise whatever the value, so that line is cut to (0, 0).  Ties are
-broken by (sse, |phi|, |theta|, phi, theta).  A missing difference (a gap
+broken by (sse, |phi|, |theta|, phi, theta) in both searches.  A missing difference (a gap
 in a null-filled series) contributes no residual and restarts the lags.
 
 Forecast from the end of a series of length n:
@@ -85,19 +86,60 @@ def css_scan(y: np.ndarray, phi: np.ndarray, theta: np.ndarray, start_k: int = 0
     return dlag, best, best_s, best_e
 
 
+def neighbourhood(phi: float, theta: float, denominator: int = C.GRID_DENOMINATOR,
+                  refine: int = C.GRID_REFINE) -> tuple[np.ndarray, np.ndarray]:
+    """Finer points around a grid point, itself included, in tie-break order."""
+    fine = denominator * refine
+    around = np.arange(-refine, refine + 1)
+    i = (round(phi * denominator) * refine + around).repeat(len(around))
+    j = np.tile(round(theta * denominator) * refine + around, len(around))
+    keep = (np.abs(i) < fine) & (np.abs(j) < fine) & ((i != -j) | ((i == 0) & (j == 0)))
+    p, q = i[keep] / float(fine), j[keep] / float(fine)
+    order = np.lexsort((q, p, np.abs(q), np.abs(p)))
+    return p[order], q[order]
+
+
+def refine_scan(y: np.ndarray, phi: np.ndarray, theta: np.ndarray, start_k: int, denominator: int = C.GRID_DENOMINATOR):
+    """The second search, for every prefix at once: ``phi``, ``theta`` are the best grid points of the prefixes
+    that end at differences ``start_k``, ``start_k`` + 1, ...
+
+    Prefixes with one best grid point share its neighbourhood, and all neighbourhoods go through one causal pass.
+    Returns phi, theta, the SSE and the last residual of each prefix.
+    """
+    cells = sorted(set(zip(phi.tolist(), theta.tolist())))
+    number = {c: i for i, c in enumerate(cells)}
+    points = [neighbourhood(p, q, denominator) for p, q in cells]
+    starts = np.cumsum([0, *[len(p) for p, _ in points]])
+    all_phi, all_theta = (np.concatenate([x[i] for x in points]) for i in (0, 1))
+    d = y[1:] - y[:-1]
+    e, s, d_prev, out = np.zeros(len(all_phi)), np.zeros(len(all_phi)), 0.0, []
+    for k in range(start_k + len(phi)):
+        if np.isnan(d[k]):
+            e, d_prev = np.zeros(len(all_phi)), 0.0
+        else:
+            e = d[k] - all_phi * d_prev - all_theta * e
+            s = s + e * e
+            d_prev = d[k]
+        if k >= start_k:
+            c = number[phi[k - start_k], theta[k - start_k]]
+            b = int(starts[c] + np.argmin(s[starts[c]:starts[c + 1]]))
+            out.append((all_phi[b], all_theta[b], s[b], e[b]))
+    return tuple(np.array(x) for x in zip(*out)) if out else (np.empty(0),) * 4
+
+
 def fit_series(y: np.ndarray, denominator: int = C.GRID_DENOMINATOR) -> dict | None:
     """Fit one series; ``None`` when it has fewer than three points."""
     y = np.asarray(y, dtype=np.float64)
     if len(y) < MIN_POINTS:
         return None
     phi, theta = grid(denominator)
-    dlag, best, best_s, best_e = css_scan(y, phi, theta, start_k=len(y) - 2)
-    b = int(best[0])
+    dlag, best, _, _ = css_scan(y, phi, theta, start_k=len(y) - 2)
+    p, q, sse, e = refine_scan(y, phi[best], theta[best], len(y) - 2, denominator)
     observed = y[~np.isnan(y)]
     return {
-        "phi": float(phi[b]), "theta": float(theta[b]), "sse": float(best_s[0]),
+        "phi": float(p[0]), "theta": float(q[0]), "sse": float(sse[0]),
         "last_y": float(observed[-1]) if len(observed) else 0.0,
-        "last_d": float(dlag[-1]), "last_e": float(best_e[0]),
+        "last_d": float(dlag[-1]), "last_e": float(e[0]),
     }
 
 
@@ -193,8 +235,8 @@ def walk_forward(series: DataFrame, keys: list[str], period: str = "week",
             return pd.DataFrame(columns=names)
         ts = np.arange(split, n)
         k = ts - 2                       # last difference inside prefix [0, t)
-        dlag, b, _, e_best = css_scan(y[: n - 1], phi_g, theta_g, start_k=split - 2)
-        ph, th = phi_g[b], theta_g[b]
+        dlag, b, _, _ = css_scan(y[: n - 1], phi_g, theta_g, start_k=split - 2)
+        ph, th, _, e_best = refine_scan(y[: n - 1], phi_g[b], theta_g[b], split - 2, denominator)
         # last observed value of each prefix
         last_obs = pd.Series(y).ffill().to_numpy()
         pred = last_obs[ts - 1] + (ph * dlag[k] + th * e_best)

@@ -22,6 +22,7 @@ def wf_sql(name: str, series: str, keys: list[str]) -> str:
     part = ", ".join(f"r.{k}" for k in keys)
     pk = f"PARTITION BY {part}, r.t" if keys else "PARTITION BY r.t"
     on_m = " AND ".join(f"r.{k} = m.{k}" for k in keys) or "TRUE"
+    on_c = "".join(f"c.{k} = r.{k} AND " for k in keys)
     on_w = "".join(f"w.{k} = b.{k} AND " for k in keys)
     on_p = "".join(f"wp.{k} = b.{k} AND " for k in keys)
     grp = f"GROUP BY {', '.join(keys)}" if keys else ""
@@ -30,8 +31,11 @@ def wf_sql(name: str, series: str, keys: list[str]) -> str:
 {name}_meta AS (SELECT {kk}count(*) AS n,
   greatest(1, least(CAST(floor(count(*) * 0.8) AS INTEGER), CAST(count(*) - 1 AS INTEGER))) AS split
   FROM {series} {grp}),
-{name}_best AS (SELECT * FROM (SELECT r.*, row_number() OVER ({pk} ORDER BY r.sse, abs(r.phi), abs(r.theta), r.phi, r.theta) AS rn
+{name}_cell AS (SELECT * FROM (SELECT r.*, row_number() OVER ({pk} ORDER BY r.sse, abs(r.phi), abs(r.theta), r.phi, r.theta) AS rn
   FROM {name}x_rec r JOIN {name}_meta m ON {on_m} WHERE m.split >= {C.MIN_TRAINING_PERIODS} AND r.t + 1 >= m.split) WHERE rn = 1),
+{O.refine_ctes(f"{name}x", f"{name}_cell", keys)},
+{name}_best AS (SELECT * FROM (SELECT r.*, row_number() OVER ({pk} ORDER BY r.sse, abs(r.phi), abs(r.theta), r.phi, r.theta) AS rn
+  FROM {name}x_rec2 r JOIN {name}_cell c ON {on_c}c.t = r.t AND c.phi = r.phi0 AND c.theta = r.theta0) WHERE rn = 1),
 {name} AS (SELECT {''.join(f'b.{k}, ' for k in keys)}CAST(b.t + 1 AS INTEGER) AS t, w.week, w.y AS actual,
   greatest(0.0, wp.y + (b.phi * b.dlag + b.theta * b.e)) AS predicted, b.phi, b.theta
   FROM {name}_best b JOIN {series} w ON {on_w}w.t = b.t + 1 JOIN {series} wp ON {on_p}wp.t = b.t)"""
@@ -185,10 +189,15 @@ def q_legacy_forecast(spark, sf):
 HOLD = O.arima_ctes("h", "m2", TWO) + f""",
 hmeta AS (SELECT site, series_key, count(*) AS n FROM m2 GROUP BY site, series_key
   HAVING count(*) > {C.HOLDOUT_MONTHS + C.HOLDOUT_MIN_EXTRA}),
-hbest AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.site, r.series_key
+hcell AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.site, r.series_key
     ORDER BY r.sse, abs(r.phi), abs(r.theta), r.phi, r.theta) AS rn
   FROM h_rec r JOIN hmeta m ON r.site = m.site AND r.series_key = m.series_key AND r.t = m.n - {C.HOLDOUT_MONTHS + 1})
   WHERE rn = 1),
+{O.refine_ctes("h", "hcell", TWO)},
+hbest AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.site, r.series_key
+    ORDER BY r.sse, abs(r.phi), abs(r.theta), r.phi, r.theta) AS rn
+  FROM h_rec2 r JOIN hmeta m ON r.site = m.site AND r.series_key = m.series_key AND r.t = m.n - {C.HOLDOUT_MONTHS + 1})
+  WHERE rn = 1),
 hlast AS (SELECT s.site, s.series_key, arg_max(s.y, s.t) FILTER (WHERE s.y IS NOT NULL) AS last_y
   FROM m2 s JOIN hmeta m ON s.site = m.site AND s.series_key = m.series_key
   WHERE s.t <= m.n - {C.HOLDOUT_MONTHS + 1} GROUP BY s.site, s.series_key),

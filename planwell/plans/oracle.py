@@ -117,6 +117,34 @@ def arima_ctes(name: str, series: str, keys: list[str],
   FROM {name}_rec r JOIN {name}_diff s ON {on}s.t = r.t + 1)"""
 
 
+def refine_ctes(name: str, cells: str, keys: list[str], denominator: int = C.GRID_DENOMINATOR, refine: int = C.GRID_REFINE) -> str:
+    """The second search around grid points: ``{name}_rec2``(keys, phi0, theta0, phi, theta, t, e, dlag, sse) for the
+    distinct (keys, phi, theta) of ``cells``, over the differences of ``{name}_diff``."""
+    kk, fine = _keys(keys), denominator * refine
+    on = "".join(f"s.{k} = p.{k} AND " for k in keys)
+    on_r = "".join(f"s.{k} = r.{k} AND " for k in keys)
+    return f"""{name}_points AS (
+  SELECT {kk}phi0, theta0, CAST(i AS DOUBLE) / CAST({fine} AS DOUBLE) AS phi, CAST(j AS DOUBLE) / CAST({fine} AS DOUBLE) AS theta
+  FROM (SELECT {kk}phi0, theta0, CAST(round(phi0 * {denominator}) AS INTEGER) * {refine} + a.x AS i,
+               CAST(round(theta0 * {denominator}) AS INTEGER) * {refine} + b.x AS j
+        FROM (SELECT DISTINCT {kk}phi AS phi0, theta AS theta0 FROM {cells}), range({-refine}, {refine + 1}) a(x), range({-refine}, {refine + 1}) b(x))
+  WHERE abs(i) < {fine} AND abs(j) < {fine} AND (i <> -j OR (i = 0 AND j = 0))),
+{name}_rec2 AS (
+  SELECT {_keys(keys, 'p.')}p.phi0, p.theta0, p.phi, p.theta, s.t,
+         CASE WHEN s.d IS NULL THEN 0.0 ELSE s.d - p.phi * 0.0 - p.theta * 0.0 END AS e,
+         coalesce(s.d, 0.0) AS dlag,
+         CASE WHEN s.d IS NULL THEN 0.0
+              ELSE (s.d - p.phi * 0.0 - p.theta * 0.0) * (s.d - p.phi * 0.0 - p.theta * 0.0) END AS sse
+  FROM {name}_diff s JOIN {name}_points p ON {on}s.t = 1
+  UNION ALL
+  SELECT {_keys(keys, 'r.')}r.phi0, r.theta0, r.phi, r.theta, s.t,
+         CASE WHEN s.d IS NULL THEN 0.0 ELSE s.d - r.phi * r.dlag - r.theta * r.e END,
+         coalesce(s.d, 0.0),
+         CASE WHEN s.d IS NULL THEN r.sse
+              ELSE r.sse + (s.d - r.phi * r.dlag - r.theta * r.e) * (s.d - r.phi * r.dlag - r.theta * r.e) END
+  FROM {name}_rec2 r JOIN {name}_diff s ON {on_r}s.t = r.t + 1)"""
+
+
 def fit_ctes(name: str, series: str, keys: list[str], grain: str,
              denominator: int = C.GRID_DENOMINATOR) -> str:
     """``{name}_fit``(keys, phi, theta, sse, n_obs, last_y, last_d, last_e, data_start, data_end)."""
@@ -131,11 +159,17 @@ def fit_ctes(name: str, series: str, keys: list[str], grain: str,
   SELECT {kk}count(*) AS n_obs, max(t) AS mt, min({grain}) AS data_start, max({grain}) AS data_end,
          arg_max(y, t) FILTER (WHERE y IS NOT NULL) AS last_y
   FROM {series} {('GROUP BY ' + ', '.join(keys)) if keys else ''}),
+{name}_cell AS (
+  SELECT * FROM (
+    SELECT {_keys(keys, 'r.')}r.phi, r.theta,
+           row_number() OVER ({part} ORDER BY r.sse, abs(r.phi), abs(r.theta), r.phi, r.theta) AS rn
+    FROM {name}_rec r JOIN {name}_meta m ON {on}r.t = m.mt) WHERE rn = 1),
+{refine_ctes(name, f"{name}_cell", keys, denominator)},
 {name}_best AS (
   SELECT * FROM (
     SELECT {_keys(keys, 'r.')}r.phi, r.theta, r.sse, r.e, r.dlag,
            row_number() OVER ({part} ORDER BY r.sse, abs(r.phi), abs(r.theta), r.phi, r.theta) AS rn
-    FROM {name}_rec r JOIN {name}_meta m ON {on}r.t = m.mt) WHERE rn = 1),
+    FROM {name}_rec2 r JOIN {name}_meta m ON {on}r.t = m.mt) WHERE rn = 1),
 {name}_fit AS (
   SELECT {_keys(keys, 'm.')}b.phi, b.theta, b.sse, CAST(m.n_obs AS INTEGER) AS n_obs,
          m.last_y, b.dlag AS last_d, b.e AS last_e, m.data_start, m.data_end

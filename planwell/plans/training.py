@@ -26,7 +26,7 @@ def digests(series: DataFrame, keys: list[str], period: str, denominator: int =
     """(keys, digest): what the fit of each series depends on, its observations and the estimator's setting."""
     one = F.xxhash64(F.col(period), F.col("t"), F.col("y"))
     low = F.sum(one.bitwiseAND(F.lit((1 << 31) - 1)))  # with the exclusive or, a repeated row does not cancel out
-    text = F.concat_ws(":", F.lit(f"css/{denominator}"), F.count(F.lit(1)), F.bit_xor(one), low)
+    text = F.concat_ws(":", F.lit(f"css/{denominator}x{C.GRID_REFINE}"), F.count(F.lit(1)), F.bit_xor(one), low)
     return series.groupBy(*keys).agg(text.alias("digest"))
 
 

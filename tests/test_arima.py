@@ -8,25 +8,37 @@ import pandas as pd
 from planwell.operators import arima
 
 
-def brute_fit(y, den=20):
-    """Independent loop implementation of the CSS grid fit."""
-    vals = [i / den for i in range(-(den - 1), den)]
+def css(y, phi, theta):
+    e_prev, d_prev, sse = 0.0, 0.0, 0.0
+    for t in range(1, len(y)):
+        d = y[t] - y[t - 1]
+        e = d - phi * d_prev - theta * e_prev
+        sse += e * e
+        e_prev, d_prev = e, d
+    return sse, d_prev, e_prev
+
+
+def best_of(y, points):
     best = None
-    for phi, theta in itertools.product(vals, vals):
+    for phi, theta in points:
         if phi == -theta and not (phi == 0 and theta == 0):
             continue
-        e_prev, d_prev, sse = 0.0, 0.0, 0.0
-        for t in range(1, len(y)):
-            d = y[t] - y[t - 1]
-            e = d - phi * d_prev - theta * e_prev
-            sse += e * e
-            e_prev, d_prev = e, d
+        sse, d, e = css(y, phi, theta)
         key = (sse, abs(phi), abs(theta), phi, theta)
         if best is None or key < best[0]:
-            best = (key, phi, theta, d_prev, e_prev)
+            best = (key, phi, theta, d, e)
     return best
 
 
+def brute_fit(y, den=20, fine=10):
+    """Independent loop implementation of the grid search and of the finer one around its best point."""
+    vals = [i / den for i in range(-(den - 1), den)]
+    _, phi, theta, _, _ = best_of(y, itertools.product(vals, vals))
+    near = [[i / (den * fine) for i in range(round(v * den) * fine - fine, round(v * den) * fine + fine + 1) if abs(i) < den * fine]
+            for v in (phi, theta)]
+    return best_of(y, itertools.product(*near))
+
+
 def test_grid_fit_matches_brute_force():
     rng = np.random.default_rng(7)
     y = np.cumsum(rng.normal(size=40)) + 50
@@ -52,6 +64,21 @@ def test_prefix_trick_equals_refitting_every_prefix(spark):
         assert row.actual == y[row.t]
 
 
+def test_the_finer_search_never_loses_to_the_grid():
+    rng = np.random.default_rng(11)
+    phi, theta = arima.grid()
+    better = 0
+    for n in (3, 4, 12, 60):
+        for _ in range(5):
+            y = np.cumsum(rng.normal(size=n)) * 10
+            _, b, s, _ = arima.css_scan(y, phi, theta, start_k=n - 2)
+            fit = arima.fit_series(y)
+            assert fit["sse"] <= s[0] and abs(fit["phi"]) < 1 and abs(fit["theta"]) < 1
+            assert abs(fit["phi"] - phi[b[0]]) <= 0.05 + 1e-12 and abs(fit["theta"] - theta[b[0]]) <= 0.05 + 1e-12
+            better += fit["sse"] < s[0]
+    assert better >= 10
+
+
 def test_closed_form_equals_step_recursion():
     fit = {"phi": 0.45, "theta": -0.3, "last_y": 120.0, "last_d": 4.0, "last_e": -1.5}
     closed = arima.forecast_values(fit, 52)
