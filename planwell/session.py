@@ -17,6 +17,17 @@ DEFAULT_CONF = {
 }
 
 
+#: bytes of one batch on its way to or from a Python worker, unless the session says otherwise: rows with whole texts
+#: would fill Spark's own default of 64 MB several times over in each running task
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set ``BATCH_CONF`` where neither the cluster nor the user has."""
+    if BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "planwell", driver_memory: str | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings every job here assumes.
@@ -47,6 +58,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     registered on the context is used; a local master (tests, a laptop) gets a fresh one,
     registered once.  Any other master must name a folder that all executors share.
     """
+    bound_batches(spark)
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
