@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,10 +63,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release(*caches: dict) -> None:
+    """Empty the caches at the end of a task and hand free memory back to the system.
+
+    Python workers live on between tasks, and those of different operators share them: what each keeps for itself
+    would add up.
+    """
+    for cache in caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 class WordHashes(dict):
     """word bytes -> 64-bit hash, kept between batches up to ``limit`` words."""
 
-    limit = 300_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -120,3 +136,75 @@ def running_totals(df: DataFrame, order: list[str], values: list[str]) -> DataFr
     joined = ranged.join(F.broadcast(offsets), "_part")  # one row per partition
     return joined.select(*[F.col(f"`{c}`") for c in df.columns],
                          *[(F.col(f"{v}_before") + F.col(f"_{v}_offset")).alias(f"{v}_before") for v in values])
+
+
+#: bytes of row marks that are sent to all tasks together; more of them go in several parts
+SENT_MARKS = 64 << 20
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with the place of every row: ``_file``, a number for its file, and ``_row``, its position there.
+
+    The places are those of Spark's file sources and stay the same however often the rows are read; rows that
+    do not come from files are written first.
+    """
+    for attempt in (docs, None):
+        source = checkpoint(docs) if attempt is None else attempt
+        try:
+            out = source.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64("_metadata.file_path").alias("_file"),
+                                F.col("_metadata.row_index").alias("_row"))
+            out.schema  # noqa: B018 - resolves the columns
+        except AnalysisException:
+            if attempt is None:
+                raise
+            continue
+        if attempt is not None and not _rows_of_files(docs):
+            continue
+        return out
+    raise AssertionError("unreachable")
+
+
+def _rows_of_files(docs: DataFrame) -> bool:
+    """Whether ``docs`` reads files whose names have different numbers."""
+    files = docs.inputFiles()
+    spark = docs.sparkSession
+    if not files:
+        return False
+    numbers = spark.createDataFrame([(f,) for f in files], "f string").select(F.xxhash64("f")).distinct().count()
+    if numbers != len(set(files)):
+        raise ValueError("two input files share a number")
+    return True
+
+
+def kept_rows(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (as ``numbered`` gives it) whose place is in the written table ``places`` (_file, _row), without the places.
+
+    Each file's places become a bit a row, and the bits go to the tasks that read the file, so the rows
+    themselves are not shuffled.  Bits beyond ``SENT_MARKS`` are sent in several parts, each to the files it is for.
+    """
+    def bits(table: pa.Table) -> pa.Table:
+        rows = table["_row"].to_numpy()
+        words = np.zeros(int(rows.max()) // 64 + 1, np.uint64)
+        np.bitwise_or.at(words, rows // 64, np.uint64(1) << (rows % 64).astype(np.uint64))
+        return pa.table({"_marked": table["_file"][:1], "_words": pa.array([words.view(np.int64).tolist()], pa.list_(pa.int64()))})
+
+    marks = checkpoint(places.select("_file", "_row").groupBy("_file").applyInArrow(bits, "_marked long, _words array<long>"))
+    sizes = marks.select("_marked", (F.size("_words") * 8).alias("bytes")).orderBy("_marked").collect()  # a row a file
+    parts, filled = [[]], 0
+    for r in sizes:
+        if parts[-1] and filled + r["bytes"] > SENT_MARKS:
+            parts, filled = [*parts, []], 0
+        parts[-1].append(r["_marked"])
+        filled += r["bytes"]
+    names = [c for c in docs.columns if c not in ("_file", "_row")]
+    word = F.get("_words", F.shiftright("_row", 6).cast("int"))
+    out = None
+    for part in parts:
+        # the part's files are a range of the ordered numbers
+        one = marks.filter(F.col("_marked").between(part[0], part[-1])) if part else marks
+        some = docs if len(parts) == 1 else docs.filter(F.col("_file").between(part[0], part[-1]))
+        # at most SENT_MARKS bytes, or one file's
+        met = some.join(F.broadcast(one), F.col("_file") == F.col("_marked"))
+        met = met.filter(F.getbit(word, F.pmod("_row", F.lit(64)).cast("int")) == 1).select(*[F.col(f"`{c}`") for c in names])
+        out = met if out is None else out.unionByName(met)
+    return out

@@ -12,8 +12,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b): root is the smallest node of its component.
 
     Node values may have any type that can be ordered; loops and repeats do no harm.  A hub is reduced by
-    partial aggregation and met again in a join whose hot side Spark can split, so that no task holds all
-    neighbours of a node.  Each round is written and replaces the one before.
+    partial aggregation to one row of a written table and met again in a join: with nothing but the two shuffles in
+    the join's stage, Spark can split the hub's side, so that no task holds all neighbours of a node.  Each
+    round is written and replaces the one before.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpoint(e)
@@ -21,15 +22,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: a node's larger neighbours move to the smallest of it and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = checkpoint(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: a node and its smaller neighbours move to the smallest of these
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        discard(least)
+        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         new = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))).distinct()
         new = checkpoint(new)
-        discard(e, large)
+        discard(e, large, least)
         e = new
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:

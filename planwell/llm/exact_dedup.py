@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planwell.llm.common import columns
+from planwell.llm.common import columns, kept_rows, numbered
 from planwell.session import checkpoint, discard
 
 #: leading hex digits of a digest that name its slice
@@ -101,26 +101,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns as they were.
 
-    One row of each group of equal texts stays: the one with the largest (smallest) identifier, and any
-    one of those where the group's rows repeat that identifier.  Otherwise as ``exact_groups``.
+    One row of each group of equal texts stays: the one with the largest (smallest) identifier, and the first by
+    its place in the input where the group's rows repeat that identifier.  Otherwise as ``exact_groups``.  Rows
+    are marked by their place; texts are read but never shuffled.
     """
-    rows = checkpoint(digests(docs, id_col, text_col))
-    root = merge_runs(rows, keep == "largest")
-    marked = rows.join(root.select("digest", F.col("id").alias("keep_id"), "n"), "digest").filter("n > 1")
-    # of groups with copies, whole identifiers to drop, and identifiers of which several equal rows would stay
-    verdict = marked.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("rows"),
-                                                 F.first(F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"))
-    verdict = checkpoint(verdict.filter(~F.col("kept") | (F.col("rows") > 1)))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
-        "row", F.col(f"row.`{id_col}`").alias("doc"),
-        F.sha2(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).cast("binary"), 256).alias("text_digest"))
-
-    def on(v):
-        return (packed["text_digest"] == v["digest"]) & packed["doc"].eqNullSafe(v["id"])
-
-    stay = packed.join(verdict, on(verdict), "left_anti").select("row.*")
-    repeated = verdict.filter(F.col("kept"))
-    if repeated.isEmpty():
-        return stay
-    one = packed.join(repeated, on(repeated), "left_semi").groupBy("doc", "text_digest").agg(F.first("row").alias("row"))
-    return stay.unionByName(one.select("row.*"))
+    docs = numbered(docs)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = checkpoint(docs.select(F.col(f"`{id_col}`").alias("id"), F.sha2(text.cast("binary"), 256).alias("digest"),
+                                  F.octet_length(text).cast("long").alias("bytes"), "_file", "_row"))
+    root = merge_runs(rows.select("id", "digest", "bytes"), keep == "largest").select(F.col("digest").alias("_digest"), F.col("id").alias("keep_id"))
+    # the first place of each (digest, identifier), before the digests meet: a hot text is spread by its identifiers
+    places = rows.groupBy("digest", "id").agg(F.min(F.struct("_file", "_row")).alias("p"))
+    stay = places.join(root, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("keep_id"))).select("p.*")
+    out = kept_rows(docs, checkpoint(stay))
+    discard(rows)
+    return out

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planwell.llm.common import WordHashes, arrow_rows, columns, mix64, running_totals, utf8
+from planwell.llm.common import WordHashes, arrow_rows, columns, kept_rows, mix64, numbered, release, running_totals, utf8
 from planwell.session import checkpoint
 
 BUCKETS = 1 << 16
@@ -42,7 +42,7 @@ _hash = WordHashes()
 class _Features(dict):
     """white-space word -> hashes of its parts in lower case, after one for capitals if it is all capitals."""
 
-    limit = 300_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> bytes:
         letters = word.strip(_MARKS)
@@ -79,6 +79,7 @@ def _count(it):
         if found:
             raw += np.bincount(np.concatenate(found), minlength=BUCKETS)
             good += np.bincount(np.concatenate([np.empty(0, np.int64), *[f for f, g in zip(found, is_good) if g]]), minlength=BUCKETS)
+    release(_features, _hash)
     at = np.flatnonzero(raw)
     if len(at):
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], names=["bucket", "raw", "good"])
@@ -143,6 +144,7 @@ def _score(ratio: Ratio):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-2], pa.array(value, pa.float64()), pa.array(without, pa.float64()), pa.array([len(f) for f in found], pa.int64())],
                 names=[*batch.schema.names[:-2], "log_importance", "without_own", "n_features"])
+        release(_features, _hash)
 
     return run
 
@@ -162,18 +164,18 @@ def best_cut(counts: list[tuple[int, bool, int]]) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7,
-             payload: bool = False) -> tuple[DataFrame, int]:
+             extra: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """(scored, k): a row per row of ``docs`` with log_importance, n_features, its Gumbel key and ``kept``.
 
     Null and empty texts have no features, a log importance of 0 and are judged like any other.  Rows
     equal in id and text share one key and are kept or dropped together, so ties can add to the k.  The
-    order of equal keys is that of a hash.  With ``payload`` the whole row comes along as ``_row``.  The cut
+    order of equal keys is that of a hash.  Columns named in ``extra`` come along.  The cut
     is chosen on ``without_own``, the log importance by a model without the words of the row and of all rows
     of equal text, if it is labelled good; on other rows the two are the same.
     """
     labelled = labelled_rows(labels)
     ratio = fit(docs, labelled, id_col, text_col)
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if payload else []
+    row = [F.col(c) for c in extra]
     tie = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string"), utf8(text_col))
     text = F.xxhash64(utf8(text_col))
     rows = docs.select(*row, F.col(f"`{id_col}`").alias("doc_id"), tie.alias("tie"), text.alias("_same"), utf8(text_col).alias("_text"))
@@ -182,7 +184,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         F.col("_same").alias("_copied")).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1"))
     rows = rows.join(known, F.col("doc_id") == F.col("label_id"), "left").join(sent(copies), F.col("_same") == F.col("_copied"), "left")
     own = F.when(F.col("good"), F.coalesce("_copies", F.lit(1))).otherwise(0).cast("long")
-    rows = rows.select(*(["_row"] if payload else []), "doc_id", "tie", "good", own.alias("_own"), "_text")
+    rows = rows.select(*extra, "doc_id", "tie", "good", own.alias("_own"), "_text")
     schema = T.StructType([*rows.schema.fields[:-2], T.StructField("log_importance", T.DoubleType()),
                            T.StructField("without_own", T.DoubleType()), T.StructField("n_features", T.LongType())])
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "tie"), 11).cast("double") + 0.5) * (2.0 ** -53)
@@ -202,4 +204,6 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_resampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the resample keeps, with all their columns as they were."""
-    return resample(docs, labels, payload=True, **options)[0].filter("kept").select("_row.*")
+    docs = numbered(docs)
+    scored, _ = resample(docs, labels, extra=("_file", "_row"), **options)
+    return kept_rows(docs, checkpoint(scored.filter("kept").select("_file", "_row")))

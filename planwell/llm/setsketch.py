@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planwell.llm.common import WordHashes, arrow_rows, binary_rows, columns, mix64, smallest_roots, to_batch, utf8
+from planwell.llm.common import WordHashes, arrow_rows, binary_rows, columns, kept_rows, mix64, numbered, release, to_batch, utf8
 from planwell.llm.components import connected_components
 from planwell.session import checkpoint, discard
 
@@ -32,6 +32,9 @@ BANDS, ROWS = 32, 4
 #: bucket members compared with each other in one go
 BLOCK = 256
 
+#: components that a task of the second round remembers as tied together
+TIED = 500_000
+
 _words = WordHashes()
 
 
@@ -101,8 +104,10 @@ def _sketch(shingle: int, count: int, schema: pa.Schema):
                 nodes[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
             if full:
                 regs[full] = registers([sets[i] for i in full], count)
+            more = {batch.schema.names[i]: batch.column(i) for i in range(2, batch.num_columns)}
             yield to_batch({"doc_id": batch.column(0), "n": [len(s) for s in sets], "node": nodes,
-                            "regs": binary_rows(regs)}, schema)
+                            "regs": binary_rows(regs), **more}, schema)
+        release(_words)
 
     return run
 
@@ -139,13 +144,31 @@ def _passes(a, b, n_a, n_b, threshold):
 
 
 def _bucket_pairs(threshold: float, schema: pa.Schema):
-    """Where members of a (key, low, high) that are in different components are likely to link: a spanning
-    forest of these pairs, so that no more rows come out than go in.  The stream is ordered by the three."""
+    """Where members of a (key, low, high) that are in different components are likely to link: edges between
+    these components, by their roots.  The stream is ordered by the three.
+
+    A task emits a forest over all that it sees: components that earlier buckets or blocks have tied together
+    already are neither compared nor named again, so its rows are fewer than its components.
+    """
+    tied: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        path = []
+        while (up := tied.get(x, x)) != x:
+            path.append(x)
+            x = up
+        for y in path:
+            tied[y] = x
+        return x
+
     def pairs(table: pa.Table):
+        if len(tied) > TIED:
+            tied.clear()
         group = np.stack([table[c].to_numpy() for c in ("key", "low", "high")])
         new = np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0)])
         number = np.cumsum(new)
-        root = table["root"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        names = [top(x) for x in table["root"].to_pylist()]
+        root = pa.array(names, pa.binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False)
         block, n = table["block"].to_numpy(), table["n"].to_numpy()
         cross = group[1] != group[2]
         regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(len(n), -1)
@@ -160,11 +183,14 @@ def _bucket_pairs(threshold: float, schema: pa.Schema):
                 x = x[_passes(regs[x], regs[x + d], n[x], n[x + d], threshold)]
                 left.append(x)
                 right.append(x + d)
-        if left:
-            nodes = table["node"].combine_chunks()
-            root = smallest_roots(len(n), np.concatenate(left), np.concatenate(right))
-            at = np.flatnonzero(root != np.arange(len(n)))
-            yield to_batch({"a": nodes.take(pa.array(at)), "b": nodes.take(pa.array(root[at]))}, schema)
+        a, b = [], []
+        for i, j in zip(np.concatenate(left).tolist(), np.concatenate(right).tolist()) if left else ():
+            if (x := top(names[i])) != (y := top(names[j])):
+                tied[x] = y
+                a.append(x)
+                b.append(y)
+        if a:
+            yield to_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())}, schema)
 
     def run(it):
         held = None
@@ -234,6 +260,7 @@ def _full_sets(shingle: int, schema: pa.Schema):
             sets = [shingle_set(t, shingle) for t in batch["text"].to_pylist()]
             yield to_batch({"node": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                             "hashes": [s.tobytes() for s in sets]}, schema)
+        release(_words)
 
     return run
 
@@ -262,13 +289,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a component without any doc_id has none and is not kept, except wordless rows.  Rows that repeat a
     doc_id share its verdict.  An empty table gives none; further columns are ignored.
     """
+    sketches, named = _components(columns(docs, id_col, text_col).toDF("doc_id", "text"), [], shingle, percent)
+    out = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("_set")).join(named, "_set", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+                      F.coalesce(F.col("doc_id") == component, F.col("n_shingles") == 0).alias("kept"), "_set", "_root")
+
+
+def _components(rows: DataFrame, extra: list[str], shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sketches, named) of the rows (doc_id, text and ``extra`` columns that come along): a row per row with n and node, the
+    digest of its set; and (_set, _root, component_id) of every set."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     threshold = percent / 100
-    id_type = docs.schema[id_col].dataType
-    rows = columns(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", utf8("text").alias("text"))
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n", T.LongType()),
-                           T.StructField("node", T.BinaryType()), T.StructField("regs", T.BinaryType())])
+    carried = [rows.schema[c] for c in extra]
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("n", T.LongType()),
+                           T.StructField("node", T.BinaryType()), T.StructField("regs", T.BinaryType()), *carried])
+    rows = rows.select("doc_id", utf8("text").alias("text"), *extra)
     sketches = checkpoint(rows.mapInArrow(_sketch(shingle, BANDS * ROWS, to_arrow_schema(schema)), schema))
     classes = checkpoint(sketches.filter("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
@@ -331,51 +368,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         more = checkpoint(met.groupBy("cluster", "low", "high").applyInArrow(_verify_block(threshold, percent, pair_arrow), _PAIR))
         roots = checkpoint(connected_components(links.unionByName(more)))
         discard(sets, clusters, open_)
-    discard(buckets)
+    discard(buckets, links)
     named = classes.select("node", "rep").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # a table of its own, so that Spark can split a large component's side of the join
+    smallest = checkpoint(named.groupBy("root").agg(F.min("rep").alias("component_id")))
     named = checkpoint(named.join(smallest, "root").select(F.col("node").alias("_set"), F.col("root").alias("_root"), "component_id"))
-    out = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("_set")).join(named, "_set", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.col("n_shingles") == 0).alias("kept"), "_set", "_root")
-
-
-def _with_set(shingle: int):
-    """Replaces the last column, a text, by the digest of its shingle set, null without words."""
-    def run(it):
-        for batch in arrow_rows(it, 8 << 20):
-            sets = [shingle_set(t, shingle) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            node = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], node], names=[*batch.schema.names[:-1], "node"])
-
-    return run
+    return sketches, named
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns as they were: of each near-copy group the
-    one with the smallest doc_id, and every row without words.
+    """The rows of ``docs`` that stay, with all their columns as they were: of each near-copy group one of the
+    rows with the smallest doc_id, and every row without words.
 
-    Where several rows of a group carry that doc_id, or the group has no doc_id at all, one of the rows
-    with the smallest set digest among them stays.
+    Where several rows of a group carry that doc_id, or the group has no doc_id at all, the one with the smallest
+    set digest among them stays, and of equal ones the first by its place in the input.  Rows are marked by their
+    place; texts are read but never shuffled for it.
     """
-    groups = near_groups(docs, id_col, text_col, shingle, percent)
-    groups = checkpoint(groups.groupBy("doc_id", "_set", "_root", "component_id").agg(
-        F.first("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
-    ids = checkpoint(groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.sum("rows").alias("rows")))
-    dropped = ids.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("gone"))
-    odd = ids.filter("doc_id is null or kept and rows > 1").select(F.col("doc_id").alias("odd"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc"))
-    stay = rows.join(dropped, F.col("doc") == F.col("gone"), "left_anti")
-    if odd.isEmpty():
-        return stay.select("row.*")
-    plain = stay.join(odd, F.col("doc").eqNullSafe(F.col("odd")), "left_anti").select("row.*")
-    # rows of a missing or repeated id, one by one
-    fields = T.StructType([*rows.schema.fields, T.StructField("node", T.BinaryType())])
-    some = rows.join(odd, F.col("doc").eqNullSafe(F.col("odd")), "left_semi")
-    some = checkpoint(some.withColumn("text", utf8(f"row`.`{text_col}")).mapInArrow(_with_set(shingle), fields))
-    wordless = some.filter("node is null").select("row.*")
-    known = groups.select("doc_id", "_set", "_root", "component_id")
-    named = some.join(known, (F.col("node") == F.col("_set")) & F.col("doc").eqNullSafe(F.col("doc_id")))
-    one = named.filter("component_id is null or doc = component_id").groupBy("_root").agg(F.min_by("row", "node").alias("row"))
-    return plain.unionByName(wordless).unionByName(one.select("row.*"))
+    docs = numbered(docs)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), "_file", "_row")
+    sketches, named = _components(rows, ["_file", "_row"], shingle, percent)
+    place = F.struct("_file", "_row")
+    # of each set one row first: a partial aggregate, whatever the number of copies
+    first = sketches.filter("n > 0").groupBy("node").agg(F.min_by(
+        F.struct("doc_id", "_file", "_row"), F.struct(F.col("doc_id").isNull(), "doc_id", "_file", "_row")).alias("p")).select("node", "p.*")
+    first = checkpoint(first)
+    best = first.join(named.select("_set", "_root"), F.col("node") == F.col("_set")).groupBy("_root").agg(
+        F.min_by(place, F.struct(F.col("doc_id").isNull(), "doc_id", "node", "_file", "_row")).alias("p"))
+    stay = best.select("p.*").unionByName(sketches.filter("n = 0").select("_file", "_row"))
+    out = kept_rows(docs, checkpoint(stay))
+    discard(sketches, named, first)
+    return out
