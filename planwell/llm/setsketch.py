@@ -29,8 +29,9 @@ from planwell.session import checkpoint, discard
 BASE, RATE, RANGE = 1.001, 20.0, (1 << 16) - 2
 #: at a similarity of 0.8 one of the bands fails to match with a probability of 4e-8
 BANDS, ROWS = 32, 4
-#: bucket members compared with each other in one go
-BLOCK = 256
+#: bucket members whose registers are compared with each other in one go, and cluster members on their full sets; a
+#: larger group meets as pairs of blocks, which copies a member once per block of its group
+BLOCK, VERIFY_BLOCK = 2048, 256
 
 #: components that a task of the second round remembers as tied together
 TIED = 500_000
@@ -314,9 +315,10 @@ def _components(rows: DataFrame, extra: list[str], shingle: int, percent: int) -
     pair_arrow = to_arrow_schema(_PAIR)
     # buckets of two or more, with their centre
     bands = checkpoint(bands)
-    buckets = bands.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    buckets = checkpoint(bands.join(buckets, "key"))
-    discard(bands)
+    # centres are a table of their own before they meet the members: Spark can split a large bucket's side of the join
+    centres = checkpoint(bands.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    buckets = checkpoint(bands.join(centres, "key"))
+    discard(bands, centres)
 
     def full_sets(wanted: DataFrame) -> DataFrame:
         """(node, hashes) of the wanted nodes; only their documents are read once more."""
@@ -337,9 +339,9 @@ def _components(rows: DataFrame, extra: list[str], shingle: int, percent: int) -
         discard(pairs, sets, first)
         return links
 
-    def blocked(df: DataFrame, key: str, members: str) -> DataFrame:
+    def blocked(df: DataFrame, members: str, block: int) -> DataFrame:
         """Each row once per pair of blocks of its group that it takes part in: columns low, high, block."""
-        df = df.withColumn("_blocks", F.ceil(F.col(members) / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+        df = df.withColumn("_blocks", F.ceil(F.col(members) / block)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")))
         df = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_other"))
         return df.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")}).drop("_blocks", "_other", members)
 
@@ -352,11 +354,14 @@ def _components(rows: DataFrame, extra: list[str], shingle: int, percent: int) -
     # round 2: what a bucket of three or more still holds in different components
     held = buckets.filter("members > 2").join(roots, "node", "left").select(
         "key", "node", "members", F.coalesce("root", "node").alias("root"))
-    mixed = held.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    held = checkpoint(held)
+    mixed = checkpoint(held.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key"))
+    done = held
     held = held.join(mixed, "key").join(side, "node").select("key", "node", "members", "root", "n", "regs")
-    held = blocked(held, "key", "members").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    held = blocked(held, "members", BLOCK).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     likely = checkpoint(held.select("key", "low", "high", "block", "node", "root", "n", "regs").mapInArrow(
         _bucket_pairs(threshold, pair_arrow), _PAIR).distinct())
+    discard(done, mixed)
     if not likely.isEmpty():
         # clusters: components and the likely links between them; inside, all is confirmed on full sets
         clusters = checkpoint(connected_components(likely.unionByName(links)).select("node", F.col("root").alias("cluster")))
@@ -364,7 +369,7 @@ def _components(rows: DataFrame, extra: list[str], shingle: int, percent: int) -
         sizes = open_.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"))
         open_ = checkpoint(open_.join(sizes.filter("r0 <> r1").select("cluster", "members"), "cluster"))
         sets = full_sets(open_.select("node"))
-        met = blocked(open_.join(side, "node").join(sets, "node"), "cluster", "members")
+        met = blocked(open_.join(side, "node").join(sets, "node"), "members", VERIFY_BLOCK)
         more = checkpoint(met.groupBy("cluster", "low", "high").applyInArrow(_verify_block(threshold, percent, pair_arrow), _PAIR))
         roots = checkpoint(connected_components(links.unionByName(more)))
         discard(sets, clusters, open_)
