@@ -61,7 +61,8 @@ SPLIT_DIGITS, SPLIT_FEW = 4, 10_000
 
 
 def split_bounds(df: DataFrame, id_col: str, label: str, test_fraction: float) -> dict:
-    """Per class the last (hash, id) of its test part: the ceil(test_fraction * n)-th row in the order of the hash.
+    """Per class the last (hash, id) of its test part, the ceil(test_fraction * n)-th row in the order of the hash, and
+    how many of the rows with this id are in the test part, and how many there are.
 
     Rows are counted by the first digits of their hash; in each class only the bucket with the boundary is counted
     again by more digits, until it holds few rows, of which the one at the boundary is looked up.
@@ -95,7 +96,10 @@ def split_bounds(df: DataFrame, id_col: str, label: str, test_fraction: float) -
         if want:
             few = rows.where(F.col("c").eqNullSafe(c) & F.col("h").startswith(prefix))
             last = few.orderBy("h", "id").offset(want - before - 1).limit(1).collect()[0]
-            bounds[c] = (last["h"], last["id"])
+            same = (F.col("h") == last["h"]) & (F.col("id") == F.lit(last["id"]))
+            less = (F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("id") < F.lit(last["id"])))
+            n_less, n_same = few.agg(F.count_if(less), F.count_if(same)).first()
+            bounds[c] = (last["h"], last["id"], want - before - n_less, n_same)
     return bounds
 
 
@@ -113,12 +117,20 @@ def _ceil(fraction: float, n: int) -> int:
 def stratified_split(df: DataFrame, id_col: str = "record_id", label: str = LABEL,
                      test_fraction: float = C.TEST_FRACTION) -> DataFrame:
     """L3: add ``is_test``: per class exactly ceil(test_fraction * n_c) rows, the first in the order of (md5 of the
-    id's text, id).  Ids must be unique.  ``df`` is read for the bounds first; the flag is then a comparison a row,
-    without a join or a window."""
+    id's text, id).  ``df`` is read for the bounds first; the flag is then a comparison a row, without a join or a
+    window.  Only where an id repeats just at the boundary are the rows of this id put in an order, by their content."""
     h = F.md5(F.col(id_col).cast("string").cast("binary"))
+    bounds = split_bounds(df, id_col, label, test_fraction)
     inside = _any([F.col(label).eqNullSafe(c) & ((h < last) | ((h == last) & (F.col(id_col) <= F.lit(i))))
-                   for c, (last, i) in split_bounds(df, id_col, label, test_fraction).items()])
-    return df.withColumn("is_test", F.coalesce(inside, F.lit(False)))
+                   for c, (last, i, _, _) in bounds.items()])
+    out = df.withColumn("is_test", F.coalesce(inside, F.lit(False)))
+    for c, (_, i, taken, there) in bounds.items():
+        if taken < there:
+            tie = F.coalesce(F.col(label).eqNullSafe(c) & (F.col(id_col) == F.lit(i)), F.lit(False))
+            w = Window.partitionBy(label).orderBy(F.xxhash64(*df.columns))
+            tied = out.where(tie).withColumn("is_test", F.row_number().over(w) <= taken)
+            out = out.where(~tie).unionByName(tied)
+    return out
 
 
 def _memory_mb(text: str) -> int:

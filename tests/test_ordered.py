@@ -118,6 +118,13 @@ def test_split_membership_by_hand_at_any_refinement(spark, monkeypatch, few):
     assert "Window" not in plan(out) and "Join" not in plan(out)
 
 
+def test_split_where_an_id_repeats_at_the_boundary(spark):
+    for repeated in range(10):
+        rows = [(i, "a") for i in range(10)] + [(repeated, "a")] * 5
+        out = ML.stratified_split(spark.createDataFrame(rows, "record_id long, outcome string"))
+        assert out.where("is_test").count() == 3 and out.count() == 15
+
+
 def test_split_of_no_rows(spark):
     assert ML.stratified_split(spark.createDataFrame([], "record_id long, outcome string")).collect() == []
 
