@@ -95,7 +95,8 @@ def _meet(threshold: float, schema: pa.Schema):
     def run(table: pa.Table) -> pa.Table:
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         at = table["block"].to_numpy()
-        group = np.stack([table["label"].to_numpy().astype(np.int64), table["dim"].to_numpy().astype(np.int64)])
+        labels = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        group = np.stack([labels.astype(np.int64), table["dim"].to_numpy().astype(np.int64)])
         nodes, n = table["node"].combine_chunks(), table["n"].to_numpy()
         proj = np.frombuffer(b"".join(table["proj"].to_pylist()), np.float64).reshape(len(at), PROJECTIONS)
         vecs = table["vec"].to_pylist()
@@ -146,27 +147,32 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     Rows with equal labels link at a cosine of at least ``threshold``, in double precision.  Rows without
     id or label, and vectors that are null, empty, zero or hold null or non-finite components link with
     nothing; vectors of different lengths do not link.  n_links counts rows, so repeated rows count one by
-    one; component_id is the smallest vec_id that links reach, itself included.  Labels are integers.
+    one; component_id is the smallest vec_id that links reach, itself included.  Labels may
+    be of any type that Spark writes as text; they are equal where their values are (0.0 and -0.0, too).
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rows = columns(vectors, "vec_id", "embedding", "label").withColumn("label", F.col("label").cast("long"))
+    rows = columns(vectors, "vec_id", "embedding", "label")
+    label = F.col("label")
+    if isinstance(rows.schema["label"].dataType, (T.FloatType, T.DoubleType)):
+        label = label + F.lit(0.0)  # one zero
+    rows = rows.withColumn("label", label.cast("string"))
     id_type = rows.schema["vec_id"].dataType
     schema = T.StructType([
-        T.StructField("vec_id", id_type), T.StructField("label", T.LongType()), T.StructField("key", T.BinaryType()),
+        T.StructField("vec_id", id_type), T.StructField("label", T.StringType()), T.StructField("key", T.BinaryType()),
         T.StructField("dim", T.LongType()), T.StructField("vec", T.BinaryType()), T.StructField("proj", T.BinaryType()),
         T.StructField("cell", T.LongType()), T.StructField("first", T.DoubleType())])
     rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     prepared = checkpoint(rows.mapInArrow(_prepare(to_arrow_schema(schema)), schema))
-    node = F.concat(F.col("label").cast("string").cast("binary"), F.lit(":").cast("binary"), F.col("key"))
+    node = F.concat(F.col("label").cast("binary"), F.lit(":").cast("binary"), F.col("key"))
     prepared = prepared.withColumn("node", node)
     classes = prepared.filter("key is not null").groupBy("node").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("label", "dim", "vec", "proj", "cell", "first")])
     placed = running_totals(classes.withColumn("one", F.lit(1).cast("long")), ["label", "dim", "cell", "first", "node"], ["one"])
     placed = checkpoint(placed.withColumn("block", F.floor(F.col("one_before") / BLOCK)).drop("one", "one_before", "cell", "first"))
     # which blocks meet: a common label, and ranges near enough in enough projections
-    bounds_schema = T.StructType([T.StructField(c, T.LongType()) for c in ("block", "label", "dim")]
-                                 + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("lo", "hi")])
+    bounds_schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("label", T.StringType()),
+                                  T.StructField("dim", T.LongType())] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("lo", "hi")])
 
     def bounds(table: pa.Table) -> pa.Table:
         p = np.frombuffer(b"".join(table["proj"].to_pylist()), np.float64).reshape(-1, PROJECTIONS)

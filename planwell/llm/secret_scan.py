@@ -123,21 +123,54 @@ def candidates(index: DataFrame, rules) -> DataFrame:
 
 _SPAN = "struct<start:bigint,number:int,end:bigint,size:int>"
 
+#: lengths that are added up one by one; sums of longer lists go by sums of stretches of this many
+STRETCH, LEVELS = 32, 3
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _before(values: Column, levels: int = LEVELS) -> Column:
+    """For each element of an array the sum of those before it.
+
+    A stretch adds up its own elements; where it starts is the same question for the sums of the stretches,
+    so the work of a list of n is about n * STRETCH / 2 up to millions of elements.
+    """
+    if not levels:
+        return F.transform(values, lambda _, i: _total(F.slice(values, F.lit(1), i)))
+    last = F.floor((F.size(values) - 1) / STRETCH).cast("int")
+    stretches = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * STRETCH + 1, F.lit(STRETCH)))
+
+    def placed(parts):
+        starts = _let(F.transform(parts, _total), lambda sums: _before(sums, levels - 1))
+        inner = F.zip_with(parts, starts, lambda part, start: F.transform(
+            part, lambda _, i: start + _total(F.slice(part, F.lit(1), i))))
+        return F.flatten(inner)
+
+    return F.when(F.size(values) > 0, _let(stretches, placed)).otherwise(F.array().cast("array<bigint>"))
+
 
 def _spans(rule: Rule, number: int) -> Column:
     """A rule's matches as structs (start, number, end, size of the group): places follow from the lengths of
     the matches and of what lies between them."""
     sizes, gaps, values = F.col(f"sizes{number}"), F.col(f"gaps{number}"), F.col(f"values{number}")
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), sizes, lambda gap, size: (gap + size).cast("long"))
 
-    def total(lengths, n):
-        return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0).cast("long"), lambda a, x: a + x)
+    def placed(before):
+        def span(start, i):
+            start = start + F.element_at(gaps, i + 1)
+            return F.struct(start.alias("start"), F.lit(number).alias("number"), (start + F.element_at(sizes, i + 1)).alias("end"),
+                            F.element_at(values, i + 1).alias("size"))
 
-    def span(i):
-        start = total(gaps, i + 1) + total(sizes, i)
-        return F.struct(start.alias("start"), F.lit(number).alias("number"), (start + F.element_at(sizes, i + 1)).alias("end"),
-                        F.element_at(values, i + 1).alias("size"))
+        return F.transform(before, span)
 
-    spans = F.transform(F.sequence(F.lit(0), F.size(sizes) - 1), span)
+    spans = _let(_let(steps, lambda steps: _before(steps)), placed)
     return F.when(F.size(sizes) > 0, F.filter(spans, lambda s: s["size"] >= rule.least)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 

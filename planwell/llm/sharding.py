@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planwell.llm.common import columns, running_totals
+from planwell.llm.common import columns, numbered, running_totals
 from planwell.session import checkpoint
 
 LIMIT_BYTES = 16 << 20
@@ -45,13 +45,19 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bytes is the UTF-8 length of the text (null: 0); the hash is of id and text, so rows that repeat an
     id still spread.  ``shard`` is "<depth>/<prefix>"; the prefix's bits are its place in the directory.
     No shard holds more than the limit unless one row alone does; equal rows beyond the limit go to
-    the pages 1, 2, ... of their shard, each starting within the limit.  Every row has a shard; an empty
-    table has none.
+    the pages 0, 1, ... of their shard, as many to a page as fit the limit (one that is over it has a page of its own).
+    Every row has a shard; an empty table has none.
     """
     rows = columns(docs, id_col, text_col).toDF("doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = checkpoint(rows.select("doc_id", F.octet_length(text).cast("long").alias("bytes"),
-                                  F.xxhash64(F.col("doc_id").cast("string"), text).alias("hash")))
+    return _assign(rows.select("doc_id", F.octet_length(text).cast("long").alias("bytes"),
+                               F.xxhash64(F.col("doc_id").cast("string"), text).alias("hash")), limit_bytes)
+
+
+def _assign(rows: DataFrame, limit_bytes: int) -> DataFrame:
+    """``rows`` (bytes, hash and any others) with depth, shard and page in place of the hash."""
+    kept = [c for c in rows.columns if c != "hash"]
+    rows = checkpoint(rows)
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     bits = min(ALL_BITS, max(0, math.ceil(math.log2(max(1, total / limit_bytes)))) + FINER_BITS)
     known, left, done = 0, rows, []
@@ -71,28 +77,37 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for more in done[1:]:
         out = out.unionByName(more)
     out = out.withColumn("prefix", F.expr("CASE WHEN depth = 0 THEN 0L ELSE shiftrightunsigned(hash, 64 - depth) END"))
-    # rows of one hash that are together over the limit
-    heavy = rows.groupBy("hash").agg(F.sum("bytes").alias("all"), F.count(F.lit(1)).alias("n")).filter(
-        (F.col("n") > 1) & (F.col("all") > limit_bytes)).select("hash")
+    # rows of one hash that are together over the limit: they have one size, so a page takes a fixed number of them
+    heavy = rows.groupBy("hash").agg(F.sum("bytes").alias("all"), F.max("bytes").alias("most"), F.count(F.lit(1)).alias("n")).filter(
+        (F.col("n") > 1) & (F.col("all") > limit_bytes)).select("hash", F.greatest(F.lit(1), F.floor(limit_bytes / F.col("most"))).alias("fit"))
     heavy = checkpoint(heavy)
     out = out.withColumn("page", F.lit(0).cast("long"))
     if not heavy.isEmpty():
-        full = out.join(heavy, "hash", "left_semi").withColumn("no", F.monotonically_increasing_id())
-        full = running_totals(checkpoint(full), ["hash", "no"], ["bytes"])
-        start = full.groupBy("hash").agg(F.min("bytes_before").alias("start"))
-        full = full.join(start, "hash").withColumn("page", F.floor((F.col("bytes_before") - F.col("start")) / limit_bytes))
+        full = out.join(heavy, "hash").withColumn("no", F.monotonically_increasing_id()).withColumn("one", F.lit(1).cast("long"))
+        full = running_totals(checkpoint(full), ["hash", "no"], ["one"])
+        start = full.groupBy("hash").agg(F.min("one_before").alias("start"))
+        full = full.join(start, "hash").withColumn("page", F.floor((F.col("one_before") - F.col("start")) / F.col("fit")))
         out = out.join(heavy, "hash", "left_anti").unionByName(full.select(*out.columns))
-    return out.select("doc_id", "bytes", F.col("depth").cast("int").alias("depth"),
+    return out.select(*kept, F.col("depth").cast("int").alias("depth"),
                       F.concat_ws("/", F.col("depth").cast("string"), F.col("prefix").cast("string")).alias("shard"), "page")
 
 
-def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = LIMIT_BYTES) -> DataFrame:
-    """Write every row of ``docs`` under ``path``, a folder per shard and page, and return the assignment.
+def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
+    """Write every row of ``docs`` under ``path``, a folder (``shard_page``) per shard and page, and return the
+    assignment: bytes, shard_page and the row's place in the input, _file and _row.
 
-    ``id_col`` must name each row once.
+    A row's bytes are those of all its columns as JSON.  Rows are told apart by their place, so nulls and
+    repeats in any column do no harm; equal rows share pages as in ``shard_rows``.  Columns are written as they are.
     """
-    where = checkpoint(shard_rows(docs, id_col, text_col, limit_bytes)).select(
-        F.col("doc_id").alias("_id"), F.concat(F.translate("shard", "/", "-"), F.lit("-"), F.col("page").cast("string")).alias("shard_page"))
-    docs.join(where, F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))).drop("_id").repartition("shard_page").write.partitionBy(
-        "shard_page").parquet(path)
+    clash = {"shard_page", "_file", "_row"} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are needed for the shards")
+    docs = numbered(docs)
+    data = [c for c in docs.columns if c not in ("_file", "_row")]
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in data]))
+    sized = docs.select("_file", "_row", F.octet_length(record).cast("long").alias("bytes"), F.xxhash64(record).alias("hash"))
+    where = checkpoint(_assign(sized, limit_bytes)).select(
+        "_file", "_row", "bytes", F.concat(F.translate("shard", "/", "-"), F.lit("-"), F.col("page").cast("string")).alias("shard_page"))
+    docs.join(where.drop("bytes"), ["_file", "_row"]).select(*[F.col(f"`{c}`") for c in data], "shard_page").repartition(
+        "shard_page").write.partitionBy("shard_page").parquet(path)
     return where

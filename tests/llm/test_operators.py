@@ -104,6 +104,14 @@ def test_vectors(spark):
     assert collision.near_vectors(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("kind, labels", [("double", [1.2, 1.4, 0.0, -0.0, 1.2, None]), ("string", ["a", "b", "1", "01", "", "1", "", None])])
+def test_labels_of_any_type_are_equal_by_value(spark, kind, labels):
+    rows = [(i, [1.0, 2.0, i / 100], x) for i, x in enumerate(labels)]
+    got = collision.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()
+    alike = [[j for j, y in enumerate(labels) if x is not None and x == y] or [i] for i, x in enumerate(labels)]
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, len(g) - 1, g[0]) for i, g in enumerate(alike)]
+
+
 # ------------------------------------------------------------------ 2 packing
 
 def check_packing(got, rows, capacity):
@@ -331,6 +339,14 @@ def test_secrets(docs, empty, spark):
     assert secret_scan.report(empty).collect() == []
 
 
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 1024, 1025, 100_000])
+def test_secrets_of_a_text_of_many_matches(spark, n):
+    text = " ".join(f"{i:032x}" for i in range(n)) + " é token=abcdef"
+    (row,) = secret_scan.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["n_hex"] == n and row["n_assign"] == 1
+    assert row["spans"] == ",".join(x[2] for x in brute_spans(text))
+
+
 def test_every_match_satisfies_its_query():
     assert secret_scan.trigram_query(r"[0-9a-f]{24,}") == []
     (clause,) = secret_scan.trigram_query(secret_scan.BASE_RULES[0].pattern)
@@ -357,6 +373,31 @@ def test_sharding(docs, empty, spark):
     assert sharding.shard_rows(empty).collect() == []
 
 
+@pytest.mark.parametrize("limit, fit", [(16, 1), (20, 2), (25, 2), (35, 3), (9, 1), (60, 6)])
+def test_pages_of_equal_rows_stay_within_the_limit(spark, limit, fit):
+    equal = spark.createDataFrame([(7, "0123456789")] * 7, "doc_id long, text string")
+    pages = collections.Counter((r["shard"], r["page"]) for r in sharding.shard_rows(equal, limit_bytes=limit).collect())
+    assert sorted(pages.values(), reverse=True) == [fit] * (7 // fit) + [7 % fit] * (7 % fit > 0)
+
+
+def test_written_shards_hold_every_row_once_and_keep_the_limit(spark, docs, empty, tmp_path):
+    rows = docs.unionByName(docs).select("*", F.lit("y").alias("page"), F.lit(1).alias("bytes"))
+    limit = 2_000
+    where = sharding.write_shards(rows, str(tmp_path / "shards"), limit_bytes=limit).collect()
+    back = spark.read.schema(rows.schema.add("shard_page", "string")).parquet(str(tmp_path / "shards"))
+    assert collections.Counter(map(tuple, back.drop("shard_page").collect())) == collections.Counter(map(tuple, rows.collect()))
+    size, count = collections.Counter(), collections.Counter()
+    for r in where:
+        size[r["shard_page"]] += r["bytes"]
+        count[r["shard_page"]] += 1
+    assert len(where) == 2 * len(ROWS) and all(n <= limit or count[s] == 1 for s, n in size.items())
+    written = {r["shard_page"]: r["count"] for r in back.groupBy("shard_page").count().collect()}
+    assert written == dict(count)
+    assert sharding.write_shards(empty, str(tmp_path / "none")).collect() == []
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("_row", F.lit(1)), str(tmp_path / "clash"))
+
+
 # ------------------------------------------------------------------ 8 near duplicates
 
 def brute_near(rows, size, percent=80):
