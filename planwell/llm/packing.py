@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planwell.llm.common import arrow_rows, columns, utf8
+from planwell.llm.common import arrow_rows, columns, release, utf8
 from planwell.session import checkpoint, discard
 
 CAPACITY = 4096
@@ -55,11 +55,12 @@ class WordIds:
     """Token ids of whole texts, put together from remembered ids of words.
 
     The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those
-    of its words; of a word that is letters and then ``marks``, they are those of the two parts.  Both
-    memories start anew at ``limit`` entries.
+    of its words; of a word that is letters and then ``marks``, they are those of the two parts, which are
+    words themselves.  The memory has two generations: at ``limit`` words the younger becomes the older one,
+    and words met again move to the younger, so frequent words stay known and rare ones go.
     """
 
-    limit = 500_000
+    limit = 150_000
     marks = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
     def __init__(self, path: str):
@@ -67,7 +68,7 @@ class WordIds:
 
         self.tok = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.ends = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
         for token, i in self.tok.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -75,33 +76,46 @@ class WordIds:
     def one(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def known(self, word: bytes) -> bool:
+        if word not in self.words:
+            ids = self.older.get(word)
+            if ids is None:
+                return False
+            self.words[word] = ids
+        return True
+
     def learn(self, missing) -> None:
-        plain, new = [], set()
+        marked, new = [], set()
         for raw in missing:
+            if self.known(raw):
+                continue
             word = raw.decode()
             core = word.rstrip(self.marks)
             if core.isalpha() and len(core) < 100:
-                plain.append((raw, core, word[len(core):]))
-                if core not in self.letters:
-                    new.add(core)
+                at = len(raw) - (len(word) - len(core))  # a mark is one byte
+                letters, tail = raw[:at], raw[at:]
+                if tail:
+                    marked.append((raw, letters, tail))
+                if not self.known(letters):
+                    new.add(letters)
             else:
                 self.words[raw] = self.one(word)
         new = sorted(new)
         for i in range(0, len(new), 2000):  # one call for many words: each ends in exactly one end-of-word token
             part = new[i : i + 2000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tok.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1:] == [len(ids)]:
                 data, begin = ids.tobytes(), 0
                 for word, end in zip(part, cuts.tolist()):
-                    self.letters[word] = data[4 * begin : 4 * end]
+                    self.words[word] = data[4 * begin : 4 * end]
                     begin = end
             else:
-                self.letters.update((w, self.one(w)) for w in part)
-        for raw, core, tail in plain:
-            if tail and tail not in self.letters:
-                self.letters[tail] = self.one(tail)
-            self.words[raw] = self.letters[core] + self.letters[tail] if tail else self.letters[core]
+                self.words.update((w, self.one(w.decode())) for w in part)
+        for raw, letters, tail in marked:
+            if not self.known(tail):
+                self.words[tail] = self.one(tail.decode())
+            self.words[raw] = self.words[letters] + self.words[tail]
 
     def encode(self, texts: list[bytes]):
         """Little-endian unsigned 32-bit ids of each text.  Works through few texts at a time."""
@@ -112,9 +126,8 @@ class WordIds:
                 split.append(texts[at].lower().split())
                 n += len(texts[at])
                 at += 1
-            for memory in (self.words, self.letters):
-                if len(memory) > self.limit:
-                    memory.clear()
+            if len(self.words) > self.limit:
+                self.older, self.words = self.words, {}
             if missing := set().union(*split) - self.words.keys():
                 self.learn(missing)
             for words in split:
@@ -171,6 +184,7 @@ def _tokenise_and_pack(path: str, capacity: int, end_id: int, with_ids: bool, sc
                     chunk, pieces, tokens = chunk + 1, [], 0
         if pieces:
             yield node(part, chunk, pieces)
+        release()  # the words stay; what the allocators hold beyond them goes back
 
     return run
 

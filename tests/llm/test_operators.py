@@ -154,10 +154,11 @@ def test_packing_is_tight_over_many_partitions(spark):
 
 def test_words_ids_are_those_of_the_text():
     ids = packing.WordIds(tokenizer_path())
+    ids.limit = 4  # generations change at every text
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    for text in ("It's DON'T we'll. a\x1cb x\x85y ćafé İstanbul ΣΑΣ", "###'s$$$ 12ab_3 --- a...b   <|endoftext|>", "́ x"):
+    for text in (*["one two, three. four! five two, -- one, (two) " + x for x in ("one.", "six five", "two two,", "--")], "It's DON'T we'll. a\x1cb x\x85y ćafé İstanbul ΣΑΣ", "###'s$$$ 12ab_3 --- a...b   <|endoftext|>", "́ x"):
         assert np.frombuffer(next(ids.encode([text.encode()])), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
