@@ -282,10 +282,10 @@ def q_site_distributions(spark, sf):
     return ST.distribution(rows, SITE_DIMS, SITE_DIM_LIMITS, by=["site"])
 
 
-@register("site_age_distribution", "WITH " + SITE_SQL + age_sql("demo", ["site"]))
+@register("site_age_distribution", "WITH " + LEARN + age_sql("learners", ["site"]))
 def q_site_age_distribution(spark, sf):
-    """A13 per site that has demographic records."""
-    return ST.age_distribution(T.demographics(spark, sf), by=["site"])
+    """A13 per site, over the records of all sites."""
+    return ST.age_distribution(learners(spark, sf), by=["site"])
 
 
 @register("org_distributions", "WITH " + LEARN + ", " + VOL + dist_sql("learners", ORG_DIMS, {"site": 10})

@@ -77,3 +77,11 @@ def test_results_do_not_depend_on_session_time_zone(spark, con):
             assert got == canon([d[0] for d in res.description], res.fetchall()), name
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_site_age_distribution_counts_every_record(spark):
+    rows = queries()["site_age_distribution"](spark, SF_SMALL).collect()
+    n = duckdb.sql(f"SELECT count(*), count(DISTINCT c_nationkey) FROM '{SF_SMALL}/lineitem.parquet' "
+                   f"JOIN '{SF_SMALL}/part.parquet' ON l_partkey = p_partkey JOIN '{SF_SMALL}/orders.parquet' ON l_orderkey = o_orderkey "
+                   f"JOIN '{SF_SMALL}/customer.parquet' ON o_custkey = c_custkey").fetchall()[0]
+    assert (sum(r["count"] for r in rows), len({r["site"] for r in rows})) == n
