@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +61,8 @@ class WordIds:
     and words met again move to the younger, so frequent words stay known and rare ones go.
     """
 
-    limit = 150_000
-    marks = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+    limit = 60_000
+    marks = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -84,61 +85,88 @@ class WordIds:
             self.words[word] = ids
         return True
 
-    def learn(self, missing) -> None:
+    def forget(self) -> None:
+        self.words, self.older = {}, {}
+
+    def learn(self, missing: set[bytes]) -> None:
+        met = missing & self.older.keys()
+        self.words.update((w, self.older[w]) for w in met)
         marked, new = [], set()
-        for raw in missing:
-            if self.known(raw):
-                continue
-            word = raw.decode()
-            core = word.rstrip(self.marks)
-            if core.isalpha() and len(core) < 100:
-                at = len(raw) - (len(word) - len(core))  # a mark is one byte
-                letters, tail = raw[:at], raw[at:]
-                if tail:
-                    marked.append((raw, letters, tail))
-                if not self.known(letters):
-                    new.add(letters)
+        for raw in missing - met:
+            letters = raw.rstrip(self.marks)  # a mark is one byte
+            if letters.isalpha() and len(letters) < 100 or (core := letters.decode()).isalpha() and len(core) < 100:
+                if len(letters) == len(raw):
+                    new.add(raw)
+                else:
+                    marked.append((raw, letters))
+                    if letters not in missing and not self.known(letters):
+                        new.add(letters)
             else:
-                self.words[raw] = self.one(word)
+                self.words[raw] = self.one(raw.decode())
         new = sorted(new)
         for i in range(0, len(new), 2000):  # one call for many words: each ends in exactly one end-of-word token
             part = new[i : i + 2000]
-            ids = np.array(self.tok.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            # the fast form leaves out the places in the text; the ids are the same
+            text = self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0]
+            ids = np.array(text.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1:] == [len(ids)]:
-                data, begin = ids.tobytes(), 0
-                for word, end in zip(part, cuts.tolist()):
-                    self.words[word] = data[4 * begin : 4 * end]
-                    begin = end
+                data, ends = ids.tobytes(), (cuts * 4).tolist()
+                self.words.update(zip(part, map(data.__getitem__, map(slice, [0, *ends], ends))))
             else:
                 self.words.update((w, self.one(w.decode())) for w in part)
-        for raw, letters, tail in marked:
+        for raw, letters in marked:
+            tail = raw[len(letters):]
             if not self.known(tail):
                 self.words[tail] = self.one(tail.decode())
             self.words[raw] = self.words[letters] + self.words[tail]
 
-    def encode(self, texts: list[bytes]):
-        """Little-endian unsigned 32-bit ids of each text.  Works through few texts at a time."""
-        at = 0
-        while at < len(texts):
-            split, n = [], 0
-            while at < len(texts) and (not split or n + len(texts[at]) < 2_000_000):
-                split.append(texts[at].lower().split())
-                n += len(texts[at])
-                at += 1
-            if len(self.words) > self.limit:
-                self.older, self.words = self.words, {}
-            if missing := set().union(*split) - self.words.keys():
-                self.learn(missing)
-            for words in split:
-                yield b"".join(map(self.words.__getitem__, words))
+    def encode(self, texts):
+        """Little-endian unsigned 32-bit ids of each text (bytes).  Works through few texts at a time.
+
+        Words are split and numbered by Arrow, so a word is looked up once in so many texts; the ids of a text are then
+        gathered from those of its words.
+        """
+        texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
+        for rows in arrow_rows([pa.record_batch([texts], names=["text"])], 4 << 20):
+            yield from self._encode(rows.column(0))
+
+    def _encode(self, texts: pa.Array):
+        if len(self.words) > self.limit:
+            self.older, self.words = self.words, {}
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))  # white space and letters of ASCII, as in bytes
+        numbered = split.flatten().dictionary_encode()
+        ends = np.cumsum(pc.list_value_length(split).to_numpy()).tolist()
+        words = numbered.dictionary.view(pa.binary()).to_pylist()
+        word = numbered.indices.to_numpy()
+        if missing := set(words) - self.words.keys():
+            self.learn(missing)
+        ids = list(map(self.words.__getitem__, words))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(ids), "<u4")
+        begin, i = 0, 0
+        while i < len(ends):
+            k, stop = i, ends[i]
+            while i < len(ends) and ends[i] - begin <= 1 << 18 or i == k:  # words gathered at once, or one text
+                stop, i = ends[i], i + 1
+            some = word[begin:stop]
+            n = size[some]
+            upto = np.cumsum(n)
+            found = ids[np.repeat(start[some] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+            upto, at = np.concatenate([[0], upto]), 0
+            for e in ends[k:i]:
+                to = upto[e - begin]
+                yield found[at:to].tobytes()
+                at = to
+            begin = stop
 
 
 _ids: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """The worker's own memory for a tokenizer file, kept from task to task."""
+    """The worker's own tokenizer of a file, kept from task to task."""
     if path not in _ids:
         _ids[path] = WordIds(path)
     return _ids[path]
@@ -173,7 +201,7 @@ def _tokenise_and_pack(path: str, capacity: int, end_id: int, with_ids: bool, sc
         ids = word_ids(path)
         part, chunk, pieces, tokens = TaskContext.get().partitionId(), 0, [], 0
         for batch in arrow_rows(it):
-            for doc_id, data in zip(batch.column(0).to_pylist(), ids.encode(batch.column(1).to_pylist())):
+            for doc_id, data in zip(batch.column(0).to_pylist(), ids.encode(batch.column(1))):
                 data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     cut = data[at : at + 4 * capacity]
@@ -184,7 +212,9 @@ def _tokenise_and_pack(path: str, capacity: int, end_id: int, with_ids: bool, sc
                     chunk, pieces, tokens = chunk + 1, [], 0
         if pieces:
             yield node(part, chunk, pieces)
-        release()  # the words stay; what the allocators hold beyond them goes back
+        # the worker may serve other operators next: the words and what the allocators hold beyond them go back
+        ids.forget()
+        release()
 
     return run
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,28 @@ def test_words_ids_are_those_of_the_text():
         assert np.frombuffer(next(ids.encode([text.encode()])), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_many_texts_at_once():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = ["", " A  b\tb\x0bc ", "Éa été, ab!! it's 12\u00a0x", "word " * 300_000, "\n", "ab ab!! éa"]
+    ids = packing.WordIds(tokenizer_path())
+    found = [np.frombuffer(x, "<u4").tolist() for x in ids.encode(pa.array([t.encode() for t in texts], pa.binary()).slice(1))]
+    assert found == [tok.encode(t, add_special_tokens=False).ids for t in texts[1:]]
+
+
+def test_workers_keep_no_words_between_operators(spark):
+
+    docs = spark.createDataFrame([(i, f"alpha beta{i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    assert packing.pack(docs, tokenizer_path()).count() == 40
+
+    def kept(it):
+        for _ in it:
+            yield pa.record_batch([pa.array([sum(len(w.words) + len(w.older) for w in packing._ids.values())])], names=["n"])
+
+    assert {r.n for r in docs.mapInArrow(kept, "n long").collect()} == {0}
+
+
 # ------------------------------------------------------------------ 3 mixing
 
 def test_water_fill():
