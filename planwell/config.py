@@ -123,6 +123,10 @@ FOREST_MIN_LEAF = 2
 FOREST_FEATURE_SUBSET = "sqrt"
 FOREST_SEED = 42
 TEST_FRACTION = 0.2
+# The forest is grown in parts: as many trees at once as have this many bag counts (rows x trees),
+# and this many trees at once where even those have more.
+FOREST_BAG_COUNTS = 100_000_000
+FOREST_PART_TREES = 10
 
 FEATURE_COLUMNS = [
     "site",

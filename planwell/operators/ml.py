@@ -23,14 +23,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planwell import config as C
 from planwell.functions import scalars as S
 from planwell.operators.ingest import read_current, write_version
-from planwell.session import checkpoint, ensure_checkpoint_dir, path_exists
+from planwell.session import checkpoint, discard, ensure_checkpoint_dir, path_exists
 
 LABEL = "outcome"
 IDX = [f"{c}_idx" for c in C.CATEGORICAL_COLUMNS]
@@ -153,26 +152,54 @@ def indexers() -> StringIndexer:
     return StringIndexer(inputCols=C.CATEGORICAL_COLUMNS, outputCols=IDX, stringOrderType="alphabetAsc", handleInvalid="error")
 
 
-def pipeline(max_bins: int = 32, memory_mb: int = 256, indexer=None) -> Pipeline:
-    """L1 + L4: string indexers (given or to be fitted), assembler, weighted random forest."""
-    indexer = indexer or indexers()
-    label_ix = StringIndexer(inputCol=LABEL, outputCol="label", stringOrderType="alphabetAsc")
-    assembler = VectorAssembler(inputCols=[*IDX, "age"], outputCol="features", handleInvalid="error")
-    forest = RandomForestClassifier(
+def part_trees(rows: int) -> int:
+    """Trees that are grown together: the largest divisor of the forest's trees with at most ``FOREST_BAG_COUNTS`` bag counts
+    (rows x trees) or, for many rows, at most ``FOREST_PART_TREES`` trees."""
+    most = max(C.FOREST_PART_TREES, C.FOREST_BAG_COUNTS // max(1, rows))
+    return next(k for k in range(min(C.FOREST_TREES, most), 0, -1) if C.FOREST_TREES % k == 0)
+
+
+#: seeds of two parts lie so far apart because Spark adds the number of a partition to a seed
+SEED_STEP = 1_000_003
+
+
+def forests(max_bins: int = 32, memory_mb: int = 256, part: int = C.FOREST_PART_TREES) -> list[RandomForestClassifier]:
+    """L4: the weighted random forest in parts of ``part`` trees, each part with a seed and output columns of its own.
+
+    Trees are grown independently of each other on bags of all rows, so the parts together are the forest.  Spark keeps
+    the bag counts of every row for all trees that it grows at once; parts bound them to ``part`` counts a row.
+    """
+    return [RandomForestClassifier(
         featuresCol="features", labelCol="label", weightCol="weight",
-        numTrees=C.FOREST_TREES, maxDepth=C.FOREST_MAX_DEPTH, minInstancesPerNode=C.FOREST_MIN_LEAF,
-        featureSubsetStrategy=C.FOREST_FEATURE_SUBSET, seed=C.FOREST_SEED, maxBins=max_bins,
-        # execution-only knobs (the trees do not change): a larger histogram budget
-        # groups more nodes per pass over the data, and cached node ids avoid
-        # re-walking every tree for every row at each level
-        maxMemoryInMB=memory_mb, cacheNodeIds=True)
-    return Pipeline(stages=[indexer, label_ix, assembler, forest])
+        rawPredictionCol=f"raw_{i}", probabilityCol=f"probability_{i}", predictionCol=f"prediction_{i}",
+        numTrees=part, maxDepth=C.FOREST_MAX_DEPTH, minInstancesPerNode=C.FOREST_MIN_LEAF,
+        featureSubsetStrategy=C.FOREST_FEATURE_SUBSET, seed=C.FOREST_SEED + i * SEED_STEP, maxBins=max_bins,
+        # an execution-only knob (the trees do not change): a larger histogram budget groups more nodes per pass over
+        # the data.  Cached node ids would be kept a number a row and tree, in several versions and checkpoints.
+        maxMemoryInMB=memory_mb) for i in range(C.FOREST_TREES // part)]
+
+
+def forest_parts(model: PipelineModel) -> list:
+    """The fitted parts of the forest: the stages after the indexers and the assembler."""
+    return model.stages[3:]
+
+
+def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``probability`` (an array, one value a class: the mean over all trees) and ``prediction`` (its class)."""
+    parts = forest_parts(model)
+    total, classes = sum(f.getNumTrees for f in parts), range(parts[0].numClasses)
+    each = [(vector_to_array(f.getProbabilityCol()), f.getNumTrees / total) for f in parts]
+    mean = F.array(*[sum((p[k] * share for p, share in each[1:]), each[0][0][k] * each[0][1]) for k in classes])
+    out = model.transform(rows).withColumn("probability", mean)
+    best = F.array_position("probability", F.array_max("probability")) - 1
+    made = [c for f in parts for c in (f.getRawPredictionCol(), f.getProbabilityCol(), f.getPredictionCol())]
+    return out.withColumn("prediction", best.cast("double")).drop(*made)
 
 
 def model_dir(spark: SparkSession, source: str) -> str:
     """Model path in the shared checkpoint folder, one per training source and set of training choices."""
     choices = (C.FOREST_TREES, C.FOREST_MAX_DEPTH, C.FOREST_MIN_LEAF, C.FOREST_FEATURE_SUBSET, C.FOREST_SEED,
-               C.CATEGORICAL_COLUMNS, C.FEATURE_COLUMNS, C.TEST_FRACTION)
+               C.FOREST_PART_TREES, C.FOREST_BAG_COUNTS, C.CATEGORICAL_COLUMNS, C.FEATURE_COLUMNS, C.TEST_FRACTION)
     tag = hashlib.sha1(f"{source}|{choices!r}".encode()).hexdigest()[:16]
     return os.path.join(ensure_checkpoint_dir(spark), "models", f"completion_{tag}")
 
@@ -180,24 +207,31 @@ def model_dir(spark: SparkSession, source: str) -> str:
 def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> PipelineModel:
     """Load the saved pipeline for ``source`` or train it on the train split and save it.
 
-    The split reads ``learners`` for its bounds (id and class only) and training once more.
+    The split reads ``learners`` for its bounds (id and class only), the indexers read the training part, and then its
+    rows are written as numbers, which every pass of the forest reads.
     """
     path = model_dir(spark, source)
     if path_exists(spark, f"{path}/metadata"):
         return PipelineModel.load(path)
     split = stratified_split(clean_features(learners))
-    # the forest reads its input several times (indexers, split finding,
-    # bagging); persisting the training rows once avoids recomputing the joins
-    # the training rows are a narrow projection that AQE may coalesce into very
-    # few partitions; spreading them over the cluster's slots keeps every core busy
+    train = with_weights(split.where(~F.col("is_test")))
+    label_ix = StringIndexer(inputCol=LABEL, outputCol="label", stringOrderType="alphabetAsc")
+    prepare = Pipeline(stages=[indexers(), label_ix]).fit(train)
+    numbers = prepare.transform(train).select(*IDX, "age", "label", "weight")
+    # a small table may come as few partitions; spreading it over the cluster's slots keeps every core busy
     n = spark.sparkContext.defaultParallelism
-    train = with_weights(split.where(~F.col("is_test"))).repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
+    if learners.rdd.getNumPartitions() < n:
+        numbers = numbers.repartition(n)
+    numbers = checkpoint(numbers)
     try:
-        indexed = indexers().fit(train)  # one pass; its labels say how many bins the forest needs
-        max_bins = max(32, *[len(labels) for labels in indexed.labelsArray])
-        model = pipeline(max_bins, forest_memory_mb(spark), indexed).fit(train)
+        assembler = VectorAssembler(inputCols=[*IDX, "age"], outputCol="features", handleInvalid="error")
+        rows = assembler.transform(numbers).select("features", "label", "weight")
+        max_bins = max(32, *[len(labels) for labels in prepare.stages[0].labelsArray])
+        part = part_trees(numbers.count())
+        grown = [f.fit(rows) for f in forests(max_bins, forest_memory_mb(spark), part)]
     finally:
-        train.unpersist()
+        discard(numbers)
+    model = PipelineModel([*prepare.stages, assembler, *grown])
     model.write().overwrite().save(path)
     return model
 
@@ -269,8 +303,8 @@ def candidates(profiles: DataFrame, sites: DataFrame, limit: int = C.BROADCAST_S
 def score(model: PipelineModel, pairs: DataFrame) -> DataFrame:
     """P(Graduate) x 100, 1 dp, and its confidence label, for every (course, site) pair."""
     gi = graduate_index(model)
-    scored = model.transform(pairs)
-    p = F.round(vector_to_array("probability")[gi] * F.lit(100.0), 1)
+    scored = predicted(model, pairs)
+    p = F.round(F.col("probability")[gi] * F.lit(100.0), 1)
     return scored.select("course", "site", p.alias("completion_probability")).withColumn(
         "confidence_level", S.confidence_by_probability("completion_probability"))
 
@@ -283,7 +317,8 @@ def rank_sites(scored: DataFrame) -> DataFrame:
 
 def feature_importance(model: PipelineModel) -> list[tuple[str, str, float]]:
     """(feature, display name, importance) in model order (a 9-value vector)."""
-    imp = model.stages[-1].featureImportances.toArray()
+    imp = sum(f.featureImportances.toArray() * f.getNumTrees for f in forest_parts(model))
+    imp = imp / (imp.sum() or 1.0)
     names = [*C.CATEGORICAL_COLUMNS, "age"]
     return [(n, C.FEATURE_DISPLAY_NAMES[n], round(float(v), 6)) for n, v in zip(names, imp)]
 
@@ -321,10 +356,10 @@ class ModelContext:
         The forest gives rows of equal features equal scores, and counting is an ordinary partial aggregate, so
         what is written is no row a record."""
         gi = graduate_index(self.model)
-        out = self.model.transform(self.split.where(F.col("is_test")))
+        out = predicted(self.model, self.split.where(F.col("is_test")))
         return checkpoint(out.groupBy(
             (F.col("label") == gi).cast("int").alias("label"), (F.col("prediction") == gi).cast("int").alias("pred"),
-            vector_to_array("probability")[gi].alias("score")).agg(F.count(F.lit(1)).alias("n")))
+            F.col("probability")[gi].alias("score")).agg(F.count(F.lit(1)).alias("n")))
 
     def metrics(self) -> DataFrame:
         """Classification report and ROC-AUC of the held-out rows."""
@@ -342,7 +377,8 @@ class ModelContext:
 
     def metadata(self) -> DataFrame:
         """One metadata row; the forest's values are those of the model itself."""
-        forest = self.model.stages[-1]
+        parts = forest_parts(self.model)
+        forest = parts[0]
         return self.split.agg(
             F.count(F.lit(1)).alias("n_records"),
             F.count_if(~F.col("is_test")).alias("n_train"),
@@ -352,5 +388,5 @@ class ModelContext:
             F.count_if(F.col("outcome") == C.GRADUATE_LABEL).alias("n_graduate"),
             F.count_if(F.col("outcome") == C.DROPOUT_LABEL).alias("n_dropout"),
             F.lit(len(C.FEATURE_COLUMNS)).alias("n_features"),
-            F.lit(forest.getNumTrees).alias("num_trees"), F.lit(forest.getMaxDepth()).alias("max_depth"),
+            F.lit(sum(f.getNumTrees for f in parts)).alias("num_trees"), F.lit(forest.getMaxDepth()).alias("max_depth"),
             F.lit(forest.getMinInstancesPerNode()).alias("min_instances_per_node"), F.lit(forest.getSeed()).alias("seed"))

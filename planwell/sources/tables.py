@@ -123,10 +123,14 @@ def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_volume_from_events(events, "ts", "event_type")
 
 
-def outcome_expr(quantity: Column, discount: Column) -> Column:
-    """Derived, deterministic completion outcome of one learner record."""
-    return F.when(quantity * (F.lit(1.0) - discount) >= F.lit(24.0), F.lit(C.GRADUATE_LABEL)) \
-        .otherwise(F.lit(C.DROPOUT_LABEL))
+def completed_expr(quantity: Column, discount: Column) -> Column:
+    """Derived, deterministic completion of one learner record."""
+    return quantity * (F.lit(1.0) - discount) >= F.lit(24.0)
+
+
+def outcome_expr(completed: Column) -> Column:
+    """The outcome's label; a completion that is not known counts as none."""
+    return F.when(completed, F.lit(C.GRADUATE_LABEL)).otherwise(F.lit(C.DROPOUT_LABEL))
 
 
 def learners(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +141,9 @@ def learners(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines.
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount",
-        "l_returnflag", "l_linestatus")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus",
+        # a flag is shuffled instead of the two numbers behind it
+        completed_expr(F.col("l_quantity"), F.col("l_discount")).alias("_completed"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_type")
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
@@ -163,7 +168,7 @@ def learners(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("skill"),
         F.col("c_mktsegment").alias("career"),
         F.col("o_orderstatus").alias("classification"),
-        outcome_expr(F.col("l_quantity"), F.col("l_discount")).alias("outcome"),
+        outcome_expr(F.col("_completed")).alias("outcome"),
     )
 
 

@@ -161,3 +161,25 @@ def test_learners_are_stored_once_for_each_state_of_their_files(spark, tmp_path,
     spark.createDataFrame(rows[:1], schema).write.mode("append").parquet(path)
     more, other = ML.stored_learners(spark, spark.read.parquet(path), f"t:{path}")
     assert other != stamp and more.count() == 6
+
+
+def test_the_forest_is_grown_in_parts_that_bound_what_is_kept_of_a_row(spark, monkeypatch):
+    monkeypatch.setattr(ML.C, "FOREST_TREES", 6)
+    monkeypatch.setattr(ML.C, "FOREST_PART_TREES", 2)
+    monkeypatch.setattr(ML.C, "FOREST_BAG_COUNTS", 300)
+    assert [ML.part_trees(n) for n in (0, 50, 99, 100, 10**9)] == [6, 6, 3, 3, 2]
+    grown = ML.forests(part=2)
+    assert not any(f.getCacheNodeIds() for f in grown) and len({f.getSeed() for f in grown}) == len(grown) == 3
+    rows = [(i, "s%d" % (i % 3), "c%d" % (i % 5), 20 + i % 7, *["u%d" % (i % 2)] * 6, "Graduate" if i % 3 else "Dropout") for i in range(400)]
+    schema = "record_id long, site string, course string, age int, sex string, education string, employment string, skill string, career string, classification string, outcome string"
+    ctx = ML.ModelContext(spark, spark.createDataFrame(rows, schema), "parts")
+    parts = ML.forest_parts(ctx.model)
+    assert [f.getNumTrees for f in parts] == [2, 2, 2] and parts[0].trees[0].toDebugString != parts[1].trees[0].toDebugString
+    raw = ctx.model.transform(ctx.learners).orderBy("record_id").collect()
+    for one, r in zip(ML.predicted(ctx.model, ctx.learners).orderBy("record_id").collect(), raw, strict=True):
+        mean = [sum(r[f"probability_{i}"][k] for i in range(3)) / 3 for k in (0, 1)]
+        assert one.probability == pytest.approx(mean) and one.prediction == float(mean[1] > mean[0])
+    assert ctx.winners().count() == 5
+    row = ctx.metadata().first()
+    assert (row.num_trees, row.seed, row.n_train) == (6, ML.C.FOREST_SEED, 319)
+    assert sum(r.importance for r in ctx.importance().collect()) == pytest.approx(1, abs=1e-4)
