@@ -35,7 +35,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in the packed sequences."""
-    return packing.pack(docs, tokenizer_path())
+    # the executors' JVMs have grown by now: time is given for smaller workers
+    return packing.pack(docs, tokenizer_path(), text_bytes=512 << 10)
 
 
 STAGES = [

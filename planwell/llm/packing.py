@@ -23,6 +23,7 @@ from planwell.llm.common import arrow_rows, columns, release, utf8
 from planwell.session import checkpoint, discard
 
 CAPACITY = 4096
+TEXT_BYTES = 4 << 20
 END_ID = 1
 
 
@@ -121,18 +122,19 @@ class WordIds:
                 self.words[tail] = self.one(tail.decode())
             self.words[raw] = self.words[letters] + self.words[tail]
 
-    def encode(self, texts):
-        """Little-endian unsigned 32-bit ids of each text (bytes).  Works through few texts at a time.
+    def encode(self, texts, text_bytes: int = TEXT_BYTES):
+        """Little-endian unsigned 32-bit ids of each text (bytes).  Works through ``text_bytes`` of texts at a time, and for
+        fewer bytes it also remembers fewer words.
 
         Words are split and numbered by Arrow, so a word is looked up once in so many texts; the ids of a text are then
         gathered from those of its words.
         """
         texts = pa.array(texts, pa.binary()) if isinstance(texts, list) else texts
-        for rows in arrow_rows([pa.record_batch([texts], names=["text"])], 4 << 20):
-            yield from self._encode(rows.column(0))
+        for rows in arrow_rows([pa.record_batch([texts], names=["text"])], text_bytes):
+            yield from self._encode(rows.column(0), min(self.limit, text_bytes // 50))
 
-    def _encode(self, texts: pa.Array):
-        if len(self.words) > self.limit:
+    def _encode(self, texts: pa.Array, limit: int):
+        if len(self.words) > limit:
             self.older, self.words = self.words, {}
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))  # white space and letters of ASCII, as in bytes
         numbered = split.flatten().dictionary_encode()
@@ -173,7 +175,7 @@ def word_ids(path: str) -> WordIds:
 
 
 def _tokenise_and_pack(path: str, capacity: int, end_id: int, with_ids: bool, schema: pa.Schema, node_pieces: int,
-                       node_tokens: int):
+                       node_tokens: int, text_bytes: int):
     """One task's documents, tokenised, cut and packed node by node."""
     end = np.array([end_id], "<u4").tobytes()
 
@@ -201,7 +203,7 @@ def _tokenise_and_pack(path: str, capacity: int, end_id: int, with_ids: bool, sc
         ids = word_ids(path)
         part, chunk, pieces, tokens = TaskContext.get().partitionId(), 0, [], 0
         for batch in arrow_rows(it):
-            for doc_id, data in zip(batch.column(0).to_pylist(), ids.encode(batch.column(1))):
+            for doc_id, data in zip(batch.column(0).to_pylist(), ids.encode(batch.column(1), text_bytes)):
                 data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     cut = data[at : at + 4 * capacity]
@@ -243,14 +245,15 @@ def _merge(capacity: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, fan_in: int = 8,
-         with_ids: bool = False, node_pieces: int = 200_000) -> DataFrame:
+         with_ids: bool = False, node_pieces: int = 200_000, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Pack every row of ``docs`` (``doc_id``, ``text``) into sequences of at most ``capacity`` tokens.
 
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, with
     ``with_ids``, the ids themselves.  Null and empty texts are the end id alone; a text longer than a
     sequence is cut into full pieces and a rest; repeated rows are packed once each; a null doc_id stays
     null; an empty table gives none.  Columns besides the two are ignored.  ``tokenizer`` is the path of
-    a ``tokenizers`` file that every executor can read.  ``node_pieces`` bounds a task's memory.
+    a ``tokenizers`` file that every executor can read.  ``node_pieces`` bounds a task's memory,
+    and so does ``text_bytes``, the text that is numbered at once: less of it takes longer and gives the same ids.
     """
     id_type = docs.schema["doc_id"].dataType
     fields = [T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType()),
@@ -260,7 +263,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     schema = T.StructType(fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    run = _tokenise_and_pack(tokenizer, capacity, end_id, with_ids, to_arrow_schema(schema), node_pieces, 16 << 20)
+    run = _tokenise_and_pack(tokenizer, capacity, end_id, with_ids, to_arrow_schema(schema), node_pieces, 16 << 20,
+                             text_bytes)
     placed = checkpoint(columns(docs, "doc_id", "text").select("doc_id", utf8("text").alias("text")).mapInArrow(run, schema))
     bins = placed.filter("offset = 0").select("bin", "part", "fill", "rank")
     # leaves are numbered by task and chunk; the first level joins a task's chunks, the next ones fan_in nodes each

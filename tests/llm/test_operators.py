@@ -173,6 +173,13 @@ def test_ids_of_many_texts_at_once():
     assert found == [tok.encode(t, add_special_tokens=False).ids for t in texts[1:]]
 
 
+def test_fewer_bytes_of_text_at_once_remember_fewer_words_and_give_the_same_ids():
+    texts = [" ".join(f"w{i * 50 + k}x" for k in range(50)).encode() for i in range(400)]
+    whole, small = packing.WordIds(tokenizer_path()), packing.WordIds(tokenizer_path())
+    assert list(whole.encode(texts)) == list(small.encode(texts, text_bytes=5_000))
+    assert len(whole.words) == 20_000 and len(small.words) + len(small.older) < 2_000
+
+
 def test_workers_keep_no_words_between_operators(spark):
 
     docs = spark.createDataFrame([(i, f"alpha beta{i}") for i in range(40)], "doc_id long, text string").repartition(4)
