@@ -128,6 +128,10 @@ TEST_FRACTION = 0.2
 FOREST_BAG_COUNTS = 100_000_000
 FOREST_PART_TREES = 10
 
+# The learner table is joined in pieces, one after the other: one for this many bytes of input files, at most so many.
+LEARNER_PIECE_BYTES = 64 << 20
+LEARNER_PIECES = 8
+
 FEATURE_COLUMNS = [
     "site",
     "course",

@@ -166,9 +166,11 @@ def retrain_decision(new_days, manual: bool = False, sync_type: str = "increment
 # versioned table writes
 # ---------------------------------------------------------------------------
 
-def write_version(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
+def write_version(df: DataFrame | list[DataFrame], root: str, partition_by: list[str] | None = None) -> str:
     """Write ``df`` as a new immutable version under ``root``, then publish a pointer to it.
 
+    A list of tables is one version too: they are written one after the other, and the pointer follows the last.
+
     Everything goes through Spark's writers, so ``root`` may be any
     Hadoop-compatible store (HDFS, object stores, a shared mount).  The data
     lands in ``v_<version>``; only after that write has committed is a
@@ -178,13 +180,15 @@ def write_version(df: DataFrame, root: str, partition_by: list[str] | None = Non
     dies mid-write leaves the current version untouched.  Rewriting a table
     that is being read is safe: a new version never overwrites the input.
     """
-    spark = df.sparkSession
+    tables = df if isinstance(df, list) else [df]
+    spark = tables[0].sparkSession
     version = f"{int(time.time() * 1000):013d}_{uuid.uuid4().hex[:12]}"
     path = f"{root.rstrip('/')}/v_{version}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    for i, table in enumerate(tables):
+        writer = table.write.mode("append" if i else "errorifexists")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
     pointer = spark.createDataFrame([(version, path)], POINTER_SCHEMA)
     pointer.coalesce(1).write.mode("errorifexists").json(f"{root.rstrip('/')}/_pointers/p_{version}")
     return path

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from planwell import config as C
 from planwell.functions import scalars as S
 from planwell.operators.ingest import read_current, write_version
-from planwell.session import checkpoint, discard, ensure_checkpoint_dir, path_exists
+from planwell.session import checkpoint, collect_garbage, discard, ensure_checkpoint_dir, path_exists, shuffles_removed
 
 LABEL = "outcome"
 IDX = [f"{c}_idx" for c in C.CATEGORICAL_COLUMNS]
@@ -208,7 +208,9 @@ def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> Pipe
     """Load the saved pipeline for ``source`` or train it on the train split and save it.
 
     The split reads ``learners`` for its bounds (id and class only), the indexers read the training part, and then its
-    rows are written as numbers, which every pass of the forest reads.
+    rows are written as numbers, which every pass of the forest reads.  They are ordered by content inside each partition,
+    because the forest keeps its bagged rows on disk where memory ends, and compresses them: like rows take less beside each
+    other.  Shuffles of the passes are deleted after each part.
     """
     path = model_dir(spark, source)
     if path_exists(spark, f"{path}/metadata"):
@@ -222,15 +224,21 @@ def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> Pipe
     n = spark.sparkContext.defaultParallelism
     if learners.rdd.getNumPartitions() < n:
         numbers = numbers.repartition(n)
-    numbers = checkpoint(numbers)
+    cells = [c for _, c in sorted(zip(map(len, prepare.stages[0].labelsArray), IDX))]
+    with shuffles_removed(spark):
+        numbers = checkpoint(numbers.sortWithinPartitions("label", *cells, "age"))
     try:
         assembler = VectorAssembler(inputCols=[*IDX, "age"], outputCol="features", handleInvalid="error")
         rows = assembler.transform(numbers).select("features", "label", "weight")
         max_bins = max(32, *[len(labels) for labels in prepare.stages[0].labelsArray])
         part = part_trees(numbers.count())
-        grown = [f.fit(rows) for f in forests(max_bins, forest_memory_mb(spark), part)]
+        grown = []
+        for f in forests(max_bins, forest_memory_mb(spark), part):
+            collect_garbage(spark)
+            grown.append(f.fit(rows))
     finally:
         discard(numbers)
+        collect_garbage(spark)
     model = PipelineModel([*prepare.stages, assembler, *grown])
     model.write().overwrite().save(path)
     return model
@@ -248,27 +256,39 @@ def fingerprint(df: DataFrame) -> str:
     return f"{row.n}-{row.x}-{row.s}"
 
 
+def input_files(df: DataFrame) -> list[tuple[str, int, int]]:
+    """(path, length, time of change) of the files that ``df`` reads."""
+    spark = df.sparkSession
+    seen = []
+    for f in sorted(df.inputFiles()):
+        target = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target)
+        seen.append((f, status.getLen(), status.getModificationTime()))
+    return seen
+
+
 def input_stamp(df: DataFrame) -> str | None:
     """A digest of the files that ``df`` reads (path, length, time of change); None if it reads none.
 
     It changes whenever a file does, and costs a look at the files' names instead of a pass over their rows.
     """
-    spark = df.sparkSession
-    files = sorted(df.inputFiles())
-    if not files:
+    seen = input_files(df)
+    if not seen:
         return None
-    seen = []
-    for f in files:
-        target = spark._jvm.org.apache.hadoop.fs.Path(f)
-        status = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target)
-        seen.append((f, status.getLen(), status.getModificationTime()))
     return hashlib.sha256(repr(seen).encode()).hexdigest()[:24]
 
 
-def stored_learners(spark: SparkSession, learners: DataFrame, source: str) -> tuple[DataFrame, str]:
+def piece_count(df: DataFrame) -> int:
+    """Pieces in which a view of many input bytes is written, so that only one piece's shuffles are on disk at a time."""
+    size = sum(length for _, length, _ in input_files(df))
+    return max(1, min(C.LEARNER_PIECES, math.ceil(size / C.LEARNER_PIECE_BYTES)))
+
+
+def stored_learners(spark: SparkSession, learners: DataFrame, source: str, pieces=None) -> tuple[DataFrame, str]:
     """(rows, stamp): the learner view as a stored table, written once for each state of the files behind it.
 
-    Every query of the model reads this table; a view without files is copied and stamped by its rows.
+    Every query of the model reads this table; a view without files is copied and stamped by its rows.  ``pieces`` (n ->
+    the view as n tables) lets the view be written piece after piece.
     """
     rows = clean_features(learners)
     stamp = input_stamp(rows)
@@ -278,7 +298,9 @@ def stored_learners(spark: SparkSession, learners: DataFrame, source: str) -> tu
     root = f"{ensure_checkpoint_dir(spark)}/learners/{hashlib.sha256(f'{source}|{stamp}|{rows.columns}'.encode()).hexdigest()[:24]}"
     stored = read_current(spark, root, rows.schema)
     if stored is None:
-        write_version(rows, root)
+        n = piece_count(rows) if pieces else 1
+        with shuffles_removed(spark):
+            write_version([clean_features(p) for p in pieces(n)] if n > 1 else rows, root)
         stored = read_current(spark, root, rows.schema)
     return stored, stamp
 
@@ -327,12 +349,12 @@ class ModelContext:
     """One model build: the stored learner table, the exact split, the (loaded or trained) model.
 
     ``source`` names the learner table; the model is saved under that name and the state of its input in
-    the shared checkpoint folder and loaded on later builds.
+    the shared checkpoint folder and loaded on later builds.  ``pieces`` as in ``stored_learners``.
     """
 
-    def __init__(self, spark: SparkSession, learners: DataFrame, source: str):
+    def __init__(self, spark: SparkSession, learners: DataFrame, source: str, pieces=None):
         self.spark = spark
-        self.learners, stamp = stored_learners(spark, learners, source)
+        self.learners, stamp = stored_learners(spark, learners, source, pieces)
         self.model = train_or_load(spark, self.learners, f"{source}|{stamp}")
 
     @cached_property

@@ -54,7 +54,8 @@ def q_class_weights(spark, sf):
 
 def Context(spark, sf) -> ML.ModelContext:  # noqa: N802 - reads like the class it builds
     """The model context of the learner view derived from the tables in ``sf``."""
-    return ML.ModelContext(spark, T.learners(spark, sf), f"learners:{sf}")
+    return ML.ModelContext(spark, T.learners(spark, sf), f"learners:{sf}",
+                           lambda n: [T.learners(spark, sf, (i, n)) for i in range(n)])
 
 
 @register("site_ranking")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -72,6 +73,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Spark deletes the shuffle files of a query when it ends, not when the driver's JVM collects its plan
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Inside, each query's shuffle files are deleted when it ends: for writes, whose plans nobody runs again."""
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP_CONF)
+        if before is not None:
+            spark.conf.set(CLEANUP_CONF, before)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver's JVM collect what nothing refers to any more: only then does Spark delete the shuffle files and
+    broadcasts of jobs that are no SQL queries (all passes of a forest)."""
+    spark._jvm.System.gc()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, by the file system that Spark would read it with; other errors are raised."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -133,19 +133,25 @@ def outcome_expr(completed: Column) -> Column:
     return F.when(completed, F.lit(C.GRADUATE_LABEL)).otherwise(F.lit(C.DROPOUT_LABEL))
 
 
-def learners(spark: SparkSession, sf_dir: str) -> DataFrame:
+def learners(spark: SparkSession, sf_dir: str, piece: tuple[int, int] | None = None) -> DataFrame:
     """Learner records (T2) from (lineitem x part) x (orders x customer x nation).
 
+    ``piece`` = (i, n) gives the records of the i-th of n parts of the orders, dealt by the hash of their key: both sides
+    are narrowed before their shuffles, and the n pieces together are the view.
+
     ``record_id`` = orderkey * 8 + linenumber is unique per line and gives the
     split a stable order.  Every foreign key matches, so inner joins keep all
     lines.
     """
-    li = table(spark, sf_dir, "lineitem").select(
+    def dealt(df: DataFrame, key: str) -> DataFrame:
+        return df if piece is None else df.where(F.pmod(F.xxhash64(key), F.lit(piece[1])) == piece[0])
+
+    li = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus",
         # a flag is shuffled instead of the two numbers behind it
         completed_expr(F.col("l_quantity"), F.col("l_discount")).alias("_completed"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_type")
-    orders = table(spark, sf_dir, "orders").select(
+    orders = dealt(table(spark, sf_dir, "orders"), "o_orderkey").select(
         "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")

@@ -183,3 +183,58 @@ def test_the_forest_is_grown_in_parts_that_bound_what_is_kept_of_a_row(spark, mo
     row = ctx.metadata().first()
     assert (row.num_trees, row.seed, row.n_train) == (6, ML.C.FOREST_SEED, 319)
     assert sum(r.importance for r in ctx.importance().collect()) == pytest.approx(1, abs=1e-4)
+
+
+def test_the_learner_view_is_written_in_pieces_whose_shuffles_are_deleted(spark, monkeypatch):
+    from planwell.plans import catalog_ml as CM
+    from planwell.session import CLEANUP_CONF
+    from planwell.sources import tables as T
+    sf = "/root/testdata/sf0.001"
+    whole = T.learners(spark, sf)
+    pieces = [T.learners(spark, sf, (i, 3)) for i in range(3)]
+    assert all(p.count() for p in pieces)
+    assert (ML.piece_count(whole), ML.piece_count(spark.createDataFrame([(1,)], "x int"))) == (1, 1)
+    monkeypatch.setattr(ML.C, "LEARNER_PIECE_BYTES", 1000)
+    assert ML.piece_count(whole) == ML.C.LEARNER_PIECES
+    monkeypatch.setattr(ML.C, "LEARNER_PIECES", 3)
+    written = []
+    keep = ML.write_version
+
+    def write(tables, root):
+        assert spark.conf.get(CLEANUP_CONF) == "true"
+        written.append(len(tables))
+        return keep(tables, root)
+
+    monkeypatch.setattr(ML, "write_version", write)
+    monkeypatch.setattr(ML, "train_or_load", lambda *_: None)
+    monkeypatch.setattr(ML, "model_dir", lambda *_: pytest.fail("not asked for"))
+    monkeypatch.setattr(ML, "ensure_checkpoint_dir", lambda s, root=ML.ensure_checkpoint_dir(spark): f"{root}/pieces")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = CM.Context(spark, sf).learners
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert written == [3] and spark.conf.get(CLEANUP_CONF) == "false"
+    rows = ML.clean_features(whole)
+    assert stored.count() == rows.count() and stored.exceptAll(rows).isEmpty()
+
+
+def test_rows_of_the_forest_lie_in_order_of_content(spark, monkeypatch):
+    seen = []
+    keep = ML.checkpoint
+
+    def look(df, *a):
+        if "label" in df.columns:
+            seen.append([[tuple(r) for r in p] for p in df.rdd.glom().collect()])
+        return keep(df, *a)
+
+    monkeypatch.setattr(ML, "checkpoint", look)
+    monkeypatch.setattr(ML.C, "FOREST_TREES", 2)
+    rows = [(i, "s%d" % (i % 3), "c%d" % (i * 7 % 5), 20 + i * 5 % 7, *["u%d" % (i % 2)] * 6, "Graduate" if i % 3 else "Dropout") for i in range(400)]
+    schema = "record_id long, site string, course string, age int, sex string, education string, employment string, skill string, career string, classification string, outcome string"
+    model = ML.train_or_load(spark, spark.createDataFrame(rows, schema), "ordered rows")
+    assert sum(f.getNumTrees for f in ML.forest_parts(model)) == 2
+    label = len(ML.IDX) + 1
+    [parts] = seen
+    assert sum(map(len, parts)) == 319
+    assert all([r[label] for r in p] == sorted(r[label] for r in p) for p in parts) and any(len({r[label] for r in p}) == 2 for p in parts)
