@@ -65,6 +65,17 @@ def test_components_of_a_path_a_star_and_a_loop(spark):
     assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 140), 100)}
 
 
+def test_edges_of_one_block_need_no_rounds_of_shuffles(spark):
+    path = np.random.default_rng(3).permutation(300).tolist()
+    edges = [(f"n{a:03}".encode(), f"n{b:03}".encode()) for a, b in zip(path, path[1:])] + [(b"x", b"y"), (b"y", b"x"), (b"z", None)]
+    df = spark.createDataFrame(edges, "a binary, b binary").repartition(7)
+    want = {**dict.fromkeys((f"n{i:03}".encode() for i in path), b"n000"), b"x": b"x", b"y": b"x"}
+    for settings in ({"max_rounds": 0}, {"block": 50}, {"block": 1}):
+        rows = connected_components(df, **settings).collect()
+        assert len(rows) == len(want) and {bytes(r["node"]): bytes(r["root"]) for r in rows} == want
+    assert connected_components(df.limit(0), max_rounds=0).collect() == []
+
+
 # ------------------------------------------------------------------ 1 vectors
 
 def brute_vectors(rows, threshold=0.93):
