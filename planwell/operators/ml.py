@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from planwell import config as C
 from planwell.functions import scalars as S
+from planwell.operators import forest as FO
 from planwell.operators.ingest import read_current, write_version
 from planwell.session import checkpoint, collect_garbage, discard, ensure_checkpoint_dir, path_exists, shuffles_removed
 
@@ -208,34 +209,36 @@ def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> Pipe
     """Load the saved pipeline for ``source`` or train it on the train split and save it.
 
     The split reads ``learners`` for its bounds (id and class only), the indexers read the training part, and then its
-    rows are written as numbers, which every pass of the forest reads.  They are ordered by content inside each partition,
-    because the forest keeps its bagged rows on disk where memory ends, and compresses them: like rows take less beside each
-    other.  Shuffles of the passes are deleted after each part.
+    rows are written as numbers, ordered by content inside each partition, because like rows take less space beside each other.
+    ``forest.fit`` grows all trees of two classes together, a level in a pass; for other classes Spark's own forest is fitted
+    part after part, and shuffles of its passes are deleted after each part.
     """
     path = model_dir(spark, source)
     if path_exists(spark, f"{path}/metadata"):
         return PipelineModel.load(path)
     split = stratified_split(clean_features(learners))
-    train = with_weights(split.where(~F.col("is_test")))
+    train = split.where(~F.col("is_test"))
     label_ix = StringIndexer(inputCol=LABEL, outputCol="label", stringOrderType="alphabetAsc")
     prepare = Pipeline(stages=[indexers(), label_ix]).fit(train)
-    numbers = prepare.transform(train).select(*IDX, "age", "label", "weight")
+    numbers = prepare.transform(train).select(*IDX, "age", "label")
     # a small table may come as few partitions; spreading it over the cluster's slots keeps every core busy
     n = spark.sparkContext.defaultParallelism
     if learners.rdd.getNumPartitions() < n:
         numbers = numbers.repartition(n)
-    cells = [c for _, c in sorted(zip(map(len, prepare.stages[0].labelsArray), IDX))]
+    sizes = [len(labels) for labels in prepare.stages[0].labelsArray]
+    cells = [c for _, c in sorted(zip(sizes, IDX))]
     with shuffles_removed(spark):
         numbers = checkpoint(numbers.sortWithinPartitions("label", *cells, "age"))
     try:
         assembler = VectorAssembler(inputCols=[*IDX, "age"], outputCol="features", handleInvalid="error")
-        rows = assembler.transform(numbers).select("features", "label", "weight")
-        max_bins = max(32, *[len(labels) for labels in prepare.stages[0].labelsArray])
-        part = part_trees(numbers.count())
-        grown = []
-        for f in forests(max_bins, forest_memory_mb(spark), part):
-            collect_garbage(spark)
-            grown.append(f.fit(rows))
+        parts = forests(max(32, *sizes), forest_memory_mb(spark), part_trees(numbers.count()))
+        grown = FO.fit(spark, numbers, IDX, sizes, "age", "label", parts)
+        if grown is None:
+            rows = assembler.transform(with_weights(numbers, "label")).select("features", "label", "weight")
+            grown = []
+            for f in parts:
+                collect_garbage(spark)
+                grown.append(f.fit(rows))
     finally:
         discard(numbers)
         collect_garbage(spark)
