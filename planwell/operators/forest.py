@@ -14,8 +14,10 @@ and hands them over as its models.  What differs is the work:
 from __future__ import annotations
 
 import json
+import pickle
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from planwell.session import checkpoint, discard, ensure_checkpoint_dir, shuffles_removed
 
 #: rows of a stored block, and rows that are counted at once (their arrays stay in a core's cache)
-BLOCK, CHUNK = 1 << 18, 1 << 15
+BLOCK, CHUNK = 1 << 17, 1 << 16
 #: rows that one task counts, where the cluster's slots are fewer
 TASK_ROWS = 16_000_000
 #: counts that a task holds at once (8 bytes each); trees of one level are counted in groups of at most so many
@@ -153,15 +155,19 @@ def table_groups(bins: list[int]) -> list[list[int]]:
     return groups
 
 
+def pair(feature: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Where the rows of a feature lie in a chunk, and the first of its cells elsewhere, in one number: one lookup finds both."""
+    return (feature * CHUNK) | (start << 32)
+
+
 @dataclass
 class Plan:
     """What a task needs to count one level of one tree."""
 
     seed: tuple
     words: list  # as of ``words``, for the first levels
-    steps: list  # per further level (first cell of the feature by place, start of its bins, 1 for a cell that goes right)
-    feature: np.ndarray  # (take, places): first cell of the candidate in a chunk, by place
-    start: np.ndarray  # (take, places): first cell by place; places without an open node share the cells after the last
+    steps: list  # per further level (``pair`` of the feature's rows and its bins by place, 1 for a bin that goes right)
+    candidates: np.ndarray  # (take, places): ``pair`` of rows and counts; places without an open node share the cells after the last
     cells: list  # cells per candidate
     bag: bool  # whether rows are drawn; else each counts once
 
@@ -184,9 +190,9 @@ def plan(tree: Tree, level: int, bins: list[int], take: int, bag: bool = True) -
         begin = 2 * (np.cumsum(sizes[at]) - sizes[at])
         right = np.concatenate([np.zeros(bins[at[p]], np.uint8) if tree.left[j][p] is None else (~tree.left[j][p]).astype(np.uint8)
                                 for p in range(1 << j)])
-        steps.append((at * CHUNK, begin, right.repeat(2)))
+        steps.append((pair(at, begin), right.repeat(2)))
     top = words(tree, bins, min(level, WORD_LEVELS)) if level else []
-    return Plan(tree.seed, top, steps, feature * CHUNK, start, cells, bag), chosen
+    return Plan(tree.seed, top, steps, pair(feature, start), cells, bag), chosen
 
 
 def places_of(p: Plan, tables: list[np.ndarray], code: list[np.ndarray], idx: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -200,16 +206,22 @@ def places_of(p: Plan, tables: list[np.ndarray], code: list[np.ndarray], idx: np
     place = word.take(idx).astype(np.float64).view(np.int64)
     place >>= 52
     place -= 1023
-    for feature, begin, right in p.steps:
-        x = feature.take(place)
-        x += idx
-        at = begin.take(place)
-        at += flat.take(x)
+    for where, right in p.steps:
+        at = cells_of(where.take(place), idx, flat)
         place <<= 1
         place += right.take(at)
     return place
 
 
+def cells_of(where: np.ndarray, idx: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The cell of each row of ``idx``, with ``where`` its ``pair``."""
+    x = where & 0xFFFFFFFF
+    x += idx
+    where >>= 32
+    where += flat.take(x)
+    return where
+
+
 def count_blocks(batches, plans: list[Plan], bins: list[int], take: int):
     """Counts (tree, cells) of all blocks of one task."""
     groups, kind = table_groups(bins), code_type(bins)
@@ -254,10 +266,7 @@ def count_blocks(batches, plans: list[Plan], bins: list[int], take: int):
                     place = places_of(p, tables[k], code, idx, flat)
                     done = 0
                     for j in range(take):
-                        x = p.feature[j].take(place)
-                        x += idx
-                        key = p.start[j].take(place)
-                        key += flat.take(x)
+                        key = cells_of(p.candidates[j].take(place), idx, flat)
                         sums[k][done:done + p.cells[j]] += np.bincount(key, weights=w, minlength=p.cells[j] + spare)[:p.cells[j]]
                         done += p.cells[j]
     for k, s in enumerate(sums):
@@ -340,8 +349,6 @@ def splits_of(spark, blocks, plans, bins, ordered, weights, min_leaf, take, part
             yield pa.RecordBatch.from_pydict({"tree": pa.array([k], pa.int32()), "cells": pa.array([s.astype(np.uint32).tobytes()], pa.binary())})
 
     def chosen_splits(batches):
-        import pickle
-
         def done(k, total):
             s = best_splits(total.astype(np.float64), shared.value[k][1], bins, ordered, weights, min_leaf)
             return pa.RecordBatch.from_pydict({"tree": pa.array([k], pa.int32()), "splits": pa.array([pickle.dumps(s)], pa.binary())})
@@ -359,7 +366,6 @@ def splits_of(spark, blocks, plans, bins, ordered, weights, min_leaf, take, part
         if now is not None:
             yield done(now, total)
 
-    import pickle
     sums = blocks.select("id", "rows", "codes").mapInArrow(counted, "tree int, cells binary")
     sums = sums.repartition(parts, "tree").sortWithinPartitions("tree").mapInArrow(chosen_splits, "tree int, splits binary")
     try:
@@ -426,8 +432,9 @@ def nodes(t: Tree, bins: list[int], cuts: dict[int, list[float]], weights: np.nd
     return out
 
 
-NODES = ("treeID int, nodeData struct<id:int, prediction:double, impurity:double, impurityStats:array<double>, rawCount:bigint, gain:double, "
-         "leftChild:int, rightChild:int, split:struct<featureIndex:int, leftCategoriesOrThreshold:array<double>, numCategories:int>>")
+NODE = pa.struct([("id", pa.int32()), ("prediction", pa.float64()), ("impurity", pa.float64()), ("impurityStats", pa.list_(pa.float64())),
+                  ("rawCount", pa.int64()), ("gain", pa.float64()), ("leftChild", pa.int32()), ("rightChild", pa.int32()),
+                  ("split", pa.struct([("featureIndex", pa.int32()), ("leftCategoriesOrThreshold", pa.list_(pa.float64())), ("numCategories", pa.int32())]))])
 SPARK_CLASS = "org.apache.spark.ml.classification."
 #: parameters of a forest that its trees do not have
 FOREST_ONLY = {"bootstrap", "featureSubsetStrategy", "numTrees", "subsamplingRate"}
@@ -442,18 +449,25 @@ def as_model(spark: SparkSession, estimator: RandomForestClassifier, trees: list
         return json.dumps(m | {"class": SPARK_CLASS + name, "uid": uid, "timestamp": int(time.time() * 1000)})
 
     path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+    def table(columns: dict) -> DataFrame:
+        return spark.createDataFrame(pa.table(columns)).coalesce(1)
+
     head = meta("RandomForestClassificationModel", estimator.uid, numFeatures=features, numClasses=2, numTrees=len(trees))
-    spark.createDataFrame([(head,)], "value string").coalesce(1).write.text(f"{path}/metadata")
-    each = [(i, meta("DecisionTreeClassificationModel", f"dtc_{uuid.uuid4().hex[:12]}", FOREST_ONLY), 1.0) for i in range(len(trees))]
-    spark.createDataFrame(each, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
-    rows = [(i, n) for i, t in enumerate(trees) for n in t]
-    spark.createDataFrame(rows, NODES, verifySchema=False).coalesce(1).write.parquet(f"{path}/data")
+    table({"value": pa.array([head])}).write.text(f"{path}/metadata")
+    each = [meta("DecisionTreeClassificationModel", f"dtc_{uuid.uuid4().hex[:12]}", FOREST_ONLY) for _ in trees]
+    table({"_1": pa.array(range(len(trees)), pa.int32()), "_2": pa.array(each), "_3": pa.array([1.0] * len(trees))}).write.parquet(f"{path}/treesMetadata")
+    names = [f.name for f in NODE]
+    rows = [dict(zip(names, (*n[:-1], dict(zip(("featureIndex", "leftCategoriesOrThreshold", "numCategories"), n[-1]))))) for t in trees for n in t]
+    table({"treeID": pa.array([i for i, t in enumerate(trees) for _ in t], pa.int32()), "nodeData": pa.array(rows, NODE)}).write.parquet(f"{path}/data")
     model = RandomForestClassificationModel.load(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     return model
 
 
+#: models that are written and loaded at once
+MODELS = 4
 #: values of a continuous feature that are few enough for the driver
 FEW_VALUES = 100_000
 
@@ -484,9 +498,7 @@ def fit(spark: SparkSession, numbers: DataFrame, columns: list[str], sizes: list
                      first.getBootstrap())
     finally:
         discard(blocks)
-    out, lo = [], 0
-    for e in estimators:
-        hi = lo + e.getNumTrees()
-        out.append(as_model(spark, e, [nodes(t, bins, cuts, weights) for t in trees[lo:hi]], len(bins)))
-        lo = hi
-    return out
+    ends = np.cumsum([e.getNumTrees() for e in estimators])
+    with ThreadPoolExecutor(MODELS) as pool:  # small jobs of one task each
+        return list(pool.map(lambda e, hi: as_model(spark, e, [nodes(t, bins, cuts, weights) for t in trees[hi - e.getNumTrees():hi]], len(bins)),
+                             estimators, ends))

@@ -19,9 +19,9 @@ import os
 from decimal import Decimal
 from functools import cached_property
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,11 +75,11 @@ def split_bounds(df: DataFrame, id_col: str, label: str, test_fraction: float) -
     while True:
         part = rows if open_ is None else rows.where(_any([F.col("c").eqNullSafe(c) & F.col("h").startswith(state[c][2]) for c in open_]))
         cells = part.groupBy("c", F.substring("h", 1, digits).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        cells = checkpoint(cells)
         if open_ is None:
             for r in cells.groupBy("c").agg(F.sum("n").alias("n")).collect():  # a row a class
                 state[r["c"]] = (_ceil(test_fraction, r["n"]), 0, "", r["n"])
             open_ = [c for c, s in state.items() if s[0] > 0]
-            cells = checkpoint(cells)
         w = Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
         placed = cells.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))  # at most 16^SPLIT_DIGITS cells a class
         hit = _any([F.col("c").eqNullSafe(c) & (F.col("before") < state[c][0] - state[c][1])
@@ -87,19 +87,25 @@ def split_bounds(df: DataFrame, id_col: str, label: str, test_fraction: float) -
         for r in (placed.where(hit).collect() if open_ else []):
             want, before, _, _ = state[r["c"]]
             state[r["c"]] = (want, before + r["before"], r["p"], r["n"])
+        discard(cells)
         open_ = [c for c in open_ if state[c][3] > SPLIT_FEW and digits < 32]
         if not open_:
             break
         digits += SPLIT_DIGITS
     bounds = {}
-    for c, (want, before, prefix, _) in state.items():
+    if not any(want for want, *_ in state.values()):
+        return bounds
+    # the rows of the last buckets are looked up once, not for each question
+    near = checkpoint(rows.where(_any([F.col("c").eqNullSafe(c) & F.col("h").startswith(s[2]) for c, s in state.items() if s[0]])))
+    for c, (want, before, _, _) in state.items():
         if want:
-            few = rows.where(F.col("c").eqNullSafe(c) & F.col("h").startswith(prefix))
+            few = near.where(F.col("c").eqNullSafe(c))
             last = few.orderBy("h", "id").offset(want - before - 1).limit(1).collect()[0]
             same = (F.col("h") == last["h"]) & (F.col("id") == F.lit(last["id"]))
             less = (F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("id") < F.lit(last["id"])))
             n_less, n_same = few.agg(F.count_if(less), F.count_if(same)).first()
             bounds[c] = (last["h"], last["id"], want - before - n_less, n_same)
+    discard(near)
     return bounds
 
 
@@ -119,9 +125,11 @@ def stratified_split(df: DataFrame, id_col: str = "record_id", label: str = LABE
     """L3: add ``is_test``: per class exactly ceil(test_fraction * n_c) rows, the first in the order of (md5 of the
     id's text, id).  ``df`` is read for the bounds first; the flag is then a comparison a row, without a join or a
     window.  Only where an id repeats just at the boundary are the rows of this id put in an order, by their content."""
-    h = F.md5(F.col(id_col).cast("string").cast("binary"))
+    # one comparison of pairs, so that a row's hash is computed once; a missing id lies after all others
+    h = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("~"))
     bounds = split_bounds(df, id_col, label, test_fraction)
-    inside = _any([F.col(label).eqNullSafe(c) & ((h < last) | ((h == last) & (F.col(id_col) <= F.lit(i))))
+    kind = df.schema[id_col].dataType
+    inside = _any([F.col(label).eqNullSafe(c) & (F.struct(h.alias("h"), F.col(id_col).alias("id")) <= F.struct(F.lit(last).alias("h"), F.lit(i).cast(kind).alias("id")))
                    for c, (last, i, _, _) in bounds.items()])
     out = df.withColumn("is_test", F.coalesce(inside, F.lit(False)))
     for c, (_, i, taken, there) in bounds.items():
@@ -218,14 +226,17 @@ def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> Pipe
         return PipelineModel.load(path)
     split = stratified_split(clean_features(learners))
     train = split.where(~F.col("is_test"))
-    label_ix = StringIndexer(inputCol=LABEL, outputCol="label", stringOrderType="alphabetAsc")
-    prepare = Pipeline(stages=[indexers(), label_ix]).fit(train)
-    numbers = prepare.transform(train).select(*IDX, "age", "label")
+    # features and label are indexed in one pass, and are two stages of the model: rows that are scored have no label
+    both = indexers().setInputCols([*C.CATEGORICAL_COLUMNS, LABEL]).setOutputCols([*IDX, "label"]).fit(train)
+    *categories, classes = [list(labels) for labels in both.labelsArray]
+    prepare = [StringIndexerModel.from_arrays_of_labels(categories, C.CATEGORICAL_COLUMNS, IDX, handleInvalid="error"),
+               StringIndexerModel.from_labels(classes, LABEL, "label", handleInvalid="error")]
+    numbers = both.transform(train).select(*IDX, "age", "label")
     # a small table may come as few partitions; spreading it over the cluster's slots keeps every core busy
     n = spark.sparkContext.defaultParallelism
     if learners.rdd.getNumPartitions() < n:
         numbers = numbers.repartition(n)
-    sizes = [len(labels) for labels in prepare.stages[0].labelsArray]
+    sizes = [len(labels) for labels in categories]
     cells = [c for _, c in sorted(zip(sizes, IDX))]
     with shuffles_removed(spark):
         numbers = checkpoint(numbers.sortWithinPartitions("label", *cells, "age"))
@@ -242,7 +253,7 @@ def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> Pipe
     finally:
         discard(numbers)
         collect_garbage(spark)
-    model = PipelineModel([*prepare.stages, assembler, *grown])
+    model = PipelineModel([*prepare, assembler, *grown])
     model.write().overwrite().save(path)
     return model
 
