@@ -502,3 +502,87 @@ def fit(spark: SparkSession, numbers: DataFrame, columns: list[str], sizes: list
     with ThreadPoolExecutor(MODELS) as pool:  # small jobs of one task each
         return list(pool.map(lambda e, hi: as_model(spark, e, [nodes(t, bins, cuts, weights) for t in trees[hi - e.getNumTrees():hi]], len(bins)),
                              estimators, ends))
+
+
+def saved_trees(spark: SparkSession, path: str, uids: list[str]) -> list[list[dict]]:
+    """The nodes of all trees of a saved pipeline's forest parts, in the order of parts, trees and nodes."""
+    out = []
+    for uid in uids:
+        rows = spark.read.parquet(f"{path}/stages/*_{uid}/data").toArrow()
+        of_tree: dict = {}
+        for t, n in zip(rows.column("treeID").to_pylist(), rows.column("nodeData").to_pylist()):
+            of_tree.setdefault(t, []).append(n)
+        out += [sorted(of_tree[t], key=lambda n: n["id"]) for t in sorted(of_tree)]
+    return out
+
+
+@dataclass
+class Scorer:
+    """Trees as arrays: per tree the next node by (node, bin) and the classes' shares by node."""
+
+    bins: list
+    cuts: dict  # split points of continuous features
+    trees: list  # (``pair`` of the feature's rows and its bins by node, next node, shares (nodes, classes), depth)
+
+
+def scorer(trees: list[list[dict]], sizes: list[int], continuous: set[int]) -> Scorer:
+    cuts = {f: sorted({n["split"]["leftCategoriesOrThreshold"][0] for t in trees for n in t if n["split"]["featureIndex"] == f}) for f in continuous}
+    bins = [len(cuts[f]) + 1 if f in cuts else b for f, b in enumerate(sizes)]
+    rank = {f: {c: i for i, c in enumerate(cs)} for f, cs in cuts.items()}
+    least = min(range(len(bins)), key=lambda f: bins[f])
+    out = []
+    for t in trees:
+        feature, following, depth = [], [], [0] * len(t)
+        for n in t:  # preorder: a parent stands before its children
+            f, to = n["split"]["featureIndex"], n["split"]["leftCategoriesOrThreshold"]
+            if f < 0:  # a row stays at its leaf
+                feature.append(least)
+                following.append(np.full(bins[least], n["id"], dtype=np.int64))
+                continue
+            left = np.arange(bins[f]) <= rank[f][to[0]] if f in cuts else np.isin(np.arange(bins[f]), np.array(to, dtype=np.int64))
+            feature.append(f)
+            following.append(np.where(left, n["leftChild"], n["rightChild"]))
+            for c in (n["leftChild"], n["rightChild"]):
+                depth[c] = depth[n["id"]] + 1
+        at = np.array(feature, dtype=np.int64)
+        size = np.array(bins, dtype=np.int64)[at]
+        stats = np.array([n["impurityStats"] for n in t])
+        total = stats.sum(axis=1, keepdims=True)
+        shares = np.divide(stats, total, out=np.zeros_like(stats), where=total > 0)
+        out.append((pair(at, np.cumsum(size) - size), np.concatenate(following), shares, max(depth)))
+    return Scorer(bins, cuts, out)
+
+
+def probabilities(s: Scorer, columns: list[np.ndarray]) -> np.ndarray:
+    """(rows, classes): the mean over all trees of the classes' shares at each row's leaf."""
+    rows, classes = len(columns[0]), s.trees[0][2].shape[1]
+    out = np.zeros((rows, classes))
+    kind = code_type(s.bins)
+    codes = np.zeros((len(s.bins), CHUNK), dtype=kind)
+    flat = codes.reshape(-1)
+    for lo in range(0, rows, CHUNK):
+        n = min(CHUNK, rows - lo)
+        idx = np.arange(n)
+        for f, c in enumerate(columns):
+            codes[f, :n] = np.searchsorted(s.cuts[f], c[lo:lo + n], side="left") if f in s.cuts else c[lo:lo + n]
+        for where, following, shares, depth in s.trees:
+            node = np.zeros(n, dtype=np.int64)
+            for _ in range(depth):
+                node = following.take(cells_of(where.take(node), idx, flat))
+            out[lo:lo + n] += shares.take(node, axis=0)
+    return out / len(s.trees)
+
+
+def scored(numbers: DataFrame, columns: list[str], label: str, score: Scorer, of_class: int) -> DataFrame:
+    """(label, prediction, score) of each row: the likeliest class and the probability of ``of_class``."""
+    shared = numbers.sparkSession.sparkContext.broadcast(score)
+    names = [*columns, label]
+
+    def rows(batches):
+        for b in batches:
+            if any(b.column(n).null_count for n in names):
+                raise ValueError("a null among the features or labels")
+            p = probabilities(shared.value, [b.column(n).to_numpy(zero_copy_only=False) for n in columns])
+            yield pa.RecordBatch.from_pydict({"label": b.column(label), "prediction": pa.array(p.argmax(axis=1).astype(np.float64)), "score": pa.array(p[:, of_class])})
+
+    return numbers.select(*names).mapInArrow(rows, "label double, prediction double, score double")

@@ -121,13 +121,15 @@ def _ceil(fraction: float, n: int) -> int:
 
 
 def stratified_split(df: DataFrame, id_col: str = "record_id", label: str = LABEL,
-                     test_fraction: float = C.TEST_FRACTION) -> DataFrame:
+                     test_fraction: float = C.TEST_FRACTION, bounds: dict | None = None) -> DataFrame:
     """L3: add ``is_test``: per class exactly ceil(test_fraction * n_c) rows, the first in the order of (md5 of the
     id's text, id).  ``df`` is read for the bounds first; the flag is then a comparison a row, without a join or a
-    window.  Only where an id repeats just at the boundary are the rows of this id put in an order, by their content."""
+    window.  Only where an id repeats just at the boundary are the rows of this id put in an order, by their content.
+    ``bounds`` are those of the same rows, if they are known."""
     # one comparison of pairs, so that a row's hash is computed once; a missing id lies after all others
     h = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("~"))
-    bounds = split_bounds(df, id_col, label, test_fraction)
+    if bounds is None:
+        bounds = split_bounds(df, id_col, label, test_fraction)
     kind = df.schema[id_col].dataType
     inside = _any([F.col(label).eqNullSafe(c) & (F.struct(h.alias("h"), F.col(id_col).alias("id")) <= F.struct(F.lit(last).alias("h"), F.lit(i).cast(kind).alias("id")))
                    for c, (last, i, _, _) in bounds.items()])
@@ -224,7 +226,9 @@ def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> Pipe
     path = model_dir(spark, source)
     if path_exists(spark, f"{path}/metadata"):
         return PipelineModel.load(path)
-    split = stratified_split(clean_features(learners))
+    rows = clean_features(learners)
+    bounds = split_bounds(rows, "record_id", LABEL, C.TEST_FRACTION)
+    split = stratified_split(rows, bounds=bounds)
     train = split.where(~F.col("is_test"))
     # features and label are indexed in one pass, and are two stages of the model: rows that are scored have no label
     both = indexers().setInputCols([*C.CATEGORICAL_COLUMNS, LABEL]).setOutputCols([*IDX, "label"]).fit(train)
@@ -255,6 +259,7 @@ def train_or_load(spark: SparkSession, learners: DataFrame, source: str) -> Pipe
         collect_garbage(spark)
     model = PipelineModel([*prepare, assembler, *grown])
     model.write().overwrite().save(path)
+    model.planwell_bounds = bounds
     return model
 
 
@@ -369,12 +374,13 @@ class ModelContext:
     def __init__(self, spark: SparkSession, learners: DataFrame, source: str, pieces=None):
         self.spark = spark
         self.learners, stamp = stored_learners(spark, learners, source, pieces)
-        self.model = train_or_load(spark, self.learners, f"{source}|{stamp}")
+        self.name = f"{source}|{stamp}"
+        self.model = train_or_load(spark, self.learners, self.name)
 
     @cached_property
     def split(self) -> DataFrame:
         """The learners with ``is_test``; only the queries that look at the held-out part ask for it."""
-        return stratified_split(self.learners)
+        return stratified_split(self.learners, bounds=getattr(self.model, "planwell_bounds", None))
 
     def ranking(self, profiles: DataFrame | None = None) -> DataFrame:
         """L6 + W7: representative profile of every course (or the given ones) x every site, ranked."""
@@ -392,10 +398,15 @@ class ModelContext:
         The forest gives rows of equal features equal scores, and counting is an ordinary partial aggregate, so
         what is written is no row a record."""
         gi = graduate_index(self.model)
-        out = predicted(self.model, self.split.where(F.col("is_test")))
+        features, classes, *_ = self.model.stages
+        held = classes.transform(features.transform(self.split.where(F.col("is_test"))))
+        parts = forest_parts(self.model)
+        trees = FO.saved_trees(self.spark, model_dir(self.spark, self.name), [f.uid for f in parts])
+        sizes = [len(labels) for labels in features.labelsArray]
+        out = FO.scored(held, [*IDX, "age"], "label", FO.scorer(trees, [*sizes, 1], {len(sizes)}), gi)
         return checkpoint(out.groupBy(
             (F.col("label") == gi).cast("int").alias("label"), (F.col("prediction") == gi).cast("int").alias("pred"),
-            F.col("probability")[gi].alias("score")).agg(F.count(F.lit(1)).alias("n")))
+            "score").agg(F.count(F.lit(1)).alias("n")))
 
     def metrics(self) -> DataFrame:
         """Classification report and ROC-AUC of the held-out rows."""

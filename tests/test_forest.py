@@ -1,5 +1,7 @@
 """The forest from counts: its trees are those of Spark, whatever the blocks, tasks and groups of trees."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
@@ -97,7 +99,7 @@ def test_other_classes_are_left_to_spark_and_a_null_is_an_error(spark, numbers):
         by_counts(spark, numbers.withColumn("age", F.when(F.col("age") > 30, F.col("age"))), estimator())
     rows = [(i, "s%d" % (i % 3), "c%d" % (i % 5), 20 + i % 7, *["u%d" % (i % 2)] * 6, ["Graduate", "Dropout", "Active"][i % 3]) for i in range(300)]
     schema = "record_id long, site string, course string, age int, sex string, education string, employment string, skill string, career string, classification string, outcome string"
-    model = ML.train_or_load(spark, spark.createDataFrame(rows, schema), "three classes")
+    model = ML.train_or_load(spark, spark.createDataFrame(rows, schema), f"three classes {uuid.uuid4()}")
     assert ML.forest_parts(model)[0].numClasses == 3
 
 
@@ -107,5 +109,21 @@ def test_the_learners_forest_is_not_fitted_part_by_part(spark, monkeypatch):
     monkeypatch.setattr(ML.C, "FOREST_BAG_COUNTS", 1)
     monkeypatch.setattr(RandomForestClassifier, "_fit", lambda *_: pytest.fail("a pass over the rows for each part"))
     from planwell.sources import tables as T
-    model = ML.train_or_load(spark, T.learners(spark, "/root/testdata/sf0.001"), "not part by part")
+    model = ML.train_or_load(spark, T.learners(spark, "/root/testdata/sf0.001"), f"not part by part {uuid.uuid4()}")
     assert [f.getNumTrees for f in ML.forest_parts(model)] == [2, 2]
+
+
+def test_scores_of_held_out_rows_are_those_of_the_model_in_one_pass(spark, monkeypatch):
+    from planwell.sources import tables as T
+    monkeypatch.setattr(ML.C, "FOREST_TREES", 6)
+    monkeypatch.setattr(ML.C, "FOREST_PART_TREES", 2)
+    monkeypatch.setattr(ML.C, "FOREST_BAG_COUNTS", 1)
+    ctx = ML.ModelContext(spark, T.learners(spark, "/root/testdata/sf0.001"), f"scores in one pass {uuid.uuid4()}")
+    held = ML.predicted(ctx.model, ctx.split.where("is_test")).collect()
+    monkeypatch.setattr(ML, "predicted", lambda *_: pytest.fail("scored by each part of the forest"))
+    monkeypatch.setattr(ML, "split_bounds", lambda *_: pytest.fail("the split's bounds are known"))
+    gi = ML.graduate_index(ctx.model)
+    want = sorted((int(r.label == gi), int(r.prediction == gi), r.probability[gi]) for r in held)
+    got = sorted((r.label, r.pred, r.score) for r in ctx.test_counts().collect() for _ in range(r.n))
+    assert len(got) == len(want) > 1000 and [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
